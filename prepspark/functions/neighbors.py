@@ -1,4 +1,4 @@
-"""Exact nearest neighbours of vectors inside one table, in two bounded rounds.
+"""Exact nearest neighbours of vectors inside each of a few groups, in two bounded rounds.
 
 Equal vectors are merged first, so a vector repeated by a third of the rows is
 one point with a weight. A k-d tree over a small hash-chosen subset cuts space
@@ -24,6 +24,8 @@ TREE_SAMPLE = 100_000
 #: query points that one visit of a leaf handles
 VISIT_POINTS = 50_000
 _BLOCK = 256
+#: leaf ids are tree node * groups + group
+MAX_GROUPS = 1_024
 
 _CANDIDATES = "array<struct<dist:double,vec:array<double>,n:bigint>>"
 
@@ -94,33 +96,41 @@ def _nearest(queries: np.ndarray, points: np.ndarray, weights: np.ndarray, k: in
 
 
 def nearest_vectors(points: DataFrame, k: int = 5, leaf_points: int | None = None) -> DataFrame:
-    """(vec, n, neighbours): for each distinct vector its k nearest rows' vectors, repeated by weight.
+    """(g, vec, n, neighbours): for each distinct vector its k nearest rows' vectors in the same group.
 
-    ``points`` has one column ``vec`` (array<double>) with a row per point. A
-    point is not its own neighbour; its duplicates are.
+    ``points(g int, vec array<double>)`` has a row per point; groups are few. A
+    vector is listed once per row that holds it. A point is not its own
+    neighbour; its duplicates are.
     """
     spark = points.sparkSession
     leaf_points = leaf_points or LEAF_POINTS
-    distinct = materialize(points.groupBy("vec").agg(F.count("*").alias("n")), "vectors")
-    m = distinct.count()
-    depth = 0
-    while 2**depth * leaf_points < m and 2**depth < MAX_LEAVES:
-        depth += 1
-    every = max(1, m // TREE_SAMPLE)
-    sample = distinct.where(F.pmod(F.xxhash64("vec"), F.lit(every)) == 0).select("vec").limit(2 * TREE_SAMPLE).collect()
-    tree = _Tree(np.array([r["vec"] for r in sample], dtype=float), depth) if sample else _Tree(np.zeros((1, 1)), 0)
+    distinct = materialize(points.groupBy("g", "vec").agg(F.count("*").alias("n")), "vectors")
+    sizes = {r["g"]: r["count"] for r in distinct.groupBy("g").count().collect()}
+    room = max(1, MAX_LEAVES // max(1, len(sizes)))
+    every = max(1, sum(sizes.values()) // TREE_SAMPLE)
+    chosen = distinct.where(F.pmod(F.xxhash64("vec"), F.lit(every)) == 0).select("g", "vec").limit(2 * TREE_SAMPLE)
+    samples: dict[int, list] = {g: [] for g in sizes}
+    for r in chosen.collect():
+        samples[r["g"]].append(r["vec"])
+    trees = {}
+    for g, m in sizes.items():
+        depth = 0
+        while 2**depth * leaf_points < m and 2**depth < room:
+            depth += 1
+        trees[g] = _Tree(np.array(samples[g] or [[0.0]], dtype=float), depth if samples[g] else 0)
 
     def tag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if len(pdf):
-                yield pdf.assign(leaf=tree.leaf(_matrix(pdf["vec"])))
+            for g, part in pdf.groupby("g"):
+                yield part.assign(leaf=trees[g].leaf(_matrix(part["vec"])) * MAX_GROUPS + int(g))
 
-    tagged = materialize(distinct.mapInPandas(tag, "vec array<double>, n bigint, leaf bigint"), "leaves")
+    tagged = materialize(distinct.mapInPandas(tag, "g int, vec array<double>, n bigint, leaf bigint"), "leaves")
 
     def box(pdf: pd.DataFrame) -> pd.DataFrame:
         x = _matrix(pdf["vec"])
         return pd.DataFrame({"leaf": [pdf["leaf"].iloc[0]], "lo": [x.min(axis=0)], "hi": [x.max(axis=0)]})
 
+    # at most MAX_LEAVES boxes
     rows = tagged.groupBy("leaf").applyInPandas(box, "leaf bigint, lo array<double>, hi array<double>").collect()
     leaves = np.array([r["leaf"] for r in rows])
     los, his = np.array([r["lo"] for r in rows]), np.array([r["hi"] for r in rows])
@@ -130,19 +140,22 @@ def nearest_vectors(points: DataFrame, k: int = 5, leaf_points: int | None = Non
         found = _nearest(x, x, w, k, True)
         radius = np.array([f[-1]["dist"] if sum(c["n"] for c in f) >= k else np.inf for f in found])
         me = pdf["leaf"].iloc[0]
+        same = (leaves % MAX_GROUPS == me % MAX_GROUPS) & (leaves != me)
         gap = np.maximum(0, np.maximum(los - x.max(axis=0), x.min(axis=0) - his))
-        reach = np.flatnonzero(((gap**2).sum(axis=1) <= radius.max()) & (leaves != me))
+        reach = np.flatnonzero(((gap**2).sum(axis=1) <= radius.max()) & same)
         visits = []
         for i in range(len(x)):
-            g = np.maximum(0, np.maximum(los[reach] - x[i], x[i] - his[reach]))
-            visits.append(leaves[reach[(g**2).sum(axis=1) <= radius[i]]].tolist())
-        return pd.DataFrame({"vec": pdf["vec"], "n": w, "found": found, "visits": visits})
+            apart = np.maximum(0, np.maximum(los[reach] - x[i], x[i] - his[reach]))
+            visits.append(leaves[reach[(apart**2).sum(axis=1) <= radius[i]]].tolist())
+        return pd.DataFrame({"g": pdf["g"], "vec": pdf["vec"], "n": w, "found": found, "visits": visits})
 
     first = materialize(
-        tagged.groupBy("leaf").applyInPandas(own_leaf, f"vec array<double>, n bigint, found {_CANDIDATES}, visits array<bigint>"),
+        tagged.groupBy("leaf").applyInPandas(
+            own_leaf, f"g int, vec array<double>, n bigint, found {_CANDIDATES}, visits array<bigint>"
+        ),
         "near",
     )
-    asked = first.select("vec", F.explode("visits").alias("leaf"))
+    asked = first.select("g", "vec", F.explode("visits").alias("leaf"))
     load = {r["leaf"]: r["count"] for r in asked.groupBy("leaf").count().collect()}
     chunk_rows = [(int(leaf), int(-(-c // VISIT_POINTS))) for leaf, c in load.items()]
     chunks = lambda: F.broadcast(spark.createDataFrame(chunk_rows, "leaf bigint, chunks int"))
@@ -151,15 +164,15 @@ def nearest_vectors(points: DataFrame, k: int = 5, leaf_points: int | None = Non
 
     def visit(queries: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(held):
-            return pd.DataFrame({"vec": [], "found": []})
+            return pd.DataFrame({"g": [], "vec": [], "found": []})
         got = _nearest(_matrix(queries["vec"]), _matrix(held["vec"]), held["n"].to_numpy(), k, False)
-        return pd.DataFrame({"vec": queries["vec"], "found": got})
+        return pd.DataFrame({"g": queries["g"], "vec": queries["vec"], "found": got})
 
     second = asked.groupBy("leaf", "chunk").cogroup(serving.groupBy("leaf", "chunk")).applyInPandas(
-        visit, f"vec array<double>, found {_CANDIDATES}",
+        visit, f"g int, vec array<double>, found {_CANDIDATES}",
     )
-    merged = first.select("vec", "found").unionByName(second).groupBy("vec").agg(
+    merged = first.select("g", "vec", "found").unionByName(second).groupBy("g", "vec").agg(
         F.sort_array(F.flatten(F.collect_list("found"))).alias("found")
     )
     repeated = F.slice(F.flatten(F.transform("found", lambda c: F.array_repeat(c["vec"], F.least(c["n"], F.lit(k)).cast("int")))), 1, k)
-    return first.select("vec", "n").join(merged, "vec").select("vec", "n", repeated.alias("neighbours"))
+    return first.select("g", "vec", "n").join(merged, ["g", "vec"]).select("g", "vec", "n", repeated.alias("neighbours"))

@@ -178,6 +178,12 @@ def skew_expr(name: str) -> Column:
     return F.when(n < 3, F.lit(None)).when(F.stddev_pop(x) == 0, F.lit(0.0)).otherwise(corrected)
 
 
+def corr_expr(x: Column, y: Column) -> Column:
+    """Pearson correlation of the rows holding both; null where either side is constant (``corr`` would divide by 0)."""
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def distinct_counts(df: DataFrame, cols: list[str], exact: bool = True) -> dict[str, int]:
     """Distinct non-null values per column."""
     agg = F.count_distinct if exact else (lambda c: F.approx_count_distinct(c, 0.02))

@@ -100,13 +100,14 @@ def smote(df: DataFrame, target: str, keys: list[str], k: int = 5, seed: int = 4
     ranked = rank_in_group(part, key_hash(keys, seed), target, "__rank").select(
         group_text(target).alias("__g"), col(target).alias("__t"), "__rank", vec.alias("__vec"),
     )
-    near = None
-    for g in small:
-        found = nearest_vectors(part.where(group_text(target) == g).select(vec.alias("vec")), k, leaf_points)
-        found = found.withColumn("__g", F.lit(g))
-        near = found if near is None else near.unionByName(found)
+    number = {g: i for i, g in enumerate(small)}
+    index = None
+    for g, i in number.items():
+        index = F.when(group_text(target) == g, F.lit(i)) if index is None else index.when(group_text(target) == g, F.lit(i))
+    near = nearest_vectors(part.select(index.alias("g"), vec.alias("vec")), k, leaf_points)
     text_key = lambda g, v: F.concat(g, F.lit("\x01"), F.md5(F.array_join(F.transform(v, lambda x: x.cast("string")), ",")))
-    table = near.select(text_key(F.col("__g"), F.col("vec")).alias("__key"), "n", "neighbours")
+    name = F.element_at(F.lit(small), F.col("g") + 1)
+    table = near.select(text_key(name, F.col("vec")).alias("__key"), "n", "neighbours")
     base = drawn.join(ranked, ["__g", "__rank"]).withColumn("__vkey", text_key(F.col("__g"), F.col("__vec")))
     joined = lookup_join(base, table, F.col("__vkey"))
     j = F.col("__j").cast("string")

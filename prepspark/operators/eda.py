@@ -12,7 +12,7 @@ from prepspark.functions.columns import (
     col, is_missing, kinds, num, numeric_columns, one_row, stack_rows, string_columns,
 )
 from prepspark.functions.ranks import group_sizes, key_hash
-from prepspark.functions.stats import distinct_counts, gramian, quantiles, skew_expr
+from prepspark.functions.stats import corr_expr, distinct_counts, gramian, quantiles, skew_expr
 from prepspark.operators import profile as P
 from prepspark.operators import reduce as R
 
@@ -142,6 +142,8 @@ def corr_matrix(df: DataFrame, cols: list[str] | None = None, only_varying: bool
     if only_varying:
         cols = [c for c in cols if stats[("s", c)]]
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    plain = {c for c in cols if stats[("s", c)] and not stats[("z", c)]}
+    pair = lambda a, b: F.corr(num(a), num(b)) if a in plain and b in plain else corr_expr(num(a), num(b))
     r: dict[tuple[str, str], float | None] = {}
     if len(pairs) > batch and not any(stats[("z", c)] for c in cols):
         g = gramian(df, cols, {c: stats[("m", c)] for c in cols})
@@ -152,7 +154,7 @@ def corr_matrix(df: DataFrame, cols: list[str] | None = None, only_varying: bool
             r[(a, b)] = float(g[at[a], at[b]] / den) if den else None
     else:
         for i in range(0, len(pairs), batch):
-            r.update(one_row(df, {(a, b): F.corr(num(a), num(b)) for a, b in pairs[i:i + batch]}))
+            r.update(one_row(df, {p: pair(*p) for p in pairs[i:i + batch]}))
     rows = [(a, a, 1.0 if stats[("s", a)] else None) for a in cols]
     rows += [(x, y, None if v is None or math.isnan(v) else v) for (a, b), v in r.items() for x, y in ((a, b), (b, a))]
     return df.sparkSession.createDataFrame(rows, "a string, b string, r double")

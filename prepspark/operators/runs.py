@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prepspark.functions.stats import corr_expr
+
 KINDS = {"prompts": "prompt", "tasks": "task", "corrections": "correction", "auto_mods": "auto", "human_mods": "human"}
 STAGES = ("ingestion", "cleaning", "transformation", "feature_engineering", "eda", "split", "vectorization")
 
@@ -71,7 +73,7 @@ def run_summary(runs: DataFrame, scores: DataFrame) -> DataFrame:
     completeness = F.when(cells > 0, F.round((cells - F.col("missing_values")) * 100.0 / cells, 2)).otherwise(F.lit(0.0))
     return joined.withColumns({
         "completeness_pct": completeness, "rows_per_second": rows_per_second(),
-        "quality_score": F.floor(F.round((1 - F.col("cof")) * 100, 9)).cast("int"),
+        "quality_score": F.round((1 - F.col("cof")) * 100, 9).cast("int"),
     })
 
 
@@ -92,7 +94,7 @@ def benchmark_compare(results: DataFrame) -> DataFrame:
     row = x.agg(
         F.count("*").cast("double").alias("runs"), F.min("ptma").alias("ptma_min"), F.max("ptma").alias("ptma_max"),
         F.stddev_pop("ptma").alias("ptma_std"), F.min("rps").alias("rps_min"), F.max("rps").alias("rps_max"),
-        F.corr(F.col("n_rows").cast("double"), F.col("seconds").cast("double")).alias("rows_seconds_corr"),
+        corr_expr(F.col("n_rows").cast("double"), F.col("seconds").cast("double")).alias("rows_seconds_corr"),
         F.avg(on).alias("llm_on_mean"), F.stddev_pop(on).alias("llm_on_std"), F.avg(off).alias("llm_off_mean"), F.stddev_pop(off).alias("llm_off_std"),
     )
     both = F.col("llm_on_mean").isNotNull() & F.col("llm_off_mean").isNotNull()

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prepspark.functions.columns import col, num, numeric_columns, one_row, stack_rows
-from prepspark.functions.stats import distinct_counts
+from prepspark.functions.stats import corr_expr, distinct_counts
 
 
 def _value(name: str, fill: float | None) -> Column:
@@ -53,7 +53,7 @@ def f_regression(df: DataFrame, target: str, cols: list[str] | None = None, fill
     y = num(target)
     rows = stack_rows(df.where(y.isNotNull()), {
         c: {
-            "r": F.corr(_value(c, fill), y), "n": F.count(_value(c, fill)),
+            "r": corr_expr(_value(c, fill), y), "n": F.count(_value(c, fill)),
         } for c in cols
     }, "feature")
     r2 = F.col("r") * F.col("r")

@@ -113,7 +113,7 @@ def text_sequence(df: DataFrame, name: str, size: int = VOCAB_SIZE, max_length:
     return df.withColumns(sequence_columns(name, vocab, max_length))
 
 
-def _word_tokens(name: str) -> Column:
+def word_tokens(name: str) -> Column:
     return F.regexp_extract_all(F.lower(text_of(name)), F.lit(WORD_TOKEN), F.lit(0))
 
 
@@ -132,16 +132,16 @@ def text_tfidf(df: DataFrame, name: str, max_features: int = 10, max_mean_length
     size = one_row(source, {"n": F.count("*"), "len": F.avg(F.length(text_of(name)))})
     if not size["n"] or (max_mean_length is not None and size["len"] >= max_mean_length):
         return df
-    counts = source.select(F.explode(_word_tokens(name)).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    counts = source.select(F.explode(word_tokens(name)).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     terms = sorted(r["w"] for r in counts.orderBy(F.desc("n"), "w").limit(max_features).collect())
     if not terms:
         return df
     tokens = F.col("__tokens")
-    present = source.select(_word_tokens(name).alias("__tokens"))
+    present = source.select(word_tokens(name).alias("__tokens"))
     dfs = one_row(present, {t: F.count_if(F.array_contains(tokens, F.lit(t))) for t in terms})
     idf = {t: F.log(F.lit((1.0 + size["n"]) / (1.0 + dfs[t]))) + 1.0 for t in terms}
     tf = {t: _occurrences(tokens, t) for t in terms}
-    weighted = df.withColumn("__tokens", _word_tokens(name)).withColumns({f"__w{i}": tf[t] * idf[t] for i, t in enumerate(terms)})
+    weighted = df.withColumn("__tokens", word_tokens(name)).withColumns({f"__w{i}": tf[t] * idf[t] for i, t in enumerate(terms)})
     square = None
     for i in range(len(terms)):
         w = F.col(f"__w{i}")
@@ -160,7 +160,7 @@ def text_sentiment(df: DataFrame, name: str, key: str, lexicon: DataFrame, broad
     salted copies.
     """
     per_word = (
-        df.select(col(key).alias("__k"), F.explode(_word_tokens(name)).alias("word"))
+        df.select(col(key).alias("__k"), F.explode(word_tokens(name)).alias("word"))
         .groupBy("__k", "word").agg(F.count("*").alias("c"))
     )
     lex = lexicon.select("word", F.col("polarity").cast("double").alias("p"), F.col("subjectivity").cast("double").alias("s"))

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from prepspark.functions.columns import col
 
 CORRUPT = "_corrupt_record"
+TIMESTAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
 
 
 def infer_csv_schema(spark: SparkSession, path: str, share: float = 1.0, encoding: str = "UTF-8") -> T.StructType:
@@ -25,25 +26,23 @@ def scan_csv(
     ``keep_corrupt`` adds the text of rows that do not fit the schema in
     ``_corrupt_record`` (needs a schema).
     """
+    reader = spark.read.options(
+        header=True, encoding=encoding, nullValue=null_value, multiLine=multi_line, escape='"', timestampNTZFormat=TIMESTAMP_FORMAT,
+    )
     if schema is None:
-        return spark.read.csv(
-            path, header=True, inferSchema=True, encoding=encoding, nullValue=null_value, multiLine=multi_line, escape='"',
-        )
+        return reader.option("inferSchema", True).csv(path)
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
     if keep_corrupt:
         schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    return spark.read.schema(schema).csv(
-        path, header=True, encoding=encoding, nullValue=null_value, mode="PERMISSIVE", multiLine=multi_line, escape='"',
-        columnNameOfCorruptRecord=CORRUPT if keep_corrupt else None, timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]",
-    )
+        reader = reader.option("columnNameOfCorruptRecord", CORRUPT)
+    return reader.option("mode", "PERMISSIVE").schema(schema).csv(path)
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 unless some line of the file does not decode as UTF-8; then ISO-8859-1."""
-    lines = spark.read.text(path)
-    broken = lines.where(F.contains("value", F.lit("�"))).limit(1).count()
-    return "ISO-8859-1" if broken else "UTF-8"
+    """UTF-8 unless some line of the file is not valid UTF-8; then ISO-8859-1."""
+    broken = spark.read.text(path).where(~F.is_valid_utf8("value"))
+    return "UTF-8" if broken.isEmpty() else "ISO-8859-1"
 
 
 def scan_csv_encoding(spark: SparkSession, path: str, schema: T.StructType | str | None = None, **options) -> DataFrame:
@@ -51,14 +50,14 @@ def scan_csv_encoding(spark: SparkSession, path: str, schema: T.StructType | str
     return scan_csv(spark, path, schema, detect_encoding(spark, path), **options)
 
 
-def sink_stage(df: DataFrame, root: str, stage: str, fmt: str = "parquet", mode: str = "overwrite") -> str:
+def sink_stage(df: DataFrame, root: str, stage: str, fmt: str = "parquet", mode: str = "overwrite", encoding: str = "UTF-8") -> str:
     """Write a stage's table below ``root`` and return its path."""
     path = f"{root.rstrip('/')}/{stage}"
     writer = df.write.mode(mode)
     if fmt == "parquet":
         writer.parquet(path)
     elif fmt == "csv":
-        writer.option("header", True).option("escape", '"').option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]").csv(path)
+        writer.options(header=True, escape='"', encoding=encoding, timestampNTZFormat=TIMESTAMP_FORMAT).csv(path)
     elif fmt == "json":
         writer.json(path)
     else:

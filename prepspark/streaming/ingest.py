@@ -31,4 +31,4 @@ def stream_file_ingest(
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination(timeout_s) if timeout_s else query.awaitTermination()
     spark = stream.sparkSession
-    return spark.read.schema(stream.schema.add("batch_id", "int")).parquet(out)
+    return spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch_id", T.IntegerType())])).parquet(out)

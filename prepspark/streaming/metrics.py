@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def windowed_counts(events: DataFrame, window: str = "1 hour", delay: str = "1 hour") -> DataFrame:
@@ -35,5 +36,5 @@ def stream_run_metrics(events: DataFrame, out: str, checkpoint: str, window: str
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    table = events.sparkSession.read.schema(counts.schema.add("batch_id", "int")).parquet(out)
+    table = events.sparkSession.read.schema(T.StructType([*counts.schema.fields, T.StructField("batch_id", T.IntegerType())])).parquet(out)
     return table.groupBy("window_start", "run_id", "kind").agg(F.max_by("n", "batch_id").alias("n"))
