@@ -202,11 +202,11 @@ def encode_target_mean(spark, d):
 @query("encode_target_mean_folds", """WITH c AS (SELECT *, (c_custkey % 3)::INTEGER AS fold FROM customer), s AS (
 SELECT fold, c_mktsegment, sum(c_acctbal) AS s, count(*) AS n FROM c GROUP BY 1, 2), t AS (
 SELECT c_mktsegment, sum(s) AS s, sum(n) AS n FROM s GROUP BY 1)
-SELECT c_custkey, round((t.s - s.s) / (t.n - s.n), 5) AS encoded FROM c JOIN s USING (fold, c_mktsegment) JOIN t USING (c_mktsegment)""")
+SELECT c_custkey, round((t.s - s.s) / (t.n - s.n), 7) AS encoded FROM c JOIN s USING (fold, c_mktsegment) JOIN t USING (c_mktsegment)""")
 def encode_target_mean_folds(spark, d):
     c = load(spark, d, "customer").withColumn("fold", (F.col("c_custkey") % 3).cast("int"))
     out = encode.encode_target_mean(c, "c_mktsegment", "c_acctbal", "encoded", fold="fold")
-    return round_doubles(out.select("c_custkey", "encoded"), 5)
+    return round_doubles(out.select("c_custkey", "encoded"), 7)
 
 
 @query("encode_target_prob", """WITH p AS (SELECT o_orderpriority, o_orderstatus, count(*) AS c FROM orders GROUP BY 1, 2), q AS (

@@ -68,7 +68,7 @@ def box_stats(spark, d):
 @query("density", f"""WITH h AS ({_hist_sql('value', 200, 'events')}), s AS (
 SELECT stddev_samp(value) * count(value) ** (-0.2) AS bw, min(value) AS lo, max(value) AS hi, count(value)::DOUBLE AS total FROM events),
 g AS (SELECT *, lo - 3 * bw + ((hi + 3 * bw) - (lo - 3 * bw)) * unnest(range(0, 50)) / 49 AS x FROM (SELECT bw, lo, hi, total FROM s))
-SELECT 'value' AS "column", round(x, 5) AS x, round(sum(n / total * exp(-((x - (h.lo + h.hi) / 2) / bw) ** 2 / 2) / (bw * sqrt(2 * pi()))), 8) AS density
+SELECT 'value' AS "column", round(x, 5) AS x, round(sum(n / total * exp(-(((x - (h.lo + h.hi) / 2) / bw) ** 2) / 2) / (bw * sqrt(2 * pi()))), 8) AS density
 FROM h, g WHERE n > 0 GROUP BY x""")
 def density(spark, d):
     out = eda.density(load(spark, d, "events"), ["value"])

@@ -12,7 +12,7 @@ _K = ", ".join(ITEM_KEYS)
 
 # ---- rows ------------------------------------------------------------------------------------------
 
-_LIST = "list_filter([l_quantity, l_extendedprice, l_discount, l_tax], x -> x IS NOT NULL)"
+_LIST = "list_filter([l_quantity, l_extendedprice, l_discount, l_tax], lambda x: x IS NOT NULL)"
 
 
 @query("row_stats", f"""WITH g AS (SELECT *, {_LIST} AS v FROM ({GAPS}))
@@ -97,7 +97,7 @@ def text_counts(spark, d):
 
 _FILTERS = text.KERAS_FILTERS.replace("\t", "").replace("\n", "")
 _CLEAN = f"translate(lower(text), {_quoted(_FILTERS)} || chr(9) || chr(10), repeat(' ', {len(text.KERAS_FILTERS)}))"
-_TOKENS = f"list_filter(string_split({_CLEAN}, ' '), w -> w <> '')"
+_TOKENS = f"list_filter(string_split({_CLEAN}, ' '), lambda w: w <> '')"
 _VOCAB = f"""t AS (SELECT doc_id, {_TOKENS} AS ws FROM documents), u AS (SELECT unnest(ws) AS word FROM t),
 v AS (SELECT word, count(*)::BIGINT AS n FROM u GROUP BY 1 ORDER BY n DESC, word LIMIT 999),
 voc AS (SELECT word, n, row_number() OVER (ORDER BY n DESC, word)::INTEGER AS idx FROM v)"""
@@ -117,14 +117,16 @@ def text_sequence(spark, d):
 
 
 _WORD = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')"
-_TFIDF_W = ", ".join(f"len(list_filter(ws, x -> x = (SELECT w FROM top WHERE i = {i}))) * (SELECT idf FROM idf WHERE i = {i}) AS w{i}" for i in range(10))
+_TFIDF_W = ", ".join(f"coalesce(sum(w) FILTER (i = {i}), 0) AS w{i}" for i in range(10))
 _TFIDF_N = "sqrt(" + " + ".join(f"w{i} * w{i}" for i in range(10)) + ")"
 
 
-@query("text_tfidf", f"""WITH t AS (SELECT conv_id, turn, {_WORD} AS ws FROM conversations), u AS (SELECT unnest(ws) AS w FROM t),
+@query("text_tfidf", f"""WITH t AS (SELECT conv_id, turn, {_WORD} AS ws FROM conversations), u AS (SELECT conv_id, turn, unnest(ws) AS w FROM t),
 best AS (SELECT w FROM u GROUP BY 1 ORDER BY count(*) DESC, w LIMIT 10), top AS (SELECT w, row_number() OVER (ORDER BY w) - 1 AS i FROM best),
-idf AS (SELECT i, ln((1.0::DOUBLE + (SELECT count(*) FROM t)) / (1.0::DOUBLE + count(*))) + 1 AS idf FROM top JOIN t ON list_contains(ws, w) GROUP BY i),
-x AS (SELECT conv_id, turn, {_TFIDF_W} FROM t), n AS (SELECT *, {_TFIDF_N} AS norm FROM x)
+tf AS (SELECT conv_id, turn, i, count(*) AS tf FROM u JOIN top USING (w) GROUP BY 1, 2, 3),
+idf AS (SELECT i, ln((1.0::DOUBLE + (SELECT count(*) FROM t)) / (1.0::DOUBLE + count(*))) + 1 AS idf FROM tf GROUP BY i),
+k AS (SELECT conv_id, turn, i, tf * idf AS w FROM tf JOIN idf USING (i)),
+x AS (SELECT conv_id, turn, {_TFIDF_W} FROM t LEFT JOIN k USING (conv_id, turn) GROUP BY 1, 2), n AS (SELECT *, {_TFIDF_N} AS norm FROM x)
 SELECT conv_id, turn, {', '.join(f'round(CASE WHEN norm > 0 THEN w{i} / norm ELSE 0 END, 6) AS text_tfidf_{i}' for i in range(10))} FROM n""")
 def text_tfidf(spark, d):
     c = spread(load(spark, d, "conversations").select("conv_id", "turn", "text"))

@@ -23,6 +23,8 @@ from prepspark.functions.columns import col, num, one_row
 PERCENTILE_ROWS = 1_000_000
 #: values of a bracket that may be sorted in one aggregation buffer
 BRACKET_ROWS = 20_000
+#: estimated distinct values up to which a set per task is counted
+FEW_VALUES = 200
 #: sketch accuracy (relative rank error 1/accuracy)
 SKETCH_ACCURACY = 10_000
 
@@ -190,17 +192,22 @@ def distinct_counts(df: DataFrame, cols: list[str], exact: bool = True) -> dict[
     return one_row(df, {c: agg(col(c)) for c in cols})
 
 
-def decided_distinct_counts(df: DataFrame, cols: list[str], n: int, thresholds=(2, 10, 15, 20, 50)) -> dict[str, int]:
-    """Distinct counts good enough for the role rules.
+def decided_distinct_counts(df: DataFrame, marks: dict[str, list[float]]) -> dict[str, int]:
+    """Distinct counts good enough for rules that compare them with the given marks.
 
-    One sketch pass for all columns, then exact counts only where the estimate
-    lies near a threshold of a rule (fixed counts, or 0.1 n, 0.5 n, n), because
-    an exact count shuffles every distinct value of the column.
+    One sketch pass for all columns. Columns with few values are then counted
+    exactly by a set per task, and of the rest only those whose estimate lies near
+    one of their marks by a shuffle of their distinct values.
     """
-    approx = distinct_counts(df, cols, exact=False)
-    marks = [*thresholds, 0.1 * n, 0.5 * n, n]
-    near = [c for c in cols if any(abs(approx[c] - m) <= max(2, 0.1 * m) for m in marks) or approx[c] <= 60]
-    return {**approx, **(distinct_counts(df, near) if near else {})}
+    cols = list(marks)
+    if not cols:
+        return {}
+    counts = distinct_counts(df, cols, exact=False)
+    few = [c for c in cols if counts[c] <= FEW_VALUES]
+    near = [c for c in cols if c not in few and any(abs(counts[c] - m) <= 0.1 * m for m in marks[c])]
+    counts.update(one_row(df, {c: F.size(F.collect_set(col(c))) for c in few}))
+    counts.update(distinct_counts(df, near) if near else {})
+    return counts
 
 
 def gramian(df: DataFrame, cols: list[str], shift: dict[str, float] | None = None) -> np.ndarray:

@@ -82,8 +82,13 @@ def profile_overview(df: DataFrame) -> DataFrame:
     return row.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
 
 
-def collect_profile(df: DataFrame, exact: bool = False) -> list[ColumnProfile]:
-    """The profile as driver rows (one per column): two or three jobs in all."""
+def collect_profile(df: DataFrame, exact: bool = False, unique: bool = False) -> list[ColumnProfile]:
+    """The profile as driver rows (one per column): three or four jobs in all.
+
+    Unless ``exact``, distinct counts are exact only where a rule could turn on
+    them: below 200, near a share of the rows for text columns and the last
+    column, and near the row count for every column if ``unique``.
+    """
     ks = kinds(df)
     flat = [c for c in df.columns if ks[c] != "nested"]
     exprs: dict = {"n": F.count("*")}
@@ -93,7 +98,9 @@ def collect_profile(df: DataFrame, exact: bool = False) -> list[ColumnProfile]:
             exprs[("len", c)] = F.avg(F.length(col(c)))
     got = one_row(df, exprs)
     n = got["n"]
-    nd = distinct_counts(df, flat) if exact else decided_distinct_counts(df, flat, n)
+    shares = [0.1 * n, 0.5 * n, n]
+    marks = {c: shares if ks[c] == "string" or c == df.columns[-1] else [n] if unique else [] for c in flat}
+    nd = distinct_counts(df, flat) if exact else decided_distinct_counts(df, marks)
     types = dict(df.dtypes)
     return [
         ColumnProfile(c, types[c], ks[c], n, got[("missing", c)], nd.get(c, 0), got.get(("len", c))) for c in df.columns
@@ -220,7 +227,7 @@ def profile_roles(df: DataFrame, exact: bool = False) -> DataFrame:
 
 def profile_runner_roles(df: DataFrame, exact: bool = False) -> DataFrame:
     """(column, role) of the runner variant: text, datetime, binary and id columns leave ``categorical``."""
-    profile = collect_profile(df, exact)
+    profile = collect_profile(df, exact, unique=True)
     parsed = set(datetime_strings(df, [p.name for p in profile if p.kind == "string"]))
     rows = []
     for p in profile:
@@ -249,7 +256,7 @@ def detect_text(df: DataFrame, rules: str = "abcde", exact: bool = False) -> Dat
 
 def detect_id_like(df: DataFrame, exact: bool = False) -> DataFrame:
     """(column, by_name_or_string, by_substring)."""
-    rows = [(p.name, is_id_like(p), is_id_like(p, True)) for p in collect_profile(df, exact)]
+    rows = [(p.name, is_id_like(p), is_id_like(p, True)) for p in collect_profile(df, exact, unique=True)]
     return _table(df, rows, "column string, id_like boolean, id_like_substring boolean")
 
 

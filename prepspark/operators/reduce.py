@@ -74,15 +74,19 @@ def fit_svd(df: DataFrame, cols: list[str], k: int) -> Projection:
     return Projection(tuple(cols), (0.0,) * len(cols), tuple(map(tuple, vectors.T.tolist())), explained, "SVD")
 
 
-def projection_columns(p: Projection, prefix: str | None = None) -> dict[str, Column]:
-    prefix = f"{p.method}_" if prefix is None else prefix
-    xs = [F.coalesce(num(c) - F.lit(m), F.lit(0.0)) for c, m in zip(p.cols, p.center)]
-    return {f"{prefix}{i + 1}": total([x * F.lit(w) for x, w in zip(xs, ws)]).cast("double") for i, ws in enumerate(p.weights)}
-
-
 def apply_projection(df: DataFrame, p: Projection, prefix: str | None = None, keep_inputs: bool = False) -> DataFrame:
+    """Weighted sums; above 16 columns over one array of centred values, which keeps the generated code small."""
+    prefix = f"{p.method}_" if prefix is None else prefix
     kept = df.columns if keep_inputs else [c for c in df.columns if c not in p.cols]
-    return df.select(*[col(c) for c in kept], *[e.alias(n) for n, e in projection_columns(p, prefix).items()])
+    xs = [F.coalesce(num(c) - F.lit(m), F.lit(0.0)) for c, m in zip(p.cols, p.center)]
+    names = [f"{prefix}{i + 1}" for i in range(len(p.weights))]
+    if len(xs) <= 16:
+        return df.select(*[col(c) for c in kept], *[total([x * F.lit(w) for x, w in zip(xs, ws)]).cast("double").alias(n) for n, ws in zip(names, p.weights)])
+    wide = df.select(*[col(c) for c in kept], F.array(*xs).alias("__xs"))
+    product = lambda x, w: x * w
+    add = lambda acc, v: acc + v
+    dots = [F.aggregate(F.zip_with("__xs", F.lit(list(ws)), product), F.lit(0.0), add) for ws in p.weights]
+    return wide.select(*[col(c) for c in kept], *[e.alias(n) for n, e in zip(names, dots)])
 
 
 def reduce_pca(df: DataFrame, k: int | None = None, exclude: list[str] = (), fit_on: DataFrame | None = None) -> DataFrame:
@@ -118,7 +122,7 @@ def standard_pca(df: DataFrame, cols: list[str], k: int = 3, prefix: str = "pca_
     return apply_projection(df, scaled, prefix, keep_inputs=True)
 
 
-def fit_clusters(df: DataFrame, cols: list[str], ks: list[int], seed: int = 42, rounds: int = 50) -> dict[int, list[list[float]]]:
+def fit_clusters(df: DataFrame, cols: list[str], ks: list[int], seed: int = 42, rounds: int = 20) -> dict[int, list[list[float]]]:
     """Sorted k-means centres per k, on columns that are already scaled."""
     assembler = VectorAssembler(inputCols=[f"x{i}" for i in range(len(cols))], outputCol="features")
     points = assembler.transform(df.select(*[F.coalesce(num(c), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(cols)]))

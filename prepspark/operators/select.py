@@ -9,6 +9,10 @@ from prepspark.functions.columns import col, num, numeric_columns, one_row, stac
 from prepspark.functions.stats import corr_expr, distinct_counts
 
 
+#: beyond this many columns scores are aggregated as rows
+WIDE_COLUMNS = 24
+
+
 def _value(name: str, fill: float | None) -> Column:
     return num(name) if fill is None else F.coalesce(num(name), F.lit(float(fill)))
 
@@ -23,19 +27,26 @@ def f_classif(df: DataFrame, target: str, cols: list[str] | None = None, fill: f
     cols = numeric_columns(df, [target]) if cols is None else cols
     known = df.where(col(target).isNotNull())
     overall = one_row(known, {c: F.avg(_value(c, fill)) for c in cols})
-    aggs = []
-    for i, c in enumerate(cols):
-        x = _value(c, fill)
-        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.var_pop(x).alias(f"v{i}")]
-    per_class = known.groupBy(col(target)).agg(*aggs)
-    fields = F.array(*[
-        F.struct(
-            F.lit(c).alias("feature"), F.col(f"n{i}").alias("n"), F.col(f"v{i}").alias("v"),
-            (F.col(f"m{i}") - F.lit(overall[c])).alias("d"),
-        )
-        for i, c in enumerate(cols)
-    ])
-    tidy = per_class.select(F.explode(fields).alias("r")).select("r.*").where("n > 0")
+    if len(cols) <= WIDE_COLUMNS:
+        aggs = []
+        for i, c in enumerate(cols):
+            x = _value(c, fill)
+            aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.var_pop(x).alias(f"v{i}")]
+        per_class = known.groupBy(col(target)).agg(*aggs)
+        fields = F.array(*[
+            F.struct(
+                F.lit(c).alias("feature"), F.col(f"n{i}").alias("n"), F.col(f"v{i}").alias("v"),
+                (F.col(f"m{i}") - F.lit(overall[c])).alias("d"),
+            )
+            for i, c in enumerate(cols)
+        ])
+        tidy = per_class.select(F.explode(fields).alias("r")).select("r.*")
+    else:
+        # hundreds of aggregates in one row outgrow generated code: one row per cell, combined before the shuffle
+        cells = F.array(*[F.struct(F.lit(c).alias("feature"), (_value(c, fill) - F.lit(overall[c])).alias("x")) for c in cols])
+        tall = known.select(col(target).alias("t"), F.explode(cells).alias("r")).select("t", "r.*")
+        tidy = tall.groupBy("feature", "t").agg(F.count("x").alias("n"), F.avg("x").alias("d"), F.var_pop("x").alias("v"))
+    tidy = tidy.where("n > 0")
     first = tidy.groupBy("feature").agg(
         F.sum("n").alias("nn"), F.count("*").alias("k"), F.sum(F.col("n") * F.col("v")).alias("ssw"),
         F.sum(F.col("n") * F.col("d") * F.col("d")).alias("ssb"),
