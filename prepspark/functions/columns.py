@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -13,9 +14,26 @@ DATETIME_TYPES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 NESTED_TYPES = (T.ArrayType, T.MapType, T.StructType)
 
 
+def ref(name: str) -> str:
+    """A column's literal name as SQL text, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def real(value: float) -> str:
+    """A double as SQL text, bit for bit."""
+    value = float(value)
+    if math.isfinite(value):
+        return f"({value!r}D)"
+    return f"double('{'NaN' if math.isnan(value) else 'Infinity' if value > 0 else '-Infinity'}')"
+
+
 def col(name: str) -> Column:
-    """Column by its literal name, whatever characters it holds."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    """Column by its literal name.
+
+    Expressions over many columns are put together as SQL text and parsed once:
+    a Column built operator by operator costs a call to the JVM each.
+    """
+    return F.expr(ref(name))
 
 
 def kind_of(dtype: T.DataType) -> str:
@@ -53,18 +71,19 @@ def datetime_columns(df: DataFrame, exclude: Iterable[str] = ()) -> list[str]:
     return columns_of(df, "datetime", exclude)
 
 
-def num(name: str) -> Column:
+def num_sql(name: str) -> str:
     """Numeric column as double, NaN read as missing."""
-    c = col(name).cast("double")
-    return F.when(~F.isnan(c), c)
+    return f"nanvl(cast({ref(name)} AS double), cast(NULL AS double))"
+
+
+def num(name: str) -> Column:
+    return F.expr(num_sql(name))
 
 
 def is_missing(df: DataFrame, name: str) -> Column:
     """Null, or NaN in a floating column."""
-    c = col(name)
-    if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
-        return c.isNull() | F.isnan(c)
-    return c.isNull()
+    floating = isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType))
+    return F.expr(f"{ref(name)} IS NULL" + (f" OR isnan({ref(name)})" if floating else ""))
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:

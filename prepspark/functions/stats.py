@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prepspark.functions.columns import col, num, one_row
+from prepspark.functions.columns import col, num, num_sql, one_row, real
 
 #: rows up to which one ``percentile`` buffer is allowed to hold a whole column
 PERCENTILE_ROWS = 1_000_000
@@ -25,6 +25,8 @@ PERCENTILE_ROWS = 1_000_000
 BRACKET_ROWS = 20_000
 #: estimated distinct values up to which a set per task is counted
 FEW_VALUES = 200
+#: relative standard error of approximate distinct counts
+SKETCH_ERROR = 0.05
 #: sketch accuracy (relative rank error 1/accuracy)
 SKETCH_ACCURACY = 10_000
 
@@ -173,22 +175,21 @@ def medians(df: DataFrame, cols: list[str], exact: bool = True, n: int | None =
 
 def skew_expr(name: str) -> Column:
     """Bias-corrected skewness; null below three values, 0 for a constant column."""
-    x = num(name)
-    n = F.count(x).cast("double")
-    g = F.skewness(x)
-    corrected = g * F.sqrt(n * (n - 1)) / (n - 2)
-    return F.when(n < 3, F.lit(None)).when(F.stddev_pop(x) == 0, F.lit(0.0)).otherwise(corrected)
+    x, n = num_sql(name), f"cast(count({num_sql(name)}) AS double)"
+    return F.expr(
+        f"CASE WHEN {n} < 3 THEN NULL WHEN stddev_pop({x}) = 0 THEN 0D ELSE skewness({x}) * sqrt({n} * ({n} - 1)) / ({n} - 2) END"
+    )
 
 
-def corr_expr(x: Column, y: Column) -> Column:
+def corr_sql(x: str, y: str) -> str:
     """Pearson correlation of the rows holding both; null where either side is constant (``corr`` would divide by 0)."""
-    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    a, b = f"CASE WHEN {y} IS NOT NULL THEN {x} END", f"CASE WHEN {x} IS NOT NULL THEN {y} END"
+    return f"try_divide(covar_pop({a}, {b}), stddev_pop({a}) * stddev_pop({b}))"
 
 
 def distinct_counts(df: DataFrame, cols: list[str], exact: bool = True) -> dict[str, int]:
     """Distinct non-null values per column."""
-    agg = F.count_distinct if exact else (lambda c: F.approx_count_distinct(c, 0.02))
+    agg = F.count_distinct if exact else (lambda c: F.approx_count_distinct(c, SKETCH_ERROR))
     return one_row(df, {c: agg(col(c)) for c in cols})
 
 
@@ -204,7 +205,7 @@ def decided_distinct_counts(df: DataFrame, marks: dict[str, list[float]]) -> dic
         return {}
     counts = distinct_counts(df, cols, exact=False)
     few = [c for c in cols if counts[c] <= FEW_VALUES]
-    near = [c for c in cols if c not in few and any(abs(counts[c] - m) <= 0.1 * m for m in marks[c])]
+    near = [c for c in cols if c not in few and any(abs(counts[c] - m) <= 4 * SKETCH_ERROR * m for m in marks[c])]
     counts.update(one_row(df, {c: F.size(F.collect_set(col(c))) for c in few}))
     counts.update(distinct_counts(df, near) if near else {})
     return counts
@@ -218,10 +219,10 @@ def gramian(df: DataFrame, cols: list[str], shift: dict[str, float] | None = Non
     """
     shift = shift or {}
     d = len(cols)
-    xs = [F.coalesce(num(c) - F.lit(float(shift.get(c, 0.0))), F.lit(0.0)) for c in cols]
+    xs = [f"coalesce({num_sql(c)} - {real(shift.get(c, 0.0))}, 0D)" for c in cols]
     g = np.zeros((d, d))
     if d <= 32:
-        got = one_row(df, {(i, j): F.sum(xs[i] * xs[j]) for i in range(d) for j in range(i, d)})
+        got = one_row(df, {(i, j): F.expr(f"sum({xs[i]} * {xs[j]})") for i in range(d) for j in range(i, d)})
         for (i, j), v in got.items():
             g[i, j] = g[j, i] = v or 0.0
         return g
@@ -236,7 +237,7 @@ def gramian(df: DataFrame, cols: list[str], shift: dict[str, float] | None = Non
         i, j = np.triu_indices(d)
         yield pd.DataFrame({"i": i, "j": j, "v": acc[i, j]})
 
-    parts = df.select(*[x.alias(f"x{k}") for k, x in enumerate(xs)]).mapInPandas(partials, "i int, j int, v double")
+    parts = df.select(*[F.expr(x).alias(f"x{k}") for k, x in enumerate(xs)]).mapInPandas(partials, "i int, j int, v double")
     for r in parts.groupBy("i", "j").agg(F.sum("v").alias("v")).collect():
         g[r["i"], r["j"]] = g[r["j"], r["i"]] = r["v"]
     return g

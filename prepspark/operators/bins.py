@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prepspark.functions.columns import num, numeric_columns, one_row, total
+from prepspark.functions.columns import num, num_sql, numeric_columns, one_row, real
 from prepspark.functions.stats import distinct_counts, quantiles
 
 #: edges closer than this are one edge
@@ -15,9 +15,13 @@ MAX_ROUNDS = 300
 
 def bin_expr(name: str, edges: list[float]) -> Column:
     """Number of interior edges at or below the value; null stays null."""
-    x = num(name)
-    inner = edges[1:-1]
-    return F.when(x.isNotNull(), total([(x >= F.lit(float(e))).cast("int") for e in inner]).cast("int"))
+    return F.expr(bin_sql(name, edges))
+
+
+def bin_sql(name: str, edges: list[float]) -> str:
+    x = num_sql(name)
+    steps = " + ".join([f"cast({x} >= {real(e)} AS int)" for e in edges[1:-1]] or ["0"])
+    return f"CASE WHEN {x} IS NOT NULL THEN {steps} END"
 
 
 def quantile_edges(df: DataFrame, cols: list[str], n_bins: int = 5, exact: bool = True) -> dict[str, list[float]]:
@@ -57,10 +61,9 @@ def kmeans_edges(df: DataFrame, cols: list[str], n_bins: int = 5, max_rounds: in
         for c in moving:
             cs = centers[c]
             mids = [cs[0], *[(a + b) / 2 for a, b in zip(cs, cs[1:])], cs[-1]]
-            b = bin_expr(c, mids)
             for i in range(n_bins):
-                x = F.when(b == i, num(c))
-                exprs[(c, i, "s")], exprs[(c, i, "n")] = F.sum(x), F.count(x)
+                x = f"CASE WHEN {bin_sql(c, mids)} = {i} THEN {num_sql(c)} END"
+                exprs[(c, i, "s")], exprs[(c, i, "n")] = F.expr(f"sum({x})"), F.expr(f"count({x})")
         got = one_row(df, exprs)
         still = []
         for c in moving:

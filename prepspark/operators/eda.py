@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prepspark.functions.columns import (
-    col, is_missing, kinds, num, numeric_columns, one_row, stack_rows, string_columns,
+    col, is_missing, kinds, num, num_sql, numeric_columns, one_row, stack_rows, string_columns,
 )
 from prepspark.functions.ranks import group_sizes, key_hash
-from prepspark.functions.stats import corr_expr, distinct_counts, gramian, quantiles, skew_expr
+from prepspark.functions.stats import corr_sql, distinct_counts, gramian, quantiles, skew_expr
 from prepspark.operators import profile as P
 from prepspark.operators import reduce as R
 
@@ -143,7 +143,7 @@ def corr_matrix(df: DataFrame, cols: list[str] | None = None, only_varying: bool
         cols = [c for c in cols if stats[("s", c)]]
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     plain = {c for c in cols if stats[("s", c)] and not stats[("z", c)]}
-    pair = lambda a, b: F.corr(num(a), num(b)) if a in plain and b in plain else corr_expr(num(a), num(b))
+    pair = lambda a, b: F.expr(f"corr({num_sql(a)}, {num_sql(b)})" if a in plain and b in plain else corr_sql(num_sql(a), num_sql(b)))
     r: dict[tuple[str, str], float | None] = {}
     if len(pairs) > batch and not any(stats[("z", c)] for c in cols):
         g = gramian(df, cols, {c: stats[("m", c)] for c in cols})

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from prepspark.functions.columns import (
     col, columns_of, datetime_columns, is_missing, kinds, num, numeric_columns, one_row, stack_rows, string_columns, total,
 )
-from prepspark.functions.stats import decided_distinct_counts, distinct_counts, skew_expr
+from prepspark.functions.stats import SKETCH_ERROR, decided_distinct_counts, distinct_counts, skew_expr
 
 # Target names as matched in lower case, in this order of mention.
 TARGET_NAMES = (
@@ -49,7 +49,7 @@ def profile_missing(df: DataFrame) -> DataFrame:
 def profile_distinct(df: DataFrame, exact: bool = True) -> DataFrame:
     """(column, dtype, distinct_values) of the non-nested columns."""
     names = [c for c, k in kinds(df).items() if k != "nested"]
-    agg = F.count_distinct if exact else (lambda c: F.approx_count_distinct(c, 0.02))
+    agg = F.count_distinct if exact else (lambda c: F.approx_count_distinct(c, SKETCH_ERROR))
     types = dict(df.dtypes)
     return stack_rows(df, {c: {"dtype": F.max(F.lit(types[c])), "distinct_values": agg(col(c))} for c in names})
 

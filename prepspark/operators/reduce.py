@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from prepspark.functions.columns import col, kinds, num, numeric_columns, one_row, total
+from prepspark.functions.columns import col, kinds, num, num_sql, numeric_columns, one_row, real, ref
 from prepspark.functions.stats import distinct_counts, gramian
 from prepspark.operators.clean import impute_median
 from prepspark.operators.encode import encode_label
@@ -35,7 +36,7 @@ class Projection:
 def zero_fraction(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """(cells, zeros, fraction, method): more than half zeros asks for SVD, else PCA."""
     cols = numeric_columns(df) if cols is None else cols
-    zeros = F.sum(total([F.coalesce((num(c) == 0).cast("long"), F.lit(0)) for c in cols]))
+    zeros = F.expr("sum(" + " + ".join(f"coalesce(cast({ref(c)} = 0 AS bigint), 0)" for c in cols) + ")")
     row = df.agg((F.count("*") * len(cols)).alias("cells"), F.coalesce(zeros, F.lit(0)).alias("zeros"))
     fraction = F.when(F.col("cells") > 0, F.col("zeros") / F.col("cells")).otherwise(F.lit(0.0))
     return row.withColumn("fraction", fraction).withColumn("method", F.when(F.col("fraction") > 0.5, "SVD").otherwise("PCA"))
@@ -78,15 +79,14 @@ def apply_projection(df: DataFrame, p: Projection, prefix: str | None = None, ke
     """Weighted sums; above 16 columns over one array of centred values, which keeps the generated code small."""
     prefix = f"{p.method}_" if prefix is None else prefix
     kept = df.columns if keep_inputs else [c for c in df.columns if c not in p.cols]
-    xs = [F.coalesce(num(c) - F.lit(m), F.lit(0.0)) for c, m in zip(p.cols, p.center)]
+    xs = [f"coalesce({num_sql(c)} - {real(m)}, 0D)" for c, m in zip(p.cols, p.center)]
     names = [f"{prefix}{i + 1}" for i in range(len(p.weights))]
     if len(xs) <= 16:
-        return df.select(*[col(c) for c in kept], *[total([x * F.lit(w) for x, w in zip(xs, ws)]).cast("double").alias(n) for n, ws in zip(names, p.weights)])
-    wide = df.select(*[col(c) for c in kept], F.array(*xs).alias("__xs"))
-    product = lambda x, w: x * w
-    add = lambda acc, v: acc + v
-    dots = [F.aggregate(F.zip_with("__xs", F.lit(list(ws)), product), F.lit(0.0), add) for ws in p.weights]
-    return wide.select(*[col(c) for c in kept], *[e.alias(n) for n, e in zip(names, dots)])
+        sums = [" + ".join(f"{x} * {real(w)}" for x, w in zip(xs, ws)) for ws in p.weights]
+        return df.select(*[col(c) for c in kept], *[F.expr(e).alias(n) for n, e in zip(names, sums)])
+    wide = df.select(*[col(c) for c in kept], F.expr(f"array({', '.join(xs)})").alias("__xs"))
+    dots = [f"aggregate(zip_with(__xs, array({', '.join(real(w) for w in ws)}), (x, w) -> x * w), 0D, (a, v) -> a + v)" for ws in p.weights]
+    return wide.select(*[col(c) for c in kept], *[F.expr(e).alias(n) for n, e in zip(names, dots)])
 
 
 def reduce_pca(df: DataFrame, k: int | None = None, exclude: list[str] = (), fit_on: DataFrame | None = None) -> DataFrame:
@@ -127,10 +127,13 @@ def fit_clusters(df: DataFrame, cols: list[str], ks: list[int], seed: int = 42,
     assembler = VectorAssembler(inputCols=[f"x{i}" for i in range(len(cols))], outputCol="features")
     points = assembler.transform(df.select(*[F.coalesce(num(c), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(cols)]))
     points = points.select("features").persist(StorageLevel.MEMORY_AND_DISK)
+    def fit(k: int) -> list[list[float]]:
+        return sorted(c.tolist() for c in KMeans(k=k, seed=seed, maxIter=rounds).fit(points).clusterCenters())
+
     try:
-        return {
-            k: sorted(c.tolist() for c in KMeans(k=k, seed=seed, maxIter=rounds).fit(points).clusterCenters()) for k in ks
-        }
+        # the fits are independent chains of short jobs: run them side by side
+        with ThreadPoolExecutor(len(ks)) as pool:
+            return dict(zip(ks, pool.map(inheritable_thread_target(df.sparkSession)(fit), ks)))
     finally:
         points.unpersist()
 
@@ -148,17 +151,15 @@ def cluster_features(df: DataFrame, cols: list[str] | None = None, max_clusters:
     ks = [k for k in (2, 3, 5) if k <= max_clusters and k <= n]
     s = fit_scale(df, "standard", cols)
     centers = fit_clusters(apply_scale(df, s), cols, ks, seed)
-    xs = [F.coalesce((num(c) - F.lit(float(s.center[c]))) / F.lit(s.spread[c]), F.lit(0.0)) for c in cols]
-    added: dict[str, Column] = {}
-    for k in ks:
-        squares = F.array(*[total([(x - F.lit(v)) * (x - F.lit(v)) for x, v in zip(xs, c)]) for c in centers[k]])
-        added[f"__d{k}"] = squares
-    out = df.withColumns(added)
+    scaled = {f"__s{i}": F.expr(f"coalesce(({num_sql(c)} - {real(s.center[c])}) / {real(s.spread[c])}, 0D)") for i, c in enumerate(cols)}
+    square = lambda center: " + ".join(f"(__s{i} - {real(v)}) * (__s{i} - {real(v)})" for i, v in enumerate(center))
+    added = {f"__d{k}": F.expr(f"array({', '.join(square(c) for c in centers[k])})") for k in ks}
+    out = df.withColumns(scaled).withColumns(added)
     nearest = {k: F.array_min(F.col(f"__d{k}")) for k in ks}
     out = out.withColumns({
         **{f"cluster_k{k}": (F.array_position(F.col(f"__d{k}"), nearest[k]) - 1).cast("int") for k in ks},
         **{f"cluster_k{k}_dist": F.sqrt(nearest[k]) for k in ks},
-    }).drop(*added)
+    }).drop(*added, *scaled)
     return standard_pca(out, cols) if with_pca else out
 
 

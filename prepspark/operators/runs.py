@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prepspark.functions.stats import corr_expr
+from prepspark.functions.stats import corr_sql
 
 KINDS = {"prompts": "prompt", "tasks": "task", "corrections": "correction", "auto_mods": "auto", "human_mods": "human"}
 STAGES = ("ingestion", "cleaning", "transformation", "feature_engineering", "eda", "split", "vectorization")
@@ -94,7 +94,7 @@ def benchmark_compare(results: DataFrame) -> DataFrame:
     row = x.agg(
         F.count("*").cast("double").alias("runs"), F.min("ptma").alias("ptma_min"), F.max("ptma").alias("ptma_max"),
         F.stddev_pop("ptma").alias("ptma_std"), F.min("rps").alias("rps_min"), F.max("rps").alias("rps_max"),
-        corr_expr(F.col("n_rows").cast("double"), F.col("seconds").cast("double")).alias("rows_seconds_corr"),
+        F.expr(corr_sql("cast(n_rows AS double)", "cast(seconds AS double)")).alias("rows_seconds_corr"),
         F.avg(on).alias("llm_on_mean"), F.stddev_pop(on).alias("llm_on_std"), F.avg(off).alias("llm_off_mean"), F.stddev_pop(off).alias("llm_off_std"),
     )
     both = F.col("llm_on_mean").isNotNull() & F.col("llm_off_mean").isNotNull()

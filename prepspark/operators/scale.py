@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prepspark.functions.columns import num, numeric_columns, one_row
+from prepspark.functions.columns import num, num_sql, numeric_columns, one_row, real
 from prepspark.functions.stats import quantiles, skew_expr
 
 
@@ -47,11 +47,11 @@ def fit_scale(df: DataFrame, method: str = "standard", cols: list[str] | None =
 
 
 def apply_scale(df: DataFrame, s: Scaling) -> DataFrame:
-    return df.withColumns({c: (num(c) - F.lit(float(s.center[c]))) / F.lit(s.spread[c]) for c in s.center}) if s.center else df
+    return df.withColumns({c: F.expr(f"({num_sql(c)} - {real(s.center[c])}) / {real(s.spread[c])}") for c in s.center}) if s.center else df
 
 
 def unscale(df: DataFrame, s: Scaling) -> DataFrame:
-    return df.withColumns({c: num(c) * F.lit(s.spread[c]) + F.lit(float(s.center[c])) for c in s.center}) if s.center else df
+    return df.withColumns({c: F.expr(f"{num_sql(c)} * {real(s.spread[c])} + {real(s.center[c])}") for c in s.center}) if s.center else df
 
 
 def choose_scaling(df: DataFrame, cols: list[str]) -> str:

@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prepspark.functions.columns import col, num, numeric_columns, one_row, stack_rows
-from prepspark.functions.stats import corr_expr, distinct_counts
+from prepspark.functions.columns import col, num, num_sql, numeric_columns, one_row, real, stack_rows
+from prepspark.functions.stats import corr_sql, distinct_counts
 
 
 #: beyond this many columns scores are aggregated as rows
 WIDE_COLUMNS = 24
 
 
+def _value_sql(name: str, fill: float | None) -> str:
+    return num_sql(name) if fill is None else f"coalesce({num_sql(name)}, {real(fill)})"
+
+
 def _value(name: str, fill: float | None) -> Column:
-    return num(name) if fill is None else F.coalesce(num(name), F.lit(float(fill)))
+    return F.expr(_value_sql(name, fill))
 
 
 def f_classif(df: DataFrame, target: str, cols: list[str] | None = None, fill: float | None = None) -> DataFrame:
@@ -64,7 +68,7 @@ def f_regression(df: DataFrame, target: str, cols: list[str] | None = None, fill
     y = num(target)
     rows = stack_rows(df.where(y.isNotNull()), {
         c: {
-            "r": corr_expr(_value(c, fill), y), "n": F.count(_value(c, fill)),
+            "r": F.expr(corr_sql(_value_sql(c, fill), num_sql(target))), "n": F.count(_value(c, fill)),
         } for c in cols
     }, "feature")
     r2 = F.col("r") * F.col("r")
