@@ -126,3 +126,9 @@ def stack_rows(df: DataFrame, per_column: dict[str, dict[str, Column]], label: s
         for i, n in enumerate(names)
     ]
     return row.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a table that comes in fewer pieces than there are cores; no change otherwise."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

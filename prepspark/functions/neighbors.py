@@ -9,16 +9,21 @@ decides balance only: the result is exact for any tree.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prepspark.session import materialize
 
-LEAF_POINTS = 2_000
+# tasks carry this module's code with them: executors need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+LEAF_POINTS = 1_000
 MAX_LEAVES = 65_536
 TREE_SAMPLE = 100_000
 #: query points that one visit of a leaf handles

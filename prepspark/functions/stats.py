@@ -16,8 +16,9 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from prepspark.functions.columns import col, num, num_sql, one_row, real
+from prepspark.functions.columns import col, num, num_sql, one_row, real, ref
 
 #: rows up to which one ``percentile`` buffer is allowed to hold a whole column
 PERCENTILE_ROWS = 1_000_000
@@ -187,25 +188,48 @@ def corr_sql(x: str, y: str) -> str:
     return f"try_divide(covar_pop({a}, {b}), stddev_pop({a}) * stddev_pop({b}))"
 
 
+def _distinct_key(df: DataFrame, name: str) -> str:
+    """A short text that is equal exactly where the values are; long strings go as their md5."""
+    dtype = df.schema[name].dataType
+    if isinstance(dtype, T.StringType):
+        return f"CASE WHEN octet_length({ref(name)}) > 32 THEN md5({ref(name)}) ELSE {ref(name)} END"
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return f"cast({num_sql(name)} + 0D AS string)"
+    if isinstance(dtype, T.BinaryType):
+        return f"md5({ref(name)})"
+    return f"cast({ref(name)} AS string)"
+
+
 def distinct_counts(df: DataFrame, cols: list[str], exact: bool = True) -> dict[str, int]:
-    """Distinct non-null values per column."""
-    agg = F.count_distinct if exact else (lambda c: F.approx_count_distinct(c, SKETCH_ERROR))
-    return one_row(df, {c: agg(col(c)) for c in cols})
+    """Distinct non-null values per column.
+
+    Exact counts of several columns shuffle (column, value) pairs, combined per
+    task first; ``count_distinct`` would expand every row once per column with
+    all columns as its key.
+    """
+    if not exact:
+        return one_row(df, {c: F.approx_count_distinct(col(c), SKETCH_ERROR) for c in cols})
+    if not cols:
+        return {}
+    cells = ", ".join(f"named_struct('c', {i}, 'v', {_distinct_key(df, c)})" for i, c in enumerate(cols))
+    pairs = df.select(F.expr(f"inline(array({cells}))")).where("v IS NOT NULL").distinct()
+    found = {r["c"]: r["count"] for r in pairs.groupBy("c").count().collect()}
+    return {c: found.get(i, 0) for i, c in enumerate(cols)}
 
 
-def decided_distinct_counts(df: DataFrame, marks: dict[str, list[float]]) -> dict[str, int]:
-    """Distinct counts good enough for rules that compare them with the given marks.
+def decided_distinct_counts(df: DataFrame, marks: dict[str, list[float]] | None = None, cols: list[str] | None = None) -> dict[str, int]:
+    """Distinct counts good enough for rules that compare them with the given marks; all exact without marks.
 
     One sketch pass for all columns. Columns with few values are then counted
     exactly by a set per task, and of the rest only those whose estimate lies near
     one of their marks by a shuffle of their distinct values.
     """
-    cols = list(marks)
+    cols = list(marks) if marks is not None else list(cols or [])
     if not cols:
         return {}
     counts = distinct_counts(df, cols, exact=False)
     few = [c for c in cols if counts[c] <= FEW_VALUES]
-    near = [c for c in cols if c not in few and any(abs(counts[c] - m) <= 4 * SKETCH_ERROR * m for m in marks[c])]
+    near = [c for c in cols if c not in few and (marks is None or any(abs(counts[c] - m) <= 4 * SKETCH_ERROR * m for m in marks[c]))]
     counts.update(one_row(df, {c: F.size(F.collect_set(col(c))) for c in few}))
     counts.update(distinct_counts(df, near) if near else {})
     return counts

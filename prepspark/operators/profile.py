@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from prepspark.functions.columns import (
     col, columns_of, datetime_columns, is_missing, kinds, num, numeric_columns, one_row, stack_rows, string_columns, total,
 )
-from prepspark.functions.stats import SKETCH_ERROR, decided_distinct_counts, distinct_counts, skew_expr
+from prepspark.functions.stats import decided_distinct_counts, distinct_counts, skew_expr
 
 # Target names as matched in lower case, in this order of mention.
 TARGET_NAMES = (
@@ -49,9 +49,9 @@ def profile_missing(df: DataFrame) -> DataFrame:
 def profile_distinct(df: DataFrame, exact: bool = True) -> DataFrame:
     """(column, dtype, distinct_values) of the non-nested columns."""
     names = [c for c, k in kinds(df).items() if k != "nested"]
-    agg = F.count_distinct if exact else (lambda c: F.approx_count_distinct(c, SKETCH_ERROR))
+    counts = decided_distinct_counts(df, cols=names) if exact else distinct_counts(df, names, exact=False)
     types = dict(df.dtypes)
-    return stack_rows(df, {c: {"dtype": F.max(F.lit(types[c])), "distinct_values": agg(col(c))} for c in names})
+    return _table(df, [(c, types[c], counts[c]) for c in names], "column string, dtype string, distinct_values long")
 
 
 def profile_overview(df: DataFrame) -> DataFrame:
@@ -100,7 +100,7 @@ def collect_profile(df: DataFrame, exact: bool = False, unique: bool = False) ->
     n = got["n"]
     shares = [0.1 * n, 0.5 * n, n]
     marks = {c: shares if ks[c] == "string" or c == df.columns[-1] else [n] if unique else [] for c in flat}
-    nd = distinct_counts(df, flat) if exact else decided_distinct_counts(df, marks)
+    nd = decided_distinct_counts(df, cols=flat) if exact else decided_distinct_counts(df, marks)
     types = dict(df.dtypes)
     return [
         ColumnProfile(c, types[c], ks[c], n, got[("missing", c)], nd.get(c, 0), got.get(("len", c))) for c in df.columns

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from prepspark.functions.columns import col, kinds, num, num_sql, numeric_columns, one_row, real, ref
+from prepspark.functions.columns import col, kinds, num, num_sql, numeric_columns, one_row, real, ref, spread
 from prepspark.functions.stats import distinct_counts, gramian
 from prepspark.operators.clean import impute_median
 from prepspark.operators.encode import encode_label
@@ -126,7 +126,7 @@ def fit_clusters(df: DataFrame, cols: list[str], ks: list[int], seed: int = 42,
     """Sorted k-means centres per k, on columns that are already scaled."""
     assembler = VectorAssembler(inputCols=[f"x{i}" for i in range(len(cols))], outputCol="features")
     points = assembler.transform(df.select(*[F.coalesce(num(c), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(cols)]))
-    points = points.select("features").persist(StorageLevel.MEMORY_AND_DISK)
+    points = spread(points.select("features")).persist(StorageLevel.MEMORY_AND_DISK)
     def fit(k: int) -> list[list[float]]:
         return sorted(c.tolist() for c in KMeans(k=k, seed=seed, maxIter=rounds).fit(points).clusterCenters())
 

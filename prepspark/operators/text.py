@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -164,7 +165,8 @@ def text_sentiment(df: DataFrame, name: str, key: str, lexicon: DataFrame, broad
         .groupBy("__k", "word").agg(F.count("*").alias("c"))
     )
     lex = lexicon.select("word", F.col("polarity").cast("double").alias("p"), F.col("subjectivity").cast("double").alias("s"))
-    if lex.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    lex = lex.persist(StorageLevel.MEMORY_AND_DISK)
+    if lex.count() <= broadcast_rows:
         hits = per_word.join(F.broadcast(lex), "word")
     else:
         salts = 32
