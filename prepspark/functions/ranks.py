@@ -8,8 +8,6 @@ then a plain comparison per row: no shuffle, no window, no hot class in one task
 
 from __future__ import annotations
 
-import bisect
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -158,7 +156,7 @@ def rank_values(values: DataFrame, name: str, out: str = "idx", target_rows: int
     values before it. Boundary choice affects balance only, never the result.
     """
     n = values.count()
-    parts = max(1, min(2000, n // target_rows))
+    parts = max(1, min(8, n // 100), min(2000, n // target_rows))
     bounds: list = []
     if parts > 1:
         keep = max(1, n // (parts * 20))
@@ -175,7 +173,3 @@ def rank_values(values: DataFrame, name: str, out: str = "idx", target_rows: int
     w = Window.partitionBy("__b").orderBy(col(name))
     offset = F.element_at(F.lit(starts), F.col("__b") + 1)
     return placed.withColumn(out, (F.row_number().over(w) - 1 + offset).cast("long")).drop("__b")
-
-
-def position(sorted_values: list, value) -> int:
-    return bisect.bisect_left(sorted_values, value)

@@ -217,17 +217,19 @@ def distinct_counts(df: DataFrame, cols: list[str], exact: bool = True) -> dict[
     return {c: found.get(i, 0) for i, c in enumerate(cols)}
 
 
-def decided_distinct_counts(df: DataFrame, marks: dict[str, list[float]] | None = None, cols: list[str] | None = None) -> dict[str, int]:
+def decided_distinct_counts(
+    df: DataFrame, marks: dict[str, list[float]] | None = None, cols: list[str] | None = None, estimates: dict[str, int] | None = None,
+) -> dict[str, int]:
     """Distinct counts good enough for rules that compare them with the given marks; all exact without marks.
 
-    One sketch pass for all columns. Columns with few values are then counted
+    One sketch pass for all columns (unless the caller has estimates). Columns with few values are then counted
     exactly by a set per task, and of the rest only those whose estimate lies near
     one of their marks by a shuffle of their distinct values.
     """
     cols = list(marks) if marks is not None else list(cols or [])
     if not cols:
         return {}
-    counts = distinct_counts(df, cols, exact=False)
+    counts = distinct_counts(df, cols, exact=False) if estimates is None else dict(estimates)
     few = [c for c in cols if counts[c] <= FEW_VALUES]
     near = [c for c in cols if c not in few and (marks is None or any(abs(counts[c] - m) <= 4 * SKETCH_ERROR * m for m in marks[c]))]
     counts.update(one_row(df, {c: F.size(F.collect_set(col(c))) for c in few}))

@@ -63,7 +63,7 @@ def oversample(df: DataFrame, target: str, keys: list[str], seed: int = 42) -> D
     small = [g for g, s in sizes.items() if s < max(sizes.values())]
     ranked = rank_in_group(df.where(group_text(target).isin(small)), key_hash(keys, seed), target, "__rank")
     extra = ranked.withColumn("__g", group_text(target)).join(drawn, ["__g", "__rank"])
-    return df.unionByName(extra.select(*df.columns))
+    return df.unionByName(extra.select(*[col(c) for c in df.columns]))
 
 
 def undersample(df: DataFrame, target: str, keys: list[str], seed: int = 42) -> DataFrame:
@@ -73,7 +73,7 @@ def undersample(df: DataFrame, target: str, keys: list[str], seed: int = 42) ->
     h = key_hash(keys, seed)
     cuts = hash_cuts(known, h, {g: [min(sizes.values())] for g in sizes}, sizes, target)
     source, reached = below_cuts(known, h, cuts, target)
-    return source.where(reached == 0).select(*df.columns)
+    return source.where(reached == 0).select(*[col(c) for c in df.columns])
 
 
 def smote(df: DataFrame, target: str, keys: list[str], k: int = 5, seed: int = 42, leaf_points: int | None = None) -> DataFrame:

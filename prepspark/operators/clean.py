@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prepspark.functions.columns import (
-    col, columns_of, is_missing, kinds, nan_to_null, num, numeric_columns, one_row, total,
+    col, columns_of, is_missing, kinds, nan_to_null, num, numeric_columns, one_row, ref, total,
 )
 from prepspark.functions.stats import medians
 
@@ -42,7 +42,7 @@ def fit_fill(
     elif numeric_with == "median":
         values.update(medians(df, numeric, exact) if numeric else {})
     else:
-        values.update({c: modes(df, [c])[c] for c in numeric})
+        values.update(modes(df, numeric))
     found = modes(df, other)
     values.update({c: found[c] if found[c] is not None else "missing" for c in other if kinds(df)[c] == "string"})
     values.update({c: found[c] for c in other if kinds(df)[c] != "string" and found[c] is not None})
@@ -52,11 +52,17 @@ def fit_fill(
 def modes(df: DataFrame, cols: list[str]) -> dict[str, object]:
     """Most frequent value per column, the smallest one on ties.
 
-    Counted by a grouped aggregation per column rather than the ``mode``
-    aggregate, whose single buffer would hold every distinct value.
+    Counted by grouped aggregations (one for all text columns) rather than the
+    ``mode`` aggregate, whose single buffer would hold every distinct value.
     """
-    out: dict[str, object] = {}
-    for c in cols:
+    out: dict[str, object] = {c: None for c in cols}
+    texts = [c for c in cols if kinds(df)[c] == "string"]
+    if texts:
+        cells = ", ".join(f"named_struct('c', {i}, 'v', {ref(c)})" for i, c in enumerate(texts))
+        counts = df.select(F.expr(f"inline(array({cells}))")).where("v IS NOT NULL").groupBy("c", "v").count()
+        for r in counts.groupBy("c").agg(F.min(F.struct(-F.col("count"), "v")).alias("best")).collect():
+            out[texts[r["c"]]] = r["best"]["v"]
+    for c in [c for c in cols if c not in texts]:
         counts = df.where(~is_missing(df, c)).groupBy(col(c).alias("v")).count()
         row = counts.orderBy(F.desc("count"), "v").limit(1).collect()
         out[c] = row[0]["v"] if row else None

@@ -131,11 +131,12 @@ def density(df: DataFrame, cols: list[str] | None = None, points: int = 50, bins
     return grid.groupBy("column", x.alias("x")).agg(F.sum(kernel).alias("density"))
 
 
-def corr_matrix(df: DataFrame, cols: list[str] | None = None, only_varying: bool = False, batch: int = 435) -> DataFrame:
+def corr_matrix(df: DataFrame, cols: list[str] | None = None, only_varying: bool = False, batch: int = 435, few_pairs: int = 15) -> DataFrame:
     """(a, b, r) for all pairs of numeric columns in both orders, rows with either missing left out.
 
-    Up to ``batch`` pairs share one aggregation. A wide table without missing
-    cells takes all pairs from one matrix of centred products instead.
+    A few pairs share one aggregation of correlations. With more, columns without
+    missing cells take theirs from one matrix of centred products, and only the
+    pairs left over are correlated one by one, up to ``batch`` per aggregation.
     """
     cols = numeric_columns(df) if cols is None else cols
     stats = one_row(df, {(f, c): a for c in cols for f, a in (("s", F.stddev_pop(num(c))), ("m", F.avg(num(c))), ("z", F.count_if(num(c).isNull())))})
@@ -145,16 +146,17 @@ def corr_matrix(df: DataFrame, cols: list[str] | None = None, only_varying: bool
     plain = {c for c in cols if stats[("s", c)] and not stats[("z", c)]}
     pair = lambda a, b: F.expr(f"corr({num_sql(a)}, {num_sql(b)})" if a in plain and b in plain else corr_sql(num_sql(a), num_sql(b)))
     r: dict[tuple[str, str], float | None] = {}
-    if len(pairs) > batch and not any(stats[("z", c)] for c in cols):
-        g = gramian(df, cols, {c: stats[("m", c)] for c in cols})
+    whole = [c for c in cols if not stats[("z", c)]]
+    if len(pairs) > few_pairs and len(whole) > 1:
+        g = gramian(df, whole, {c: stats[("m", c)] for c in whole})
         d = np.sqrt(np.diag(g))
-        at = {c: i for i, c in enumerate(cols)}
-        for a, b in pairs:
-            den = d[at[a]] * d[at[b]]
-            r[(a, b)] = float(g[at[a], at[b]] / den) if den else None
-    else:
-        for i in range(0, len(pairs), batch):
-            r.update(one_row(df, {p: pair(*p) for p in pairs[i:i + batch]}))
+        for i, a in enumerate(whole):
+            for j in range(i + 1, len(whole)):
+                den = d[i] * d[j] if a in plain and whole[j] in plain else 0.0
+                r[(a, whole[j])] = float(g[i, j] / den) if den else None
+    left = [p for p in pairs if p not in r]
+    for i in range(0, len(left), batch):
+        r.update(one_row(df, {p: pair(*p) for p in left[i:i + batch]}))
     rows = [(a, a, 1.0 if stats[("s", a)] else None) for a in cols]
     rows += [(x, y, None if v is None or math.isnan(v) else v) for (a, b), v in r.items() for x, y in ((a, b), (b, a))]
     return df.sparkSession.createDataFrame(rows, "a string, b string, r double")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prepspark.functions.columns import col, kinds, num, string_columns
-from prepspark.functions.lookups import BROADCAST_BYTES, BROADCAST_ROWS, join_large, join_small
+from prepspark.functions.lookups import BROADCAST_BYTES, BROADCAST_ROWS, join_large, join_small, lookup_join
 from prepspark.functions.ranks import rank_values
 
 MISSING = "missing"
@@ -163,20 +163,27 @@ def encode_target_mean(
     of the other folds, so a row's own target never enters its feature.
     """
     source = fit_on or df
-    overall = F.lit(source.agg(F.avg(num(target))).first()[0]).cast("double")
+    y = num(target)
+    overall = F.lit(source.agg(F.avg(y)).first()[0]).cast("double")
     out = out or f"{name}_target_mean"
     if fold is None:
         fit = fit_categories(source, [name], target, max_rows=max_rows)[name]
         return attach(df, category(name), fit).withColumn(out, F.coalesce("__stat", overall)).drop("__code", "__freq", "__stat")
-    # one lookup table per (category, left-out fold): key text carries both
     folds = [r[0] for r in source.select(col(fold)).distinct().limit(101).collect()]
     if len(folds) > 100:
         raise ValueError("more than 100 folds")
-    shared = source.withColumn("__out", F.explode(F.array(*[F.lit(f) for f in folds]))).where(F.col("__out") != col(fold))
-    key = lambda f: F.concat(f.cast("string"), F.lit("\x01"), category(name))
-    fit = fit_categories(shared.withColumn("__oof", key(F.col("__out"))), ["__oof"], target, max_rows=max_rows)["__oof"]
-    joined = attach(df, key(col(fold)), fit)
-    return joined.withColumn(out, F.coalesce("__stat", overall)).drop("__code", "__freq", "__stat")
+    # sums per category and fold in one pass; a fold's value is the rest of its category
+    mine = [F.when(col(fold).eqNullSafe(F.lit(f)), y) for f in folds]
+    sums = source.groupBy(category(name).alias("__cat")).agg(
+        F.count("*").alias("n"), F.sum(y).alias("s"), F.count(y).alias("c"),
+        F.array(*[F.struct(F.lit(str(f)).alias("f"), F.coalesce(F.sum(m), F.lit(0.0)).alias("s"), F.count(m).alias("c")) for f, m in zip(folds, mine)]).alias("by"),
+    )
+    rest = sums.select("__cat", "n", "s", "c", F.explode("by").alias("b"))
+    stat = F.try_divide(F.col("s") - F.col("b.s"), F.col("c") - F.col("b.c"))
+    key = lambda f, cat: F.concat(f, F.lit("\x01"), cat)
+    table = rest.select(key(F.col("b.f"), F.col("__cat")).alias("__key"), "n", stat.alias("__stat"))
+    joined = lookup_join(df, table, key(col(fold).cast("string"), category(name)), broadcast_rows=max_rows)
+    return joined.withColumn(out, F.coalesce("__stat", overall)).drop("__stat")
 
 
 def encode_target_prob(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from prepspark.functions.columns import (
     col, columns_of, datetime_columns, is_missing, kinds, num, numeric_columns, one_row, stack_rows, string_columns, total,
 )
-from prepspark.functions.stats import decided_distinct_counts, distinct_counts, skew_expr
+from prepspark.functions.stats import SKETCH_ERROR, decided_distinct_counts, distinct_counts, skew_expr
 
 # Target names as matched in lower case, in this order of mention.
 TARGET_NAMES = (
@@ -83,7 +83,7 @@ def profile_overview(df: DataFrame) -> DataFrame:
 
 
 def collect_profile(df: DataFrame, exact: bool = False, unique: bool = False) -> list[ColumnProfile]:
-    """The profile as driver rows (one per column): three or four jobs in all.
+    """The profile as driver rows (one per column): up to three jobs in all.
 
     Unless ``exact``, distinct counts are exact only where a rule could turn on
     them: below 200, near a share of the rows for text columns and the last
@@ -96,11 +96,14 @@ def collect_profile(df: DataFrame, exact: bool = False, unique: bool = False) ->
         exprs[("missing", c)] = F.count_if(is_missing(df, c))
         if ks[c] == "string":
             exprs[("len", c)] = F.avg(F.length(col(c)))
+    for c in flat:
+        exprs[("nd", c)] = F.approx_count_distinct(col(c), SKETCH_ERROR)
     got = one_row(df, exprs)
     n = got["n"]
     shares = [0.1 * n, 0.5 * n, n]
     marks = {c: shares if ks[c] == "string" or c == df.columns[-1] else [n] if unique else [] for c in flat}
-    nd = decided_distinct_counts(df, cols=flat) if exact else decided_distinct_counts(df, marks)
+    estimates = {c: got[("nd", c)] for c in flat}
+    nd = decided_distinct_counts(df, None if exact else marks, flat, estimates)
     types = dict(df.dtypes)
     return [
         ColumnProfile(c, types[c], ks[c], n, got[("missing", c)], nd.get(c, 0), got.get(("len", c))) for c in df.columns

@@ -7,7 +7,7 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prepspark.functions.columns import is_missing, num, numeric_columns, total
+from prepspark.functions.columns import col, is_missing, num, numeric_columns, total
 
 
 def row_stats(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -27,7 +27,7 @@ def row_stats(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
         "numeric_min": lo, "numeric_max": hi, "numeric_range": hi - lo,
     })
     names = ["numeric_mean", "numeric_std", "numeric_sum", "numeric_min", "numeric_max", "numeric_range"]
-    return out.select(*df.columns, *names)
+    return out.select(*[col(c) for c in df.columns], *names)
 
 
 def row_missing(df: DataFrame, cols: list[str] | None = None) -> DataFrame:

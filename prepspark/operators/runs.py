@@ -113,7 +113,7 @@ def stage_status(stage_events: DataFrame) -> DataFrame:
 
     ``stage_events(run_id, stage, status, ts)``; every run lists all seven stages.
     """
-    last = stage_events.groupBy("run_id", "stage").agg(F.max_by("status", F.struct("ts", "status")).alias("status"))
+    last = stage_events.where(F.col("stage").isin(*STAGES)).groupBy("run_id", "stage").agg(F.max_by("status", F.struct("ts", "status")).alias("status"))
     per_run = last.groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct("stage", "status"))).alias("m"))
     state = F.array(*[F.coalesce(F.col("m")[s], F.lit("pending")) for s in STAGES])
     per_run = per_run.withColumn("s", state).withColumn("bad", F.array_position("s", "failed"))

@@ -64,7 +64,7 @@ def split_stratified(
     h = key_hash(keys, seed)
     cuts = hash_cuts(df, h, {g: [q] for g, q in quota.items()}, sizes, target)
     source, reached = below_cuts(df, h, cuts, target)
-    return source.withColumn(out, F.when(reached == 0, names[1]).otherwise(names[0])).select(*df.columns, out)
+    return source.withColumn(out, F.when(reached == 0, names[1]).otherwise(names[0])).select(*[col(c) for c in df.columns], out)
 
 
 def holdout(df: DataFrame, keys: list[str], holdout_size: float = 0.1, seed: int = 42) -> DataFrame:
@@ -158,7 +158,7 @@ def kfold_stratified(df: DataFrame, keys: list[str], target: str, n_splits: int
         turn = (turn + sizes[g]) % n_splits
     cuts = hash_cuts(df, h, ranks, sizes, target)
     source, fold = below_cuts(df, h, cuts, target)
-    return source.withColumn(out, fold.cast("int")).select(*df.columns, out)
+    return source.withColumn(out, fold.cast("int")).select(*[col(c) for c in df.columns], out)
 
 
 def greedy_folds(sizes: list[tuple[str, int]], k: int, loads: list[int] | None = None) -> dict[str, int]:
@@ -197,14 +197,14 @@ def kfold_group(
         placed = greedy_folds([(r["g"], r["n"]) for r in heavy], n_splits)
     table = df.sparkSession.createDataFrame(list(placed.items()), "__g string, __fold int")
     joined = df.join(F.broadcast(table), key == F.col("__g"), "left")
-    return joined.withColumn(out, F.coalesce("__fold", hashed)).select(*df.columns, out)
+    return joined.withColumn(out, F.coalesce("__fold", hashed)).select(*[col(c) for c in df.columns], out)
 
 
 def split_summary(df: DataFrame, target: str, part: str = "part") -> DataFrame:
     """(part, class, rows, share): class shares on either side of a split."""
     counts = df.groupBy(col(part).alias("part"), col(target).cast("string").alias("class")).agg(F.count("*").alias("rows"))
     totals = df.groupBy(col(part).alias("part")).agg(F.count("*").alias("total"))
-    return counts.join(F.broadcast(totals), "part").select("part", "class", "rows", (F.col("rows") / F.col("total")).alias("share"))
+    return counts.join(totals, "part").select("part", "class", "rows", (F.col("rows") / F.col("total")).alias("share"))
 
 
 def split_auto(df: DataFrame, keys: list[str], target: str | None = None, test_size: float = 0.2, seed: int = 42) -> DataFrame:

@@ -156,25 +156,23 @@ def text_sentiment(df: DataFrame, name: str, key: str, lexicon: DataFrame, broad
     """``{name}_sentiment`` and ``_subjectivity``: mean lexicon scores of a text's words, 0 without any.
 
     ``lexicon(word, polarity, subjectivity)`` is the user's; ``key`` is unique.
-    Words are counted per row first, then looked up: by broadcast if the lexicon
-    is small, otherwise by a join in which every frequent word is spread over
-    salted copies.
+    A small lexicon is broadcast, and a row's hits collapse in the task that
+    reads the row. A large one meets words counted per row, every frequent word
+    spread over salted copies.
     """
-    per_word = (
-        df.select(col(key).alias("__k"), F.explode(word_tokens(name)).alias("word"))
-        .groupBy("__k", "word").agg(F.count("*").alias("c"))
-    )
+    words = df.select(col(key).alias("__k"), F.explode(word_tokens(name)).alias("word"))
     lex = lexicon.select("word", F.col("polarity").cast("double").alias("p"), F.col("subjectivity").cast("double").alias("s"))
     lex = lex.persist(StorageLevel.MEMORY_AND_DISK)
     if lex.count() <= broadcast_rows:
-        hits = per_word.join(F.broadcast(lex), "word")
+        scores = words.join(F.broadcast(lex), "word").groupBy("__k").agg(F.avg("p").alias("__p"), F.avg("s").alias("__s"))
     else:
         salts = 32
         salted = lex.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        hits = per_word.withColumn("salt", F.pmod(F.xxhash64("__k"), F.lit(salts)).cast("int")).join(salted, ["word", "salt"])
-    scores = hits.groupBy("__k").agg(
-        (F.sum(F.col("p") * F.col("c")) / F.sum("c")).alias("__p"), (F.sum(F.col("s") * F.col("c")) / F.sum("c")).alias("__s"),
-    )
+        counted = words.groupBy("__k", "word").agg(F.count("*").alias("c"))
+        hits = counted.withColumn("salt", F.pmod(F.xxhash64("__k"), F.lit(salts)).cast("int")).join(salted, ["word", "salt"])
+        scores = hits.groupBy("__k").agg(
+            (F.sum(F.col("p") * F.col("c")) / F.sum("c")).alias("__p"), (F.sum(F.col("s") * F.col("c")) / F.sum("c")).alias("__s"),
+        )
     out = df.join(scores, col(key) == F.col("__k"), "left")
     return out.withColumns({
         f"{name}_sentiment": F.coalesce("__p", F.lit(0.0)), f"{name}_subjectivity": F.coalesce("__s", F.lit(0.0)),

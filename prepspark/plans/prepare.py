@@ -5,8 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from prepspark.functions.columns import col, columns_of, kinds, numeric_columns, string_columns
+from prepspark.functions.columns import col, columns_of, numeric_columns, string_columns
 from prepspark.operators import balance, bins, clean, eda, encode, profile, reduce, rowfeat, scale, select, split, temporal, text, vector
 from prepspark.session import materialize
 
@@ -59,6 +60,9 @@ def transform_table(
     if o.text and texts:
         out = text.process_text_features(out, texts)
     out = out.withColumns({c: col(c).cast("int") for c in columns_of(out, "boolean", keep)}) if columns_of(out, "boolean", keep) else out
+    # a text of many values is encoded by frequency: its digest counts the same and shuffles 32 bytes
+    many = {p.name for p in prof if p.kind == "string" and p.distinct > 100 and (p.mean_length or 0) > 32}
+    out = out.withColumns({c: F.md5(col(c)) for c in many if c in out.columns and c not in keep})
     out = encode.encode_categorical(out, o.max_categories, exclude=keep)
     out = out.drop(*[c for c in columns_of(out, "datetime") if c not in keep])
     out = materialize(out, "encoded")
@@ -76,7 +80,7 @@ def transform_table(
     if o.binning:
         out = bins.bin_discretize(out, o.n_bins, "quantile", exclude=keep, exact=o.exact)
     if o.balancing and target is not None and info["is_imbalanced"]:
-        out = balance.balance_data(out, list(keys), target)
+        out = balance.balance_data(out, list(keys) or out.columns, target)
     return out
 
 
