@@ -75,9 +75,9 @@ def cast_columns(spark, d):
     return clean.cast_columns(o, {"o_custkey": "int", "urgency": "int", "broken": "int"})
 
 
-@query("clean_policy_text_gaps", f"""WITH g AS ({GAPS}), u AS (SELECT * FROM g UNION ALL SELECT * FROM g WHERE l_orderkey % 10 = 0)
+@query("clean_policy", f"""WITH g AS ({GAPS}), u AS (SELECT * FROM g UNION ALL SELECT * FROM g WHERE l_orderkey % 10 = 0)
 SELECT DISTINCT * REPLACE (l_suppkey::INTEGER AS l_suppkey) FROM u WHERE {' AND '.join(f'{c} IS NOT NULL' for c in GAP_COLUMNS)}""")
-def clean_policy_text_gaps(spark, d):
+def clean_policy(spark, d):
     g = gaps(spark, d)
     return clean.clean_policy(g.unionByName(g.where("l_orderkey % 10 = 0")), "mean", True, {"l_suppkey": "int"})
 

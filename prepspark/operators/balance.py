@@ -61,7 +61,7 @@ def oversample(df: DataFrame, target: str, keys: list[str], seed: int = 42) -> D
     if not total:
         return df
     small = [g for g, s in sizes.items() if s < max(sizes.values())]
-    ranked = rank_in_group(df.where(group_text(target).isin(small)), key_hash(keys, seed), target, "__rank")
+    ranked = rank_in_group(df.where(group_text(target).isin(small)), key_hash(keys or df.columns, seed), target, "__rank")
     extra = ranked.withColumn("__g", group_text(target)).join(drawn, ["__g", "__rank"])
     return df.unionByName(extra.select(*[col(c) for c in df.columns]))
 
@@ -70,7 +70,7 @@ def undersample(df: DataFrame, target: str, keys: list[str], seed: int = 42) ->
     """Every class cut to the size of the smallest: its lowest key hashes."""
     known = df.where(col(target).isNotNull())
     sizes = _classes(df, target)
-    h = key_hash(keys, seed)
+    h = key_hash(keys or df.columns, seed)
     cuts = hash_cuts(known, h, {g: [min(sizes.values())] for g in sizes}, sizes, target)
     source, reached = below_cuts(known, h, cuts, target)
     return source.where(reached == 0).select(*[col(c) for c in df.columns])
@@ -80,7 +80,8 @@ def smote(df: DataFrame, target: str, keys: list[str], k: int = 5, seed: int = 4
     """All rows, plus points between a drawn row and one of its k nearest rows of the same class.
 
     All columns but target and keys must be numeric and free of nulls. Added
-    rows have null keys. Neighbours are exact.
+    rows have null keys. Neighbours are exact. Without keys a row's own cells
+    decide its draw position.
     """
     features = numeric_columns(df, [target, *keys])
     others = [c for c in df.columns if c not in (*features, target, *keys)]
@@ -97,7 +98,7 @@ def smote(df: DataFrame, target: str, keys: list[str], k: int = 5, seed: int = 4
         raise ValueError(f"classes {short} have no {k} neighbours")
     part = df.where(group_text(target).isin(small))
     vec = F.array(*[num(c) for c in features])
-    ranked = rank_in_group(part, key_hash(keys, seed), target, "__rank").select(
+    ranked = rank_in_group(part, key_hash(keys or df.columns, seed), target, "__rank").select(
         group_text(target).alias("__g"), col(target).alias("__t"), "__rank", vec.alias("__vec"),
     )
     number = {g: i for i, g in enumerate(small)}

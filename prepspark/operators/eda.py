@@ -15,6 +15,7 @@ from prepspark.functions.ranks import group_sizes, key_hash
 from prepspark.functions.stats import corr_sql, distinct_counts, gramian, quantiles, skew_expr
 from prepspark.operators import profile as P
 from prepspark.operators import reduce as R
+from prepspark.session import side_by_side
 
 
 def _tall(df: DataFrame, cols: list[str], value, extra: list[Column] = ()) -> DataFrame:
@@ -300,30 +301,43 @@ def eda_report(df: DataFrame, target: str | None = None, importance_trees: int =
     Sections: overview, missing, value_counts (up to 15 values), box, skew,
     corr, vif and, with a target, target, chi_square and importance.
     """
-    numeric = numeric_columns(df)
-    c = F.col
-    parts = [
-        _section(P.profile_overview(df), "overview", F.lit(None).cast("string"), c("item"), c("value")),
-        _section(P.profile_missing(df), "missing", c("column"), F.lit("missing"), c("missing")),
-        _section(value_counts(df, max_distinct=15), "value_counts", c("column"), c("value"), c("n")),
-    ]
+    numeric, c = numeric_columns(df), F.col
+    build: dict = {
+        "overview": lambda: [_section(P.profile_overview(df), "overview", F.lit(None).cast("string"), c("item"), c("value"))],
+        "missing": lambda: [_section(P.profile_missing(df), "missing", c("column"), F.lit("missing"), c("missing"))],
+        "value_counts": lambda: [_section(value_counts(df, max_distinct=15), "value_counts", c("column"), c("value"), c("n"))],
+    }
     if numeric:
-        box = box_stats(df, numeric)
-        for m in ("q1", "median", "q3", "whisker_low", "whisker_high", "outliers"):
-            parts.append(_section(box, "box", c("column"), F.lit(m), c(m)))
-        parts.append(_section(skewness(df, numeric), "skew", c("column"), F.lit("skew"), c("skew")))
-        parts.append(_section(corr_matrix(df, numeric), "corr", c("a"), c("b"), c("r")))
-        parts.append(_section(vif(df, numeric), "vif", c("column"), F.lit("vif"), c("vif")))
+        build["box"] = lambda: _box_sections(df, numeric)
+        build["skew"] = lambda: [_section(skewness(df, numeric), "skew", c("column"), F.lit("skew"), c("skew"))]
+        build["corr"] = lambda: [_section(corr_matrix(df, numeric), "corr", c("a"), c("b"), c("r"))]
+        build["vif"] = lambda: [_section(vif(df, numeric), "vif", c("column"), F.lit("vif"), c("vif"))]
     if target is not None:
-        dist = target_distribution(df, target)
-        parts.append(_section(dist, "target", F.lit(target), c("class"), c("share")))
-        parts.append(_section(dist.limit(1), "target_imbalanced", F.lit(target), F.lit("imbalanced"), c("imbalanced").cast("int")))
+        build["target"] = lambda: _target_sections(df, target)
         if string_columns(df, [target]):
-            parts.append(_section(chi_square(df, target), "chi_square", c("column"), F.lit("chi2"), c("chi2")))
+            build["chi_square"] = lambda: [_section(chi_square(df, target), "chi_square", c("column"), F.lit("chi2"), c("chi2"))]
         if importance_trees:
-            imp = R.rf_importance(df, target, importance_trees)
-            parts.append(_section(imp, "importance", c("feature"), F.lit("importance"), c("importance")))
+            build["importance"] = lambda: [
+                _section(R.rf_importance(df, target, importance_trees), "importance", c("feature"), F.lit("importance"), c("importance"))
+            ]
+    parts = [p for section in side_by_side(df.sparkSession, build).values() for p in section]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def _box_sections(df: DataFrame, cols: list[str]) -> list[DataFrame]:
+    marks = ("q1", "median", "q3", "whisker_low", "whisker_high", "outliers")
+    cells = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in marks])).alias("r")
+    tall = box_stats(df, cols).select("column", cells).select("column", "r.*")
+    return [_section(tall, "box", F.col("column"), F.col("metric"), F.col("v"))]
+
+
+def _target_sections(df: DataFrame, target: str) -> list[DataFrame]:
+    dist = target_distribution(df, target)
+    flag = F.col("imbalanced").cast("int")
+    return [
+        _section(dist, "target", F.lit(target), F.col("class"), F.col("share")),
+        _section(dist.limit(1), "target_imbalanced", F.lit(target), F.lit("imbalanced"), flag),
+    ]

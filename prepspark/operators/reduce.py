@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import StorageLevel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
@@ -20,6 +20,7 @@ from prepspark.functions.stats import distinct_counts, gramian
 from prepspark.operators.clean import impute_median
 from prepspark.operators.encode import encode_label
 from prepspark.operators.scale import apply_scale, fit_scale
+from prepspark.session import side_by_side
 
 
 @dataclass(frozen=True)
@@ -131,9 +132,7 @@ def fit_clusters(df: DataFrame, cols: list[str], ks: list[int], seed: int = 42,
         return sorted(c.tolist() for c in KMeans(k=k, seed=seed, maxIter=rounds).fit(points).clusterCenters())
 
     try:
-        # the fits are independent chains of short jobs: run them side by side
-        with ThreadPoolExecutor(len(ks)) as pool:
-            return dict(zip(ks, pool.map(inheritable_thread_target(df.sparkSession)(fit), ks)))
+        return side_by_side(df.sparkSession, {k: partial(fit, k) for k in ks})
     finally:
         points.unpersist()
 

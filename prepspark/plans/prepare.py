@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from prepspark.functions.columns import col, columns_of, numeric_columns, string_columns
 from prepspark.operators import balance, bins, clean, eda, encode, profile, reduce, rowfeat, scale, select, split, temporal, text, vector
-from prepspark.session import materialize
+from prepspark.session import materialize, side_by_side
 
 
 @dataclass(frozen=True)
@@ -80,7 +80,7 @@ def transform_table(
     if o.binning:
         out = bins.bin_discretize(out, o.n_bins, "quantile", exclude=keep, exact=o.exact)
     if o.balancing and target is not None and info["is_imbalanced"]:
-        out = balance.balance_data(out, list(keys) or out.columns, target)
+        out = balance.balance_data(out, list(keys), target)
     return out
 
 
@@ -133,9 +133,12 @@ def prepare(df: DataFrame, keys: list[str], target: str | None = None, transform
     cleaned = materialize(clean.clean_policy(df), "cleaned")
     texts = [p.name for p in profile.collect_profile(cleaned) if profile.is_text(p, "d")]
     transformed = materialize(transform_table(cleaned, target, keys, texts or None, opts), "transformed")
-    engineered = materialize(feature_table(transformed, target, keys=keys), "engineered")
-    report = eda.eda_report(transformed.drop(*keys), target)
-    parts = split.split_auto(cleaned, keys, target)
+    rest = side_by_side(df.sparkSession, {
+        "engineered": lambda: materialize(feature_table(transformed, target, keys=keys), "engineered"),
+        "report": lambda: eda.eda_report(transformed.drop(*keys), target),
+        "parts": lambda: split.split_auto(cleaned, keys, target),
+    })
+    engineered, report, parts = rest["engineered"], rest["report"], rest["parts"]
     keep = [c for c in [target, *keys] if c]
     wide = engineered.drop(*[c for c in string_columns(engineered, keep)])
     vectors = vector.vectorize(wide, exclude=keep)

@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 _local_scratch: str | None = None
@@ -50,3 +53,10 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def side_by_side(spark: SparkSession, tasks: dict[str, Callable[[], object]]) -> dict[str, object]:
+    """Run independent driver steps at the same time, so that their short jobs share the executors."""
+    with ThreadPoolExecutor(max(1, len(tasks))) as pool:
+        running = {name: pool.submit(inheritable_thread_target(spark)(fn)) for name, fn in tasks.items()}
+        return {name: f.result() for name, f in running.items()}
