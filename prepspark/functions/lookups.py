@@ -31,7 +31,8 @@ def join_large(df: DataFrame, key: Column, table: DataFrame, weight: str = "n")
     hot = table.orderBy(F.desc(weight), "__key").limit(HOT_KEYS)
     hot = hot.select(F.col("__key").alias("__hot"), *[F.col(c).alias(f"__hot_{c}") for c in values])
     hashable = [col(c) for c, k in kinds(df).items() if k != "nested"]
-    spread = F.concat(F.lit("\x00hot"), F.pmod(F.xxhash64(*hashable), F.lit(4096)).cast("string"))
+    # the reading task's number separates equal rows too, and a repeated task gives the same value again
+    spread = F.concat(F.lit("\x00hot"), F.pmod(F.xxhash64(F.spark_partition_id(), *hashable), F.lit(4096)).cast("string"))
     out = df.withColumn("__lk", key).join(F.broadcast(hot), F.col("__lk") == F.col("__hot"), "left")
     out = out.withColumn("__cold", F.when(F.col("__hot").isNull() & F.col("__lk").isNotNull(), F.col("__lk")).otherwise(spread))
     out = out.join(table.drop(weight), F.col("__cold") == F.col("__key"), "left")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 
 from pyspark import StorageLevel
@@ -89,10 +90,7 @@ def _slot_maps(vocab: dict[str, int]) -> Column:
     slots: list[dict[str, int]] = [{} for _ in range(_SLOTS)]
     for w, i in vocab.items():
         slots[zlib.crc32(w.encode("utf-8")) % _SLOTS][w] = i
-    empty = {"": 0}
-    return F.array(*[
-        F.map_from_arrays(F.lit(list((s or empty).keys())), F.lit(list((s or empty).values()))) for s in slots
-    ])
+    return F.from_json(F.lit(json.dumps(slots)), "array<map<string,int>>")
 
 
 def sequence_columns(name: str, vocab: dict[str, int], max_length: int = SEQUENCE_LENGTH) -> dict[str, Column]:
