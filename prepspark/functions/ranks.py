@@ -156,7 +156,7 @@ def rank_values(values: DataFrame, name: str, out: str = "idx", target_rows: int
     values before it. Boundary choice affects balance only, never the result.
     """
     n = values.count()
-    parts = max(1, min(8, n // 100), min(2000, n // target_rows))
+    parts = max(1, min(8, n // 10), min(2000, n // target_rows))
     bounds: list = []
     if parts > 1:
         keep = max(1, n // (parts * 20))
