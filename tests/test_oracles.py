@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from oracle_check import TABLES, compare
+from prepspark.catalog import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -15,10 +16,10 @@ def con(sf):
     return c
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(name, spark, sf, con):
-    df = entry.queries()[name](spark, sf)
-    sql = entry.oracle_sql().get(name)
+    df = QUERIES[name](spark, sf)
+    sql = ORACLES.get(name)
     if sql is None:
         assert df.count() > 0
     else:

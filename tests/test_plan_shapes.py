@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
+from prepspark.catalog import QUERIES
 
 FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"]
 # cumulative_importance ranks one row per feature
@@ -15,19 +15,19 @@ def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(n for n in entry.queries() if n not in ("prepare", "transform_flow", "smote", "balance_auto")))
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if n not in ("prepare", "transform_flow", "smote", "balance_auto")))
 def test_no_forbidden_operator(name, spark, sf):
-    plan = plan_of(entry.queries()[name](spark, sf))
+    plan = plan_of(QUERIES[name](spark, sf))
     assert not [f for f in FORBIDDEN if f in plan]
     if name not in SMALL_WINDOWS:
         assert not re.search(r"Window \[[^\n]*\n[^\n]*Sort [^\n]*\n[^\n]*Exchange SinglePartition", plan)
 
 
 def test_scan_reads_only_needed_columns(spark, sf):
-    plan = plan_of(entry.queries()["value_counts"](spark, sf))
+    plan = plan_of(QUERIES["value_counts"](spark, sf))
     assert "l_shipdate" not in plan and "l_comment" not in plan
 
 
 def test_split_needs_no_shuffle(spark, sf):
-    plan = plan_of(entry.queries()["split_stratified"](spark, sf))
+    plan = plan_of(QUERIES["split_stratified"](spark, sf))
     assert "Exchange" not in plan and "Window" not in plan
