@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ def ref(name: str) -> Column:
 
 def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) runs of about ``limit`` bytes; null becomes the empty text, a longer text stands alone."""
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0), dtype=np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64)
     start = 0
     while start < len(sizes):
         stop = start + max(1, int(np.searchsorted(np.cumsum(sizes[start:start + 100_000]), limit, side="right")))
