@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators."""
 
-from prepspark.llm import bpe, quality, urls  # noqa: F401
+from prepspark.llm import bpe, html, quality, urls  # noqa: F401
 from prepspark.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
