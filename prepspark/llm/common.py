@@ -78,3 +78,13 @@ def _parse(spark: SparkSession, ddl: str):
     from pyspark.sql.types import StructType
 
     return StructType.fromDDL(ddl) if hasattr(StructType, "fromDDL") else spark.createDataFrame([], ddl).schema
+
+
+#: Rows up to which a lookup side is broadcast; beyond, the join shuffles.
+SMALL_ROWS = 100_000
+
+
+def flagged(df: DataFrame, marks: DataFrame, key: str) -> DataFrame:
+    """Left join with one row of ``marks`` per key. A few marks are broadcast (their number is counted first)."""
+    few = marks.count() <= SMALL_ROWS
+    return df.join(F.broadcast(marks) if few else marks, key, "left")
