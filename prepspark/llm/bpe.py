@@ -274,8 +274,7 @@ def encode_spread(df: DataFrame, keep: list[str], text: str, path: str, outputs:
         made = outputs_of([(array("i", ids), " ".join(map(str, ids)), " ".join([c.vocab[i] for i in ids]))], outputs)
         return pd.DataFrame({"__row": [key[0]], **{o: [list(v) if o == "ids" else v] for o, v in made.items()}})
 
-    n = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    pieces = rows.select("__row", "__text").dropDuplicates(["__row"]).mapInArrow(split, cut).repartition(n)
+    pieces = rows.select("__row", "__text").dropDuplicates(["__row"]).mapInArrow(split, cut).hint("rebalance")
     ids = pieces.mapInArrow(encode, "__row string, grp bigint, part bigint, leaf boolean, ids array<int>")
     ddl = ", ".join(["__row string", *[f"{o} {TYPES[o]}" for o in outputs]])
     made = ids.groupBy("__row").applyInPandas(gather, ddl)

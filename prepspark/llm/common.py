@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from functools import wraps
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +24,12 @@ ORACLES: dict[str, str] = {}
 def query(name: str, sql: str | None = None) -> Callable:
     """Register a query and, where SQL can express it, the SQL that gives the same rows."""
     def register(fn: Callable) -> Callable:
-        QUERIES[name] = fn
+        @wraps(fn)
+        def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = shipped
         if sql is not None:
             ORACLES[name] = sql
         return fn
@@ -28,6 +37,26 @@ def query(name: str, sql: str | None = None) -> Callable:
     return register
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per Spark application; tasks import it from there.
+
+    The archive is read by the driver only, which serves it to the executors.
+    """
+    context = spark.sparkContext
+    if _shipped.get("app") == context.applicationId:
+        return
+    root = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix="prepspark-code-")) / "prepspark_code.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent).as_posix())
+    context.addPyFile(str(path))
+    _shipped["app"] = context.applicationId
+
+
+_shipped: dict[str, str] = {}
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
@@ -70,6 +99,18 @@ def map_text(df: DataFrame, fn: Callable[[list[str]], dict[str, list]], schema:
     return src.mapInArrow(run, out)
 
 
+def edit_text(df: DataFrame, fn: Callable[[pa.RecordBatch, list[str | None]], pa.RecordBatch], text: str = "text") -> DataFrame:
+    """Rows of ``df`` as ``fn`` returns them from runs of rows and their texts: same columns, values changed or rows left out."""
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, texts in blocks(batch.column(at)):
+                yield fn(batch.slice(start, len(texts)), texts)
+
+    return df.mapInArrow(run, df.schema)
+
+
 def as_arrow(values) -> pa.Array:
     return values if isinstance(values, (pa.Array, pa.ChunkedArray)) else pa.array(values)
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prepspark.llm.common import blocks, load, map_text, query, ref
+from prepspark.llm.common import blocks, edit_text, load, map_text, query, ref
 
 BUCKETS = 1 << 16
 ORDERS = 4
@@ -182,23 +182,33 @@ def predict(df: DataFrame, model: dict | None, keep: list[str], text: str = "tex
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(texts: list[str]) -> dict[str, list]:
-        m = shared.value
-        names, scores = [], []
-        for t in texts:
-            if m is None or not has_letter(t):
-                names.append(UNKNOWN)
-                scores.append(0.0)
-                continue
-            at, x = features(t, m["idf"])
-            p = softmax((x @ m["weights"][at]) / m["temperature"] + m["bias"])
-            k = int(p.argmax())
-            names.append(m["langs"][k])
-            scores.append(min(1.0, float(p[k])))
+        names, scores = zip(*[answer(shared.value, t) for t in texts], strict=True) if texts else ((), ())
         return {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())}
 
     return map_text(df, run, "lang_pred string, score double", keep, text)
 
 
+def answer(m: dict | None, text: str) -> tuple[str, float]:
+    """Language and calibrated score of one text."""
+    if m is None or not has_letter(text):
+        return UNKNOWN, 0.0
+    at, x = features(text, m["idf"])
+    p = softmax((x @ m["weights"][at]) / m["temperature"] + m["bias"])
+    k = int(p.argmax())
+    return m["langs"][k], min(1.0, float(p[k]))
+
+
+def accepted(df: DataFrame, model: dict | None, text: str = "text", least: float = 0.4) -> DataFrame:
+    """Rows whose language is known with a score of ``least`` or more; all columns as they are. Null and letterless texts go."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+        said = [answer(shared.value, t) for t in texts]
+        return batch.filter(pa.array([n != UNKNOWN and s >= least for n, s in said], pa.bool_()))
+
+    return edit_text(df, run, text)
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a document is kept from training: crc32 of its id as text is a multiple of five. A null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0

@@ -13,10 +13,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prepspark.llm.common import load, map_text, query, ref
+from prepspark.llm.common import edit_text, load, map_text, query, ref
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW = 96
@@ -414,17 +415,26 @@ def added(m: dict[str, np.ndarray] | None, texts: list[str], base: list[list[Spa
     return out
 
 
-def redact(df: DataFrame, model: dict[str, np.ndarray] | None, keep: list[str], text: str = "text") -> DataFrame:
-    """Columns ``keep`` plus ``clean``: the text with every span replaced by its kind in angle brackets; null stays null."""
+def redact(df: DataFrame, model: dict[str, np.ndarray] | None, text: str = "text", size: str | None = None) -> DataFrame:
+    """Rows of ``df`` with every span of the text replaced by its kind in angle brackets; null stays null.
+
+    ``size`` names an integer column that is set to the new number of code points where it is not null.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
-    def run(texts: list[str]) -> dict[str, list]:
+    def run(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
         base = [base_spans(t) for t in texts]
         more = added(shared.value, texts, base)
-        return {"clean": pa.array([cover(t, b + a) for t, b, a in zip(texts, base, more, strict=True)], pa.string())}
-
-    made = map_text(df, run, "clean string", [*keep, text], text)
-    return made.withColumn("clean", F.when(ref(text).isNotNull(), F.col("clean"))).select(*[ref(c) for c in keep], "clean")
+        new = [cover(t, b + a) for t, b, a in zip(texts, base, more, strict=True)]
+        for name, values in ((text, new), (size, [len(t) for t in new])):
+            if name is not None:
+                k = batch.schema.get_field_index(name)
+                old = batch.column(k)
+                made = pc.if_else(old.is_valid(), pa.array(values).cast(old.type), old)
+                batch = batch.set_column(k, batch.schema.field(k), made)
+        return batch
+
+    return edit_text(df, run, text)
 
 
 def cover(text: str, spans: list[Span]) -> str:

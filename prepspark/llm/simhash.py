@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prepspark.llm.common import load, map_text, query, ref
+from prepspark.llm.common import flagged, load, map_text, query, ref
 from prepspark.llm.components import components
 from prepspark.session import materialize
 
@@ -192,6 +192,14 @@ def _stars(crowded: DataFrame) -> DataFrame:
     return near.join(ends, "mid").where("a <> b").select("a", "b").distinct()
 
 
+def _grouped(docs: DataFrame) -> DataFrame:
+    """(fp, root, least): the group of every distinct fingerprint of ``docs`` (fp, __id), named by its smallest member."""
+    nodes = docs.groupBy("fp").agg(F.min("__id").alias("least"))
+    roots = components(links(nodes.select("fp")))
+    groups = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return materialize(groups, "simhash-groups")
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable over links) of every row.
 
@@ -200,18 +208,35 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """
     src = df.select(ref(doc_id).alias("__id"), ref(text).alias("__words"))
     docs = materialize(fingerprint(src, ["__id"], "__words"), "fingerprints")
-    nodes = docs.groupBy("fp").agg(F.min("__id").alias("least"))
-    roots = components(links(nodes.select("fp")))
-    groups = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    groups = materialize(groups, "simhash-groups")
-    least = groups.where("root <> fp").groupBy("root").agg(F.min("least").alias("low"))
-    ids = groups.join(least, "root", "left").select("fp", F.least("least", "low").alias("own"), "root", "low")
-    # The root's row meets its group's minimum; members take that of their root.
-    tops = ids.where("fp = root").select("root", F.col("own").alias("component_id"))
-    named = groups.join(tops, "root").select("fp", "component_id")
+    groups = _grouped(docs)
+    # Groups of one need no join; the others take the smallest id of all members.
+    lows = groups.where("root <> fp").groupBy("root").agg(F.min("least").alias("low"))
+    tops = groups.where("root = fp").join(lows, "root").select("root", F.least("least", "low").alias("component_id"))
+    named = groups.join(tops, "root", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return docs.join(named, "fp").select(F.col("__id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group of near-duplicates, that of the smallest doc_id (then by digest); all columns as they are.
+
+    Rows equal in id and text count as one. Null ids come last. Only keys are shuffled where few rows go.
+    """
+    null = F.lit("\0null")
+    names = [f"__c{i}" for i in range(len(df.columns))]
+    at, words = (F.col(names[df.columns.index(c)]).cast("string") for c in (doc_id, text))
+    rows = df.toDF(*names).withColumn("__key", F.md5(F.concat(F.coalesce(at, null), F.lit(":"), F.coalesce(words, null))))
+    src = rows.select(F.col(names[df.columns.index(doc_id)]).alias("__id"), "__key", words.alias("__words"))
+    docs = materialize(fingerprint(src, ["__id", "__key"], "__words"), "fingerprints")
+    groups = _grouped(docs)
+    keys = docs.groupBy("__id", "__key", "fp").agg(F.count("*").alias("n")).join(groups.select("fp", "root"), "fp")
+    keys = materialize(keys.select("root", F.struct(F.col("__id").isNull().alias("last"), "__id", "__key").alias("who"), "n"), "simhash-keys")
+    first = keys.groupBy("root").agg(F.min("who").alias("first"))
+    told = keys.join(first, "root").where("who <> first OR n > 1").select(F.col("who.__key").alias("__key"), F.expr("who = first").alias("repeated")).distinct()
+    marked = flagged(rows, materialize(told, "simhash-marks"), "__key")
+    kept = marked.where("repeated IS NULL").select(*names).unionByName(marked.where("repeated").dropDuplicates(["__key"]).select(*names))
+    return kept.toDF(*df.columns)
+
+
 @query("op7_simhash")
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"))
