@@ -9,23 +9,57 @@ with every segment.
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prepspark.llm.bpe import codec, default_path
 from prepspark.llm.common import blocks, load, query, ref
 from prepspark.session import materialize
 
 LENGTH = 2048
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 2_000_000
 #: Rows of one matrix.
 ROWS = 64
 
 
+def default_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+@lru_cache(maxsize=2)
+def encoding(path: str):
+    """Byte-level BPE of a rank file; no text is a special token."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("packed", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def ids_of(enc, text: str) -> np.ndarray:
+    """Ids of a whole text."""
+    try:
+        return enc.encode_to_numpy(text, disallowed_special=())
+    except ValueError:
+        # The library's own splitter gives up on very long runs of blanks: split here, encode the parts.
+        parts = regex.findall(enc._pat_str, text)
+        return np.array([i for p in parts for i in enc._core_bpe.encode_single_piece(p.encode())], dtype=np.uint32)
+
+
+def id_type(enc) -> np.dtype:
+    """Little-endian type of the stored ids: 16 bits where the vocabulary allows."""
+    return np.dtype("<u2" if enc.max_token_value < 1 << 16 else "<u4")
+
+
 class Room:
     """Segment tree over amounts of room: whether some open row has at least, and at most, so much left."""
 
@@ -75,7 +109,7 @@ def pack(sizes: list[int], length: int) -> list[list[int]]:
 
 
 def encoded(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, length: int = LENGTH) -> DataFrame:
-    """(doc_id, copy, segment, n, ids): the ids of each text, little-endian 32-bit, in segments of at most ``length``.
+    """(doc_id, copy, segment, n, ids): the ids of each text, as ``id_type`` stores them, in segments of at most ``length``.
 
     ``copy`` is the start of the text's SHA-256: it tells rows of equal id apart by their text. A text without tokens has
     no segment.
@@ -85,17 +119,18 @@ def encoded(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
     kind = src.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
+        enc = encoding(path)
+        kind, width = id_type(enc), id_type(enc).itemsize
         for batch in batches:
             for start, texts in blocks(batch.column(2)):
                 row, seg, n, ids = [], [], [], []
                 for k, t in enumerate(texts):
-                    whole = b"".join([p[0].tobytes() for p in c.text(t)])
-                    for s, a in enumerate(range(0, len(whole), 4 * length)):
-                        part = whole[a:a + 4 * length]
+                    whole = ids_of(enc, t).astype(kind).tobytes()
+                    for s, a in enumerate(range(0, len(whole), width * length)):
+                        part = whole[a:a + width * length]
                         row.append(start + k)
                         seg.append(s)
-                        n.append(len(part) // 4)
+                        n.append(len(part) // width)
                         ids.append(part)
                 at = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays(
@@ -107,20 +142,22 @@ def encoded(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
 
 def packed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, length: int = LENGTH,
            shard_tokens: int = SHARD_TOKENS, pad: int = 0) -> DataFrame:
-    """Blocks of packed rows: shard, block, n_rows, n_tokens, ids, cu_seqlens, row_offsets, positions, doc_ids, segments.
+    """Blocks of packed rows: shard, block, n_rows, n_tokens, id_bytes, ids, cu_seqlens, row_offsets, positions, doc_ids, segments.
 
-    ``ids`` is an (n_rows x length) matrix of 32-bit little-endian numbers, filled up with ``pad``; ``positions`` the
+    ``ids`` is an (n_rows x length) matrix of little-endian numbers of ``id_bytes`` bytes, filled up with ``pad``; ``positions`` the
     16-bit matrix of positions, restarting with 0 at every segment; ``cu_seqlens`` the cumulative segment lengths of each row from 0,
     rows one after the other, ``row_offsets`` where each row's begin; ``doc_ids`` and ``segments`` name the segments in order. Null
     texts have no tokens; equal rows are packed as often as they occur. An empty table gives no block.
     """
     if not 0 < length <= 65_535:
         raise ValueError("length must lie between 1 and 65,535")
+    path = path or default_path()
+    width = id_type(encoding(path))
     pieces = materialize(encoded(df, doc_id, text, path, length), "segments")
     total = pieces.agg(F.sum(F.col("n").cast("bigint"))).first()[0] or 0
     shards = max(1, -(-total // shard_tokens))
     kind = pieces.schema["doc_id"].dataType.simpleString()
-    out = (f"shard bigint, block int, n_rows int, n_tokens bigint, ids binary, cu_seqlens array<int>, row_offsets array<int>, "
+    out = (f"shard bigint, block int, n_rows int, n_tokens bigint, id_bytes int, ids binary, cu_seqlens array<int>, row_offsets array<int>, "
            f"positions binary, doc_ids array<{kind}>, segments array<int>")
 
     def lay(key, table):
@@ -131,22 +168,22 @@ def packed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
         rows = pack(n.tolist(), length)
         for b, a in enumerate(range(0, len(rows), ROWS)):
             some = rows[a:a + ROWS]
-            matrix, places = np.full((len(some), length), pad, "<i4"), np.zeros((len(some), length), "<u2")
+            matrix, places = np.full((len(some), length), pad, width), np.zeros((len(some), length), "<u2")
             order, ends, offsets = [], [], [0]
             for r, segs in enumerate(some):
                 at = 0
                 ends.append(0)
                 for k in segs:
-                    matrix[r, at:at + n[k]] = np.frombuffer(ids[k].as_py(), "<i4")
+                    matrix[r, at:at + n[k]] = np.frombuffer(ids[k].as_py(), width)
                     places[r, at:at + n[k]] = np.arange(n[k])
                     at += int(n[k])
                     ends.append(at)
                 order += segs
                 offsets.append(len(ends))
-            cells.append((key[0].as_py(), b, len(some), int(n[order].sum()), matrix.tobytes(), ends, offsets, places.tobytes(),
+            cells.append((key[0].as_py(), b, len(some), int(n[order].sum()), width.itemsize, matrix.tobytes(), ends, offsets, places.tobytes(),
                           docs.take(pa.array(order)).to_pylist(), segments[order].tolist()))
-        names = ["shard", "block", "n_rows", "n_tokens", "ids", "cu_seqlens", "row_offsets", "positions", "doc_ids", "segments"]
-        types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(),
+        names = ["shard", "block", "n_rows", "n_tokens", "id_bytes", "ids", "cu_seqlens", "row_offsets", "positions", "doc_ids", "segments"]
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(),
                  pa.list_(docs.type), pa.list_(pa.int32())]
         return pa.table([pa.array([c[i] for c in cells], t) for i, t in enumerate(types)], names=names)
 
@@ -160,17 +197,17 @@ def unpacked(blocks_: DataFrame, length: int = LENGTH) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                matrix = np.frombuffer(row["ids"], "<i4").reshape(-1, length)
+                matrix = np.frombuffer(row["ids"], f"<u{row['id_bytes']}").reshape(-1, length)
                 at, ids = 0, []
                 for r in range(row["n_rows"]):
                     ends = row["cu_seqlens"][row["row_offsets"][r]:row["row_offsets"][r + 1]]
                     ids += [matrix[r, a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(row["doc_ids"], batch.schema.field("doc_ids").type.value_type), pa.array(row["segments"], pa.int32()),
-                     pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "segment", "ids"])
+                     pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))], names=["doc_id", "segment", "ids"])
 
     kind = blocks_.schema["doc_ids"].dataType.elementType.simpleString()
-    cols = ["ids", "n_rows", "cu_seqlens", "row_offsets", "doc_ids", "segments"]
+    cols = ["ids", "id_bytes", "n_rows", "cu_seqlens", "row_offsets", "doc_ids", "segments"]
     return blocks_.select(*cols).mapInArrow(run, f"doc_id {kind}, segment int, ids array<int>")
 
 
