@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators."""
 
-from prepspark.llm import bpe, decontaminate, html, language, packing, pii, quality, simhash, urls  # noqa: F401
+from prepspark.llm import bpe, decontaminate, html, language, packing, pii, quality, simhash, substrings, urls  # noqa: F401
 from prepspark.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
-from functools import wraps
+from functools import lru_cache, wraps
 from pathlib import Path
 
 import numpy as np
@@ -76,6 +76,14 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, li
         start = stop
 
 
+@lru_cache(maxsize=2)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base modulo 2 ** 64 and of its inverse: prefix sums of rolling hashes."""
+    base = 0x9E3779B97F4A7C15
+    up, down = (np.cumprod(np.concatenate(([np.uint64(1)], np.full(n - 1, b, dtype=np.uint64)))) for b in (base, pow(base, -1, 1 << 64)))
+    return up, down
+
+
 def map_text(df: DataFrame, fn: Callable[[list[str]], dict[str, list]], schema: str, keep: list[str], text: str = "text") -> DataFrame:
     """Add the columns ``fn`` computes from a run of texts to the columns ``keep``; narrow, one pass, bounded memory.
 
@@ -121,11 +129,15 @@ def _parse(spark: SparkSession, ddl: str):
     return StructType.fromDDL(ddl) if hasattr(StructType, "fromDDL") else spark.createDataFrame([], ddl).schema
 
 
-#: Rows up to which a lookup side is broadcast; beyond, the join shuffles.
+#: Rows and bytes up to which a lookup side is broadcast; beyond, the join shuffles.
 SMALL_ROWS = 100_000
+SMALL_BYTES = 32_000_000
 
 
 def flagged(df: DataFrame, marks: DataFrame, key: str) -> DataFrame:
-    """Left join with one row of ``marks`` per key. A few marks are broadcast (their number is counted first)."""
-    few = marks.count() <= SMALL_ROWS
+    """Left join with one row of ``marks`` per key. A few marks are broadcast: their rows and bytes are counted first."""
+    wide = [c for c, t in marks.dtypes if t in ("string", "binary")]
+    size = F.lit(8 * len(marks.columns)) + sum((F.coalesce(F.octet_length(ref(c)), F.lit(0)) for c in wide), F.lit(0))
+    n, total = marks.agg(F.count("*"), F.coalesce(F.sum(size.cast("bigint")), F.lit(0))).first()
+    few = n <= SMALL_ROWS if not wide else total <= SMALL_BYTES
     return df.join(F.broadcast(marks) if few else marks, key, "left")

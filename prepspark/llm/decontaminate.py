@@ -10,7 +10,6 @@ compared token by token. Items of 5 to 12 tokens must occur as they are; shorter
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -19,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prepspark.llm.common import blocks, flagged, load, query, ref
+from prepspark.llm.common import blocks, flagged, load, powers, query, ref
 from prepspark.session import materialize
 
 SPAN = 13
@@ -29,20 +28,12 @@ LEAST = 5
 #: Bits of the table that is sent to every task (2 MB).
 TABLE_BITS = 24
 # Odd multipliers of the hashes.
-_BASE = 0x9E3779B97F4A7C15
 _MULT = [0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9]
 _OUTSIDE = regex.compile("[\u0080-©«-´¶-¹»-¿ -⁯　-〿]")
 _WORD = np.zeros(256, dtype=bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    back = pow(_BASE, -1, 1 << 64)
-    up, down = (np.cumprod(np.concatenate(([np.uint64(1)], np.full(n - 1, b, dtype=np.uint64)))) for b in (_BASE, back))
-    return up, down
-
-
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(_MULT[0])
     return h ^ (h >> np.uint64(29))
@@ -62,7 +53,7 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         edge = np.concatenate(([0], edge))
     start, stop = edge[::2], edge[1::2]
     size = 1 << max(16, int(len(raw) - 1).bit_length())
-    up, down = _powers(size)
+    up, down = powers(size)
     total = np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:len(raw)])
     before = np.where(start > 0, total[start - 1], np.uint64(0))
     return _mix((total[stop - 1] - before) * down[start]), np.searchsorted(ends, start, side="right")
