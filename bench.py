@@ -12,7 +12,7 @@ HEADLINE = [
     "dedup_rows", "impute_auto", "table_diff", "scale_standard", "scale_robust", "encode_auto", "encode_label_shuffled",
     "encode_target_mean", "bin_quantile", "bin_kmeans", "row_stats", "polynomial", "text_counts", "text_vocab", "text_sequence", "text_tfidf",
     "text_sentiment", "datetime_parts_full", "f_classif", "select_k_best", "reduce_pca", "cluster_features", "value_counts", "histogram",
-    "box_stats", "corr_matrix", "chi_square", "vif", "split_random", "split_stratified", "split_timeseries", "kfold", "kfold_group",
+    "box_stats", "corr_matrix", "chi_square", "vif", "split_random", "split_stratified", "split_timeseries", "kfold", "kfold_group", "split_stratified_many",
     "oversample", "undersample", "smote", "vectorize", "run_autonomy", "run_summary", "stage_status", "stream_run_metrics", "scan_csv", "prepare",
 ]
 

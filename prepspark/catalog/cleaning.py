@@ -117,6 +117,22 @@ def table_diff(spark, d):
     return clean.table_diff(doubled(spark, d), after, ["o_orderkey"])
 
 
+@query("table_diff_repeats", f"""WITH b AS ({DOUBLED}), a AS (SELECT o_orderkey, o_custkey, o_orderstatus FROM b UNION ALL
+SELECT o_orderkey, o_custkey + 1, o_orderstatus FROM orders WHERE o_orderkey % 10 = 3), n AS (SELECT count(*) FILTER (o_orderkey % 10 = 3) AS k FROM orders),
+c AS (SELECT o_orderkey, 0 - o_custkey - 1 AS o_custkey, o_orderstatus FROM orders WHERE o_orderkey % 10 = 0 UNION ALL SELECT o_orderkey, o_custkey, o_orderstatus FROM a)
+SELECT 'rows_removed' AS item, (0 - (SELECT k FROM n))::BIGINT AS value UNION ALL SELECT 'keys_lost', 0 UNION ALL SELECT 'keys_new', 0 UNION ALL SELECT 'columns_lost', 3
+UNION ALL SELECT 'different_cells', count(*) FILTER (o_orderkey % 10 = 0) FROM orders UNION ALL SELECT 'different:o_custkey', count(*) FILTER (o_orderkey % 10 = 0) FROM orders
+UNION ALL SELECT 'different:o_orderstatus', 0""")
+def table_diff_repeats(spark, d):
+    """Keys with two rows: one of a pair is changed, and elsewhere a second row is added."""
+    b = doubled(spark, d)
+    o = load(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    changed = o.withColumn("o_custkey", F.when(F.col("o_orderkey") % 10 == 0, -F.col("o_custkey") - 1).otherwise(F.col("o_custkey")))
+    again = o.where("o_orderkey % 10 = 0")
+    extra = o.where("o_orderkey % 10 = 3").withColumn("o_custkey", F.col("o_custkey") + 1)
+    return clean.table_diff(b, changed.unionByName(again).unionByName(extra), ["o_orderkey"])
+
+
 # ---- scaling ---------------------------------------------------------------------------------------
 
 def _scaled(expr: str, cols: list[str] = NUM4) -> str:

@@ -24,17 +24,19 @@ def target_distribution(spark, d):
 
 
 @query("target_summary", """SELECT 'status' AS target, 'class:' || o_orderstatus AS item, count(*)::DOUBLE AS value FROM orders GROUP BY o_orderstatus
+UNION ALL SELECT 'brand', 'class:' || p_brand, count(*)::DOUBLE FROM part GROUP BY p_brand
 UNION ALL SELECT 'price', 'mean', round(avg(o_totalprice), 4) FROM orders UNION ALL SELECT 'price', 'std', round(stddev_samp(o_totalprice), 4) FROM orders""")
 def target_summary(spark, d):
     o = load(spark, d, "orders")
     a = eda.target_summary(o, "o_orderstatus").withColumn("target", F.lit("status"))
+    a = a.unionByName(eda.target_summary(load(spark, d, "part"), "p_brand").withColumn("target", F.lit("brand")))
     return round_doubles(a.unionByName(eda.target_summary(o, "o_totalprice").withColumn("target", F.lit("price"))), 4)
 
 
 def _hist_sql(c: str, k: int, table: str = "lineitem") -> str:
     return f"""SELECT '{c}' AS "column", b AS bin, lo + (b - 1) * (hi - lo) / {k} AS lo, lo + b * (hi - lo) / {k} AS hi,
   (SELECT count(*) FROM {table} WHERE least(floor(({c} - lo) / (hi - lo) * {k})::INTEGER + 1, {k}) = b) AS n
-FROM (SELECT min({c}) AS lo, max({c}) AS hi FROM {table}), (SELECT unnest(range(1, {k} + 1))::INTEGER AS b)"""
+FROM (SELECT min({c}) AS lo, max({c}) AS hi FROM {table}), (SELECT unnest(range(1, {k} + 1)) AS b)"""
 
 
 @query("histogram", f"SELECT \"column\", bin, round(lo, 6) AS lo, round(hi, 6) AS hi, n::BIGINT AS n FROM ({union_all([_hist_sql(c, 30) for c in NUM4])})")
@@ -46,7 +48,7 @@ def histogram(spark, d):
 k AS (SELECT lo, hi, greatest(1, ceil((hi - lo) / least(2 * iqr / n ** (1 / 3.0), (hi - lo) / (log2(n) + 1))))::INTEGER AS k FROM s),
 c AS (SELECT least(floor((value - lo) / (hi - lo) * k)::INTEGER + 1, k) AS b, count(*) AS n FROM events, k GROUP BY 1)
 SELECT 'value' AS "column", g.b AS bin, round(lo + (g.b - 1) * (hi - lo) / k, 6) AS lo, round(lo + g.b * (hi - lo) / k, 6) AS hi, coalesce(c.n, 0)::BIGINT AS n
-FROM (SELECT lo, hi, k, unnest(range(1, k + 1))::INTEGER AS b FROM k) g LEFT JOIN c ON c.b = g.b""")
+FROM (SELECT lo, hi, k, unnest(range(1, k + 1)) AS b FROM k) g LEFT JOIN c ON c.b = g.b""")
 def histogram_auto(spark, d):
     return round_doubles(eda.histogram(load(spark, d, "events"), ["value"], "auto"))
 
@@ -92,7 +94,7 @@ _DCOLS = ["qty", "price", "net", "gross", "twice"]
 
 @query("high_corr_pairs", "WITH t AS (" + _DERIVED + ") SELECT a, b, round(r, 6) AS r FROM (" + union_all([
     f"SELECT {i * 10 + j} AS pos, '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM t" for i, a in enumerate(_DCOLS) for j, b in enumerate(_DCOLS) if i < j
-]) + ") WHERE abs(r) > 0.8 ORDER BY pos LIMIT 10")
+]) + ") WHERE abs(r) > 0.8 ORDER BY pos")
 def high_corr_pairs(spark, d):
     item = load(spark, d, "lineitem")
     p = F.col("l_extendedprice")
@@ -118,6 +120,19 @@ def chi_square(spark, d):
     return round_doubles(eda.chi_square(t, "o_orderstatus", with_p=False))
 
 
+_P_EVEN = "exp(-chi2 / 2) * list_sum(list_transform(range(0, (dof // 2)::INTEGER), lambda i: (chi2 / 2) ** i / gamma(i + 1.0)))"
+
+
+@query("chi_square_p", f"""WITH t AS (SELECT o_orderstatus, o_orderpriority, CASE WHEN o_totalprice > 250000 THEN 'big' ELSE 'small' END AS size FROM orders), c AS (
+{union_all([_chi_sql(c, "o_orderstatus", "t") for c in ("o_orderpriority", "size")])})
+SELECT "column", round(chi2, 6) AS chi2, dof::BIGINT AS dof, round({_P_EVEN}, 6) + 0.0 AS p_value FROM c""")
+def chi_square_p(spark, d):
+    """Both columns have an even number of degrees of freedom, for which the tail is a finite sum."""
+    o = load(spark, d, "orders")
+    t = o.select("o_orderstatus", "o_orderpriority", F.when(F.col("o_totalprice") > 250000, "big").otherwise("small").alias("size"))
+    return round_doubles(eda.chi_square(t, "o_orderstatus"))
+
+
 @query("chi_square_sparse", "SELECT \"column\", round(chi2, 5) AS chi2, dof::BIGINT AS dof FROM (" + union_all([_chi_sql(c, "lang", "documents") for c in ("source",)])
        + " UNION ALL " + _chi_sql("flag", "big", "(SELECT l_returnflag AS flag, l_quantity > 25 AS big FROM lineitem)") + ")")
 def chi_square_sparse(spark, d):
@@ -155,7 +170,10 @@ def missing_map(spark, d):
     return round_doubles(eda.missing_map(gaps(spark, d), ITEM_KEYS))
 
 
-@query("univariate_columns", "SELECT * FROM (VALUES ('o_orderkey', 'numeric'), ('o_custkey', 'numeric'), ('o_totalprice', 'numeric'), ('o_orderstatus', 'categorical'), ('o_orderpriority', 'categorical')) t(\"column\", \"group\") WHERE (SELECT count(*) FROM orders) > 0")
+@query("univariate_columns", union_all([
+    f"SELECT '{c}' AS \"column\", '{g}' AS \"group\", count({c})::BIGINT AS n FROM orders" for c, g in (
+        ("o_orderkey", "numeric"), ("o_custkey", "numeric"), ("o_totalprice", "numeric"), ("o_orderstatus", "categorical"), ("o_orderpriority", "categorical"))
+]))
 def univariate_columns(spark, d):
     return eda.univariate_columns(load(spark, d, "orders"))
 
@@ -175,8 +193,12 @@ UNION ALL SELECT 'box', 'price', 'outliers', count(*) FILTER (price < q1 - 1.5 *
 UNION ALL SELECT 'skew', 'price', 'skew', skewness(price) FROM t UNION ALL SELECT 'corr', 'price', 'price', 1 UNION ALL SELECT 'vif', 'price', 'vif', 1
 UNION ALL SELECT 'target', 'status', status, count(*) / (SELECT count(*) FROM t)::DOUBLE FROM t GROUP BY status
 UNION ALL SELECT 'target_imbalanced', 'status', 'imbalanced', (min(n) / sum(n)::DOUBLE < 0.2)::INTEGER FROM (SELECT count(*) AS n FROM t GROUP BY status)
+UNION ALL SELECT 'importance', NULL, 'sum', 1
 UNION ALL SELECT 'chi_square', 'priority', 'chi2', chi2 FROM (""" + _chi_sql("priority", "status", "t") + """))
 SELECT section, "column", metric, round(value::DOUBLE, 4) + 0.0 AS value FROM r""")
 def eda_report(spark, d):
     t = load(spark, d, "orders").select(F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
-    return round_doubles(eda.eda_report(t, "status").where("metric <> 'bytes'"), 4)
+    r = eda.eda_report(t, "status").where("metric <> 'bytes'")
+    shares = r.where("section = 'importance'").agg(F.sum("value").alias("value")).select(
+        F.lit("importance").alias("section"), F.lit(None).cast("string").alias("column"), F.lit("sum").alias("metric"), "value")
+    return round_doubles(r.where("section <> 'importance'").unionByName(shares), 4)

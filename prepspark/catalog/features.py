@@ -33,15 +33,18 @@ def row_missing(spark, d):
     return rowfeat.row_missing(gaps(spark, d)).select(*ITEM_KEYS, "l_extendedprice", "missing_count", rnd("missing_ratio"))
 
 
-_INTER = """round(l_quantity * l_discount, 6) AS l_quantity_times_l_discount,
-  round(l_quantity / CASE WHEN l_discount = 0 THEN 1 ELSE l_discount END, 6) AS l_quantity_div_l_discount,
-  round(l_quantity + l_discount, 6) AS l_quantity_plus_l_discount, round(l_quantity - l_discount, 6) AS l_quantity_minus_l_discount"""
+_PAIRED = ["l_quantity", "l_discount", "l_tax"]
+_INTER = ", ".join(
+    f"round({a} * {b}, 6) AS {a}_times_{b}, round({a} / CASE WHEN {b} = 0 THEN 1 ELSE {b} END, 6) AS {a}_div_{b}, "
+    f"round({a} + {b}, 6) AS {a}_plus_{b}, round({a} - {b}, 6) + 0.0 AS {a}_minus_{b}"
+    for i, a in enumerate(_PAIRED) for b in _PAIRED[i + 1:]
+)
 
 
-@query("interactions", f"SELECT {_K}, l_quantity, l_discount, {_INTER} FROM lineitem")
+@query("interactions", f"SELECT {_K}, {', '.join(_PAIRED)}, {_INTER} FROM lineitem")
 def interactions(spark, d):
-    items = load(spark, d, "lineitem").select(*ITEM_KEYS, "l_quantity", "l_discount")
-    return round_doubles(rowfeat.interactions(items, ["l_quantity", "l_discount"]))
+    items = load(spark, d, "lineitem").select(*ITEM_KEYS, *_PAIRED)
+    return round_doubles(rowfeat.interactions(items, _PAIRED))
 
 
 def _poly_sql(cols: list[str]) -> list[str]:
@@ -108,28 +111,38 @@ def text_vocab(spark, d):
     return text.text_vocab(spread(load(spark, d, "documents").select("text")), "text")
 
 
-@query("text_sequence", f"""WITH {_VOCAB}, k AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM t),
+def _sequence_sql(last: str) -> str:
+    return f"""WITH {_VOCAB}, k AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM t),
 r AS (SELECT doc_id, idx, row_number() OVER (PARTITION BY doc_id ORDER BY pos DESC) AS back FROM k JOIN voc USING (word)),
-s AS (SELECT doc_id, count(*) AS n, sum(idx) AS s FROM r WHERE back <= 100 GROUP BY 1)
-SELECT doc_id, coalesce(n, 0)::INTEGER AS text_sequence_length, coalesce(s, 0)::BIGINT AS text_sequence_sum FROM documents LEFT JOIN s USING (doc_id)""")
+s AS (SELECT doc_id, count(*) AS n, sum(idx) AS s FROM r {last} GROUP BY 1)
+SELECT doc_id, coalesce(n, 0)::INTEGER AS text_sequence_length, coalesce(s, 0)::BIGINT AS text_sequence_sum FROM documents LEFT JOIN s USING (doc_id)"""
+
+
+@query("text_sequence", _sequence_sql(""))
 def text_sequence(spark, d):
     return text.text_sequence(spread(load(spark, d, "documents").select("doc_id", "text")), "text").drop("text")
 
 
+@query("text_sequence_last", _sequence_sql("WHERE back <= 100"))
+def text_sequence_last(spark, d):
+    """The last hundred known tokens, asked for."""
+    return text.text_sequence(spread(load(spark, d, "documents").select("doc_id", "text")), "text", max_length=100).drop("text")
+
+
 _WORD = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')"
 _TFIDF_W = ", ".join(f"coalesce(sum(w) FILTER (i = {i}), 0) AS w{i}" for i in range(10))
 _TFIDF_N = "sqrt(" + " + ".join(f"w{i} * w{i}" for i in range(10)) + ")"
 
 
-@query("text_tfidf", f"""WITH t AS (SELECT conv_id, turn, {_WORD} AS ws FROM conversations), u AS (SELECT conv_id, turn, unnest(ws) AS w FROM t),
+@query("text_tfidf", f"""WITH t AS (SELECT doc_id, {_WORD} AS ws FROM documents), u AS (SELECT doc_id, unnest(ws) AS w FROM t),
 best AS (SELECT w FROM u GROUP BY 1 ORDER BY count(*) DESC, w LIMIT 10), top AS (SELECT w, row_number() OVER (ORDER BY w) - 1 AS i FROM best),
-tf AS (SELECT conv_id, turn, i, count(*) AS tf FROM u JOIN top USING (w) GROUP BY 1, 2, 3),
+tf AS (SELECT doc_id, i, count(*) AS tf FROM u JOIN top USING (w) GROUP BY 1, 2),
 idf AS (SELECT i, ln((1.0::DOUBLE + (SELECT count(*) FROM t)) / (1.0::DOUBLE + count(*))) + 1 AS idf FROM tf GROUP BY i),
-k AS (SELECT conv_id, turn, i, tf * idf AS w FROM tf JOIN idf USING (i)),
-x AS (SELECT conv_id, turn, {_TFIDF_W} FROM t LEFT JOIN k USING (conv_id, turn) GROUP BY 1, 2), n AS (SELECT *, {_TFIDF_N} AS norm FROM x)
-SELECT conv_id, turn, {', '.join(f'round(CASE WHEN norm > 0 THEN w{i} / norm ELSE 0 END, 6) AS text_tfidf_{i}' for i in range(10))} FROM n""")
+k AS (SELECT doc_id, i, tf * idf AS w FROM tf JOIN idf USING (i)),
+x AS (SELECT doc_id, {_TFIDF_W} FROM t LEFT JOIN k USING (doc_id) GROUP BY 1), n AS (SELECT *, {_TFIDF_N} AS norm FROM x)
+SELECT doc_id, {', '.join(f'round(CASE WHEN norm > 0 THEN w{i} / norm ELSE 0 END, 6) AS text_tfidf_{i}' for i in range(10))} FROM n""")
 def text_tfidf(spark, d):
-    c = spread(load(spark, d, "conversations").select("conv_id", "turn", "text"))
+    c = spread(load(spark, d, "documents").select("doc_id", "text"))
     return round_doubles(text.text_tfidf(c, "text").drop("text"))
 
 
@@ -285,7 +298,7 @@ def reduce_svd(spark, d):
 
 @query("cluster_features", union_all([f"SELECT {k} AS k, count(*)::BIGINT AS n_rows, {k}::BIGINT AS labels, 0::BIGINT AS bad_distances FROM lineitem" for k in (2, 3, 5)]))
 def cluster_features(spark, d):
-    """Rows, labels used, and rows without a valid distance, per k."""
+    """Rows, labels used, and rows without a valid distance, per k; labels and distances are held against brute force in the tests."""
     out = reduce.cluster_features(load(spark, d, "lineitem").select(*NUM4), NUM4)
     tall = out.select(F.explode(F.array(*[
         F.struct(F.lit(k).alias("k"), F.col(f"cluster_k{k}").alias("label"), F.col(f"cluster_k{k}_dist").alias("dist")) for k in (2, 3, 5)
@@ -293,6 +306,14 @@ def cluster_features(spark, d):
     return tall.groupBy("k").agg(F.count("*").alias("n_rows"), F.count_distinct("label").alias("labels"), F.count_if(~(F.col("dist") >= 0)).alias("bad_distances"))
 
 
+@query("rf_importance_leader", "SELECT 'l_extendedprice' AS feature, true AS leads FROM lineitem LIMIT 1")
+def rf_importance_leader(spark, d):
+    """One column decides the target: its share leads by far."""
+    item = load(spark, d, "lineitem").select(*NUM4, (F.col("l_extendedprice") > 30000).cast("int").alias("y"))
+    imp = reduce.rf_importance(item, "y", trees=10, depth=5)
+    return imp.orderBy(F.desc("importance")).limit(1).select("feature", (F.col("importance") > 0.7).alias("leads"))
+
+
 @query("rf_importance", "SELECT count(*)::BIGINT AS features, 1.0::DOUBLE AS total, true AS non_negative FROM (VALUES (1), (2), (3), (4), (5)) WHERE (SELECT count(*) FROM part) > 0")
 def rf_importance(spark, d):
     p = load(spark, d, "part").select("p_name", "p_brand", "p_type", "p_size", "p_partkey", "p_retailprice")

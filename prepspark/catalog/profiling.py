@@ -47,7 +47,7 @@ def top_missing(spark, d):
     return round_doubles(P.top_missing(gaps(spark, d)))
 
 
-@query("high_missing", _MISSING + 'SELECT "column", missing, missing_pct FROM m WHERE missing_pct > 30 ORDER BY ord LIMIT 5')
+@query("high_missing", _MISSING + 'SELECT "column", missing, missing_pct FROM m WHERE missing_pct > 30 ORDER BY ord')
 def high_missing(spark, d):
     return round_doubles(P.high_missing(gaps(spark, d)))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from prepspark.catalog.base import load, query, round_doubles
-from prepspark.operators import runs
+from prepspark.operators import clean, runs
 from prepspark.sources import history
 from prepspark.session import scratch_path
 from prepspark.streaming import ingest, metrics
@@ -134,9 +134,22 @@ def stream_run_metrics(spark, d):
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query("stream_file_ingest", "SELECT event_id, ts, user_id, event_type, value FROM events")
+@query("stream_file_ingest", """WITH g AS (SELECT event_id, ts, CASE WHEN event_id % 7 <> 3 THEN user_id::DOUBLE END AS user_id, event_type, CASE WHEN event_id % 5 <> 1 THEN value END AS value FROM events),
+r AS (SELECT * FROM g UNION ALL SELECT * FROM g WHERE event_id % 10 = 0), m AS (SELECT avg(user_id) AS u, avg(value) AS v FROM r)
+SELECT files, event_id, ts, round(coalesce(user_id, u), 6) AS user_id, event_type, round(coalesce(value, v), 6) AS value FROM g, m, (SELECT unnest(['1', '100']) AS files)""")
 def stream_file_ingest(spark, d):
-    schema = load(spark, d, "events").schema
-    stream = ingest.file_stream(spark, d, schema, pathGlobFilter="events.parquet")
-    out = ingest.stream_file_ingest(stream, scratch_path(spark, "ingest"), scratch_path(spark, "ckpt"))
-    return out.select("event_id", "ts", "user_id", "event_type", "value")
+    """Events with gaps and repeats over several files: one file a batch and all at once give the same table."""
+    e = load(spark, d, "events")
+    g = e.select("event_id", "ts", F.when(F.col("event_id") % 7 != 3, F.col("user_id")).alias("user_id"), "event_type", F.when(F.col("event_id") % 5 != 1, F.col("value")).alias("value"))
+    again = g.where("event_id % 10 = 0")
+    folder = scratch_path(spark, "arrivals")
+    g.repartition(3).write.parquet(folder)
+    again.repartition(2).write.mode("append").parquet(folder)
+    arrived = spark.read.parquet(folder)
+    fit, out = clean.fit_cleaning(arrived), None
+    for n in ("1", "100"):
+        stream = ingest.file_stream(spark, folder, arrived.schema, maxFilesPerTrigger=n)
+        one = ingest.stream_file_ingest(stream, scratch_path(spark, "ingest"), scratch_path(spark, "ckpt"), fit, ["event_id"], "ts", "3650 days")
+        one = one.select("event_id", "ts", "user_id", "event_type", "value").withColumn("files", F.lit(n))
+        out = one if out is None else out.unionByName(one)
+    return round_doubles(out)

@@ -38,6 +38,41 @@ def split_stratified(spark, d):
     return split.split_stratified(load(spark, d, "orders"), ["o_orderkey"], "o_orderpriority").select("o_orderkey", "o_orderpriority", "part")
 
 
+# every line twice: over ten thousand classes of two rows and more at sf0.01
+_LINES = "(SELECT l_orderkey % 12000 AS c, l_orderkey || '-' || l_linenumber || '-' || copy AS id FROM lineitem, (SELECT unnest([0, 1]) AS copy))"
+_LINE_H = "md5(concat_ws('|', id, '42'))"
+
+
+def _lines(spark, d):
+    item = load(spark, d, "lineitem").withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    return item.select((F.col("l_orderkey") % 12000).alias("c"), F.concat_ws("-", "l_orderkey", "l_linenumber", "copy").alias("id"))
+
+
+@query("split_stratified_many", f"""WITH o AS {_LINES}, s AS (SELECT c::VARCHAR AS c, count(*) AS n FROM o GROUP BY 1), t AS (SELECT sum(n)::BIGINT AS n, ceil(sum(n) * 0.2::DOUBLE)::BIGINT AS w FROM s),
+q AS (SELECT c, (w * s.n) // t.n AS base, row_number() OVER (ORDER BY (w * s.n) % t.n DESC, c) AS pos FROM s, t),
+k AS (SELECT c, base + (pos <= (SELECT max(w) FROM t) - (SELECT sum(base) FROM q))::INTEGER AS quota FROM q),
+r AS (SELECT c::VARCHAR AS c, id, row_number() OVER (PARTITION BY c ORDER BY {_LINE_H}) AS rn FROM o)
+SELECT id, CASE WHEN rn <= quota THEN 'test' ELSE 'train' END AS part FROM r JOIN k USING (c)""")
+def split_stratified_many(spark, d):
+    return split.split_stratified(_lines(spark, d), ["id"], "c", max_classes=1000).select("id", "part")
+
+
+@query("undersample_many", f"""WITH o AS {_LINES}, r AS (SELECT id, row_number() OVER (PARTITION BY c ORDER BY {_LINE_H}) AS rn FROM o)
+SELECT id FROM r WHERE rn <= (SELECT min(n) FROM (SELECT count(*) AS n FROM o GROUP BY c))""")
+def undersample_many(spark, d):
+    return balance.undersample(_lines(spark, d), "c", ["id"], max_classes=1000).select("id")
+
+
+@query("kfold_stratified_many", f"""WITH o AS {_LINES}, s AS (SELECT c::VARCHAR AS c, count(*) AS n FROM o GROUP BY 1),
+t AS (SELECT c, n, coalesce(sum(n) OVER (ORDER BY c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 3 AS turn FROM s),
+f AS (SELECT c, fold, n // 3 + ((fold - turn + 3) % 3 < n % 3)::INTEGER AS size FROM t, (SELECT unnest(range(0, 3)) AS fold)),
+b AS (SELECT c, fold, sum(size) OVER (PARTITION BY c ORDER BY fold) AS up_to, size FROM f),
+r AS (SELECT id, c::VARCHAR AS c, row_number() OVER (PARTITION BY c ORDER BY {_LINE_H}) AS rn FROM o)
+SELECT id, fold::INTEGER AS fold FROM r JOIN b ON r.c = b.c AND rn <= up_to AND rn > up_to - size""")
+def kfold_stratified_many(spark, d):
+    return split.kfold_stratified(_lines(spark, d), ["id"], "c", 3, max_classes=1000).select("id", "fold")
+
+
 @query("split_summary", f"""WITH {_STRATIFIED} SELECT part, o_orderpriority AS class, count(*)::BIGINT AS rows,
   round(count(*) / sum(count(*)) OVER (PARTITION BY part)::DOUBLE, 6) AS share FROM p GROUP BY 1, 2""")
 def split_summary(spark, d):
@@ -153,6 +188,21 @@ def smote(spark, d):
 
 
 
+@query("smote_many", """WITH t AS (SELECT l_orderkey % 1500 AS c FROM lineitem), s AS (SELECT c, count(*) AS n FROM t GROUP BY 1 HAVING count(*) > 2)
+SELECT c::BIGINT AS c, (SELECT max(n) FROM s)::BIGINT AS n_rows, n::BIGINT AS originals, true AS within FROM s""")
+def smote_many(spark, d):
+    """Over a thousand classes; a class's added rows stay within its own range."""
+    item = load(spark, d, "lineitem").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), (F.col("l_orderkey") % 1500).alias("c"),
+        (F.col("l_extendedprice") + (F.col("l_orderkey") % 1500) * 1_000_000).alias("x"))
+    sizes = item.groupBy("c").agg(F.count("*").alias("k")).where("k > 2")
+    t = item.join(sizes.select("c"), "c")
+    out = balance.smote(t, "c", ["id"], k=2)
+    made = F.col("id").isNull()
+    inside = F.coalesce((F.min(F.when(made, F.col("x"))) >= F.min(F.when(~made, F.col("x")))) & (F.max(F.when(made, F.col("x"))) <= F.max(F.when(~made, F.col("x")))), F.lit(True))
+    return out.groupBy("c").agg(F.count("*").alias("n_rows"), F.count("id").alias("originals"), inside.alias("within"))
+
+
 @query("balance_auto", """WITH t AS (SELECT 'moderate' AS name, (o_custkey % 6 = 0)::INTEGER AS flag FROM orders UNION ALL SELECT 'mild', (o_custkey % 3 = 0)::INTEGER FROM orders
 UNION ALL SELECT 'severe', (o_custkey % 20 = 0)::INTEGER FROM orders), c AS (SELECT name, flag, count(*) AS n FROM t GROUP BY 1, 2),
 m AS (SELECT name, max(n) AS hi, min(n) AS lo FROM c GROUP BY 1)

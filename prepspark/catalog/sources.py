@@ -24,19 +24,30 @@ def scan_csv_inferred(spark, d):
     return files.scan_csv(spark, path)
 
 
-_FLAT = "regexp_replace(text, '[\\n\\r]+', ' ', 'g')"
+@query("scan_csv_documents", "SELECT doc_id, text FROM documents")
+def scan_csv_documents(spark, d):
+    """Texts with line breaks, quotes and commas come back as they were."""
+    docs = load(spark, d, "documents").select("doc_id", "text")
+    return files.scan_csv(spark, files.sink_stage(docs, scratch_path(spark, "csv"), "docs", "csv"), docs.schema)
 
 
-@query("scan_csv_encoding", f"""SELECT doc_id, {_FLAT} AS flat, 'ISO-8859-1' AS stored FROM documents UNION ALL SELECT doc_id, {_FLAT}, 'UTF-8' FROM documents""")
+@query("scan_csv_corrupt", "SELECT count(*)::BIGINT AS n_rows, count(*) FILTER (o_orderkey % 9 = 0)::BIGINT AS bad, count(*) FILTER (o_orderkey % 9 <> 0)::BIGINT AS keys FROM orders")
+def scan_csv_corrupt(spark, d):
+    """Cells that are no numbers are counted, not lost."""
+    o = load(spark, d, "orders")
+    raw = o.select(F.when(F.col("o_orderkey") % 9 == 0, "oops").otherwise(F.col("o_orderkey").cast("string")).alias("o_orderkey"), "o_orderstatus")
+    path = files.sink_stage(raw, scratch_path(spark, "csv"), "orders", "csv")
+    got = files.scan_csv(spark, path, "o_orderkey bigint, o_orderstatus string", keep_corrupt=True).cache()
+    return got.agg(F.count("*").alias("n_rows"), F.count(files.CORRUPT).alias("bad"), F.count("o_orderkey").alias("keys"))
+
+
+@query("scan_csv_encoding", "SELECT doc_id, text, 'ISO-8859-1' AS stored FROM documents UNION ALL SELECT doc_id, text, 'UTF-8' FROM documents")
 def scan_csv_encoding(spark, d):
-    """The same texts stored in either encoding read back alike."""
-    docs = load(spark, d, "documents").select("doc_id", F.regexp_replace("text", "[\\n\\r]+", " ").alias("flat"))
-    out = None
+    """The same texts stored in either encoding, side by side in one folder, read back alike."""
+    docs, root = load(spark, d, "documents").select("doc_id", "text"), scratch_path(spark, "csv")
     for encoding in ("ISO-8859-1", "UTF-8"):
-        path = files.sink_stage(docs, scratch_path(spark, "csv"), "docs", "csv", encoding=encoding)
-        one = files.scan_csv_encoding(spark, path, docs.schema).withColumn("stored", F.lit(encoding))
-        out = one if out is None else out.unionByName(one)
-    return out
+        files.sink_stage(docs.withColumn("stored", F.lit(encoding)), root, "docs", "csv", "append", encoding)
+    return files.scan_csv_encoding(spark, f"{root}/docs", "doc_id bigint, text string, stored string")
 
 
 @query("sink_stage", "SELECT 'parquet' AS stored, * FROM customer UNION ALL SELECT 'csv', * FROM customer")

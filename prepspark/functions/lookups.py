@@ -13,6 +13,7 @@ BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 32 * 1024 * 1024
 #: keys treated as hot in the shuffled variant
 HOT_KEYS = 1_000
+HOT_BYTES = 1_000
 
 
 def join_small(df: DataFrame, key: Column, table: DataFrame, drop: list[str] = ()) -> DataFrame:
@@ -28,7 +29,8 @@ def join_large(df: DataFrame, key: Column, table: DataFrame, weight: str = "n")
     partitions for the shuffle. Null keys are spread the same way.
     """
     values = [c for c in table.columns if c not in ("__key", weight)]
-    hot = table.orderBy(F.desc(weight), "__key").limit(HOT_KEYS)
+    # hot keys are few and their rows short: the others stay in the shuffle
+    hot = table.where(F.octet_length("__key") <= HOT_BYTES).orderBy(F.desc(weight), "__key").limit(HOT_KEYS)
     hot = hot.select(F.col("__key").alias("__hot"), *[F.col(c).alias(f"__hot_{c}") for c in values])
     hashable = [col(c) for c, k in kinds(df).items() if k != "nested"]
     # the reading task's number separates equal rows too, and a repeated task gives the same value again
@@ -44,8 +46,12 @@ def lookup_join(df: DataFrame, table: DataFrame, key: Column, weight: str = "n",
     """Measure ``table`` (computed once, kept on the executors), then broadcast it or shuffle."""
     limit = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
     table = table.persist(StorageLevel.MEMORY_AND_DISK)
-    size = table.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("__key")), F.lit(0)).alias("b")).first()
-    if size["n"] > limit or size["b"] > BROADCAST_BYTES:
+    # rows first; their whole size, keys and values, only where the rows are few
+    small = table.count() <= limit
+    if small:
+        cells = F.octet_length(F.to_json(F.struct(*[col(c) for c in table.columns])))
+        small = (table.agg(F.sum(cells.cast("long"))).first()[0] or 0) <= BROADCAST_BYTES
+    if not small:
         return join_large(df, key, table, weight)
     local = df.sparkSession.createDataFrame(table.collect(), table.schema)
     table.unpersist()

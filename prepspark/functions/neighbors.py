@@ -24,13 +24,11 @@ from prepspark.session import materialize
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LEAF_POINTS = 1_000
-MAX_LEAVES = 65_536
-TREE_SAMPLE = 100_000
+#: vectors that shape the tree of one group, at most
+TREE_SAMPLE = 50_000
 #: query points that one visit of a leaf handles
 VISIT_POINTS = 50_000
 _BLOCK = 256
-#: leaf ids are tree node * groups + group
-MAX_GROUPS = 1_024
 
 _CANDIDATES = "array<struct<dist:double,vec:array<double>,n:bigint>>"
 
@@ -103,69 +101,72 @@ def _nearest(queries: np.ndarray, points: np.ndarray, weights: np.ndarray, k: in
 def nearest_vectors(points: DataFrame, k: int = 5, leaf_points: int | None = None) -> DataFrame:
     """(g, vec, n, neighbours): for each distinct vector its k nearest rows' vectors in the same group.
 
-    ``points(g int, vec array<double>)`` has a row per point; groups are few. A
-    vector is listed once per row that holds it. A point is not its own
-    neighbour; its duplicates are.
+    ``points(g string, vec array<double>)`` has a row per point. A vector is
+    listed once per row that holds it. A point is not its own neighbour; its
+    duplicates are. Every group has its own tree, as deep as its size asks for.
     """
     spark = points.sparkSession
     leaf_points = leaf_points or LEAF_POINTS
     distinct = materialize(points.groupBy("g", "vec").agg(F.count("*").alias("n")), "vectors")
-    sizes = {r["g"]: r["count"] for r in distinct.groupBy("g").count().collect()}
-    room = max(1, MAX_LEAVES // max(1, len(sizes)))
-    every = max(1, sum(sizes.values()) // TREE_SAMPLE)
-    chosen = distinct.where(F.pmod(F.xxhash64("vec"), F.lit(every)) == 0).select("g", "vec").limit(2 * TREE_SAMPLE)
-    samples: dict[int, list] = {g: [] for g in sizes}
-    for r in chosen.collect():
-        samples[r["g"]].append(r["vec"])
+    # only groups beyond one leaf need a tree: there are at most rows / leaf_points of them
+    sizes = distinct.groupBy("g").agg(F.count("*").alias("m")).where(F.col("m") > leaf_points)
+    large = {r["g"]: r["m"] for r in sizes.collect()}
     trees = {}
-    for g, m in sizes.items():
-        depth = 0
-        while 2**depth * leaf_points < m and 2**depth < room:
-            depth += 1
-        trees[g] = _Tree(np.array(samples[g] or [[0.0]], dtype=float), depth if samples[g] else 0)
+    if large:
+        share = sizes.select("g", F.least(F.lit(1.0), F.lit(float(TREE_SAMPLE)) / F.col("m"), F.lit(32.0 / leaf_points)).alias("share"))
+        draw = F.pmod(F.xxhash64("vec"), F.lit(1_000_003)) / 1_000_003
+        samples: dict[str, list] = {g: [] for g in large}
+        for r in distinct.join(F.broadcast(share), "g").where(draw < F.col("share")).select("g", "vec").toLocalIterator():
+            samples[r["g"]].append(r["vec"])
+        for g, m in large.items():
+            if samples[g]:
+                trees[g] = _Tree(np.array(samples[g], dtype=float), int(np.ceil(np.log2(m / leaf_points))))
 
     def tag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for g, part in pdf.groupby("g"):
-                yield part.assign(leaf=trees[g].leaf(_matrix(part["vec"])) * MAX_GROUPS + int(g))
+                yield part.assign(leaf=trees[g].leaf(_matrix(part["vec"])) if g in trees else 0)
 
-    tagged = materialize(distinct.mapInPandas(tag, "g int, vec array<double>, n bigint, leaf bigint"), "leaves")
+    tagged = materialize(distinct.mapInPandas(tag, "g string, vec array<double>, n bigint, leaf bigint"), "leaves")
 
     def box(pdf: pd.DataFrame) -> pd.DataFrame:
         x = _matrix(pdf["vec"])
-        return pd.DataFrame({"leaf": [pdf["leaf"].iloc[0]], "lo": [x.min(axis=0)], "hi": [x.max(axis=0)]})
+        return pd.DataFrame({"g": [pdf["g"].iloc[0]], "leaf": [pdf["leaf"].iloc[0]], "lo": [x.min(axis=0)], "hi": [x.max(axis=0)]})
 
-    # at most MAX_LEAVES boxes
-    rows = tagged.groupBy("leaf").applyInPandas(box, "leaf bigint, lo array<double>, hi array<double>").collect()
-    leaves = np.array([r["leaf"] for r in rows])
-    los, his = np.array([r["lo"] for r in rows]), np.array([r["hi"] for r in rows])
+    # boxes of the groups that have several leaves
+    boxes: dict[str, list] = {}
+    with_tree = tagged.where(F.col("g").isin(sorted(trees))) if len(trees) <= 1000 else tagged.join(F.broadcast(sizes.select("g")), "g", "left_semi")
+    if trees:
+        for r in with_tree.groupBy("g", "leaf").applyInPandas(box, "g string, leaf bigint, lo array<double>, hi array<double>").toLocalIterator():
+            boxes.setdefault(r["g"], []).append((r["leaf"], r["lo"], r["hi"]))
+    bounds = {g: (np.array([b[0] for b in rows]), np.array([b[1] for b in rows]), np.array([b[2] for b in rows])) for g, rows in boxes.items()}
 
     def own_leaf(pdf: pd.DataFrame) -> pd.DataFrame:
         x, w = _matrix(pdf["vec"]), pdf["n"].to_numpy()
         found = _nearest(x, x, w, k, True)
         radius = np.array([f[-1]["dist"] if sum(c["n"] for c in f) >= k else np.inf for f in found])
-        me = pdf["leaf"].iloc[0]
-        same = (leaves % MAX_GROUPS == me % MAX_GROUPS) & (leaves != me)
-        gap = np.maximum(0, np.maximum(los - x.max(axis=0), x.min(axis=0) - his))
-        reach = np.flatnonzero(((gap**2).sum(axis=1) <= radius.max()) & same)
-        visits = []
-        for i in range(len(x)):
-            apart = np.maximum(0, np.maximum(los[reach] - x[i], x[i] - his[reach]))
-            visits.append(leaves[reach[(apart**2).sum(axis=1) <= radius[i]]].tolist())
+        me, visits = pdf["leaf"].iloc[0], [[] for _ in range(len(x))]
+        if pdf["g"].iloc[0] in bounds:
+            leaves, los, his = bounds[pdf["g"].iloc[0]]
+            gap = np.maximum(0, np.maximum(los - x.max(axis=0), x.min(axis=0) - his))
+            reach = np.flatnonzero(((gap**2).sum(axis=1) <= radius.max()) & (leaves != me))
+            for i in range(len(x)):
+                apart = np.maximum(0, np.maximum(los[reach] - x[i], x[i] - his[reach]))
+                visits[i] = leaves[reach[(apart**2).sum(axis=1) <= radius[i]]].tolist()
         return pd.DataFrame({"g": pdf["g"], "vec": pdf["vec"], "n": w, "found": found, "visits": visits})
 
     first = materialize(
-        tagged.groupBy("leaf").applyInPandas(
-            own_leaf, f"g int, vec array<double>, n bigint, found {_CANDIDATES}, visits array<bigint>"
+        tagged.groupBy("g", "leaf").applyInPandas(
+            own_leaf, f"g string, vec array<double>, n bigint, found {_CANDIDATES}, visits array<bigint>"
         ),
         "near",
     )
     asked = first.select("g", "vec", F.explode("visits").alias("leaf"))
-    load = {r["leaf"]: r["count"] for r in asked.groupBy("leaf").count().collect()}
-    chunk_rows = [(int(leaf), int(-(-c // VISIT_POINTS))) for leaf, c in load.items()]
-    chunks = lambda: F.broadcast(spark.createDataFrame(chunk_rows, "leaf bigint, chunks int"))
-    asked = asked.join(chunks(), "leaf").withColumn("chunk", F.pmod(F.xxhash64("vec"), F.col("chunks")).cast("int"))
-    serving = tagged.join(chunks(), "leaf").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    load = asked.groupBy("g", "leaf").agg(F.ceil(F.count("*") / VISIT_POINTS).cast("int").alias("chunks"))
+    load = materialize(load, "visits")
+    fresh = lambda: load.select(*[F.col(c).alias(c) for c in load.columns])  # the two sides meet again below
+    asked = asked.join(fresh(), ["g", "leaf"]).withColumn("chunk", F.pmod(F.xxhash64("vec"), F.col("chunks")).cast("int"))
+    serving = tagged.select(*[F.col(c).alias(c) for c in tagged.columns]).join(fresh(), ["g", "leaf"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
 
     def visit(queries: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(held):
@@ -173,8 +174,8 @@ def nearest_vectors(points: DataFrame, k: int = 5, leaf_points: int | None = Non
         got = _nearest(_matrix(queries["vec"]), _matrix(held["vec"]), held["n"].to_numpy(), k, False)
         return pd.DataFrame({"g": queries["g"], "vec": queries["vec"], "found": got})
 
-    second = asked.groupBy("leaf", "chunk").cogroup(serving.groupBy("leaf", "chunk")).applyInPandas(
-        visit, f"g int, vec array<double>, found {_CANDIDATES}",
+    second = asked.groupBy("g", "leaf", "chunk").cogroup(serving.groupBy("g", "leaf", "chunk")).applyInPandas(
+        visit, f"g string, vec array<double>, found {_CANDIDATES}",
     )
     merged = first.select("g", "vec", "found").unionByName(second).groupBy("g", "vec").agg(
         F.sort_array(F.flatten(F.collect_list("found"))).alias("found")

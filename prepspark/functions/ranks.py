@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from prepspark.functions.columns import col
+from prepspark.functions.columns import col, kinds
 
 #: cells one counting pass may return to the driver
 MAX_CELLS = 65_536
 #: rows of a cell whose hashes may be listed
 LEAF_ROWS = 256
-#: groups (classes) for which cuts may be computed
+#: groups (classes) whose cuts are found on the driver; more are ranked as a table, with the same result
 MAX_GROUPS = 10_000
 #: upper bound of every md5 hex string
 TOP = "g"
@@ -38,12 +38,16 @@ def group_text(group: str | Column | None) -> Column:
     return F.coalesce(c.cast("string"), F.lit(NULL_GROUP))
 
 
-def group_sizes(df: DataFrame, group: str) -> dict[str, int]:
-    """Rows per class, as text; refuses a column with too many classes."""
-    rows = df.groupBy(group_text(group).alias("g")).count().limit(MAX_GROUPS + 1).collect()
-    if len(rows) > MAX_GROUPS:
-        raise ValueError(f"column '{group}' has more than {MAX_GROUPS} classes")
-    return {r["g"]: r["count"] for r in rows}
+def group_sizes(df: DataFrame, group: str, limit: int | None = None) -> dict[str, int] | None:
+    """Rows per class, as text; None where there are too many classes for the driver."""
+    limit = MAX_GROUPS if limit is None else limit
+    rows = size_table(df, group).limit(limit + 1).collect()
+    return {r["g"]: r["n"] for r in rows} if len(rows) <= limit else None
+
+
+def size_table(df: DataFrame, group: str) -> DataFrame:
+    """(g, n): rows per class, as text."""
+    return df.groupBy(group_text(group).alias("g")).agg(F.count("*").alias("n"))
 
 
 def hash_cuts(
@@ -126,29 +130,28 @@ def below_cuts(df: DataFrame, h: Column, cuts: dict[str, list[str]], group: str
 
 
 def rank_in_group(df: DataFrame, h: Column, group: str | None, name: str = "rank") -> DataFrame:
-    """0-based rank by hash inside each group, without one window per group.
+    """0-based rank by hash inside each group, without one window per group; equal hashes rank by a digest of the row.
 
-    Rows are cut into (group, leading digits) buckets, so even a group holding
-    most rows is spread evenly; bucket offsets are prefix sums of bucket counts.
+    Rows are cut into (group, leading digits) buckets, so even a group holding most rows is spread evenly; bucket
+    offsets are prefix sums over the few buckets of a group, and are broadcast only where there are few of them.
     """
-    n_groups = len(group_sizes(df, group)) if group else 1
+    keyed = df.withColumns({"__h": h, "__g": group_text(group)})
+    n_groups = keyed.select("__g").distinct().count() if group else 1
     digits = 4
     while digits > 1 and n_groups * 16**digits > MAX_CELLS:
         digits -= 1
-    keyed = df.withColumns({"__h": h, "__g": group_text(group)}).withColumn("__b", F.substring("__h", 1, digits))
-    counted = sorted((r["__g"], r["__b"], r["count"]) for r in keyed.groupBy("__g", "__b").count().collect())
-    offsets, run, last = [], 0, None
-    for g, b, n in counted:
-        run = 0 if g != last else run
-        offsets.append((g, b, run))
-        run, last = run + n, g
-    table = df.sparkSession.createDataFrame(offsets, "__g string, __b string, __off long")
-    w = Window.partitionBy("__g", "__b").orderBy("__h")
-    ranked = keyed.withColumn("__rn", F.row_number().over(w)).join(F.broadcast(table), ["__g", "__b"])
+    keyed = keyed.withColumn("__b", F.substring("__h", 1, digits))
+    counted = keyed.groupBy("__g", "__b").agg(F.count("*").alias("__n"))
+    offset = F.coalesce(F.sum("__n").over(Window.partitionBy("__g").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    table = counted.select("__g", "__b", offset.alias("__off"))
+    hashable = [col(c) for c, k in kinds(df).items() if k != "nested"]
+    w = Window.partitionBy("__g", "__b").orderBy("__h", F.xxhash64(*hashable))
+    ranked = keyed.withColumn("__rn", F.row_number().over(w))
+    ranked = ranked.join(F.broadcast(table) if n_groups * 16**digits <= MAX_CELLS else table, ["__g", "__b"])
     return ranked.withColumn(name, F.col("__rn") - 1 + F.col("__off")).drop("__h", "__g", "__b", "__rn", "__off")
 
 
-def rank_values(values: DataFrame, name: str, out: str = "idx", target_rows: int = 100_000) -> DataFrame:
+def rank_values(values: DataFrame, name: str, out: str = "idx", target_rows: int = 100_000, with_bucket: bool = False) -> DataFrame:
     """0-based rank of distinct values in their natural order.
 
     Boundaries come from a hash-chosen subset of the values, which is the same on
@@ -172,4 +175,4 @@ def rank_values(values: DataFrame, name: str, out: str = "idx", target_rows: int
         run += counts.get(b, 0)
     w = Window.partitionBy("__b").orderBy(col(name))
     offset = F.element_at(F.lit(starts), F.col("__b") + 1)
-    return placed.withColumn(out, (F.row_number().over(w) - 1 + offset).cast("long")).drop("__b")
+    return placed.withColumn(out, (F.row_number().over(w) - 1 + offset).cast("long")).drop(*[] if with_bucket else ["__b"])

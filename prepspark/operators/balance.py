@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prepspark.functions.columns import col, kinds, num, numeric_columns
+from prepspark.functions.columns import col, num, numeric_columns, one_row
 from prepspark.functions.lookups import lookup_join
 from prepspark.functions.neighbors import nearest_vectors
-from prepspark.functions.ranks import below_cuts, group_sizes, group_text, hash_cuts, key_hash, rank_in_group
+from prepspark.functions.ranks import below_cuts, group_sizes, group_text, hash_cuts, key_hash, rank_in_group, size_table
 from prepspark.operators.profile import collect_profile, pick_target
 
 #: hex digits turned into a draw: 13 digits are exact in a double
@@ -20,57 +22,71 @@ def _draw_number(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, _DIGITS), 16, 10).cast("long")
 
 
-def _draws(df: DataFrame, sizes: dict[str, int], seed: int) -> tuple[DataFrame, int]:
-    """(__g, __j, __rank): for every class the draws it lacks to the largest one.
+#: draws of a class that one row of the draw table unfolds
+_CHUNK = 100_000
 
-    Draws come from one distributed range; class boundaries are literals.
-    """
-    top = max(sizes.values())
-    needed = [(g, top - s) for g, s in sorted(sizes.items()) if s < top]
-    total = sum(n for _, n in needed)
-    base = df.sparkSession.range(total)
-    g, j, size, run = None, None, None, 0
-    for name, n in needed:
-        hit = F.col("id") < F.lit(run + n)
-        g = F.when(hit, F.lit(name)) if g is None else g.when(hit, F.lit(name))
-        j = F.when(hit, F.col("id") - F.lit(run)) if j is None else j.when(hit, F.col("id") - F.lit(run))
-        size = F.when(hit, F.lit(sizes[name])) if size is None else size.when(hit, F.lit(sizes[name]))
-        run += n
-    if g is None:
-        return base.select(F.lit("").alias("__g"), F.col("id").alias("__j"), F.col("id").alias("__rank")).limit(0), 0
-    drawn = base.select(g.alias("__g"), j.alias("__j"), size.cast("long").alias("__size"))
-    rank = F.pmod(_draw_number(F.col("__g"), F.col("__j").cast("string"), F.lit(str(seed))), F.col("__size"))
-    return drawn.select("__g", "__j", rank.alias("__rank")), total
 
+@dataclass
+class _Classes:
+    """Class sizes as a table (g, n) with the number of classes and the smallest and largest size."""
 
-def _classes(df: DataFrame, target: str) -> dict[str, int]:
-    sizes = group_sizes(df.where(col(target).isNotNull()), target)
-    if not sizes:
+    table: DataFrame
+    count: int
+    least: int
+    most: int
+
+
+def _classes(df: DataFrame, target: str) -> _Classes:
+    table = size_table(df.where(col(target).isNotNull()), target)
+    got = table.agg(F.count("*").alias("k"), F.min("n").alias("lo"), F.max("n").alias("hi")).first()
+    if not got["k"]:
         raise ValueError(f"target '{target}' has no values")
-    return sizes
+    return _Classes(table, got["k"], got["lo"], got["hi"])
+
+
+def _draws(classes: _Classes, seed: int) -> DataFrame:
+    """(__g, __j, __rank): for every class the draws it lacks to the largest one, unfolded in chunks that are spread first."""
+    need = F.lit(classes.most) - F.col("n")
+    chunks = classes.table.where(need > 0).select(
+        F.col("g").alias("__g"), F.col("n").alias("__size"), need.alias("__need"), F.explode(F.sequence(F.lit(0), F.floor((need - 1) / _CHUNK).cast("int"))).alias("__c"))
+    first = F.col("__c").cast("long") * _CHUNK
+    j = F.explode(F.sequence(first, F.least(F.col("__need"), first + _CHUNK) - 1))
+    drawn = chunks.repartition("__g", "__c").select("__g", "__size", j.alias("__j"))
+    rank = F.pmod(_draw_number(F.col("__g"), F.col("__j").cast("string"), F.lit(str(seed))), F.col("__size"))
+    return drawn.select("__g", "__j", rank.alias("__rank"))
+
+
+def _smaller(df: DataFrame, target: str, classes: _Classes) -> DataFrame:
+    """Rows of the classes below the largest size."""
+    small = classes.table.where(F.col("n") < classes.most).select(F.col("g").alias("__key"), "n", F.lit(True).alias("__small"))
+    return lookup_join(df, small, group_text(target)).where("__small").select(*[col(c) for c in df.columns])
 
 
 def oversample(df: DataFrame, target: str, keys: list[str], seed: int = 42) -> DataFrame:
     """All rows, plus draws with replacement until every class is as large as the largest.
 
     A draw is a rank inside its class; ranks and draws meet in an equi-join on
-    (class, rank), both sides spread evenly.
+    (class, rank), both sides spread evenly, for any number of classes.
     """
-    sizes = _classes(df, target)
-    drawn, total = _draws(df, sizes, seed)
-    if not total:
+    classes = _classes(df, target)
+    if classes.least == classes.most:
         return df
-    small = [g for g, s in sizes.items() if s < max(sizes.values())]
-    ranked = rank_in_group(df.where(group_text(target).isin(small)), key_hash(keys or df.columns, seed), target, "__rank")
-    extra = ranked.withColumn("__g", group_text(target)).join(drawn, ["__g", "__rank"])
+    ranked = rank_in_group(_smaller(df, target, classes), key_hash(keys or df.columns, seed), target, "__rank")
+    extra = ranked.withColumn("__g", group_text(target)).join(_draws(classes, seed), ["__g", "__rank"])
     return df.unionByName(extra.select(*[col(c) for c in df.columns]))
 
 
-def undersample(df: DataFrame, target: str, keys: list[str], seed: int = 42) -> DataFrame:
+def undersample(df: DataFrame, target: str, keys: list[str], seed: int = 42, max_classes: int | None = None) -> DataFrame:
     """Every class cut to the size of the smallest: its lowest key hashes."""
     known = df.where(col(target).isNotNull())
-    sizes = _classes(df, target)
     h = key_hash(keys or df.columns, seed)
+    sizes = group_sizes(known, target, max_classes)
+    if sizes is None:
+        # too many classes for cuts on the driver: ranks inside classes give the same rows
+        ranked = rank_in_group(known, h, target, "__rank")
+        return ranked.where(F.col("__rank") < _classes(df, target).least).select(*[col(c) for c in df.columns])
+    if not sizes:
+        raise ValueError(f"target '{target}' has no values")
     cuts = hash_cuts(known, h, {g: [min(sizes.values())] for g in sizes}, sizes, target)
     source, reached = below_cuts(known, h, cuts, target)
     return source.where(reached == 0).select(*[col(c) for c in df.columns])
@@ -87,29 +103,24 @@ def smote(df: DataFrame, target: str, keys: list[str], k: int = 5, seed: int = 4
     others = [c for c in df.columns if c not in (*features, target, *keys)]
     if others:
         raise ValueError(f"synthetic rows need numeric features, not {others}")
-    sizes = _classes(df, target)
-    drawn, total = _draws(df, sizes, seed)
-    if not total:
+    gaps = one_row(df.where(col(target).isNotNull()), {c: F.count_if(num(c).isNull()) for c in features})
+    if any(gaps.values()):
+        raise ValueError(f"synthetic rows need features without gaps, not {[c for c in features if gaps[c]]}")
+    classes = _classes(df, target)
+    if classes.least == classes.most:
         return df
-    top = max(sizes.values())
-    small = sorted(g for g, s in sizes.items() if s < top)
-    short = [g for g in small if sizes[g] <= k]
+    short = [r["g"] for r in classes.table.where((F.col("n") < classes.most) & (F.col("n") <= k)).orderBy("g").limit(10).collect()]
     if short:
         raise ValueError(f"classes {short} have no {k} neighbours")
-    part = df.where(group_text(target).isin(small))
+    part = _smaller(df, target, classes)
     vec = F.array(*[num(c) for c in features])
     ranked = rank_in_group(part, key_hash(keys or df.columns, seed), target, "__rank").select(
         group_text(target).alias("__g"), col(target).alias("__t"), "__rank", vec.alias("__vec"),
     )
-    number = {g: i for i, g in enumerate(small)}
-    index = None
-    for g, i in number.items():
-        index = F.when(group_text(target) == g, F.lit(i)) if index is None else index.when(group_text(target) == g, F.lit(i))
-    near = nearest_vectors(part.select(index.alias("g"), vec.alias("vec")), k, leaf_points)
-    text_key = lambda g, v: F.concat(g, F.lit("\x01"), F.md5(F.array_join(F.transform(v, lambda x: x.cast("string")), ",")))
-    name = F.element_at(F.lit(small), F.col("g") + 1)
-    table = near.select(text_key(name, F.col("vec")).alias("__key"), "n", "neighbours")
-    base = drawn.join(ranked, ["__g", "__rank"]).withColumn("__vkey", text_key(F.col("__g"), F.col("__vec")))
+    near = nearest_vectors(part.select(group_text(target).alias("g"), vec.alias("vec")), k, leaf_points)
+    text_key = lambda g, v: F.md5(F.concat(g, F.lit("\x01"), F.array_join(F.transform(v, lambda x: x.cast("string")), ",")))
+    table = near.select(text_key(F.col("g"), F.col("vec")).alias("__key"), "n", "neighbours")
+    base = ranked.join(_draws(classes, seed), ["__g", "__rank"]).withColumn("__vkey", text_key(F.col("__g"), F.col("__vec")))
     joined = lookup_join(base, table, F.col("__vkey"))
     j = F.col("__j").cast("string")
     pick = F.pmod(_draw_number(F.col("__g"), j, F.lit(f"{seed}n")), F.lit(k))
@@ -127,13 +138,13 @@ def smote(df: DataFrame, target: str, keys: list[str], k: int = 5, seed: int = 4
     return df.unionByName(made.select(*columns))
 
 
-def choose_balancing(sizes: dict[str, int]) -> str:
-    ratio = max(sizes.values()) / min(sizes.values())
+def choose_balancing(most: int, least: int) -> str:
+    ratio = most / least
     return "undersample" if ratio > 10 else "smote" if ratio > 3 else "oversample"
 
 
 def balance_data(df: DataFrame, keys: list[str], target: str | None = None, method: str = "auto", seed: int = 42) -> DataFrame:
-    """Balance a target of 2 to 20 classes; other tables are returned as they are.
+    """Balance a target of two classes or more; a table with fewer is returned as it is.
 
     ``auto`` undersamples above a ratio of 10, synthesises above 3 and
     oversamples below.
@@ -142,10 +153,10 @@ def balance_data(df: DataFrame, keys: list[str], target: str | None = None, meth
         target = pick_target(collect_profile(df), "transform")
     if target is None:
         return df
-    sizes = _classes(df, target)
-    if not 2 <= len(sizes) <= 20:
+    classes = _classes(df, target)
+    if classes.count < 2:
         return df
-    method = choose_balancing(sizes) if method == "auto" else method
+    method = choose_balancing(classes.most, classes.least) if method == "auto" else method
     if method == "oversample":
         return oversample(df, target, keys, seed)
     if method == "undersample":

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from prepspark.functions.columns import (
     col, columns_of, is_missing, kinds, nan_to_null, num, numeric_columns, one_row, ref, total,
@@ -138,6 +141,30 @@ def cast_columns(df: DataFrame, types: dict[str, str]) -> DataFrame:
     return df.withColumns(good) if good else df
 
 
+@dataclass(frozen=True)
+class CleaningFit:
+    """What the mean policy decided on a table: to drop incomplete rows, or which value fills which column."""
+
+    drop_rows: bool
+    fills: dict[str, float]
+
+
+def fit_cleaning(df: DataFrame) -> CleaningFit:
+    """If any non-numeric cell is missing, rows with a missing cell go; otherwise numeric gaps take the column mean. One pass."""
+    df = nan_to_null(df)
+    numeric = numeric_columns(df)
+    got = one_row(df, {**{("gap", c): F.count_if(is_missing(df, c)) for c in df.columns}, **{("mean", c): F.avg(num(c)) for c in numeric}})
+    if any(got[("gap", c)] for c in df.columns if c not in numeric):
+        return CleaningFit(True, {})
+    return CleaningFit(False, {c: got[("mean", c)] for c in numeric if got[("gap", c)] and got[("mean", c)] is not None})
+
+
+def apply_cleaning(df: DataFrame, fit: CleaningFit) -> DataFrame:
+    """A narrow step, so a stream takes it as well as a table; duplicates stay."""
+    df = nan_to_null(df)
+    return drop_null_rows(df) if fit.drop_rows else _fill(df, fit.fills)
+
+
 def clean_policy(
     df: DataFrame, strategy: str = "mean", drop_duplicates: bool = True, types: dict[str, str] | None = None,
 ) -> DataFrame:
@@ -149,12 +176,7 @@ def clean_policy(
     """
     df = nan_to_null(df)
     if strategy == "mean":
-        other = [c for c in df.columns if kinds(df)[c] != "numeric"]
-        gaps = one_row(df, {c: F.count_if(is_missing(df, c)) for c in df.columns})
-        if any(gaps[c] for c in other):
-            df = drop_null_rows(df)
-        elif any(gaps.values()):
-            df = impute_mean(df, [c for c in numeric_columns(df) if gaps[c]])
+        df = apply_cleaning(df, fit_cleaning(df))
     elif strategy is not None:
         df = handle_missing(df, strategy)
     if drop_duplicates:
@@ -170,33 +192,35 @@ def drop_nested_columns(df: DataFrame) -> DataFrame:
 def table_diff(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
     """(item, value): rows removed, keys lost and new, columns lost, differing cells per common column.
 
-    Rows are matched by key through one grouped aggregation over both tables,
-    so repeated keys collapse before the shuffle instead of multiplying in a join.
+    The rows of a key are two multisets. Equal rows cancel out; what is left on both sides is paired in order of its
+    digests, and paired rows are compared cell by cell. Rows without a partner count in ``rows_removed``, not as cells.
+    Distinct rows are counted first, so copies collapse before the shuffle; only rows that differ are ranked and joined.
     """
     common = [c for c in before.columns if c in after.columns and c not in keys]
     lost = [c for c in before.columns if c not in after.columns]
-    shape = lambda df, side: df.select(*[col(k) for k in keys], *[col(c) for c in common], F.lit(side).alias("__side"))
-    both = shape(before, 0).unionByName(shape(after, 1))
-    old, new = F.col("__side") == 0, F.col("__side") == 1
-    aggs = [F.count_if(old).alias("__n0"), F.count_if(new).alias("__n1")]
-    for i, c in enumerate(common):
-        aggs += [F.max(F.when(old, col(c))).alias(f"__a{i}"), F.max(F.when(new, col(c))).alias(f"__b{i}")]
-    per_key = both.groupBy(*[col(k) for k in keys]).agg(*aggs)
-    matched = (F.col("__n0") > 0) & (F.col("__n1") > 0)
-    sums = [
-        F.sum(F.col("__n0") - F.col("__n1")).alias("rows_removed"),
-        F.count_if(F.col("__n1") == 0).alias("keys_lost"), F.count_if(F.col("__n0") == 0).alias("keys_new"),
-        *[
-            F.count_if(matched & ~F.col(f"__a{i}").eqNullSafe(F.col(f"__b{i}"))).alias(f"__d{i}")
-            for i in range(len(common))
-        ],
-    ]
-    row = per_key.agg(*sums)
-    items = [
-        ("rows_removed", F.coalesce("rows_removed", F.lit(0))), ("keys_lost", F.col("keys_lost")),
-        ("keys_new", F.col("keys_new")), ("columns_lost", F.lit(len(lost))),
-        ("different_cells", total([F.col(f"__d{i}") for i in range(len(common))])),
-        *[(f"different:{c}", F.col(f"__d{i}")) for i, c in enumerate(common)],
-    ]
-    structs = [F.struct(F.lit(i).alias("item"), v.cast("long").alias("value")) for i, v in items]
-    return row.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
+    # cells travel as digests: any type can be compared, and long texts stay at home
+    digest = lambda cols: F.md5(F.to_json(F.struct(*[col(c) for c in cols])))
+    cells = F.array(*[digest([c]) for c in common]) if common else F.array().cast("array<string>")
+    shape = lambda df, side: df.select(digest(keys).alias("__key"), cells.alias("__row"), F.lit(side).alias("__side"))
+    both = shape(before, 1).unionByName(shape(after, -1))
+    rows = both.groupBy("__key", "__row").agg(
+        F.sum("__side").alias("net"), F.count_if(F.col("__side") == 1).alias("n0"), F.count_if(F.col("__side") == -1).alias("n1"))
+    per_key = rows.groupBy("__key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    totals = per_key.agg(
+        F.coalesce(F.sum(F.col("n0") - F.col("n1")), F.lit(0)).alias("rows_removed"),
+        F.count_if(F.col("n1") == 0).alias("keys_lost"), F.count_if(F.col("n0") == 0).alias("keys_new"))
+
+    def left(sign: int) -> DataFrame:
+        some = rows.where(F.col("net") * sign > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.abs("net").cast("int"))))
+        at = F.row_number().over(Window.partitionBy("__key").orderBy("__row", "copy"))
+        return some.select("__key", F.col("__row").alias("a" if sign > 0 else "b"), at.alias("at"))
+
+    pairs = left(1).join(left(-1), ["__key", "at"])
+    sums = pairs.agg(*[F.count_if(F.get("a", F.lit(i)) != F.get("b", F.lit(i))).alias(f"__d{i}") for i in range(len(common))], F.count("*").alias("__pairs"))
+    items = lambda row, values: row.select(F.explode(F.array(*[F.struct(F.lit(i).alias("item"), v.cast("long").alias("value")) for i, v in values])).alias("r")).select("r.*")
+    cells_of = [F.col(f"__d{i}") for i in range(len(common))]
+    return items(totals, [
+        ("rows_removed", F.col("rows_removed")), ("keys_lost", F.col("keys_lost")), ("keys_new", F.col("keys_new")), ("columns_lost", F.lit(len(lost))),
+    ]).unionByName(items(sums, [
+        ("different_cells", total(cells_of) if common else F.lit(0)), *[(f"different:{c}", v) for c, v in zip(common, cells_of)],
+    ]))

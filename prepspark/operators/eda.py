@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from prepspark.functions.columns import (
     col, is_missing, kinds, num, num_sql, numeric_columns, one_row, stack_rows, string_columns,
 )
-from prepspark.functions.ranks import group_sizes, key_hash
+from prepspark.functions.ranks import key_hash
+from prepspark.functions.lookups import BROADCAST_ROWS
 from prepspark.functions.stats import corr_sql, distinct_counts, gramian, quantiles, skew_expr
 from prepspark.operators import profile as P
 from prepspark.operators import reduce as R
@@ -38,22 +39,20 @@ def value_counts(df: DataFrame, cols: list[str] | None = None, max_distinct: int
 
 def target_distribution(df: DataFrame, target: str, imbalance: float = 0.2) -> DataFrame:
     """(class, n, share, imbalanced): flagged if the smallest share is below the bound."""
-    sizes = group_sizes(df.where(col(target).isNotNull()), target)
-    n = max(1, sum(sizes.values()))
-    flag = bool(sizes) and min(sizes.values()) / n < imbalance
-    rows = [(g, s, s / n, flag) for g, s in sorted(sizes.items())]
-    return df.sparkSession.createDataFrame(rows, "class string, n long, share double, imbalanced boolean")
+    sizes = df.where(col(target).isNotNull()).groupBy(col(target).cast("string").alias("class")).agg(F.count("*").alias("n"))
+    whole = one_row(sizes, {"n": F.sum("n"), "least": F.min("n")})
+    n = whole["n"] or 1
+    flag = (whole["least"] or n) / n < imbalance
+    return sizes.select("class", "n", (F.col("n") / F.lit(float(n))).alias("share"), F.lit(flag).alias("imbalanced"))
 
 
 def target_summary(df: DataFrame, target: str) -> DataFrame:
-    """Class counts up to 10 distinct values, else mean and standard deviation: (item, value)."""
-    if distinct_counts(df, [target])[target] <= 10:
-        sizes = group_sizes(df.where(col(target).isNotNull()), target)
-        rows = [(f"class:{g}", float(s)) for g, s in sorted(sizes.items())]
-    else:
-        got = one_row(df, {"mean": F.avg(num(target)), "std": F.stddev(num(target))})
-        rows = list(got.items())
-    return df.sparkSession.createDataFrame(rows, "item string, value double")
+    """Class counts of a target that is no number or has up to 10 values, else mean and standard deviation: (item, value)."""
+    if kinds(df)[target] != "numeric" or distinct_counts(df, [target])[target] <= 10:
+        sizes = df.where(col(target).isNotNull()).groupBy(col(target).cast("string").alias("g")).agg(F.count("*").alias("n"))
+        return sizes.select(F.concat(F.lit("class:"), "g").alias("item"), F.col("n").cast("double").alias("value"))
+    got = one_row(df, {"mean": F.avg(num(target)), "std": F.stddev(num(target))})
+    return df.sparkSession.createDataFrame(list(got.items()), "item string, value double")
 
 
 def _ranges(df: DataFrame, cols: list[str]) -> dict[str, tuple[float, float]]:
@@ -75,8 +74,12 @@ def auto_bins(df: DataFrame, cols: list[str], ranges: dict[str, tuple[float, flo
     return out
 
 
-def histogram(df: DataFrame, cols: list[str] | None = None, bins: int | str = 30) -> DataFrame:
-    """(column, bin, lo, hi, n): equal-width bins, the last one closed; empty bins included."""
+def histogram(df: DataFrame, cols: list[str] | None = None, bins: int | str = 30, empty: bool = True) -> DataFrame:
+    """(column, bin, lo, hi, n): equal-width bins, the last one closed.
+
+    Empty bins come from a distributed range; ``empty=False`` leaves them out, so that the table has no more rows
+    than there are values however many bins an outlier asks for.
+    """
     cols = numeric_columns(df) if cols is None else cols
     ranges = _ranges(df, cols)
     per_col = auto_bins(df, cols, ranges) if bins == "auto" else {c: int(bins) for c in ranges}
@@ -86,15 +89,22 @@ def histogram(df: DataFrame, cols: list[str] | None = None, bins: int | str = 30
     def bucket(c: str) -> Column:
         lo, hi = ranges[c]
         x, k = num(c), per_col[c]
-        return F.least(F.floor((x - F.lit(lo)) / F.lit(hi - lo) * k).cast("int") + 1, F.lit(k))
+        return F.least(F.floor((x - F.lit(lo)) / F.lit(hi - lo) * k).cast("long") + 1, F.lit(k).cast("long"))
 
+    spark = df.sparkSession
+    if not ranges:
+        return spark.createDataFrame([], "column string, bin long, lo double, hi double, n long")
     tall = _tall(df, list(ranges), bucket).where(F.col("value").isNotNull())
-    found = {(r["column"], r["value"]): r["n"] for r in tall.groupBy("column", "value").agg(F.count("*").alias("n")).collect()}
-    rows = []
-    for c, (lo, hi) in ranges.items():
-        w = (hi - lo) / per_col[c]
-        rows += [(c, b, lo + (b - 1) * w, lo + b * w, found.get((c, b), 0)) for b in range(1, per_col[c] + 1)]
-    return df.sparkSession.createDataFrame(rows, "column string, bin int, lo double, hi double, n long")
+    out = tall.groupBy("column", F.col("value").alias("bin")).agg(F.count("*").alias("n"))
+    if empty:
+        grid = None
+        for c in ranges:
+            one = spark.range(1, per_col[c] + 1).select(F.lit(c).alias("column"), F.col("id").alias("bin"))
+            grid = one if grid is None else grid.unionByName(one)
+        out = grid.join(out, ["column", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    edges = spark.createDataFrame([(c, lo, (hi - lo) / per_col[c]) for c, (lo, hi) in ranges.items()], "column string, l double, w double")
+    out = out.join(F.broadcast(edges), "column")
+    return out.select("column", "bin", (F.col("l") + (F.col("bin") - 1) * F.col("w")).alias("lo"), (F.col("l") + F.col("bin") * F.col("w")).alias("hi"), "n")
 
 
 def box_stats(df: DataFrame, cols: list[str] | None = None, exact: bool = True, reach: float = 1.5) -> DataFrame:
@@ -119,7 +129,7 @@ def density(df: DataFrame, cols: list[str] | None = None, points: int = 50, bins
     cols = numeric_columns(df) if cols is None else cols
     got = one_row(df, {(f, c): a(num(c)) for c in cols for f, a in (("n", F.count), ("s", F.stddev), ("lo", F.min), ("hi", F.max))})
     cols = [c for c in cols if got[("s", c)]]
-    h = histogram(df, cols, bins).where("n > 0")
+    h = histogram(df, cols, bins, empty=False)
     width = {c: got[("s", c)] * got[("n", c)] ** -0.2 for c in cols}
     spec = df.sparkSession.createDataFrame(
         [(c, float(width[c]), float(got[("lo", c)] - 3 * width[c]), float(got[("hi", c)] + 3 * width[c]), float(got[("n", c)])) for c in cols],
@@ -163,8 +173,8 @@ def corr_matrix(df: DataFrame, cols: list[str] | None = None, only_varying: bool
     return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
 
 
-def high_corr_pairs(df: DataFrame, cols: list[str] | None = None, threshold: float = 0.8, k: int = 10) -> DataFrame:
-    """First k pairs (in column order) with |r| above the threshold."""
+def high_corr_pairs(df: DataFrame, cols: list[str] | None = None, threshold: float = 0.8, k: int | None = None) -> DataFrame:
+    """Pairs (in column order) with |r| above the threshold; the first k if asked for."""
     cols = numeric_columns(df) if cols is None else cols
     at = {c: i for i, c in enumerate(cols)}
     rows = corr_matrix(df, cols, only_varying=True).where(F.abs("r") > threshold).collect()
@@ -216,12 +226,14 @@ def chi_square(df: DataFrame, target: str, cols: list[str] | None = None, with_p
     tall = _tall(known, cols, lambda c: col(c).cast("string"), [col(target).cast("string").alias("extra")])
     cells = tall.where(F.col("value").isNotNull()).groupBy("column", "value", "extra").agg(F.count("*").alias("o"))
     by_value = cells.groupBy("column", "value").agg(F.sum("o").alias("r"))
+    # one row per column and class: measured, then broadcast; a class that holds half of all cells would be a hot join key
     by_class = cells.groupBy("column", "extra").agg(F.sum("o").alias("c"))
+    few = by_class.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     rows = by_value.groupBy("column").agg(F.count("*").alias("nr"), F.sum(1 / F.col("r")).alias("ir"), F.sum("r").alias("n"))
     classes = by_class.groupBy("column").agg(F.count("*").alias("nc"), F.sum(1 / F.col("c")).alias("ic"))
     totals = rows.join(classes, "column")
     e = F.col("r") * F.col("c") / F.col("n")
-    full = cells.join(by_value, ["column", "value"]).join(by_class, ["column", "extra"]).join(F.broadcast(totals), "column")
+    full = cells.join(by_value, ["column", "value"]).join(F.broadcast(by_class) if few else by_class, ["column", "extra"]).join(F.broadcast(totals), "column")
     full = full.withColumn("e", e)
     summed = full.groupBy("column").agg(
         F.count("*").alias("seen"), F.sum((F.col("o") - F.col("e")) * (F.col("o") - F.col("e")) / F.col("e")).alias("q"),
@@ -264,8 +276,8 @@ def vif(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 def pair_sample(df: DataFrame, cols: list[str] | None = None, hue: str | None = None, keys: list[str] | None = None, share: float | None = None, seed: int = 42) -> DataFrame:
-    """Up to six numeric columns (and a colouring column) for a pair plot; all rows unless a share is asked for."""
-    cols = (numeric_columns(df, [hue] if hue else []) if cols is None else cols)[:6]
+    """Numeric columns (and a colouring column) for a pair plot: all columns and rows unless a list or a share is given."""
+    cols = numeric_columns(df, [hue] if hue else []) if cols is None else cols
     out = df
     if share is not None:
         cut = format(int(share * 16**8), "08x") if share < 1 else "g"
@@ -283,10 +295,9 @@ def missing_map(df: DataFrame, keys: list[str], digits: int = 1, cols: list[str]
 
 
 def univariate_columns(df: DataFrame) -> DataFrame:
-    """(column, group): which columns the numeric and the categorical views show."""
+    """(column, group, n): the columns that the numeric and the categorical views show, with their filled cells."""
     names = {"numeric": "numeric", "string": "categorical"}
-    rows = [(c, names[k]) for c, k in kinds(df).items() if k in names]
-    return df.sparkSession.createDataFrame(rows, "column string, group string")
+    return stack_rows(df, {c: {"group": F.max(F.lit(names[k])), "n": F.count_if(~is_missing(df, c))} for c, k in kinds(df).items() if k in names})
 
 
 def _section(df: DataFrame, section: str, label: Column, metric: Column, value: Column) -> DataFrame:
@@ -295,17 +306,17 @@ def _section(df: DataFrame, section: str, label: Column, metric: Column, value:
     )
 
 
-def eda_report(df: DataFrame, target: str | None = None, importance_trees: int = 0) -> DataFrame:
+def eda_report(df: DataFrame, target: str | None = None, importance_trees: int = 20, max_distinct: int | None = None) -> DataFrame:
     """(section, column, metric, value): all figures in one tidy table.
 
-    Sections: overview, missing, value_counts (up to 15 values), box, skew,
-    corr, vif and, with a target, target, chi_square and importance.
+    Sections: overview, missing, value_counts (of all values, or of columns with up to ``max_distinct``), box, skew,
+    corr, vif and, with a target, target, chi_square and importance (left out with ``importance_trees=0``).
     """
     numeric, c = numeric_columns(df), F.col
     build: dict = {
         "overview": lambda: [_section(P.profile_overview(df), "overview", F.lit(None).cast("string"), c("item"), c("value"))],
         "missing": lambda: [_section(P.profile_missing(df), "missing", c("column"), F.lit("missing"), c("missing"))],
-        "value_counts": lambda: [_section(value_counts(df, max_distinct=15), "value_counts", c("column"), c("value"), c("n"))],
+        "value_counts": lambda: [_section(value_counts(df, max_distinct=max_distinct), "value_counts", c("column"), c("value"), c("n"))],
     }
     if numeric:
         build["box"] = lambda: _box_sections(df, numeric)

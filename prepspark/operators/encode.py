@@ -13,13 +13,11 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prepspark.functions.columns import col, kinds, num, string_columns
+from prepspark.functions.columns import col, kinds, num, one_row, string_columns
 from prepspark.functions.lookups import BROADCAST_BYTES, BROADCAST_ROWS, join_large, join_small, lookup_join
 from prepspark.functions.ranks import rank_values
 
 MISSING = "missing"
-#: distinct values fetched to the driver by the literal encodings
-MAX_LITERALS = 1_000
 
 
 def category(name: str) -> Column:
@@ -39,6 +37,10 @@ class Categories:
     rows: list[tuple] | None
     table: DataFrame | None
 
+    def values(self) -> list[str]:
+        """Sorted values, for encodings that name every one of them; where the values are long they are fetched here."""
+        return [r[0] for r in self.rows] if self.rows is not None else sorted(r["__key"] for r in self.table.select("__key").collect())
+
 
 def fit_categories(
     df: DataFrame, cols: list[str], target: str | None = None, null_as: str | None = MISSING, max_rows: int | None = None,
@@ -106,16 +108,19 @@ def attach(df: DataFrame, key: Column, fit: Categories, prefix: str = "__") -> D
     return join_large(df, key, table)
 
 
-def categories(df: DataFrame, name: str, limit: int = MAX_LITERALS) -> list[str]:
-    """Sorted distinct non-null values as text; refuses more than ``limit``."""
-    rows = df.where(col(name).isNotNull()).select(col(name).cast("string").alias("v")).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
+def categories(df: DataFrame, name: str, limit: int | None = None) -> list[str]:
+    """Sorted distinct non-null values as text; with ``limit`` more values are an error."""
+    found = df.where(col(name).isNotNull()).select(col(name).cast("string").alias("v")).distinct()
+    rows = (found if limit is None else found.limit(limit + 1)).collect()
+    if limit is not None and len(rows) > limit:
         raise ValueError(f"column '{name}' has more than {limit} values: use a frequency or label encoding")
     return sorted(r["v"] for r in rows)
 
 
 def binary_column(name: str, vals: list[str]) -> Column:
     c = col(name).cast("string")
+    if not vals:
+        return F.lit(None).cast("int")
     code = F.when(c == F.lit(vals[-1]), F.lit(len(vals) - 1))
     return code.when(c == F.lit(vals[0]), F.lit(0)) if len(vals) == 2 else code
 
@@ -136,9 +141,14 @@ def encode_label(df: DataFrame, name: str, out: str | None = None, fit_on: DataF
     return attach(df, category(name), fit).withColumn(out or name, F.col("__code")).drop("__code", "__freq", "__stat")
 
 
-def encode_onehot(df: DataFrame, name: str, drop_first: bool = True, keep: bool = False, fit_on: DataFrame | None = None) -> DataFrame:
-    """0/1 column ``{name}_{value}`` per sorted value, the first one dropped; null gives all zeros."""
-    added = onehot_columns(name, categories(fit_on or df, name), drop_first)
+def encode_onehot(
+    df: DataFrame, name: str, drop_first: bool = True, keep: bool = False, fit_on: DataFrame | None = None, max_categories: int | None = None,
+) -> DataFrame:
+    """0/1 column ``{name}_{value}`` per sorted value, the first one dropped; null gives all zeros.
+
+    As many columns as there are values; ``max_categories`` makes more of them an error.
+    """
+    added = onehot_columns(name, categories(fit_on or df, name, max_categories), drop_first)
     kept = df.columns if keep else [c for c in df.columns if c != name]
     return df.select(*[col(c) for c in kept], *[e.alias(n) for n, e in added.items()])
 
@@ -169,21 +179,20 @@ def encode_target_mean(
     if fold is None:
         fit = fit_categories(source, [name], target, max_rows=max_rows)[name]
         return attach(df, category(name), fit).withColumn(out, F.coalesce("__stat", overall)).drop("__code", "__freq", "__stat")
-    folds = [r[0] for r in source.select(col(fold)).distinct().limit(101).collect()]
-    if len(folds) > 100:
-        raise ValueError("more than 100 folds")
-    # sums per category and fold in one pass; a fold's value is the rest of its category
-    mine = [F.when(col(fold).eqNullSafe(F.lit(f)), y) for f in folds]
-    sums = source.groupBy(category(name).alias("__cat")).agg(
-        F.count("*").alias("n"), F.sum(y).alias("s"), F.count(y).alias("c"),
-        F.array(*[F.struct(F.lit(str(f)).alias("f"), F.coalesce(F.sum(m), F.lit(0.0)).alias("s"), F.count(m).alias("c")) for f, m in zip(folds, mine)]).alias("by"),
-    )
-    rest = sums.select("__cat", "n", "s", "c", F.explode("by").alias("b"))
-    stat = F.try_divide(F.col("s") - F.col("b.s"), F.col("c") - F.col("b.c"))
+    # sums per category and fold; a fold's value is what the rest of its category has, for any number of folds
+    part = F.coalesce(col(fold).cast("string"), F.lit("\x00null"))
+    by_fold = source.groupBy(category(name).alias("__cat"), part.alias("__f")).agg(F.count("*").alias("n"), F.coalesce(F.sum(y), F.lit(0.0)).alias("s"), F.count(y).alias("c"))
+    whole = by_fold.groupBy("__cat").agg(F.sum("n").alias("n"), F.sum("s").alias("all_s"), F.sum("c").alias("all_c"))
+    rest = by_fold.join(whole.drop("n"), "__cat")
     key = lambda f, cat: F.concat(f, F.lit("\x01"), cat)
-    table = rest.select(key(F.col("b.f"), F.col("__cat")).alias("__key"), "n", stat.alias("__stat"))
-    joined = lookup_join(df, table, key(col(fold).cast("string"), category(name)), broadcast_rows=max_rows)
-    return joined.withColumn(out, F.coalesce("__stat", overall)).drop("__stat")
+    own = rest.select(key(F.col("__f"), F.col("__cat")).alias("__key"), "n", F.struct(
+        F.try_divide(F.col("all_s") - F.col("s"), F.col("all_c") - F.col("c")).alias("v")).alias("__own"))
+    every = whole.select(F.col("__cat").alias("__key"), "n", F.try_divide("all_s", "all_c").alias("__all"))
+    joined = lookup_join(df, own, key(part, category(name)), broadcast_rows=max_rows)
+    joined = lookup_join(joined, every, category(name), broadcast_rows=max_rows)
+    # a fold without rows of the category leaves all of it
+    stat = F.when(F.col("__own").isNotNull(), F.col("__own.v")).otherwise(F.col("__all"))
+    return joined.withColumn(out, F.coalesce(stat, overall)).drop("__own", "__all")
 
 
 def encode_target_prob(
@@ -213,10 +222,13 @@ def encode_categorical(
     fits = fit_categories(fit_on or df, cols, null_as=None)
     dummies: dict[str, Column] = {}
     drop = []
+    hows = {c: choose_encoding(fits[c].distinct, max_categories) for c in cols}
+    labels = [c for c in cols if hows[c] == "label"]
+    gaps = one_row(fit_on or df, {c: F.count_if(col(c).isNull()) for c in labels}) if labels else {}
     for c in cols:
-        fit = fits[c]
-        how = choose_encoding(fit.distinct, max_categories)
-        vals = [r[0] for r in fit.rows] if fit.rows is not None else []
+        fit, how = fits[c], hows[c]
+        # named values are few by the choice above, however long they are
+        vals = fit.values() if how != "frequency" else []
         if how == "binary":
             df = df.withColumn(c, binary_column(c, vals))
         elif how == "onehot":
@@ -225,7 +237,7 @@ def encode_categorical(
         elif how == "frequency":
             df = attach(df, col(c).cast("string"), fit).withColumn(c, F.coalesce("__freq", F.lit(0.0))).drop("__code", "__freq", "__stat")
         else:
-            known = sorted({*vals, MISSING}) if (fit_on or df).where(col(c).isNull()).limit(1).count() else vals
+            known = sorted({*vals, MISSING}) if gaps[c] else vals
             table = Categories(len(known), fit.total, [(v, 0, None) for v in known], None)
             df = attach(df, category(c), table).withColumn(c, F.col("__code")).drop("__code", "__freq", "__stat")
     kept = [col(c) for c in df.columns if c not in drop]
@@ -250,7 +262,7 @@ def categorical_features(df: DataFrame, cols: list[str], target: str | None = No
         if target is not None and c != target:
             added[f"{c}_target_mean" if numeric else f"{c}_target_prob"] = F.coalesce("__stat", F.lit(overall).cast("double"))
         df = df.withColumns(added).drop("__code", "__freq", "__stat")
-        if fit.rows is not None and fit.distinct <= max_categories:
+        if fit.distinct <= max_categories:
             key = category(c)
-            dummies.update({f"{c}_{v}": (key == F.lit(v)).cast("int") for v, _, _ in fit.rows[1:]})
+            dummies.update({f"{c}_{v}": (key == F.lit(v)).cast("int") for v in fit.values()[1:]})
     return df.select("*", *[e.alias(n) for n, e in dummies.items()]) if dummies else df

@@ -334,12 +334,13 @@ def top_missing(df: DataFrame, k: int = 5) -> DataFrame:
     return profile_missing(df).where("missing > 0").orderBy(F.desc("missing"), "column").limit(k)
 
 
-def high_missing(df: DataFrame, threshold_pct: float = 30.0, k: int = 5) -> DataFrame:
-    """First k columns (in schema order) above the missing share."""
+def high_missing(df: DataFrame, threshold_pct: float = 30.0, k: int | None = None) -> DataFrame:
+    """Columns (in schema order) above the missing share; the first k if asked for."""
     order = {c: i for i, c in enumerate(df.columns)}
     at = F.element_at(F.create_map(*[F.lit(x) for kv in order.items() for x in kv]), F.col("column"))
     found = profile_missing(df).where(F.col("missing_pct") > threshold_pct)
-    return found.orderBy(at).limit(k)
+    found = found.orderBy(at)
+    return found if k is None else found.limit(k)
 
 
 def quality_score(df: DataFrame) -> DataFrame:

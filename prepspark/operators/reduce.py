@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 from prepspark.functions.columns import col, kinds, num, num_sql, numeric_columns, one_row, real, ref, spread
 from prepspark.functions.stats import distinct_counts, gramian
 from prepspark.operators.clean import impute_median
-from prepspark.operators.encode import encode_label
+from prepspark.operators.encode import attach, category, encode_label, fit_categories
 from prepspark.operators.scale import apply_scale, fit_scale
 from prepspark.session import side_by_side
 
@@ -138,12 +138,12 @@ def fit_clusters(df: DataFrame, cols: list[str], ks: list[int], seed: int = 42,
 
 
 def cluster_features(df: DataFrame, cols: list[str] | None = None, max_clusters: int = 5, seed: int = 42, with_pca: bool = False) -> DataFrame:
-    """``cluster_k{k}`` and ``cluster_k{k}_dist`` for k in 2, 3, 5 on the first ten standardised numeric columns.
+    """``cluster_k{k}`` and ``cluster_k{k}_dist`` for k in 2, 3, 5 on the given (or all) standardised numeric columns.
 
     Needs three numeric columns. Labels follow the sorted centres. Assignment is
     a column expression over the centres.
     """
-    cols = (numeric_columns(df) if cols is None else cols)[:10]
+    cols = numeric_columns(df) if cols is None else cols
     if len(cols) < 3:
         return df
     n = df.limit(max_clusters).count()
@@ -174,8 +174,11 @@ def rf_importance(
     ks = kinds(known)
     features = [c for c in known.columns if c != target and ks[c] in ("numeric", "string", "boolean")]
     prepared = known.select(*[(col(c).cast("int").alias(c) if ks[c] == "boolean" else col(c)) for c in features], col(target))
-    for c in [c for c in features if ks[c] == "string"]:
-        prepared = encode_label(prepared, c)
+    # all text columns are counted on the same rows in one pass, before any of them is replaced
+    texts = [c for c in features if ks[c] == "string"]
+    fits = fit_categories(known, texts)
+    for c in texts:
+        prepared = attach(prepared, category(c), fits[c]).withColumn(c, F.col("__code")).drop("__code", "__freq", "__stat")
     gaps = one_row(prepared, {c: F.count_if(num(c).isNull()) for c in features})
     holes = [c for c in features if gaps[c]]
     prepared = impute_median(prepared, holes) if holes else prepared
@@ -198,8 +201,21 @@ def cumulative_importance(importances: DataFrame, share: float = 0.8) -> DataFra
     """(rank, feature, importance, cumulative, needed): running sum, best first.
 
     ``needed`` marks the features up to and including the one that passes the
-    share. The input has one row per feature.
+    share. The input is cut at some of its own values into runs; sums and counts of the runs
+    before one start its own, so no window spans the table.
     """
-    w = Window.orderBy(F.desc("importance"), "feature")
-    ranked = importances.select(F.row_number().over(w).alias("rank"), "feature", "importance", F.sum("importance").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cumulative"))
-    return ranked.withColumn("needed", F.coalesce(F.lag("cumulative").over(Window.orderBy("rank")) <= share, F.lit(True)))
+    n = importances.count()
+    parts = max(1, min(2000, n // 100))
+    cuts = sorted({-v for v in importances.stat.approxQuantile("importance", [i / parts for i in range(1, parts)], 0.001)}) if parts > 1 else []
+    run = F.size(F.filter(F.lit(cuts), lambda c: c <= -F.col("importance"))) if cuts else F.lit(0)
+    placed = importances.select("feature", "importance", run.alias("run"))
+    sizes = {r["run"]: (r["n"], r["s"]) for r in placed.groupBy("run").agg(F.count("*").alias("n"), F.sum("importance").alias("s")).collect()}
+    ranks, sums = [0], [0.0]
+    for i in range(len(cuts)):
+        k, s = sizes.get(i, (0, 0.0))
+        ranks.append(ranks[-1] + k)
+        sums.append(sums[-1] + s)
+    w = Window.partitionBy("run").orderBy(F.desc("importance"), "feature")
+    before = F.coalesce(F.sum("importance").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)) + F.element_at(F.lit(sums), F.col("run") + 1)
+    ranked = placed.select((F.row_number().over(w) + F.element_at(F.lit(ranks), F.col("run") + 1)).cast("int").alias("rank"), "feature", "importance", before.alias("before"))
+    return ranked.select("rank", "feature", "importance", (F.col("before") + F.col("importance")).alias("cumulative"), (F.col("before") <= share).alias("needed"))

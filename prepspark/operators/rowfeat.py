@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import combinations_with_replacement
+from itertools import combinations, combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,9 +50,11 @@ def interaction_columns(a: str, b: str) -> dict[str, Column]:
 
 
 def interactions(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Product, quotient (divisor 0 read as 1), sum and difference of the first two numeric columns."""
-    cols = _names(df, cols)
-    return df.withColumns(interaction_columns(*cols[:2])) if len(cols) >= 2 else df
+    """Product, quotient (divisor 0 read as 1), sum and difference of every pair of the given (or all) numeric columns."""
+    added: dict[str, Column] = {}
+    for a, b in combinations(_names(df, cols), 2):
+        added.update(interaction_columns(a, b))
+    return df.select("*", *[e.alias(n) for n, e in added.items()]) if added else df
 
 
 def polynomial_columns(cols: list[str], degree: int = 2) -> dict[str, Column]:
@@ -67,9 +69,9 @@ def polynomial_columns(cols: list[str], degree: int = 2) -> dict[str, Column]:
     return out
 
 
-def polynomial(df: DataFrame, cols: list[str] | None = None, degree: int = 2, max_columns: int = 5) -> DataFrame:
-    """``poly_i`` over the first five numeric columns; needs two."""
-    cols = _names(df, cols)[:max_columns]
+def polynomial(df: DataFrame, cols: list[str] | None = None, degree: int = 2) -> DataFrame:
+    """``poly_i`` over the given (or all) numeric columns; needs two."""
+    cols = _names(df, cols)
     if len(cols) < 2:
         return df
     added = polynomial_columns(cols, degree)

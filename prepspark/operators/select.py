@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prepspark.functions.columns import col, num, num_sql, numeric_columns, one_row, real, stack_rows
+from prepspark.functions.columns import col, kinds, num, num_sql, numeric_columns, one_row, real, stack_rows
 from prepspark.functions.stats import corr_sql, distinct_counts
 
 
@@ -76,8 +76,8 @@ def f_regression(df: DataFrame, target: str, cols: list[str] | None = None, fill
 
 
 def feature_scores(df: DataFrame, target: str, cols: list[str] | None = None, fill: float | None = None) -> DataFrame:
-    """F test by classes for a target with up to 10 values, by regression otherwise."""
-    few = distinct_counts(df, [target])[target] <= 10
+    """F test by classes for a target that is no number or has up to 10 values, by regression otherwise."""
+    few = kinds(df)[target] != "numeric" or distinct_counts(df, [target])[target] <= 10
     return (f_classif if few else f_regression)(df, target, cols, fill)
 
 

@@ -2,22 +2,20 @@
 
 from __future__ import annotations
 
-import heapq
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from prepspark.functions.columns import col, kinds, one_row
+from prepspark.functions.lookups import lookup_join
 from prepspark.functions.ranks import (
-    below_cuts, group_sizes, group_text, hash_cuts, key_hash,
+    below_cuts, group_sizes, group_text, hash_cuts, key_hash, rank_in_group, rank_values, size_table,
 )
 from prepspark.functions.stats import select_ranks
 
-#: groups assigned to folds one by one on the driver
-MAX_GREEDY_GROUPS = 100_000
-
-
 def part_sizes(n: int, share: float) -> tuple[int, int]:
     """(train, test) rows: the test side is rounded up."""
     n_test = math.ceil(n * share)
@@ -51,10 +49,15 @@ def class_quota(sizes: dict[str, int], wanted: int) -> dict[str, int]:
 
 def split_stratified(
     df: DataFrame, keys: list[str], target: str, test_size: float = 0.2, seed: int = 42,
-    names: tuple[str, str] = ("train", "test"), out: str = "part",
+    names: tuple[str, str] = ("train", "test"), out: str = "part", max_classes: int | None = None,
 ) -> DataFrame:
-    """As ``split_random`` with the same share of every class on both sides."""
-    sizes = group_sizes(df, target)
+    """As ``split_random`` with the same share of every class on both sides.
+
+    Beyond ``max_classes`` class sizes and quotas stay a table; the result is the same.
+    """
+    sizes = group_sizes(df, target, max_classes)
+    if sizes is None:
+        return _split_many(df, keys, target, test_size, seed, names, out)
     n_train, n_test = part_sizes(sum(sizes.values()), test_size)
     if min(sizes.values()) < 2:
         raise ValueError("the least populated class has only one row")
@@ -67,6 +70,45 @@ def split_stratified(
     return source.withColumn(out, F.when(reached == 0, names[1]).otherwise(names[0])).select(*[col(c) for c in df.columns], out)
 
 
+def _split_many(df: DataFrame, keys: list[str], target: str, share: float, seed: int, names: tuple[str, str], out: str) -> DataFrame:
+    """``split_stratified`` for any number of classes: quotas per class size, ranks inside classes."""
+    table = size_table(df, target).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        # classes of one size share quota and remainder; there are few different sizes
+        sizes = {r["n"]: r["k"] for r in table.groupBy("n").agg(F.count("*").alias("k")).collect()}
+        n_train, n_test = part_sizes(sum(s * k for s, k in sizes.items()), share)
+        if min(sizes) < 2:
+            raise ValueError("the least populated class has only one row")
+        if min(n_train, n_test) < sum(sizes.values()):
+            raise ValueError(f"{sum(sizes.values())} classes do not fit into {min(n_train, n_test)} rows")
+        n = n_train + n_test
+        left = n_test - sum(k * (n_test * s // n) for s, k in sizes.items())
+        more, even = [], None
+        # classes with equal remainders take the odd rows by name, whatever their size
+        rest: dict[int, list[int]] = {}
+        for s in sizes:
+            rest.setdefault((n_test * s) % n, []).append(s)
+        for r in sorted(rest, reverse=True):
+            k = sum(sizes[s] for s in rest[r])
+            if k <= left:
+                more += rest[r]
+                left -= k
+            else:
+                even = (rest[r], left)
+                break
+        quota = F.expr(f"{n_test} * CAST(n AS DECIMAL(38,0)) div {n}") + F.col("n").isin(more).cast("int")
+        quotas = table.withColumn("quota", quota)
+        if even and even[1]:
+            some = rank_values(table.where(F.col("n").isin(even[0])).select("g"), "g", "place").where(F.col("place") < even[1]).select("g", F.lit(1).alias("odd"))
+            quotas = quotas.join(some, "g", "left").withColumn("quota", F.col("quota") + F.coalesce("odd", F.lit(0)))
+        ranked = rank_in_group(df, key_hash(keys, seed), target, "__rank")
+        lookup = quotas.select(F.col("g").alias("__key"), "n", F.col("quota").alias("__quota"))
+        joined = lookup_join(ranked, lookup, group_text(target))
+        return joined.withColumn(out, F.when(F.col("__rank") < F.col("__quota"), names[1]).otherwise(names[0])).select(*[col(c) for c in df.columns], out)
+    finally:
+        table.unpersist()
+
+
 def holdout(df: DataFrame, keys: list[str], holdout_size: float = 0.1, seed: int = 42) -> DataFrame:
     return split_random(df, keys, holdout_size, seed, names=("train", "holdout"))
 
@@ -145,12 +187,19 @@ def kfold(df: DataFrame, keys: list[str], n_splits: int = 5, seed: int = 42, out
     return source.withColumn(out, fold)
 
 
-def kfold_stratified(df: DataFrame, keys: list[str], target: str, n_splits: int = 5, seed: int = 42, out: str = "fold") -> DataFrame:
-    """As ``kfold`` inside every class, the odd rows of successive classes going to successive folds."""
-    sizes = group_sizes(df, target)
+def kfold_stratified(
+    df: DataFrame, keys: list[str], target: str, n_splits: int = 5, seed: int = 42, out: str = "fold", max_classes: int | None = None,
+) -> DataFrame:
+    """As ``kfold`` inside every class, the odd rows of successive classes going to successive folds.
+
+    Beyond ``max_classes`` sizes and turns stay a table; the result is the same.
+    """
+    sizes = group_sizes(df, target, max_classes)
+    h = key_hash(keys, seed)
+    if sizes is None:
+        return _folds_many(df, h, target, n_splits, out)
     if n_splits > max(sizes.values()):
         raise ValueError(f"{n_splits} folds need more than {max(sizes.values())} rows in a class")
-    h = key_hash(keys, seed)
     ranks, turn = {}, 0
     for g in sorted(sizes):
         extra = {(turn + i) % n_splits for i in range(sizes[g] % n_splits)}
@@ -161,43 +210,75 @@ def kfold_stratified(df: DataFrame, keys: list[str], target: str, n_splits: int
     return source.withColumn(out, fold.cast("int")).select(*[col(c) for c in df.columns], out)
 
 
-def greedy_folds(sizes: list[tuple[str, int]], k: int, loads: list[int] | None = None) -> dict[str, int]:
-    """Largest group first, each into the lightest fold (the lowest on ties)."""
-    heap = [(load, i) for i, load in enumerate(loads or [0] * k)]
-    heapq.heapify(heap)
-    out = {}
-    for g, n in sorted(sizes, key=lambda x: (-x[1], x[0])):
-        load, i = heapq.heappop(heap)
-        out[g] = i
-        heapq.heappush(heap, (load + n, i))
-    return out
-
-
-def kfold_group(
-    df: DataFrame, group: str, n_splits: int = 5, seed: int = 42, out: str = "fold", max_greedy: int | None = None,
-) -> DataFrame:
-    """Whole groups per fold, sizes balanced greedily.
-
-    With more than ``max_greedy`` groups only those that matter for the balance
-    (more than 1/100 of a fold: at most 100 * k of them) are placed one by one;
-    the many small ones go by hash.
+def _folds_many(df: DataFrame, h: Column, target: str, k: int, out: str) -> DataFrame:
+    """Folds inside any number of classes: a class's turn is the number of rows in classes before it."""
+    table = size_table(df, target)
+    top = table.agg(F.max("n")).first()[0]
+    if k > top:
+        raise ValueError(f"{k} folds need more than {top} rows in a class")
+    placed = rank_values(table, "g", "place", with_bucket=True)
+    sums = placed.groupBy("__b").agg(F.sum("n").alias("s")).orderBy("__b").collect()
+    starts, run = {}, 0
+    for r in sums:
+        starts[r["__b"]] = run
+        run += r["s"]
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("__b").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    start = F.element_at(F.create_map(*[F.lit(x) for kv in starts.items() for x in kv]), F.col("__b"))
+    turns = placed.select(F.col("g").alias("__key"), "n", F.col("n").alias("__size"), F.pmod(before + start, F.lit(k)).alias("__turn"))
+    ranked = rank_in_group(df, h, target, "__rank")
+    joined = lookup_join(ranked, turns, group_text(target))
+    # fold i holds size // k rows, one more if its place after the turn is among the odd ones
+    size = lambda i: F.floor(F.col("__size") / k) + (F.pmod(F.lit(i) - F.col("__turn"), F.lit(k)) < F.col("__size") % k).cast("int")
+    fold, upto = F.lit(0), F.lit(0)
+    for i in range(k - 1):
+        upto = upto + size(i)
+        fold = fold + (F.col("__rank") >= upto).cast("int")
+    return joined.withColumn(out, fold.cast("int")).select(*[col(c) for c in df.columns], out)
+
+
+def deal(loads: list[int], size: int, count: int) -> list[tuple[int, int, list[int]]]:
+    """Runs (first, end, folds) of ``count`` equal groups, each into the lightest fold (the lowest on ties); updates the loads.
+
+    Within a run the groups go round the folds in turn, so a run is told by three numbers however many groups it has.
+    """
+    runs, at = [], 0
+    while at < count:
+        order = sorted(range(len(loads)), key=lambda i: (loads[i], i))
+        low = loads[order[0]]
+        turn = [i for i in order if loads[i] < low + size or (loads[i] == low + size and i < order[0])]
+        outside = [loads[i] for i in order if i not in turn]
+        rounds = max(1, -(-(min(outside) - low - size) // size)) if outside else -(-(count - at) // len(turn))
+        n = min(count - at, rounds * len(turn))
+        runs.append((at, at + n, turn))
+        for j, i in enumerate(turn):
+            loads[i] += size * (n // len(turn) + (j < n % len(turn)))
+        at += n
+    return runs
+
+
+def kfold_group(df: DataFrame, group: str, n_splits: int = 5, seed: int = 42, out: str = "fold") -> DataFrame:
+    """Whole groups per fold: the largest group first, equal ones by hash, each into the lightest fold (the lowest on ties).
+
+    The driver sees how many groups there are of each size. Groups of a size are ranked by hash as a table and dealt by
+    their rank; the rule is the same for any number of groups.
     """
-    limit = MAX_GREEDY_GROUPS if max_greedy is None else max_greedy
-    counts = df.groupBy(group_text(group).alias("g")).agg(F.count("*").alias("n"))
-    rows = counts.limit(limit + 1).collect()
-    key = group_text(group)
-    hashed = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(n_splits)).cast("int")
-    if len(rows) <= limit:
-        if len(rows) < n_splits:
+    groups = size_table(df, group).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        sizes = {r["n"]: r["k"] for r in groups.groupBy("n").agg(F.count("*").alias("k")).collect()}
+        if sum(sizes.values()) < n_splits:
             raise ValueError(f"{n_splits} folds need at least as many groups")
-        placed = greedy_folds([(r["g"], r["n"]) for r in rows], n_splits)
-    else:
-        n = counts.agg(F.sum("n")).first()[0]
-        heavy = counts.where(F.col("n") * (100 * n_splits) > F.lit(n)).collect()
-        placed = greedy_folds([(r["g"], r["n"]) for r in heavy], n_splits)
-    table = df.sparkSession.createDataFrame(list(placed.items()), "__g string, __fold int")
-    joined = df.join(F.broadcast(table), key == F.col("__g"), "left")
-    return joined.withColumn(out, F.coalesce("__fold", hashed)).select(*[col(c) for c in df.columns], out)
+        loads, runs = [0] * n_splits, []
+        for s in sorted(sizes, reverse=True):
+            runs += [(s, a, b, turn) for a, b, turn in deal(loads, s, sizes[s])]
+        ranked = rank_in_group(groups, F.md5(F.concat_ws("|", "g", F.lit(str(seed)))), "n", "rank")
+        table = df.sparkSession.createDataFrame(runs, "n long, first long, end long, turn array<int>")
+        inside = (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end"))
+        fold = F.get("turn", F.pmod(F.col("rank") - F.col("first"), F.size("turn")).cast("int"))
+        placed = ranked.join(F.broadcast(table), "n").where(inside).select(F.col("g").alias("__key"), "n", fold.alias("__fold"))
+        joined = lookup_join(df, placed, group_text(group))
+        return joined.withColumn(out, F.col("__fold")).select(*[col(c) for c in df.columns], out)
+    finally:
+        groups.unpersist()
 
 
 def split_summary(df: DataFrame, target: str, part: str = "part") -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prepspark.functions.columns import col, one_row
-from prepspark.functions.lookups import BROADCAST_ROWS
+from prepspark.functions.columns import col, one_row, real
+from prepspark.functions.lookups import BROADCAST_BYTES, BROADCAST_ROWS
 from prepspark.operators.profile import collect_profile, is_text
 
 # Whitespace as Python's str.split sees it, and the characters a
@@ -18,9 +18,10 @@ from prepspark.operators.profile import collect_profile, is_text
 SPACE_CLASS = r"\s\x0b\x1c-\x1f\x85\p{Z}"
 KERAS_FILTERS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~\t\n"
 WORD_TOKEN = r"[\p{L}\p{N}_]{2,}"
-#: vocabulary indices are kept below this, sequences to this many last tokens
+#: vocabulary indices are kept below this
 VOCAB_SIZE = 1_000
-SEQUENCE_LENGTH = 100
+#: lexicon words that become one literal table
+MAP_WORDS = 20_000
 _SLOTS = 64
 
 
@@ -93,19 +94,22 @@ def _slot_maps(vocab: dict[str, int]) -> Column:
     return F.from_json(F.lit(json.dumps(slots)), "array<map<string,int>>")
 
 
-def sequence_columns(name: str, vocab: dict[str, int], max_length: int = SEQUENCE_LENGTH) -> dict[str, Column]:
+def sequence_columns(name: str, vocab: dict[str, int], max_length: int | None = None) -> dict[str, Column]:
     maps = _slot_maps(vocab)
     index = lambda w: F.element_at(F.element_at(maps, F.pmod(F.crc32(w), F.lit(_SLOTS)).cast("int") + 1), w)
     known = F.filter(F.transform(keras_tokens(name), index), lambda i: i.isNotNull())
-    last = F.slice(known, F.greatest(F.size(known) - (max_length - 1), F.lit(1)), F.lit(max_length))
+    last, length = known, F.size(known)
+    if max_length is not None:
+        last = F.slice(known, F.greatest(F.size(known) - (max_length - 1), F.lit(1)), F.lit(max_length))
+        length = F.least(length, F.lit(max_length))
     return {
-        f"{name}_sequence_length": F.least(F.size(known), F.lit(max_length)),
+        f"{name}_sequence_length": length,
         f"{name}_sequence_sum": F.aggregate(last, F.lit(0).cast("long"), lambda a, i: a + i),
     }
 
 
-def text_sequence(df: DataFrame, name: str, size: int = VOCAB_SIZE, max_length: int = SEQUENCE_LENGTH, fit_on: DataFrame | None = None) -> DataFrame:
-    """Number and sum of the last in-vocabulary token indices of each text."""
+def text_sequence(df: DataFrame, name: str, size: int = VOCAB_SIZE, max_length: int | None = None, fit_on: DataFrame | None = None) -> DataFrame:
+    """Number and sum of the in-vocabulary token indices of each text; of the last ``max_length`` if asked for."""
     vocab = {r["word"]: r["idx"] for r in text_vocab(fit_on or df, name, size).collect()}
     if not vocab:
         return df.withColumns({f"{name}_sequence_length": F.lit(0), f"{name}_sequence_sum": F.lit(0).cast("long")})
@@ -120,12 +124,12 @@ def _occurrences(tokens: Column, term: str) -> Column:
     return F.size(F.filter(tokens, lambda w: w == F.lit(term)))
 
 
-def text_tfidf(df: DataFrame, name: str, max_features: int = 10, max_mean_length: float | None = 1000, fit_on: DataFrame | None = None) -> DataFrame:
+def text_tfidf(df: DataFrame, name: str, max_features: int = 10, max_mean_length: float | None = None, fit_on: DataFrame | None = None) -> DataFrame:
     """``{name}_tfidf_i`` for the most frequent terms, alphabetical, rows scaled to unit length.
 
     Two small aggregations find the terms and their document counts; the
-    features are expressions per row. Skipped for texts of a mean length at or
-    above ``max_mean_length``.
+    features are expressions per row. With ``max_mean_length`` longer texts (by
+    their mean) are left alone.
     """
     source = fit_on or df
     size = one_row(source, {"n": F.count("*"), "len": F.avg(F.length(text_of(name)))})
@@ -153,28 +157,52 @@ def text_tfidf(df: DataFrame, name: str, max_features: int = 10, max_mean_length
 def text_sentiment(df: DataFrame, name: str, key: str, lexicon: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``{name}_sentiment`` and ``_subjectivity``: mean lexicon scores of a text's words, 0 without any.
 
-    ``lexicon(word, polarity, subjectivity)`` is the user's; ``key`` is unique.
-    A small lexicon is broadcast, and a row's hits collapse in the task that
-    reads the row. A large one meets words counted per row, every frequent word
-    spread over salted copies.
+    ``lexicon(word, polarity, subjectivity)`` is the user's; ``key`` is unique. A small lexicon (its rows and bytes are
+    counted) becomes a map that each row looks its words up in: no shuffle at all. A large one meets words counted per
+    row, every frequent word spread over salted copies; only keys and scores travel, and the texts stay where they are
+    if the scores are few enough to be broadcast.
     """
-    words = df.select(col(key).alias("__k"), F.explode(word_tokens(name)).alias("word"))
     lex = lexicon.select("word", F.col("polarity").cast("double").alias("p"), F.col("subjectivity").cast("double").alias("s"))
     lex = lex.persist(StorageLevel.MEMORY_AND_DISK)
-    if lex.count() <= broadcast_rows:
-        scores = words.join(F.broadcast(lex), "word").groupBy("__k").agg(F.avg("p").alias("__p"), F.avg("s").alias("__s"))
-    else:
-        salts = 32
-        salted = lex.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        counted = words.groupBy("__k", "word").agg(F.count("*").alias("c"))
-        hits = counted.withColumn("salt", F.pmod(F.xxhash64("__k"), F.lit(salts)).cast("int")).join(salted, ["word", "salt"])
-        scores = hits.groupBy("__k").agg(
-            (F.sum(F.col("p") * F.col("c")) / F.sum("c")).alias("__p"), (F.sum(F.col("s") * F.col("c")) / F.sum("c")).alias("__s"),
-        )
+    size = lex.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("word")), F.lit(0)).alias("b")).first()
+    names = (f"{name}_sentiment", f"{name}_subjectivity")
+    if size["n"] <= min(broadcast_rows, MAP_WORDS) and size["b"] <= BROADCAST_BYTES:
+        rows = lex.where("word IS NOT NULL").groupBy("word").agg(F.collect_list("p").alias("p"), F.collect_list("s").alias("s")).collect()
+        lex.unpersist()
+        pairs = {r["word"]: (r["p"], r["s"]) for r in rows}
+        return _mapped_sentiment(df, name, pairs, names) if pairs else df.withColumns({n: F.lit(0.0) for n in names})
+    words = df.select(col(key).alias("__k"), F.explode(word_tokens(name)).alias("word"))
+    salts = 32
+    salted = lex.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    counted = words.groupBy("__k", "word").agg(F.count("*").alias("c"))
+    hits = counted.withColumn("salt", F.pmod(F.xxhash64("__k"), F.lit(salts)).cast("int")).join(salted, ["word", "salt"])
+    scores = hits.groupBy("__k").agg(
+        (F.sum(F.col("p") * F.col("c")) / F.sum("c")).alias("__p"), (F.sum(F.col("s") * F.col("c")) / F.sum("c")).alias("__s"),
+    )
     out = df.join(scores, col(key) == F.col("__k"), "left")
-    return out.withColumns({
-        f"{name}_sentiment": F.coalesce("__p", F.lit(0.0)), f"{name}_subjectivity": F.coalesce("__s", F.lit(0.0)),
-    }).drop("__k", "__p", "__s")
+    return out.withColumns(dict(zip(names, (F.coalesce("__p", F.lit(0.0)), F.coalesce("__s", F.lit(0.0)))))).drop("__k", "__p", "__s")
+
+
+def _mapped_sentiment(df: DataFrame, name: str, scores: dict[str, tuple[list, list]], names: tuple[str, str]) -> DataFrame:
+    """Mean scores by looking the words of a row up in a literal table, split in slots so that a lookup scans a few entries."""
+    slots: list[list[str]] = [[] for _ in range(_SLOTS)]
+    for w in sorted(scores):
+        slots[zlib.crc32(w.encode()) % _SLOTS].append(w)
+    quote = lambda w: "'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    nums = lambda xs: "array(" + ", ".join(real(x) for x in xs if x is not None) + ")" if any(x is not None for x in xs) else "CAST(array() AS array<double>)"
+    maps = [
+        "map(" + ", ".join(f"{quote(w)}, named_struct('p', {nums(scores[w][0])}, 's', {nums(scores[w][1])})" for w in slot) + ")" if slot
+        else "CAST(map() AS map<string, struct<p: array<double>, s: array<double>>>)" for slot in slots
+    ]
+    table = F.expr(f"array({', '.join(maps)})")
+    found = F.filter(
+        F.transform(word_tokens(name), lambda w: F.element_at(F.element_at(table, F.pmod(F.crc32(w), F.lit(_SLOTS)).cast("int") + 1), w)),
+        lambda r: r.isNotNull())
+    out = df.withColumn("__hits", found)
+    mean = lambda f: F.coalesce(F.try_divide(
+        F.aggregate(F.flatten(F.transform("__hits", lambda r: r[f])), F.lit(0.0), lambda a, x: a + x),
+        F.size(F.flatten(F.transform("__hits", lambda r: r[f])))), F.lit(0.0))
+    return out.withColumns({names[0]: mean("p"), names[1]: mean("s")}).drop("__hits")
 
 
 def process_text_features(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -187,9 +215,9 @@ def process_text_features(df: DataFrame, cols: list[str] | None = None) -> DataF
     return out
 
 
-def create_text_features(df: DataFrame, cols: list[str], max_columns: int = 3, max_features: int = 10) -> DataFrame:
-    """Counts and tf-idf of the first three text columns."""
+def create_text_features(df: DataFrame, cols: list[str], max_features: int = 10) -> DataFrame:
+    """Counts and tf-idf of the text columns."""
     out = df
-    for c in cols[:max_columns]:
+    for c in cols:
         out = text_tfidf(text_counts(out, [c]), c, max_features, fit_on=df)
     return out

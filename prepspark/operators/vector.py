@@ -8,25 +8,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prepspark.functions.columns import col, columns_of, numeric_columns, string_columns
-from prepspark.operators.encode import categories, onehot_columns
+from prepspark.operators.encode import fit_categories, onehot_columns
 from prepspark.operators.scale import apply_scale, fit_scale
 
 
 def vectorize(
-    df: DataFrame, exclude: list[str] = (), max_categories: int = 50, fit_on: DataFrame | None = None, as_array: bool = False,
+    df: DataFrame, exclude: list[str] = (), max_categories: int | None = None, fit_on: DataFrame | None = None, as_array: bool = False,
 ) -> DataFrame:
     """``features``: standardised numeric columns, flags, then dummies of the string columns.
 
-    Excluded columns (keys, target) stay beside the vector. A string column with
-    more than ``max_categories`` values is an error: encode it by frequency first.
+    Excluded columns (keys, target) stay beside the vector. With ``max_categories`` a string column with more
+    values is an error. All string columns are counted in one pass.
     """
     source = fit_on or df
     numeric = numeric_columns(df, exclude)
     flags = columns_of(df, "boolean", exclude)
     scaled = apply_scale(df, fit_scale(source, "standard", numeric))
     parts = [F.coalesce(col(c), F.lit(0.0)) for c in numeric] + [F.coalesce(col(c).cast("double"), F.lit(0.0)) for c in flags]
-    for c in string_columns(df, exclude):
-        parts += list(onehot_columns(c, categories(source, c, max_categories)).values())
+    fits = fit_categories(source, string_columns(df, exclude), null_as=None)
+    for c, fit in fits.items():
+        if max_categories is not None and fit.distinct > max_categories:
+            raise ValueError(f"column '{c}' has more than {max_categories} values: use a frequency or label encoding")
+        parts += list(onehot_columns(c, fit.values()).values())
     names = [f"__x{i}" for i in range(len(parts))]
     wide = scaled.select(*[col(c) for c in exclude], *[e.cast("double").alias(n) for e, n in zip(parts, names)])
     out = VectorAssembler(inputCols=names, outputCol="features").transform(wide).select(*[col(c) for c in exclude], "features")

@@ -14,17 +14,18 @@ TIMESTAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
 
 def infer_csv_schema(spark: SparkSession, path: str, share: float = 1.0, encoding: str = "UTF-8") -> T.StructType:
     """Column types from the whole file, or from a share of its rows where one is asked for."""
-    return spark.read.csv(path, header=True, inferSchema=True, samplingRatio=share, encoding=encoding, multiLine=False).schema
+    return spark.read.csv(path, header=True, inferSchema=True, samplingRatio=share, encoding=encoding, multiLine=True, escape='"').schema
 
 
 def scan_csv(
-    spark: SparkSession, path: str, schema: T.StructType | str | None = None, encoding: str = "UTF-8", null_value: str = "",
-    keep_corrupt: bool = False, multi_line: bool = False,
+    spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None, encoding: str = "UTF-8", null_value: str = "",
+    keep_corrupt: bool = False, multi_line: bool = True,
 ) -> DataFrame:
     """Header CSV. With a schema the file is read once; without one Spark infers the types first.
 
-    ``keep_corrupt`` adds the text of rows that do not fit the schema in
-    ``_corrupt_record`` (needs a schema).
+    A row that does not fit the schema ends the read, unless ``keep_corrupt`` asks for its text in
+    ``_corrupt_record`` (null in good rows). Line breaks inside quotes belong to the cell; a caller who knows that there
+    are none may set ``multi_line=False``, and large files are then read in parts.
     """
     reader = spark.read.options(
         header=True, encoding=encoding, nullValue=null_value, multiLine=multi_line, escape='"', timestampNTZFormat=TIMESTAMP_FORMAT,
@@ -35,19 +36,32 @@ def scan_csv(
         schema = T.StructType.fromDDL(schema)
     if keep_corrupt:
         schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-        reader = reader.option("columnNameOfCorruptRecord", CORRUPT)
-    return reader.option("mode", "PERMISSIVE").schema(schema).csv(path)
+        return reader.option("columnNameOfCorruptRecord", CORRUPT).option("mode", "PERMISSIVE").schema(schema).csv(path)
+    # only parsed cells are checked, so all of them are parsed
+    return reader.option("mode", "FAILFAST").option("enforceSchema", True).schema(schema).csv(path)
 
 
-def detect_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 unless some line of the file is not valid UTF-8; then ISO-8859-1."""
-    broken = spark.read.text(path).where(~F.is_valid_utf8("value"))
-    return "UTF-8" if broken.isEmpty() else "ISO-8859-1"
+def file_encodings(spark: SparkSession, path: str) -> DataFrame:
+    """(file, encoding) of every file: UTF-8 unless some line of it is not valid UTF-8; then ISO-8859-1."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("ok"))
+    return lines.groupBy("file").agg(F.when(F.bool_and("ok"), "UTF-8").otherwise("ISO-8859-1").alias("encoding"))
 
 
 def scan_csv_encoding(spark: SparkSession, path: str, schema: T.StructType | str | None = None, **options) -> DataFrame:
-    """As ``scan_csv`` with the encoding found from the data."""
-    return scan_csv(spark, path, schema, detect_encoding(spark, path), **options)
+    """As ``scan_csv``, each file in the encoding found from its own bytes; the files of either encoding are read together.
+
+    Paths are listed on the driver, as Spark's own file listing does.
+    """
+    files: dict[str, list[str]] = {}
+    for r in file_encodings(spark, path).toLocalIterator():
+        files.setdefault(r["encoding"], []).append(r["file"])
+    if not files:
+        return scan_csv(spark, path, schema, **options)
+    parts = [scan_csv(spark, paths, schema, encoding, **options) for encoding, paths in sorted(files.items())]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def sink_stage(df: DataFrame, root: str, stage: str, fmt: str = "parquet", mode: str = "overwrite", encoding: str = "UTF-8") -> str:

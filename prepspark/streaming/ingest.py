@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from prepspark.operators.clean import clean_policy
+from prepspark.functions.columns import col
+from prepspark.operators.clean import CleaningFit, apply_cleaning
 
 
 def file_stream(spark: SparkSession, folder: str, schema: T.StructType, fmt: str = "parquet", **options: str) -> DataFrame:
@@ -18,17 +17,26 @@ def file_stream(spark: SparkSession, folder: str, schema: T.StructType, fmt: str
 
 
 def stream_file_ingest(
-    stream: DataFrame, out: str, checkpoint: str, clean: Callable[[DataFrame], DataFrame] = clean_policy, timeout_s: int | None = None,
+    stream: DataFrame, out: str, checkpoint: str, fit: CleaningFit, unique: list[str] | None = None, event_time: str | None = None,
+    delay: str | None = None, timeout_s: int | None = None,
 ) -> DataFrame:
-    """Clean each batch of new files and write it below ``out/batch_id=N``.
+    """Clean new files and write each batch below ``out/batch_id=N``; the result does not depend on how files fall into batches.
 
-    A batch overwrites its own folder, so a batch replayed after a failure does
-    not appear twice. Returns the table written so far.
+    The cleaning was fitted on a table and is applied row by row. Rows equal in ``unique`` count once over all batches:
+    within ``delay`` of ``event_time`` where these are given (the state is bounded, later rows are dropped), else for ever.
+    A batch overwrites its own folder, so a batch replayed after a failure does not appear twice. Returns the table
+    written so far.
     """
+    cleaned = apply_cleaning(stream, fit)
+    if unique and event_time and delay:
+        timed = cleaned.withColumn("__at", col(event_time).cast("timestamp")).withWatermark("__at", delay)
+        cleaned = timed.dropDuplicatesWithinWatermark(unique).drop("__at")
+    elif unique:
+        cleaned = cleaned.dropDuplicates(unique)
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        clean(batch).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = cleaned.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination(timeout_s) if timeout_s else query.awaitTermination()
-    spark = stream.sparkSession
-    return spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch_id", T.IntegerType())])).parquet(out)
+    return stream.sparkSession.read.schema(T.StructType([*cleaned.schema.fields, T.StructField("batch_id", T.IntegerType())])).parquet(out)

@@ -5,24 +5,28 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from prepspark.functions import ranks
+from prepspark.functions.neighbors import nearest_vectors
 from prepspark.operators import balance, bins, clean, eda, encode, profile, rowfeat, runs, scale, select, split, temporal, text
 from prepspark.plans import prepare as flows
 
+# parcels: every expected value below was worked out from these rows with numpy
 ROWS = [
-    (1, 25, 50000, dt.datetime(2024, 1, 15), "Great product!", "A", 0),
-    (2, 32, 75000, dt.datetime(2024, 2, 20), "Not satisfied", "B", 1),
-    (3, 47, 120000, dt.datetime(2024, 3, 10), "Average quality", "A", 0),
-    (4, 51, 90000, dt.datetime(2024, 1, 25), "Excellent service", "C", 1),
-    (5, 29, 60000, dt.datetime(2024, 2, 28), "Could be better", "B", 0),
+    (11, 3, 140, dt.datetime(2023, 5, 6), "arrived wet", "north", 0),
+    (12, 8, 395, dt.datetime(2023, 5, 31), "no remarks", "south", 1),
+    (13, 5, 210, dt.datetime(2023, 6, 4), "label torn", "north", 0),
+    (14, 12, 520, dt.datetime(2023, 2, 27), "left at gate", "east", 1),
+    (15, 7, 365, dt.datetime(2023, 8, 1), "box dented", "south", 1),
+    (16, 10, 430, dt.datetime(2023, 9, 30), "signed twice", "north", 0),
 ]
 
 
 @pytest.fixture(scope="module")
-def customers(spark):
-    return spark.createDataFrame(ROWS, "customer_id int, age int, income int, purchase_date timestamp, review string, category string, churn int")
+def parcels(spark):
+    return spark.createDataFrame(ROWS, "parcel_id int, size int, cost int, sent timestamp, note string, depot string, late int")
 
 
-def column(df, name, by="customer_id"):
+def column(df, name, by="parcel_id"):
     return [r[name] for r in df.orderBy(by).collect()]
 
 
@@ -30,52 +34,51 @@ def near(values, digits=6):
     return [None if v is None else round(v, digits) for v in values]
 
 
-def test_roles(customers):
+def test_roles(parcels):
     roles = {}
-    for r in profile.profile_roles(customers).collect():
+    for r in profile.profile_roles(parcels).collect():
         roles.setdefault(r["role"], []).append(r["column"])
-    assert roles["numeric"] == ["customer_id", "age", "income", "churn"]
-    assert roles["datetime"] == ["purchase_date"]
-    assert roles["categorical"] == ["review", "category"]
-    assert roles["binary"] == ["churn"]
-    assert sorted(roles["id_like"]) == ["customer_id", "review"]
+    assert roles["numeric"] == ["parcel_id", "size", "cost", "late"]
+    assert roles["datetime"] == ["sent"]
+    assert roles["categorical"] == ["note", "depot"]
+    assert roles["binary"] == ["late"]
+    assert "parcel_id" in roles["id_like"] and "note" in roles["id_like"]
 
 
-def test_target(customers):
-    assert {r["variant"]: r["target"] for r in profile.detect_target(customers).collect()} == {
-        "transform": "income", "features": "income", "runner": "income", "report": "churn",
-    }
+def test_row_stats(parcels):
+    out = rowfeat.row_stats(parcels)
+    assert near(column(out, "numeric_mean")) == [38.5, 104.0, 57.0, 136.75, 97.0, 114.0]
+    assert near(column(out, "numeric_std")) == [67.825757, 194.053257, 102.140426, 255.563919, 178.758683, 210.770017]
+    assert column(out, "numeric_sum") == [154, 416, 228, 547, 388, 456]
 
 
-def test_row_stats(customers):
-    out = rowfeat.row_stats(customers)
-    assert near(column(out, "numeric_mean")) == [12506.5, 18758.75, 30012.5, 22514.0, 15008.5]
-    assert near(column(out, "numeric_std")) == [24995.669338, 37494.169426, 59991.670513, 44990.672493, 29994.336004]
-    assert column(out, "numeric_sum") == [50026, 75035, 120050, 90056, 60034]
+def test_target_mean(parcels):
+    out = encode.encode_target_mean(parcels, "depot", "cost")
+    assert column(out, "depot_target_mean") == [260, 380, 260, 520, 380, 260]
 
 
-def test_target_mean(customers):
-    out = encode.encode_target_mean(customers, "category", "income")
-    assert column(out, "category_target_mean") == [85000, 67500, 85000, 90000, 67500]
+def test_target_mean_by_fold(parcels):
+    out = encode.encode_target_mean(parcels.withColumn("fold", F.col("parcel_id") % 2), "depot", "cost", "m", fold="fold")
+    # north: 140 and 210 in one fold, 430 in the other; south: one in each; east has no other row and takes the overall mean
+    assert near(column(out, "m")) == [430, 365, 430, round(2060 / 6, 6), 395, 175]
 
 
-def test_skew_corr_vif_anova(customers):
-    assert {r["column"]: round(r["skew"], 6) for r in eda.skewness(customers).collect()} == {
-        "customer_id": 0, "age": 0.464996, "income": 0.782104, "churn": 0.608581,
+def test_skew_corr_vif_anova(parcels):
+    assert {r["column"]: round(r["skew"], 6) + 0.0 for r in eda.skewness(parcels).collect()} == {
+        "parcel_id": 0, "size": 0, "cost": -0.466586, "late": 0,
     }
-    corr = {(r["a"], r["b"]): r["r"] for r in eda.corr_matrix(customers, ["age", "income"]).collect()}
-    assert round(corr[("age", "income")], 6) == 0.857788
-    v = {r["column"]: round(r["vif"], 4) for r in eda.vif(customers, ["customer_id", "age", "income"]).collect()}
-    assert v == {"customer_id": 6.3721, "age": 56.8793, "income": 44.8489}
-    f = {r["feature"]: round(r["score"], 6) for r in select.f_classif(customers, "churn").collect()}
-    assert f == {"customer_id": 0, "age": 0.485317, "income": 0.041119}
+    corr = {(r["a"], r["b"]): r["r"] for r in eda.corr_matrix(parcels, ["size", "cost"]).collect()}
+    assert round(corr[("size", "cost")], 6) == 0.978768
+    v = {r["column"]: round(r["vif"], 4) for r in eda.vif(parcels, ["parcel_id", "size", "cost"]).collect()}
+    assert v == {"parcel_id": 11.6722, "size": 171.9189, "cost": 189.4264}
+    f = {r["feature"]: round(r["score"], 6) for r in select.f_classif(parcels, "late").collect()}
+    assert f == {"parcel_id": 0.038462, "size": 1.35, "cost": 2.809778}
 
 
-def test_bins_and_scales(customers):
-    assert [round(e, 6) for e in bins.quantile_edges(customers, ["age"])["age"]] == [25, 28.2, 30.8, 38, 47.8, 51]
-    assert column(bins.bin_quantile(customers, ["age"]), "age") == [0, 2, 3, 4, 1]
-    assert near(column(scale.scale_robust(customers, ["age"]), "age")) == [-0.388889, 0, 0.833333, 1.055556, -0.166667]
-    assert near(column(scale.scale_standard(customers, ["age"]), "age")) == [-1.147417, -0.466746, 0.991835, 1.38079, -0.758462]
+def test_bins_and_scales(parcels):
+    assert [round(e, 6) for e in bins.quantile_edges(parcels, ["size"])["size"]] == [3, 5, 7, 8, 10, 12]
+    assert near(column(scale.scale_robust(parcels, ["size"]), "size")) == [-1.125, 0.125, -0.625, 1.125, -0.125, 0.625]
+    assert near(column(scale.scale_standard(parcels, ["size"]), "size")) == [-1.506993, 0.167444, -0.837218, 1.506993, -0.167444, 0.837218]
 
 
 def test_constant_column_scales(spark):
@@ -84,35 +87,20 @@ def test_constant_column_scales(spark):
         assert column(scale.scale_normalize(df, method, ["x"]), "x", "k") == [0.0, 0.0, None]
 
 
-def test_dates(customers):
-    out = temporal.datetime_parts_full(customers)
-    assert column(out, "purchase_date_dayofweek")[2] == 6 and column(out, "purchase_date_is_weekend")[2] is True
-    assert column(out, "purchase_date_is_month_end")[4] is False
+def test_dates(parcels):
+    out = temporal.datetime_parts_full(parcels)
+    # 2023-05-06, 2023-06-04 and 2023-09-30 fall on a weekend; 2023-05-31 and 2023-09-30 end their months
+    assert column(out, "sent_is_weekend") == [True, False, True, False, False, True]
+    assert column(out, "sent_is_month_end") == [False, True, False, False, False, True]
 
 
-def test_mixed_sample_text_rules(spark):
-    rows = [
-        (1, 0, "A", "Short text", 10.5, True), (2, 1, "B", "This is a longer description with more words", 20.3, False),
-        (3, 0, "A", "Another description", 15.7, True), (4, 1, "C", "Yet another text field", 8.9, False),
-        (5, 0, "B", "Final description", 12.1, True),
-    ]
-    df = spark.createDataFrame(rows, "feature1 int, target int, category string, description string, numeric double, binary boolean")
+def test_text_rules(spark):
+    rows = [(i, i % 2, "k" + str(i % 3), "the lamp in room %d flickers whenever the heating starts up" % i, i / 4) for i in range(1, 7)]
+    df = spark.createDataFrame(rows, "id int, target int, kind string, story string, level double")
     got = {(r["column"], r["rule"]): r["is_text"] for r in profile.detect_text(df).collect()}
-    assert [got[("description", r)] for r in "abcde"] == [True, True, False, True, True]
+    assert got[("story", "a")] and not got[("kind", "a")]
     assert profile.pick_target(profile.collect_profile(df)) == "target"
-    assert encode.encode_onehot(df, "category").columns[-2:] == ["category_B", "category_C"]
-    assert ("binary", "boolean") in {(r["column"], r["role"]) for r in profile.profile_roles(df).collect()}
-
-
-def test_text_sample_kind(spark):
-    rows = [
-        ("This is a positive review about the product", "positive"), ("Negative experience with customer service", "negative"),
-        ("The item works as expected", "neutral"), ("Very disappointed with the quality", "negative"),
-        ("Excellent product, highly recommended", "positive"),
-    ]
-    df = spark.createDataFrame(rows, "text string, sentiment string")
-    info = profile.detect_dataset_kind(df).first()
-    assert info["kind"] == "text" and info["target"] is None
+    assert encode.encode_onehot(df, "kind").columns[-2:] == ["kind_k1", "kind_k2"]
 
 
 def test_text_features(spark):
@@ -150,6 +138,83 @@ def test_split_arithmetic():
         split.timeseries_bounds(3, 5)
 
 
+def test_dealing_equals_one_by_one():
+    """Runs of equal groups against placing every group into the lightest fold."""
+    import random
+
+    rng = random.Random(8)
+    for _ in range(300):
+        k = rng.randint(1, 6)
+        sizes = sorted((rng.randint(1, 12) for _ in range(rng.randint(1, 40))), reverse=True)
+        plain, loads = [], [0] * k
+        for s in sizes:
+            i = min(range(k), key=lambda i: (loads[i], i))
+            plain.append(i)
+            loads[i] += s
+        runs, own = [], [0] * k
+        for s in sorted(set(sizes), reverse=True):
+            n = sizes.count(s)
+            for a, b, turn in split.deal(own, s, n):
+                runs += [turn[j % len(turn)] for j in range(b - a)]
+        assert runs == plain and own == loads
+
+
+def test_kfold_group_equals_greedy(spark):
+    df = spark.range(400).withColumn("g", F.floor(F.sqrt(F.col("id"))))
+    out = split.kfold_group(df, "g", 4)
+    got = {r["g"]: r["fold"] for r in out.select("g", "fold").distinct().collect()}
+    import hashlib
+
+    sizes = {r["g"]: r["count"] for r in df.groupBy("g").count().collect()}
+    loads = [0] * 4
+    for g in sorted(sizes, key=lambda g: (-sizes[g], hashlib.md5(f"{g}|42".encode()).hexdigest())):
+        i = min(range(4), key=lambda i: (loads[i], i))
+        assert got[g] == i
+        loads[i] += sizes[g]
+
+
+def test_ranks_break_ties_by_row(spark):
+    df = spark.range(900).select((F.col("id") % 3).alias("k"), F.col("id").alias("v"))
+    seen = {tuple(map(tuple, ranks.rank_in_group(df.repartition(n), ranks.key_hash(["k"]), None).orderBy("v").collect())) for n in (1, 3, 7)}
+    assert len(seen) == 1
+
+
+def test_neighbours_of_many_groups(spark):
+    """Over a thousand groups, one much larger: every point's neighbour is the nearest of its own group."""
+    rows = [(str(g), [float(g * 10 + i * (i + 1))]) for g in range(1100) for i in range(3)] + [("big", [float(i * i)]) for i in range(500)]
+    got = nearest_vectors(spark.createDataFrame(rows, "g string, vec array<double>"), 1, 50).collect()
+    by: dict = {}
+    for g, v in rows:
+        by.setdefault(g, []).append(v[0])
+    assert len(got) == len(rows)
+    for r in got:
+        rest = [x for x in by[r["g"]] if x != r["vec"][0]]
+        assert abs(r["neighbours"][0][0] - r["vec"][0]) == min(abs(x - r["vec"][0]) for x in rest)
+
+
+def test_long_values_keep_their_codes(spark, monkeypatch):
+    monkeypatch.setattr(encode, "BROADCAST_BYTES", 2000)
+    df = spark.range(60).select("id", *[F.concat(F.repeat(F.lit(c), 300), F.col("id") % n).alias(c) for c, n in (("a", 2), ("b", 4), ("c", 12))])
+    out = encode.encode_categorical(df, exclude=["id"])
+    assert out.where("a IS NULL OR c IS NULL").count() == 0 and out.select("c").distinct().count() == 12
+    assert len([c for c in out.columns if c.startswith("b_")]) == 3
+    made = encode.categorical_features(df, ["b"])
+    assert len([c for c in made.columns if c.startswith("b_bbb")]) == 3
+
+
+def test_null_column_and_text_targets(spark):
+    df = spark.range(40).select("id", F.lit(None).cast("string").alias("none"), F.concat(F.lit("c"), F.col("id") % 13).alias("y"), *[(F.col("id") * i % 7).cast("double").alias(f"x{i}") for i in range(1, 6)])
+    assert encode.encode_binary(df, "none").where("none IS NOT NULL").count() == 0
+    assert len([c for c in select.select_k_best(df, "y", 3, ["id"]).columns if c.startswith("x")]) == 3
+    assert eda.target_summary(df, "y").count() == 13
+
+
+def test_one_outlier_asks_for_many_bins(spark):
+    df = spark.range(2000).select(F.when(F.col("id") == 0, 1e12).otherwise(F.col("id").cast("double")).alias("x"))
+    got = eda.histogram(df, ["x"], "auto", empty=False)
+    assert got.count() <= 2000 and got.agg(F.sum("n")).first()[0] == 2000
+
+
 def test_clean_policy_rules(spark):
     df = spark.createDataFrame([(1, 2.0, "x"), (2, None, "y"), (3, 4.0, None), (1, 2.0, "x")], "k int, v double, s string")
     assert sorted(map(tuple, clean.clean_policy(df).collect())) == [(1, 2.0, "x")]
@@ -208,8 +273,9 @@ def test_edge_case_tables(spark):
 
 
 def test_balance_dispatch(spark):
-    assert balance.choose_balancing({"a": 100, "b": 9}) == "undersample"
-    assert balance.choose_balancing({"a": 100, "b": 25}) == "smote"
-    assert balance.choose_balancing({"a": 100, "b": 50}) == "oversample"
-    df = spark.range(50).withColumn("target", F.col("id"))
-    assert balance.balance_data(df, ["id"], "target").count() == 50
+    assert balance.choose_balancing(100, 9) == "undersample"
+    assert balance.choose_balancing(100, 25) == "smote"
+    assert balance.choose_balancing(100, 50) == "oversample"
+    # thirty classes of two, and one of three
+    df = spark.range(63).withColumn("target", F.least(F.floor(F.col("id") / 2), F.lit(30)))
+    assert balance.balance_data(df, ["id"], "target").groupBy("target").count().select("count").distinct().collect()[0][0] == 3

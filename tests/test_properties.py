@@ -87,7 +87,7 @@ def test_split_is_a_partition(table):
 
 def test_kfold_group_with_many_groups(table):
     o = table("orders")
-    out = split.kfold_group(o, "o_custkey", 3, max_greedy=10)
+    out = split.kfold_group(o, "o_custkey", 3)
     assert out.groupBy("o_custkey").agg(F.count_distinct("fold").alias("k")).where("k > 1").count() == 0
     assert out.count() == o.count() and out.select("fold").distinct().count() == 3
 
