@@ -12,7 +12,8 @@ suffix is sorted again, and intervals of one suffix leave.
 
 Anchors in repeated intervals are settled by bytes. Every 400-byte string starting within an anchor's reach holds its core
 and lies in its surroundings. Equal surroundings elsewhere: all of them repeat. Equal cores but other surroundings: the
-strings are compared one by one, through their hashes, once for each distinct surroundings.
+starts are cut in blocks of ``BLOCK``, which have a core and surroundings of their own, and where these leave it open the
+strings are compared one by one, always once for each distinct surroundings.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ SPREAD = 160
 GRAM = 24
 ROUNDS = 3
 CORE = LENGTH - SPREAD + 1
+BLOCK = 16
 #: Bytes of text of a shard, and starts worked on at once in a long text.
 SHARD_BYTES = 8_000_000
 PART = 1_000_000
@@ -244,9 +246,9 @@ def intervals(table: DataFrame) -> DataFrame:
 
 
 def candidates(table: DataFrame, known: DataFrame) -> DataFrame:
-    """(core, around, key, low, starts, n) of the anchors in repeated intervals as deep as they are sure to go; n: equal rows in the shard."""
-    names = ["core", "around", "key", "low", "starts", "n"]
-    types = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64()]
+    """(core, around, key, at, low, starts, n) of the anchors in repeated intervals as deep as they are sure to go; n: equal rows in the shard."""
+    names = ["core", "around", "key", "at", "low", "starts", "n"]
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
 
     def pick(left, right):
         made = []
@@ -263,34 +265,59 @@ def candidates(table: DataFrame, known: DataFrame) -> DataFrame:
             doc = np.repeat(np.arange(len(keys)), np.frombuffer(row["sizes"], "<i4"))[on]
             key = np.frombuffer(row["keys"], "V16")[doc]
             made.append(pa.table([pa.array(cells["core"][on].view(np.int64)), pa.array(cells["around"][on].view(np.int64)), pa.array(key.tolist(), pa.binary()),
-                                  pa.array(cells["low"][on]), pa.array(cells["starts"][on].astype(np.int32)), pa.array(np.ones(len(on), np.int64))], names=names))
+                                  pa.array(cells["at"][on]), pa.array(cells["low"][on]), pa.array(cells["starts"][on].astype(np.int32)), pa.array(np.ones(len(on), np.int64))], names=names))
         if not made:
             return pa.table([pa.array([], t) for t in types], names=names)
         out = pa.concat_tables(made).group_by(names[:-1]).aggregate([("n", "sum")]).rename_columns([*names[:-1], "n"])
         return out.select(names)
 
-    shape = "core bigint, around bigint, key binary, low int, starts int, n bigint"
+    shape = "core bigint, around bigint, key binary, at int, low int, starts int, n bigint"
     return table.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(pick, shape)
 
 
+def _blocks(texts: DataFrame) -> DataFrame:
+    """(core, around, id, low, starts, n) of the blocks of starts of the listed anchors of (id, text, spots), counted from the anchor."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h = xxhash.xxh3_64_intdigest
+        for batch in batches:
+            for k in range(batch.num_rows):
+                raw, row = batch.column(1)[k].as_py().encode("utf-8", "surrogatepass"), batch.column(0)[k].as_py()
+                out: list[tuple] = []
+                for at, low, starts, n in np.frombuffer(batch.column(2)[k].as_py(), "<i8").reshape(-1, 4).tolist():
+                    last = low + starts - 1
+                    for top in range(at - (at - last) // BLOCK * BLOCK, low - 1, -BLOCK):
+                        bottom = top - BLOCK + 1
+                        first, end = max(0, bottom), min(len(raw), top + LENGTH)
+                        a, b = max(low, bottom), min(last, top)
+                        out.append((h(raw[top:bottom + LENGTH]), h(raw[first:end], top - first), a, b - a + 1, n))
+                for i in range(0, len(out), 20_000):
+                    some = list(zip(*out[i:i + 20_000], strict=True))
+                    hashes = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in some[:2]]
+                    yield pa.RecordBatch.from_arrays(
+                        [*hashes, pa.array([row] * len(some[0]), pa.int64()), pa.array(some[2], pa.int32()), pa.array(some[3], pa.int32()), pa.array(some[4], pa.int64())],
+                        names=["core", "around", "id", "low", "starts", "n"])
+
+    return texts.select("id", "text", "spots").mapInArrow(run, "core bigint, around bigint, id bigint, low int, starts int, n bigint")
+
+
 def _strings(texts: DataFrame) -> DataFrame:
-    """(h, key, start, n): every string that starts within the reach of the listed anchors of (key, text, spots)."""
+    """(h, id, start, n): every string of the listed blocks of (id, text, spots)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = xxhash.xxh3_64_intdigest
         for batch in batches:
             for k in range(batch.num_rows):
                 raw = batch.column(1)[k].as_py().encode("utf-8", "surrogatepass")
-                key = batch.column(0)[k].as_py()
+                row = batch.column(0)[k].as_py()
                 spots = np.frombuffer(batch.column(2)[k].as_py(), "<i8").reshape(-1, 3)
-                for a in range(0, len(spots), 200):
-                    some = spots[a:a + 200]
+                for a in range(0, len(spots), 1000):
+                    some = spots[a:a + 1000]
                     start = np.concatenate([np.arange(low, low + n) for low, n, _ in some.tolist()])
                     names = np.array([h(raw[i:i + LENGTH]) for i in start.tolist()], np.uint64)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(names.view(np.int64)), pa.array([key] * len(start), pa.binary()), pa.array(start.astype(np.int32)),
-                         pa.array(np.repeat(some[:, 2], some[:, 1]))], names=["h", "key", "start", "n"])
+                        [pa.array(names.view(np.int64)), pa.array([row] * len(start), pa.int64()), pa.array(start.astype(np.int32)),
+                         pa.array(np.repeat(some[:, 2], some[:, 1]))], names=["h", "id", "start", "n"])
 
-    return texts.select("key", "text", "spots").mapInArrow(run, "h bigint, key binary, start int, n bigint")
+    return texts.select("id", "text", "spots").mapInArrow(run, "h bigint, id bigint, start int, n bigint")
 
 
 def _runs(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -301,13 +328,29 @@ def _runs(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.stack([starts[cut], ends[np.append(cut[1:], len(starts)) - 1] if len(starts) else ends], axis=1)
 
 
-def _packed(rows: DataFrame, columns: list[str], name: str) -> DataFrame:
-    """One row per key with the numbers of its rows as 64-bit triples or pairs; a key has at most the rows of one text."""
+def _packed(rows: DataFrame, by: str, columns: list[str], name: str) -> DataFrame:
+    """One row per ``by`` with the numbers of its rows as 64-bit tuples; there are at most the rows of one text."""
+    kind = rows.schema[by].dataType.simpleString()
+    type_ = pa.binary() if kind == "binary" else pa.int64()
+
     def run(key, table):
         cells = np.stack([table[c].to_numpy().astype("<i8") for c in columns], axis=1)
-        return pa.table({"key": pa.array([key[0].as_py()], pa.binary()), name: pa.array([cells.tobytes()], pa.binary())})
+        return pa.table({by: pa.array([key[0].as_py()], type_), name: pa.array([cells.tobytes()], pa.binary())})
 
-    return rows.select("key", *columns).groupBy("key").applyInArrow(run, f"key binary, {name} binary")
+    return rows.select(by, *columns).groupBy(by).applyInArrow(run, f"{by} {kind}, {name} binary")
+
+
+def _settle(found: DataFrame, who: list[str], name: str) -> tuple[DataFrame, DataFrame]:
+    """Of (core, around, n) rows with members ``who``: members whose surroundings occur twice, and one of each surroundings where a core has several (with the total n).
+
+    Copies and passages shared as they stand are one group here: sums combine before the shuffle.
+    """
+    groups = found.groupBy("core", "around").agg(F.sum("n").alias("total"), F.min(F.struct(*who)).alias("one"))
+    groups = materialize(groups, name)
+    twice = groups.where("total >= 2").select("core", "around")
+    whole = found.select("core", "around", *who).join(twice, ["core", "around"]).select(*who)
+    several = groups.groupBy("core").agg(F.min("around").alias("a"), F.max("around").alias("b")).where("a < b").select("core")
+    return whole, groups.join(several, "core").select("one.*", F.least("total", F.lit(2)).alias("n"))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -317,22 +360,20 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """
     table = shards(docs.where(f"octet_length(text) >= {LENGTH}").select("key", "text"))
     found = materialize(candidates(table, intervals(table)), "bwt-candidates")
-    # Copies and passages shared as they stand are one group here: sums combine before the shuffle.
-    groups = found.groupBy("core", "around").agg(F.sum("n").alias("total"), F.min(F.struct("key", "low", "starts")).alias("one"))
-    groups = materialize(groups, "bwt-groups")
-    twice = groups.where("total >= 2").select("core", "around")
-    whole = found.select("core", "around", "key", "low", "starts").join(twice, ["core", "around"]).select("key", "low", "starts").distinct()
-    several = groups.groupBy("core").agg(F.min("around").alias("a"), F.max("around").alias("b")).where("a < b").select("core")
-    spots = groups.join(several, "core").select("one.key", "one.low", "one.starts", F.col("total").alias("n"))
-    spots = materialize(_packed(spots, ["low", "starts", "n"], "spots"), "bwt-spots")
+    whole, open_ = _settle(found, ["key", "at", "low", "starts"], "bwt-groups")
+    spots = materialize(_packed(open_, "key", ["at", "low", "starts", "n"], "spots").withColumn("id", F.monotonically_increasing_id()), "bwt-spots")
     near = flagged(docs, spots, "key").where("spots IS NOT NULL")
-    strings = materialize(_strings(near), "bwt-strings")
+    blocks_ = materialize(_blocks(near), "bwt-blocks")
+    more, open_ = _settle(blocks_, ["id", "low", "starts"], "bwt-block-groups")
+    last = materialize(_packed(open_, "id", ["low", "starts", "n"], "spots").join(spots.select("id", "key"), "id"), "bwt-strings")
+    strings = materialize(_strings(flagged(docs, last, "key").where("spots IS NOT NULL")), "bwt-string-hashes")
     again = strings.groupBy("h").agg(F.sum("n").alias("total")).where("total >= 2").select("h")
-    exact = strings.join(again, "h").select("key", F.col("start").alias("low"), F.lit(1).alias("starts")).distinct()
-    covered = whole.unionByName(exact)
+    exact = strings.join(again, "h").select("id", F.col("start").alias("low"), F.lit(1).alias("starts"))
+    settled = _packed(more.unionByName(exact), "id", ["low", "starts"], "cells").join(spots.select("id", "key"), "id").select("key", "cells")
+    covered = settled.unionByName(_packed(whole, "key", ["low", "starts"], "cells"))
 
     def cover(key, rows):
-        low, starts = (rows[c].to_numpy().astype(np.int64) for c in ("low", "starts"))
+        low, starts = np.frombuffer(b"".join(rows["cells"].to_pylist()), "<i8").reshape(-1, 2).T
         return pa.table({"key": pa.array([key[0].as_py()], pa.binary()), "runs": pa.array([_runs(low, low + starts - 1 + LENGTH).astype("<i8").tobytes()], pa.binary())})
 
     return materialize(covered.groupBy("key").applyInArrow(cover, "key binary, runs binary"), "bwt-runs")
