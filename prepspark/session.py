@@ -55,6 +55,14 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_stage(df: DataFrame) -> None:
+    """Delete the folder a stage table made by ``materialize`` lies in. Its owner calls this when no plan reads it any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def side_by_side(spark: SparkSession, tasks: dict[str, Callable[[], object]]) -> dict[str, object]:
     """Run independent driver steps at the same time, so that their short jobs share the executors."""
     with ThreadPoolExecutor(max(1, len(tasks))) as pool:
