@@ -29,7 +29,7 @@ LEAST = 5
 TABLE_BITS = 24
 # Odd multipliers of the hashes.
 _MULT = [0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9]
-_OUTSIDE = regex.compile("[\u0080-©«-´¶-¹»-¿ -⁯　-〿]")
+_OUTSIDE = regex.compile("[\u0080-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u2000-\u206f\u3000-\u303f]")
 _WORD = np.zeros(256, dtype=bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
