@@ -102,9 +102,9 @@ def histogram(df: DataFrame, cols: list[str] | None = None, bins: int | str = 30
             one = spark.range(1, per_col[c] + 1).select(F.lit(c).alias("column"), F.col("id").alias("bin"))
             grid = one if grid is None else grid.unionByName(one)
         out = grid.join(out, ["column", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    edges = spark.createDataFrame([(c, lo, (hi - lo) / per_col[c]) for c, (lo, hi) in ranges.items()], "column string, l double, w double")
-    out = out.join(F.broadcast(edges), "column")
-    return out.select("column", "bin", (F.col("l") + (F.col("bin") - 1) * F.col("w")).alias("lo"), (F.col("l") + F.col("bin") * F.col("w")).alias("hi"), "n")
+    per_column = lambda values: F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col("column"))
+    first, width = per_column({c: lo for c, (lo, _) in ranges.items()}), per_column({c: (hi - lo) / per_col[c] for c, (lo, hi) in ranges.items()})
+    return out.select("column", "bin", (first + (F.col("bin") - 1) * width).alias("lo"), (first + F.col("bin") * width).alias("hi"), "n")
 
 
 def box_stats(df: DataFrame, cols: list[str] | None = None, exact: bool = True, reach: float = 1.5) -> DataFrame:
