@@ -283,7 +283,7 @@ def _blocks(texts: DataFrame) -> DataFrame:
             for k in range(batch.num_rows):
                 raw, row = batch.column(1)[k].as_py().encode("utf-8", "surrogatepass"), batch.column(0)[k].as_py()
                 out: list[tuple] = []
-                for at, low, starts, n in np.frombuffer(batch.column(2)[k].as_py(), "<i8").reshape(-1, 4).tolist():
+                for at, low, starts, n in np.frombuffer(batch.column(2)[k].as_py(), "<i4").reshape(-1, 4).tolist():
                     last = low + starts - 1
                     for top in range(at - (at - last) // BLOCK * BLOCK, low - 1, -BLOCK):
                         bottom = top - BLOCK + 1
@@ -308,7 +308,7 @@ def _strings(texts: DataFrame) -> DataFrame:
             for k in range(batch.num_rows):
                 raw = batch.column(1)[k].as_py().encode("utf-8", "surrogatepass")
                 row = batch.column(0)[k].as_py()
-                spots = np.frombuffer(batch.column(2)[k].as_py(), "<i8").reshape(-1, 3)
+                spots = np.frombuffer(batch.column(2)[k].as_py(), "<i4").reshape(-1, 3).astype(np.int64)
                 for a in range(0, len(spots), 1000):
                     some = spots[a:a + 1000]
                     start = np.concatenate([np.arange(low, low + n) for low, n, _ in some.tolist()])
@@ -329,12 +329,12 @@ def _runs(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def _packed(rows: DataFrame, by: str, columns: list[str], name: str) -> DataFrame:
-    """One row per ``by`` with the numbers of its rows as 64-bit tuples; there are at most the rows of one text."""
+    """One row per ``by`` with the numbers of its rows as 32-bit tuples; there are at most the rows of one text."""
     kind = rows.schema[by].dataType.simpleString()
     type_ = pa.binary() if kind == "binary" else pa.int64()
 
     def run(key, table):
-        cells = np.stack([table[c].to_numpy().astype("<i8") for c in columns], axis=1)
+        cells = np.stack([table[c].to_numpy().astype("<i4") for c in columns], axis=1)
         return pa.table({by: pa.array([key[0].as_py()], type_), name: pa.array([cells.tobytes()], pa.binary())})
 
     return rows.select(by, *columns).groupBy(by).applyInArrow(run, f"{by} {kind}, {name} binary")
@@ -356,7 +356,7 @@ def _settle(found: DataFrame, who: list[str], name: str) -> tuple[DataFrame, Dat
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(key, runs): per text (key: md5) with a repeated 400-byte string the runs of bytes that such strings cover.
 
-    ``docs`` has key and text, a row per document; equal texts repeat each other. ``runs`` holds 64-bit pairs.
+    ``docs`` has key and text, a row per document; equal texts repeat each other. ``runs`` holds 32-bit pairs.
     """
     table = shards(docs.where(f"octet_length(text) >= {LENGTH}").select("key", "text"))
     found = materialize(candidates(table, intervals(table)), "bwt-candidates")
@@ -373,8 +373,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     covered = settled.unionByName(_packed(whole, "key", ["low", "starts"], "cells"))
 
     def cover(key, rows):
-        low, starts = np.frombuffer(b"".join(rows["cells"].to_pylist()), "<i8").reshape(-1, 2).T
-        return pa.table({"key": pa.array([key[0].as_py()], pa.binary()), "runs": pa.array([_runs(low, low + starts - 1 + LENGTH).astype("<i8").tobytes()], pa.binary())})
+        low, starts = np.frombuffer(b"".join(rows["cells"].to_pylist()), "<i4").reshape(-1, 2).astype(np.int64).T
+        return pa.table({"key": pa.array([key[0].as_py()], pa.binary()), "runs": pa.array([_runs(low, low + starts - 1 + LENGTH).astype("<i4").tobytes()], pa.binary())})
 
     return materialize(covered.groupBy("key").applyInArrow(cover, "key binary, runs binary"), "bwt-runs")
 
@@ -402,7 +402,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
 
 
 def _cut(raw: bytes, runs: bytes | None) -> tuple[int, int, int, str, bytes]:
-    spans = np.frombuffer(runs, "<i8").reshape(-1, 2).tolist() if runs else []
+    spans = np.frombuffer(runs, "<i4").reshape(-1, 2).tolist() if runs else []
     parts, at = [], 0
     for a, b in spans:
         parts.append(raw[at:a])
