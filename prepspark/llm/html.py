@@ -51,20 +51,39 @@ LABELLED: list[tuple[float, ...]] = [
     (9, 0, 0, 0, 12, 0, 0, 1, 1, 1), (12, 0, 5, 0, 60, 0, 0, 1, 1, 1), (1, 0, 40, 0, 55, 0, 0, 1, 0, 1), (2, 0, 3, 0, 3, 0, 0, 1, 0, 1),
     (60, 0, 55, 0, 48, 0, 0, 1, 0, 1), (120, 0.05, 40, 0, 30, 0.1, 0, 1, 0, 1), (35, 0.2, 20, 0, 8, 0, 0, 1, 0, 1), (6, 0.4, 60, 0, 70, 0, 0, 1, 0, 1),
     (3, 1, 60, 0, 70, 0, 0, 1, 0, 1), (8, 0, 70, 0, 6, 0, 0, 1, 0, 1), (15, 0, 8, 0, 0, 0, 0, 1, 0, 1), (300, 0, 9, 0, 6, 0.3, 0, 1, 0, 1),
+    # articles: headings, paragraphs and list items that are links, alone or among others
+    (7, 1, 0, 0, 60, 0, 0, 1, 1, 1), (12, 1, 45, 0, 50, 0, 0, 1, 0, 1), (6, 1, 5, 1, 8, 1, 0, 1, 0, 1), (20, 0.9, 30, 0, 25, 0, 0, 1, 0, 1),
+    (15, 1, 14, 1, 2, 1, 0, 1, 0, 1), (30, 0.8, 60, 0, 0, 0, 0, 1, 0, 1), (2, 1, 3, 1, 3, 1, 0, 1, 0, 1), (5, 0.6, 6, 0.5, 40, 0, 0, 1, 0, 1),
     # pages without an article element: running text among short blocks
     (45, 0, 50, 0, 38, 0, 0, 0, 0, 1), (90, 0.1, 8, 0, 60, 0, 0, 0, 0, 1), (18, 0, 60, 0, 75, 0, 0, 0, 0, 1), (7, 0, 45, 0, 50, 0, 0, 0, 0, 1),
     (6, 0, 2, 0, 70, 0, 0, 0, 1, 1), (10, 0, 1, 1, 42, 0, 0, 0, 1, 1), (25, 0.1, 12, 0, 30, 0, 0, 0, 0, 1), (14, 0, 33, 0, 2, 1, 0, 0, 0, 1),
+    # the same: short paragraphs that end a page or come before a scrap
+    (7, 0, 45, 0, 0, 0, 0, 0, 0, 1), (9, 0, 60, 0, 3, 1, 0, 0, 0, 1), (5, 0, 50, 0, 2, 0, 0, 0, 0, 1), (10, 0, 22, 0, 0, 0, 0, 0, 0, 1),
+    # the same: short headings and lines before running text
+    (2, 0, 0, 0, 50, 0, 0, 0, 1, 1), (3, 0, 2, 1, 65, 0, 0, 0, 1, 1), (1, 0, 30, 0, 40, 0, 0, 0, 1, 1), (4, 0, 55, 0, 12, 0, 0, 0, 0, 1),
+    (4, 0, 1, 1, 9, 0, 0, 0, 0, 1), (2, 0.2, 40, 0, 44, 0, 0, 0, 0, 1), (3, 0, 3, 0, 6, 0, 0, 0, 0, 1), (2, 0, 40, 0, 6, 0, 0, 0, 0, 1), (4, 0, 8, 0, 6, 0, 0, 0, 0, 1),
+    (1, 0, 20, 0, 6, 0, 0, 0, 0, 1), (3, 0, 60, 0, 6, 0, 0, 0, 1, 1), (6, 0.5, 2, 0, 30, 0, 0, 0, 0, 1),
+    # the same: paragraphs that stand alone between scraps, links or the ends of the page
+    (11, 0, 0, 0, 0, 0, 0, 0, 0, 1), (12, 0, 2, 1, 2, 1, 0, 0, 0, 1), (14, 0.1, 4, 0, 3, 0, 0, 0, 0, 1), (26, 0, 3, 1, 0, 0, 0, 0, 0, 1),
+    (40, 0.5, 2, 1, 5, 1, 0, 0, 0, 1), (11, 0.3, 1, 0, 4, 0, 0, 0, 0, 1), (60, 0.2, 0, 0, 2, 1, 0, 0, 0, 1),
     (22, 0, 4, 1, 19, 0, 0, 0, 0, 1), (5, 0, 28, 0, 31, 0, 0, 0, 0, 1), (200, 0.02, 3, 1, 2, 1, 0, 0, 0, 1), (16, 0.1, 20, 0, 24, 0, 0, 0, 0, 1),
+    # the same: linked headings and short linked lines before running text
+    (3, 1, 0, 0, 60, 0, 0, 0, 1, 1), (7, 1, 2, 1, 40, 0, 0, 0, 1, 1), (4, 1, 50, 0, 45, 0, 0, 0, 1, 1), (9, 0.6, 3, 0, 25, 0, 0, 0, 1, 1),
+    (3, 1, 60, 0, 70, 0, 0, 0, 0, 1), (2, 1, 45, 0, 50, 0, 0, 0, 0, 1), (4, 0.6, 20, 0, 30, 0, 0, 0, 0, 1), (1, 1, 3, 0, 9, 0, 0, 0, 0, 1),
     # page furniture, whatever its length
     (1, 1, 1, 1, 1, 1, 1, 0, 0, 0), (2, 1, 0, 0, 2, 1, 1, 0, 0, 0), (3, 1, 3, 1, 40, 0, 1, 0, 0, 0), (9, 0, 1, 1, 12, 0, 1, 0, 0, 0),
     (25, 0, 2, 1, 50, 0, 1, 0, 0, 0), (80, 0, 60, 0, 40, 0, 1, 0, 0, 0), (8, 0.2, 70, 0, 0, 0, 1, 0, 0, 0), (14, 0, 45, 0, 20, 0, 1, 1, 0, 0),
     (40, 0, 55, 0, 35, 0, 1, 1, 0, 0), (4, 0, 0, 0, 9, 0, 1, 1, 1, 0), (6, 0, 50, 0, 60, 0, 1, 0, 1, 0), (2, 0, 3, 0, 2, 0, 1, 1, 0, 0),
     # link lists and scraps outside an article
     (2, 1, 2, 1, 3, 1, 0, 0, 0, 0), (5, 1, 4, 1, 6, 1, 0, 0, 0, 0), (12, 0.9, 10, 0.8, 11, 1, 0, 0, 0, 0), (30, 0.8, 2, 1, 3, 1, 0, 0, 0, 0),
-    (3, 0, 2, 1, 2, 1, 0, 0, 0, 0), (2, 0, 0, 0, 3, 1, 0, 0, 0, 0), (4, 0.5, 40, 0, 2, 1, 0, 0, 0, 0), (1, 0, 1, 0, 1, 0, 0, 0, 0, 0),
+    (3, 0, 2, 1, 2, 1, 0, 0, 0, 0), (2, 0, 0, 0, 3, 1, 0, 0, 0, 0), (4, 0.6, 40, 0, 2, 1, 0, 0, 0, 0), (1, 0, 1, 0, 1, 0, 0, 0, 0, 0),
     (5, 0, 4, 0, 3, 0, 0, 0, 0, 0), (6, 0.6, 5, 0, 50, 0, 0, 0, 0, 0), (2, 0, 3, 1, 0, 0, 0, 0, 1, 0), (3, 0, 1, 0, 2, 1, 0, 0, 1, 0),
     (7, 0, 2, 0, 4, 0, 0, 0, 0, 0), (20, 0.7, 30, 0, 25, 0, 0, 0, 0, 0),
+    (8, 0, 3, 0, 0, 0, 0, 0, 0, 0), (9, 0, 2, 1, 4, 0, 0, 0, 0, 0), (10, 0.1, 5, 0, 2, 1, 0, 0, 0, 0), (6, 0, 0, 0, 5, 1, 0, 0, 0, 0),
+    (10, 0, 6, 1, 5, 0, 0, 0, 0, 0), (40, 0.6, 3, 1, 60, 0, 0, 0, 0, 0), (9, 0.55, 50, 0, 40, 0, 0, 0, 0, 0),
 ]
+# What is a link list or scrap elsewhere belongs to the article inside one.
+LABELLED += [(*row[:7], 1, row[8], 1) for row in LABELLED if not row[6] and not row[9]]
 
 
 def fit_tree(rows: np.ndarray, labels: np.ndarray, depth: int = 6) -> tuple:

@@ -99,6 +99,16 @@ def test_tree_learns_its_table():
     assert (html.classify(html.tree(), table[:, :-1]) == (table[:, -1] == 1)).all()
 
 
+def test_linked_text_of_an_article_stays():
+    long, head = "word " * 60, "A linked headline of seven words here"
+    item = f"<li><a href=x>{head}</a></li>"
+    page = f"<article><h1><a href=x>{head}</a></h1><p>{long}</p><p><a href=x>{head}</a></p><ul>{item * 3}</ul><p>{long}</p></article>"
+    got = html.main_text([page])[0]
+    assert got.count(head) == 5 and got.count("word ") + got.endswith("word") == 120
+    assert html.main_text([f"<ul>{item * 3}</ul><p>{long}</p><ul>{item * 3}</ul>"]) == [long.strip()]
+    assert html.main_text([f"<p>{long}</p><p>Only a short closing paragraph.</p>"])[0].endswith("closing paragraph.")
+
+
 # ---- token ids
 
 @pytest.fixture(scope="module")
