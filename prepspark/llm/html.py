@@ -35,9 +35,11 @@ WORDS = frozenset((
     "recommended recommendations comment comments commentlist disqus replies respond reply discussion widget widgets toolbar pagination "
     "pager copyright legal disclaimer search form hidden teaser outbrain taboola skip masthead topbar"
 ).split())
+# Words that say whether a page has such furniture, not that an element is it.
+STATES = frozenset("has no with without".split())
 READERS = frozenset("comment comments commentlist disqus replies respond reply discussion".split())
 TAG = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+(?:>.*?(?:</(?P=raw)(?=[\s/>])[^>]*(?:>|\Z)|\Z)|\Z)"
+    r"<!--.*?(?:--!?>|\Z)|<(?:svg|math)(?=[\s/>])(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+(?<=/)>|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+(?:>.*?(?:</(?P=raw)(?=[\s/>])[^>]*(?:>|\Z)|\Z)|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)"
     r"|<(?P<end2>/?)(?P<name2>[a-z][^\s/>]*)(?P<rest2>[^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
 ATTR = re.compile(r"([a-z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -123,38 +125,63 @@ def classify(node: tuple, rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def is_furniture(name: str, rest: str, in_article: bool) -> bool:
-    """Whether an element holds page furniture, by its name, role, class, id or being hidden."""
+def furniture_words(value: str) -> set[str]:
+    """Furniture words of a class or id; what follows a state word, as in ``has-sidebar``, does not count."""
+    said: set[str] = set()
+    for token in value.split():
+        for w in map(str.lower, SPLIT.split(token)):
+            if w in STATES:
+                break
+            said.add(w)
+    return said & WORDS
+
+
+def furniture_of(name: str, rest: str, in_article: bool) -> int:
+    """2 for an element of page furniture by its name, role or being hidden, 1 for one by class or id only, else 0.
+
+    Words of reader discussion inside an article, or on it, give 2.
+    """
     if name in FURNITURE or name == "header" and not in_article:
-        return True
+        return 2
     if not rest or "=" not in rest and "hidden" not in rest:
-        return False
+        return 0
+    found = 0
     for m in ATTR.finditer(rest):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key in ("class", "id"):
             if name in ("html", "body"):
                 continue
-            said = {w.lower() for w in SPLIT.split(value)} & WORDS
+            said = furniture_words(value)
             if name in ("article", "main"):
                 said &= READERS
+            if said & READERS and (in_article or name in ("article", "main")):
+                return 2
             if said or not in_article and name != "article" and "header" in SPLIT.split(value.lower()):
-                return True
+                found = 1
         elif key == "role" and value.lower() in ROLES or key == "hidden":
-            return True
+            return 2
         elif key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return 2
+    return found
 
 
 def page_blocks(source: str) -> tuple[list[str], list[tuple[float, ...]]]:
-    """Texts of the flat blocks of a page and their own features: words, links, furniture, article, heading."""
+    """Texts of the flat blocks of a page and their own features: words, links, furniture, article, heading.
+
+    A container that is furniture by class or id only is none if it holds the article: of the article elements (and likewise
+    of the main elements) those with the fewest such containers around them free these; teasers in deeper ones stay furniture.
+    """
     texts: list[str] = []
     rows: list[tuple[float, ...]] = []
-    stack: list[tuple[str, bool]] = []
+    stack: list[tuple[str, int]] = []
     open_: dict[str, int] = {}
     parts: list[str] = []
     linked = 0
     state = [0, 0, 0, 0]  # open elements of furniture, articles, headings, links
+    around, depth = [0], [0]  # containers that are furniture by class or id: the next one outside, how many outside; 0 is none
+    inner = 0  # the innermost open one
+    within: list[int] = []  # that of each block
+    holds: dict[str, list[int]] = {"article": [], "main": []}
 
     def flush() -> None:
         nonlocal linked
@@ -164,12 +191,20 @@ def page_blocks(source: str) -> tuple[list[str], list[tuple[float, ...]]]:
                 n = text.count(" ") + 1
                 texts.append(text)
                 rows.append((n, min(1.0, linked / n), float(state[0] > 0), float(state[1] > 0), float(state[2] > 0)))
+                within.append(inner)
             parts.clear()
         linked = 0
 
-    def count(name: str, furniture: bool, by: int) -> None:
+    def count(name: str, furniture: int, by: int) -> None:
+        nonlocal inner
         open_[name] = open_.get(name, 0) + by
-        state[0] += by * furniture
+        state[0] += by * (furniture == 2)
+        if furniture == 1 and by > 0:
+            around.append(inner)
+            depth.append(depth[inner] + 1)
+            inner = len(around) - 1
+        elif furniture == 1:
+            inner = around[inner]
         state[1] += by * (name in ("article", "main"))
         state[2] += by * (name in HEADINGS)
         state[3] += by * (name == "a")
@@ -222,18 +257,32 @@ def page_blocks(source: str) -> tuple[list[str], list[tuple[float, ...]]]:
             for left in ("head",) if name == "body" else ("nav", "header", "head") if name in ("article", "main") else ():
                 if open_.get(left):
                     close(left)
-        furniture = is_furniture(name, rest, state[1] > 0)
+        furniture = furniture_of(name, rest, state[1] > 0)
         if furniture:
             flush()
         if not rest.endswith("/") or name in BLOCK:
             stack.append((name, furniture))
             count(name, furniture, 1)
+            if name in holds and not state[0]:
+                holds[name].append(inner)
     add(source[at:])
     flush()
-    return texts, rows
-
-
-def _near(stack: list[tuple[str, bool]], name: str) -> bool:
+    if len(around) == 1:
+        return texts, rows
+    free = {0}
+    for found in holds.values():
+        least = min((depth[k] for k in found), default=0)
+        for k in found:
+            while depth[k] and depth[k] <= least and k not in free:
+                free.add(k)
+                k = around[k]
+    barred = [False] * len(around)
+    for k in range(1, len(around)):
+        barred[k] = k not in free or barred[around[k]]
+    return texts, [(*r[:2], float(r[2] or barred[k]), *r[3:]) for r, k in zip(rows, within, strict=True)]
+
+
+def _near(stack: list[tuple[str, int]], name: str) -> bool:
     """Whether ``name`` is open within the innermost list or table."""
     for top in reversed(stack):
         if top[0] == name:

@@ -109,6 +109,25 @@ def test_linked_text_of_an_article_stays():
     assert html.main_text([f"<p>{long}</p><p>Only a short closing paragraph.</p>"])[0].endswith("closing paragraph.")
 
 
+@pytest.mark.parametrize("mark", ["class='layout has-sidebar'", "class='with-sidebar'", "class=no-sidebar", "id='search-result-page'", "class='page-with-comments'"])
+def test_containers_of_the_article_are_no_furniture(mark):
+    long = ("word " * 60).strip()
+    teaser = f"<div class=related><article><h2>Another</h2><p>{'other ' * 30}</p></article></div><div class=sidebar><p>{'side ' * 30}</p></div>"
+    for holder in ("article", "main"):
+        for more in ("", teaser):
+            body = f"<{holder}><h1>A title</h1><p>{long}</p></{holder}>{more}"
+            assert html.main_text([f"<body><div {mark}><div class=inner>{body}</div></div></body>"])[0].startswith(f"A title {long}")
+    assert html.main_text([f"<main><div {mark}><article><p>{long}</p></article>{teaser}</div></main>"]) == [long]
+    assert html.main_text([f"<article><p>{long}</p></article>{teaser}<div id=comments><article><p>{long}</p></article></div>"]) == [long]
+
+
+def test_a_closed_drawing_ends_at_its_tag():
+    long = ("word " * 60).strip()
+    for mark in ("<svg/>", "<math />", "<SVG class='a>b' width='5' />"):
+        assert html.main_text([f"<article>{mark}<p>{long}</p><svg><text>x</text></svg></article>"]) == [long]
+    assert html.main_text([f"<article><svg width='5'><path d='M0'/></svg><p>{long}</p></article>"]) == [long]
+
+
 # ---- token ids
 
 @pytest.fixture(scope="module")
