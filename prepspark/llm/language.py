@@ -129,15 +129,17 @@ def fit(df: DataFrame, per_lang: int = PER_LANG, epochs: int = EPOCHS) -> dict |
     Keys: langs (sorted), weights (BUCKETS x langs, float32), bias (log share of each language against the sample's), temperature, idf.
     """
     rows = df.where("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    told = rows.groupBy("lang").agg(F.count("*").alias("n"), F.count_distinct(F.xxhash64("text")).alias("texts")).collect()
+    sizes, texts = {r.lang: r.n for r in told}, {r.lang: r.texts for r in told}
     if not sizes:
         return None
     langs = sorted(sizes)
     total = sum(sizes.values())
     idf = np.log((1 + total) / (1 + _document_frequencies(rows.select("text")))) + 1
     shared = df.sparkSession.sparkContext.broadcast(idf)
-    # A hash threshold takes somewhat more than wanted, copies count once, ranks within what is left cut it to the bound.
-    share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, 1.5 * per_lang / sizes[k]))])
+    # A hash threshold by the number of different texts takes somewhat more than wanted, copies count once, ranks within what is left
+    # cut it to the bound.
+    share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, 1.5 * per_lang / texts[k]))])
     draw = F.pmod(F.xxhash64("text"), F.lit(1_000_000).cast("bigint")) / 1_000_000
     some = rows.where(draw < share[F.col("lang")]).dropDuplicates(["lang", "text"]).withColumn("order", F.xxhash64(F.lit(1), "text"))
     rank = F.expr("row_number() OVER (PARTITION BY lang ORDER BY order, text)")

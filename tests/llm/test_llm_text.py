@@ -224,6 +224,16 @@ def test_language_accuracy_and_odd_texts(spark, table, odd, none):
     assert language.identify(none).count() == 0
 
 
+def test_sample_of_a_language_is_not_thinned_by_copies(spark):
+    rng = random.Random(4)
+    make = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(12))
+    own = {"aa": "aeioklm", "bb": "uyprstn", "cc": "bdfghjq"}
+    rows = [(make(own[k]), k, n) for k, texts, n in (("aa", 25, 400), ("bb", 1000, 1), ("cc", 25, 400)) for _ in range(texts)]
+    df = spark.createDataFrame(rows, "text string, lang string, n int").selectExpr("text", "lang", "explode(sequence(1, n)) AS copy").drop("copy")
+    model = language.fit(df, per_lang=20)
+    assert all(language.answer(model, make(own[k]))[0] == k for k in own for _ in range(50))
+
+
 def test_prediction_reads_text_only(table):
     docs = table("documents").limit(80)
     model = language.fit(docs.where(~language.held_out(F.col("doc_id"))).select("text", "lang"))
