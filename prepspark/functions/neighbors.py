@@ -101,12 +101,13 @@ def _nearest(queries: np.ndarray, points: np.ndarray, weights: np.ndarray, k: in
 def nearest_vectors(points: DataFrame, k: int = 5, leaf_points: int | None = None) -> DataFrame:
     """(g, vec, n, neighbours): for each distinct vector its k nearest rows' vectors in the same group.
 
-    ``points(g string, vec array<double>)`` has a row per point. A vector is
+    ``points(g, vec array<double>)`` has a row per point, ``g`` of any type that can be grouped. A vector is
     listed once per row that holds it. A point is not its own neighbour; its
     duplicates are. Every group has its own tree, as deep as its size asks for.
     """
     spark = points.sparkSession
     leaf_points = leaf_points or LEAF_POINTS
+    g_type = points.schema["g"].dataType.simpleString()
     distinct = materialize(points.groupBy("g", "vec").agg(F.count("*").alias("n")), "vectors")
     # only groups beyond one leaf need a tree: there are at most rows / leaf_points of them
     sizes = distinct.groupBy("g").agg(F.count("*").alias("m")).where(F.col("m") > leaf_points)
@@ -115,7 +116,7 @@ def nearest_vectors(points: DataFrame, k: int = 5, leaf_points: int | None = Non
     if large:
         share = sizes.select("g", F.least(F.lit(1.0), F.lit(float(TREE_SAMPLE)) / F.col("m"), F.lit(32.0 / leaf_points)).alias("share"))
         draw = F.pmod(F.xxhash64("vec"), F.lit(1_000_003)) / 1_000_003
-        samples: dict[str, list] = {g: [] for g in large}
+        samples: dict[object, list] = {g: [] for g in large}
         for r in distinct.join(F.broadcast(share), "g").where(draw < F.col("share")).select("g", "vec").toLocalIterator():
             samples[r["g"]].append(r["vec"])
         for g, m in large.items():
@@ -127,17 +128,17 @@ def nearest_vectors(points: DataFrame, k: int = 5, leaf_points: int | None = Non
             for g, part in pdf.groupby("g"):
                 yield part.assign(leaf=trees[g].leaf(_matrix(part["vec"])) if g in trees else 0)
 
-    tagged = materialize(distinct.mapInPandas(tag, "g string, vec array<double>, n bigint, leaf bigint"), "leaves")
+    tagged = materialize(distinct.mapInPandas(tag, f"g {g_type}, vec array<double>, n bigint, leaf bigint"), "leaves")
 
     def box(pdf: pd.DataFrame) -> pd.DataFrame:
         x = _matrix(pdf["vec"])
         return pd.DataFrame({"g": [pdf["g"].iloc[0]], "leaf": [pdf["leaf"].iloc[0]], "lo": [x.min(axis=0)], "hi": [x.max(axis=0)]})
 
     # boxes of the groups that have several leaves
-    boxes: dict[str, list] = {}
+    boxes: dict[object, list] = {}
     with_tree = tagged.where(F.col("g").isin(sorted(trees))) if len(trees) <= 1000 else tagged.join(F.broadcast(sizes.select("g")), "g", "left_semi")
     if trees:
-        for r in with_tree.groupBy("g", "leaf").applyInPandas(box, "g string, leaf bigint, lo array<double>, hi array<double>").toLocalIterator():
+        for r in with_tree.groupBy("g", "leaf").applyInPandas(box, f"g {g_type}, leaf bigint, lo array<double>, hi array<double>").toLocalIterator():
             boxes.setdefault(r["g"], []).append((r["leaf"], r["lo"], r["hi"]))
     bounds = {g: (np.array([b[0] for b in rows]), np.array([b[1] for b in rows]), np.array([b[2] for b in rows])) for g, rows in boxes.items()}
 
@@ -157,7 +158,7 @@ def nearest_vectors(points: DataFrame, k: int = 5, leaf_points: int | None = Non
 
     first = materialize(
         tagged.groupBy("g", "leaf").applyInPandas(
-            own_leaf, f"g string, vec array<double>, n bigint, found {_CANDIDATES}, visits array<bigint>"
+            own_leaf, f"g {g_type}, vec array<double>, n bigint, found {_CANDIDATES}, visits array<bigint>"
         ),
         "near",
     )
@@ -175,7 +176,7 @@ def nearest_vectors(points: DataFrame, k: int = 5, leaf_points: int | None = Non
         return pd.DataFrame({"g": queries["g"], "vec": queries["vec"], "found": got})
 
     second = asked.groupBy("g", "leaf", "chunk").cogroup(serving.groupBy("g", "leaf", "chunk")).applyInPandas(
-        visit, f"g string, vec array<double>, found {_CANDIDATES}",
+        visit, f"g {g_type}, vec array<double>, found {_CANDIDATES}",
     )
     merged = first.select("g", "vec", "found").unionByName(second).groupBy("g", "vec").agg(
         F.sort_array(F.flatten(F.collect_list("found"))).alias("found")
