@@ -195,6 +195,33 @@ def to_datetime_coerce(spark, d):
     return out.withColumn("placed", F.col("placed").cast("timestamp_ntz"))
 
 
+_DATE_TEXTS = """t AS (SELECT o_orderkey, strftime(o_orderdate, '%m/%d/%Y') AS us, strftime(o_orderdate, '%d/%m/%Y') AS eu, strftime(o_orderdate, '%b %-d, %Y') AS named,
+  strftime(o_orderdate, '%Y%m%d') AS compact, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%d.%m.%Y') ELSE 'n/a' END AS mixed FROM orders)"""
+
+
+def date_texts(orders):
+    """Order dates as texts of five kinds; the last one mixes formats and holds cells that are no dates."""
+    f = lambda p: F.date_format("o_orderdate", p)
+    mixed = F.when(F.col("o_orderkey") % 3 == 0, f("yyyy-MM-dd")).when(F.col("o_orderkey") % 3 == 1, f("dd.MM.yyyy")).otherwise("n/a")
+    return orders.select("o_orderkey", f("MM/dd/yyyy").alias("us"), f("dd/MM/yyyy").alias("eu"), f("MMM d, yyyy").alias("named"), f("yyyyMMdd").alias("compact"), mixed.alias("mixed"))
+
+
+def _either(c: str, first: str, second: str) -> str:
+    """The first format if it parses the whole column, else the second."""
+    return f"CASE WHEN (SELECT bool_and(try_strptime({c}, '{first}') IS NOT NULL) FROM t) THEN try_strptime({c}, '{first}') ELSE try_strptime({c}, '{second}') END AS {c}"
+
+
+@query("to_datetime_formats", f"""WITH {_DATE_TEXTS}
+SELECT o_orderkey, {_either('us', '%m/%d/%Y', '%d/%m/%Y')}, {_either('eu', '%m/%d/%Y', '%d/%m/%Y')}, try_strptime(named, '%b %d, %Y') AS named, try_strptime(compact, '%Y%m%d') AS compact,
+  coalesce(try_strptime(mixed, '%Y-%m-%d'), CASE WHEN (SELECT count(try_strptime(mixed, '%d.%m.%Y')) >= count(try_strptime(mixed, '%m.%d.%Y')) FROM t)
+    THEN try_strptime(mixed, '%d.%m.%Y') ELSE try_strptime(mixed, '%m.%d.%Y') END) AS mixed FROM t""")
+def to_datetime_formats(spark, d):
+    """Formats are found from the columns: day or month first, month names, digits only, several in one column."""
+    cols = ["us", "eu", "named", "compact", "mixed"]
+    out = temporal.to_datetime_coerce(date_texts(load(spark, d, "orders")), cols)
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in cols})
+
+
 # ---- selection -------------------------------------------------------------------------------------
 
 _ANOVA_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_suppkey"]

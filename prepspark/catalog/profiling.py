@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from prepspark.catalog.base import (
     GAP_COLUMNS, GAPS, NUM4, SCHEMAS, gaps, load, profile_sql, query, rnd, round_doubles, tables_union, union_all,
 )
+from prepspark.catalog.features import _DATE_TEXTS, date_texts
 from prepspark.operators import profile as P
 
 _ROLE_TABLES = ["orders", "events", "documents"]
@@ -144,6 +145,16 @@ def detect_datetime(spark, d):
     return P.detect_datetime(t)
 
 
+_DATE_KINDS = {"us": ["%m/%d/%Y", "%d/%m/%Y"], "eu": ["%m/%d/%Y", "%d/%m/%Y"], "named": ["%b %d, %Y"], "compact": ["%Y%m%d"], "mixed": ["%Y-%m-%d", "%d.%m.%Y", "%m.%d.%Y"]}
+
+
+@query("detect_datetime_formats", f"WITH {_DATE_TEXTS} " + union_all([
+    f"""SELECT '{c}' AS "column", 'parsed' AS source FROM (SELECT 1 FROM t HAVING {' OR '.join(f"bool_and(try_strptime({c}, '{f}') IS NOT NULL)" for f in formats)})"""
+    for c, formats in _DATE_KINDS.items()]))
+def detect_datetime_formats(spark, d):
+    return P.detect_datetime(date_texts(load(spark, d, "orders")).drop("o_orderkey"))
+
+
 def _first(cond: str) -> str:
     return f"(SELECT name FROM p WHERE {cond} ORDER BY ord LIMIT 1)"
 

@@ -31,6 +31,19 @@ def scan_csv_documents(spark, d):
     return files.scan_csv(spark, files.sink_stage(docs, scratch_path(spark, "csv"), "docs", "csv"), docs.schema)
 
 
+@query("scan_csv_parts", "SELECT doc_id, text, source FROM documents")
+def scan_csv_parts(spark, d):
+    """The same, every file read by byte ranges that start and end anywhere, inside quotes too."""
+    docs = load(spark, d, "documents").select("doc_id", "text", "source")
+    return files.scan_csv(spark, files.sink_stage(docs, scratch_path(spark, "csv"), "docs", "csv"), docs.schema, parts=True)
+
+
+@query("scan_csv_parts_inferred", "SELECT s_suppkey::INTEGER AS s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
+def scan_csv_parts_inferred(spark, d):
+    path = files.sink_stage(load(spark, d, "supplier"), scratch_path(spark, "csv"), "supplier", "csv")
+    return files.scan_csv(spark, path, parts=True)
+
+
 @query("scan_csv_corrupt", "SELECT count(*)::BIGINT AS n_rows, count(*) FILTER (o_orderkey % 9 = 0)::BIGINT AS bad, count(*) FILTER (o_orderkey % 9 <> 0)::BIGINT AS keys FROM orders")
 def scan_csv_corrupt(spark, d):
     """Cells that are no numbers are counted, not lost."""
@@ -70,6 +83,18 @@ def scan_run_results(spark, d):
     return files.scan_run_results(spark, f"{root}/results_*", "run_id bigint, seconds double, ptma double")
 
 
+@query("scan_run_results_array", f"WITH {_SCORES}{_RUNS} SELECT run_id, seconds, ptma FROM r JOIN s USING (run_id) WHERE cof < 1.5")
+def scan_run_results_array(spark, d):
+    """The same with a newer set whose files are JSON arrays."""
+    e = load(spark, d, "events")
+    scored = run_table(e).join(runs.run_autonomy(run_events(e)).select("run_id", "ptma", "cof"), "run_id")
+    records = scored.select("run_id", "seconds", "ptma", F.when(F.col("cof") >= 1.5, "too many corrections").alias("error"))
+    root = scratch_path(spark, "results")
+    files.sink_report(records.withColumn("ptma", F.lit(-1.0)), f"{root}/results_1")
+    files.sink_report(records, f"{root}/results_2", array=True)
+    return files.scan_run_results(spark, f"{root}/results_*", "run_id bigint, seconds double, ptma double")
+
+
 @query("sink_report", """SELECT 'o_orderkey' AS "column", 0::BIGINT AS missing, 0.0::DOUBLE AS missing_pct UNION ALL SELECT 'o_custkey', count(*) - count(o_custkey), 0.0 FROM orders
 UNION ALL SELECT 'o_orderstatus', 0, 0.0 UNION ALL SELECT 'o_totalprice', 0, 0.0 UNION ALL SELECT 'o_orderdate', 0, 0.0 UNION ALL SELECT 'o_orderpriority', 0, 0.0""")
 def sink_report(spark, d):

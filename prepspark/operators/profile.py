@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from prepspark.functions.columns import (
     col, columns_of, datetime_columns, is_missing, kinds, num, numeric_columns, one_row, stack_rows, string_columns, total,
 )
+from prepspark.functions.dates import find_formats
 from prepspark.functions.stats import SKETCH_ERROR, decided_distinct_counts, distinct_counts, skew_expr
 
 # Target names as matched in lower case, in this order of mention.
@@ -264,10 +265,9 @@ def detect_id_like(df: DataFrame, exact: bool = False) -> DataFrame:
 
 
 def datetime_strings(df: DataFrame, cols: list[str] | None = None) -> list[str]:
-    """String columns whose non-null values all parse as a timestamp (whole column, one aggregation)."""
-    cols = string_columns(df) if cols is None else cols
-    got = one_row(df, {c: F.bool_and(F.try_to_timestamp(F.trim(col(c))).isNotNull() | col(c).isNull()) & (F.count(col(c)) > 0) for c in cols})
-    return [c for c in cols if got[c]]
+    """String columns of which one date format parses every non-blank cell (whole column, one aggregation)."""
+    formats = find_formats(df, string_columns(df) if cols is None else cols)
+    return [c for c, f in formats.items() if f.whole]
 
 
 def detect_datetime(df: DataFrame) -> DataFrame:

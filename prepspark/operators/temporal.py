@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prepspark.functions import dates
 from prepspark.functions.columns import col, datetime_columns
 
 
@@ -47,6 +48,10 @@ def datetime_parts_full(df: DataFrame, cols: list[str] | None = None) -> DataFra
 
 
 def to_datetime_coerce(df: DataFrame, cols: list[str], fmt: str | None = None) -> DataFrame:
-    """Parse text columns to timestamps; what does not parse becomes null."""
-    args = [F.lit(fmt)] if fmt else []
-    return df.withColumns({c: F.try_to_timestamp(col(c), *args) for c in cols})
+    """Parse text columns to timestamps; what does not parse becomes null.
+
+    Without ``fmt`` the format of each column is found from all its cells (``dates.find_formats``): one aggregation for all columns.
+    """
+    if fmt is None:
+        return dates.parse_columns(df, cols)
+    return df.withColumns({c: F.try_to_timestamp(col(c), F.lit(fmt)) for c in cols})
