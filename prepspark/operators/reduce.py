@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from prepspark.functions import wide
 from prepspark.functions.columns import col, kinds, num, num_sql, numeric_columns, one_row, real, ref, spread
 from prepspark.functions.stats import distinct_counts, gramian
 from prepspark.operators.clean import impute_median
@@ -23,6 +24,10 @@ from prepspark.operators.scale import apply_scale, fit_scale
 from prepspark.session import side_by_side
 
 
+#: Columns beyond which the d x d products are not built.
+WIDE_COLUMNS = 512
+
+
 @dataclass(frozen=True)
 class Projection:
     """Column k of the result is the sum of (x - center) * weight[k] over the input columns."""
@@ -47,13 +52,31 @@ def _leading(matrix: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """k largest eigenvalues and their vectors, each vector's largest loading positive."""
     values, vectors = np.linalg.eigh(matrix)
     order = np.argsort(values)[::-1][:k]
-    vectors = vectors[:, order]
+    return values[order], _oriented(vectors[:, order])
+
+
+def _oriented(vectors: np.ndarray) -> np.ndarray:
+    """Vectors with their largest loading positive."""
     signs = np.sign(vectors[np.abs(vectors).argmax(axis=0), range(vectors.shape[1])])
-    return values[order], vectors * np.where(signs == 0, 1, signs)
+    return vectors * np.where(signs == 0, 1, signs)
+
+
+def _fit_wide(df: DataFrame, cols: list[str], k: int, method: str) -> Projection:
+    means, values, vectors, n, squares = wide.leading(df, cols, min(k, len(cols)), method == "PCA")
+    vectors = _oriented(vectors)
+    if method == "PCA":
+        explained = float(values.sum() / squares) if squares else 0.0
+        return Projection(tuple(cols), tuple(means.tolist()), tuple(map(tuple, vectors.T.tolist())), explained, "PCA")
+    across = vectors.T @ means
+    explained = float((values.sum() - n * (across @ across)) / squares) if squares else 0.0
+    return Projection(tuple(cols), (0.0,) * len(cols), tuple(map(tuple, vectors.T.tolist())), explained, "SVD")
 
 
-def fit_pca(df: DataFrame, cols: list[str], k: int) -> Projection:
-    """Centred principal components from one pass for means and one for the d x d products."""
+def fit_pca(df: DataFrame, cols: list[str], k: int, wide_columns: int = WIDE_COLUMNS) -> Projection:
+    """Centred principal components from one pass for means and one for the d x d products; tables beyond ``wide_columns``
+    numeric columns take passes over d x k blocks instead (``wide.leading``)."""
+    if len(cols) > wide_columns:
+        return _fit_wide(df, cols, k, "PCA")
     got = one_row(df, {"n": F.count("*"), **{("m", c): F.avg(num(c)) for c in cols}})
     means = {c: got[("m", c)] or 0.0 for c in cols}
     cov = gramian(df, cols, means) / max(1, got["n"] - 1)
@@ -63,8 +86,10 @@ def fit_pca(df: DataFrame, cols: list[str], k: int) -> Projection:
     return Projection(tuple(cols), tuple(means[c] for c in cols), tuple(map(tuple, vectors.T.tolist())), explained, "PCA")
 
 
-def fit_svd(df: DataFrame, cols: list[str], k: int) -> Projection:
-    """Leading right singular vectors of the uncentred table."""
+def fit_svd(df: DataFrame, cols: list[str], k: int, wide_columns: int = WIDE_COLUMNS) -> Projection:
+    """Leading right singular vectors of the uncentred table; wide tables as in ``fit_pca``."""
+    if len(cols) > wide_columns:
+        return _fit_wide(df, cols, k, "SVD")
     got = one_row(df, {"n": F.count("*"), **{("m", c): F.avg(num(c)) for c in cols}})
     g = gramian(df, cols)
     _, vectors = _leading(g, k)
@@ -85,9 +110,9 @@ def apply_projection(df: DataFrame, p: Projection, prefix: str | None = None, ke
     if len(xs) <= 16:
         sums = [" + ".join(f"{x} * {real(w)}" for x, w in zip(xs, ws)) for ws in p.weights]
         return df.select(*[col(c) for c in kept], *[F.expr(e).alias(n) for n, e in zip(names, sums)])
-    wide = df.select(*[col(c) for c in kept], F.expr(f"array({', '.join(xs)})").alias("__xs"))
+    arrays = df.select(*[col(c) for c in kept], F.expr(f"array({', '.join(xs)})").alias("__xs"))
     dots = [f"aggregate(zip_with(__xs, array({', '.join(real(w) for w in ws)}), (x, w) -> x * w), 0D, (a, v) -> a + v)" for ws in p.weights]
-    return wide.select(*[col(c) for c in kept], *[F.expr(e).alias(n) for n, e in zip(names, dots)])
+    return arrays.select(*[col(c) for c in kept], *[F.expr(e).alias(n) for n, e in zip(names, dots)])
 
 
 def reduce_pca(df: DataFrame, k: int | None = None, exclude: list[str] = (), fit_on: DataFrame | None = None) -> DataFrame:
