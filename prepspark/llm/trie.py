@@ -27,7 +27,7 @@ GROUP = 20
 #: Original turns that may be taken from the base conversation, at most.
 SHARED = 3
 #: Members beyond which a node belongs to the top: at least so many, and so many that the top has no more than ``TOP_NODES`` nodes.
-LIGHT = 1_000
+LIGHT = 64
 TOP_NODES = 50_000
 #: Messages a queue holds in memory before the later half goes to a sorted run.
 QUEUE = 200_000
