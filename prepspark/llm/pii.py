@@ -1,9 +1,11 @@
 """Personal data: pattern spans plus a character-level bidirectional LSTM with CRF transitions.
 
-Patterns find the base spans. The network, in numpy, is trained on windows of the texts labelled by them (a bounded
-sample) and adds spans the patterns miss. A span of any kind holds a digit or an ``@``, so windows are laid, overlapping by
-half, over everything within ``REACH`` characters of one; other text can hold no span. The spans that the windows of a text
-decode are reconciled over the whole text: among overlapping ones the set with the highest total score stays.
+Patterns find the base spans. The network, in numpy, adds spans the patterns miss. It is trained on a bounded sample of windows
+of the texts, labelled by the patterns, and on windows of that sample into which labelled spans of other spellings were put:
+national telephone numbers, mail addresses and ip addresses written around their signs, cards of other lengths and groupings,
+and, unlabelled, numbers that are none of these. A span holds a digit, an ``@`` or a bracketed ``at``, so windows are laid,
+overlapping, over everything within ``REACH`` characters of one; other text can hold no span. The spans that the windows of a
+text decode are reconciled over the whole text: among overlapping ones the set with the highest total score stays.
 """
 
 from __future__ import annotations
@@ -20,21 +22,23 @@ from pyspark.sql import functions as F
 from prepspark.llm.common import edit_text, load, map_text, query, ref
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW = 96
-REACH = 32
+#: Characters of a window and from one window to the next: a span of up to their difference lies in a window as a whole.
+WINDOW, STRIDE = 128, 48
+REACH = 48
 HIDDEN = 16
-#: Windows the network is trained on, at most, and rounds over them.
-SAMPLE = 3000
+#: Windows of the texts that the network is trained on, at most, windows with other spellings, and rounds over them.
+SAMPLE, SPELLED = 2000, 2000
 EPOCHS = 12
 #: Log odds an added span needs at least.
-MARGIN = 3.0
+MARGIN = 2.0
 
 _AT = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_MARK = re.compile(r"[0-9@]")
+_MARK = re.compile(r"[0-9@]|[(\[{] ?[Aa][Tt] ?[)\]}]")
+_DIGIT = re.compile(r"[0-9]")
 
 Span = tuple[str, int, int]
 
@@ -63,7 +67,7 @@ def base_spans(text: str) -> list[Span]:
             if start < m.start():
                 out.append(("email", start, m.end()))
                 end = m.end()
-    if _MARK.search(text):
+    if _DIGIT.search(text):
         out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
         out += [("card", *m.span()) for m in _CARD.finditer(text) if 16 <= m.end() - m.start() and 16 <= len(d := digits_of(m[0])) <= 19 and luhn(d)]
         if "+" in text:
@@ -79,7 +83,7 @@ def told(spans: list[Span]) -> str:
 
 # ---- windows and characters
 
-_SIGNS = "@.-+()_%,:;/='\"#*$&!"
+_SIGNS = "@.-+()_%,:;/='\"#*$&![]{}"
 _CLASSES = len(_SIGNS) + 8
 PAD = _CLASSES - 1
 
@@ -113,7 +117,7 @@ def classes(text: str) -> np.ndarray:
 
 
 def window_starts(text: str) -> list[int]:
-    """Starts of the windows of a text: half a window apart over every region near a digit or ``@``."""
+    """Starts of the windows of a text, ``STRIDE`` apart over every region near a mark."""
     regions: list[list[int]] = []
     for m in _MARK.finditer(text):
         a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
@@ -121,7 +125,7 @@ def window_starts(text: str) -> list[int]:
             regions[-1][1] = b
         else:
             regions.append([a, b])
-    return [s for a, b in regions for s in range(a, max(a + 1, b - WINDOW // 2), WINDOW // 2)]
+    return [s for a, b in regions for s in range(a, max(a + 1, b - WINDOW + STRIDE), STRIDE)]
 
 
 # ---- network: tags are O, then begin and inside of every kind
@@ -203,14 +207,14 @@ def backward(m: dict[str, np.ndarray], d: np.ndarray, saved) -> dict[str, np.nda
               "emb": np.zeros_like(m["emb"]), "rec": np.zeros_like(m["rec"])}
     dj = d @ m["out"].T
     dh, dc = np.zeros_like(trace[0][0]), np.zeros_like(trace[0][0])
-    back = m["rec"].transpose(0, 2, 1)
+    back, ones = m["rec"].transpose(0, 2, 1), np.eye(_CLASSES, dtype=m["emb"].dtype)
     for t in range(len(trace) - 1, -1, -1):
         h0, c0, i, f, o, u, tc = trace[t]
         dh = dh + np.stack([dj[:, t, :H], dj[:, len(trace) - 1 - t, H:]])
         dc = dc + dh * o * (1 - tc * tc)
         dg = np.concatenate([dc * u * i * (1 - i), dc * c0 * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - u * u)], axis=-1)
         for k in (0, 1):
-            np.add.at(slopes["emb"][k], both[k][:, t], dg[k])
+            slopes["emb"][k] += ones[both[k][:, t]].T @ dg[k]
         slopes["rec"] += h0.transpose(0, 2, 1) @ dg
         dh, dc = dg @ back, dc * f
     return slopes
@@ -278,14 +282,92 @@ def _filled(x: np.ndarray, start: int) -> np.ndarray:
 
 
 def sound(kind: str, text: str) -> bool:
-    """Whether a decoded span can be of its kind at all."""
-    n = len(digits_of(text))
+    """Whether a decoded span can be of its kind at all: by its digits and parts, not by one spelling."""
+    digits = digits_of(text)
     if kind == "email":
-        return text.count("@") == 1 and "." in text.rpartition("@")[2] and not re.search(r"\s", text)
+        host = _AT_SIGN.split(text)
+        return len(host) == 2 and bool(host[0].strip()) and _DOT_SIGN.search(host[1]) is not None
     if kind == "ip":
         parts = re.findall(r"[0-9]+", text)
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
-    return 13 <= n <= 19 if kind == "card" else 8 <= n <= 15 and "+" in text
+    if kind == "card":
+        return 13 <= len(digits) <= 19 and luhn(digits)
+    return 8 <= len(digits) <= 15 and len(digits) < len(text) and not re.search(r"[^0-9 ()+./-]", text) and not _DATE.fullmatch(text)
+
+
+_AT_SIGN = re.compile(r"@|\s?[(\[{] ?[Aa][Tt] ?[)\]}]\s?")
+_DOT_SIGN = re.compile(r"[A-Za-z0-9](\.|\s?[(\[{] ?[Dd][Oo][Tt] ?[)\]}]\s?)[A-Za-z]{2,}")
+_DATE = re.compile(r"[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{2,4}")
+
+
+# ---- other spellings
+
+def _number(rng: np.random.Generator, n: int, first: str = "123456789") -> str:
+    return first[rng.integers(len(first))] + "".join(str(d) for d in rng.integers(0, 10, n - 1))
+
+
+def _word(rng: np.random.Generator, low: int, high: int) -> str:
+    return "".join("abcdefghijklmnopqrstuvwxyz"[k] for k in rng.integers(0, 26, rng.integers(low, high + 1)))
+
+
+def _card(rng: np.random.Generator, n: int) -> str:
+    body = _number(rng, n - 1, "3456")
+    return next(body + str(k) for k in range(10) if luhn(body + str(k)))
+
+
+def spelled(rng: np.random.Generator) -> tuple[str, str]:
+    """(kind, text) of a span in a spelling that the patterns do not know."""
+    # Telephone numbers have the most spellings: half of the draws.
+    kind, pick = (*KINDS, "phone", "phone")[rng.integers(6)], lambda *xs: xs[rng.integers(len(xs))]
+    if kind == "email":
+        user = _word(rng, 2, 9) + pick("", "", ".", "_", "-", "1", "77") + _word(rng, 1, 8)
+        at = pick(" (at) ", "(at)", " [at] ", "[at]", " {at} ", " (AT) ", "{at}", " [AT] ")
+        dot = pick(".", ".", at.replace("at", "dot").replace("AT", "DOT"))
+        return kind, user + at + dot.join([_word(rng, 2, 10) for _ in range(rng.integers(1, 3))] + [pick("com", "org", "net", "de", "fr", "es", "example", "info")])
+    if kind == "ip":
+        return kind, pick("[.]", "(.)", " . ", "[dot]", "{.}").join(str(k) for k in rng.integers(0, 256, 4))
+    if kind == "card":
+        if rng.integers(2):
+            d = _card(rng, 15)
+            gap = pick(" ", "-", ".")
+            return kind, gap.join([d[:4], d[4:10], d[10:]])
+        d = _card(rng, 16)
+        return kind, pick(".", "/", "  ", " - ", "_", ", ").join(d[k:k + 4] for k in range(0, 16, 4))
+    area, a, b, c = _number(rng, rng.integers(2, 5)), _number(rng, 3), _number(rng, rng.integers(4, 6)), _number(rng, 2)
+    return kind, pick(
+        f"(0{area}) {a}-{b}", f"(0{area}) {a}{b}", f"0{area}/{a}{b}", f"0{area}-{a}-{b}", f"0{area} {a} {b}", f"0{area} / {a} {c} {c}", f"({_number(rng, 3)}) {a}-{_number(rng, 4)}",
+        f"{_number(rng, 3)}-{a}-{_number(rng, 4)}", f"{_number(rng, 3)}.{a}.{_number(rng, 4)}", f"00{_number(rng, 2)} {area} {a} {b}", f"0{area}.{a}.{b}", f"(0{area}){a}{b}")
+
+
+def unrelated(rng: np.random.Generator) -> str:
+    """Numbers, dates and bracketed words that are no personal data."""
+    pick, n = lambda *xs: xs[rng.integers(len(xs))], lambda k: _number(rng, k)
+    day, month, year = rng.integers(1, 29), rng.integers(1, 13), rng.integers(1900, 2040)
+    return pick(
+        f"{year}-{month:02d}-{day:02d}", f"{day}.{month}.{year}", f"{month}/{day}/{year}", f"{rng.integers(24):02d}:{rng.integers(60):02d}", n(rng.integers(1, 20)), f"v{n(1)}.{n(1)}.{n(2)}",
+        f"{n(2)},{n(3)}.{n(2)}", f"{n(rng.integers(4, 9))}/{n(2)}", f"978-{n(1)}-{n(4)}-{n(4)}-{n(1)}", f"({year})", f"{n(2)}-{n(2)}", f"{n(3)} - {n(3)}", f"{n(3)} {n(3)} {_word(rng, 2, 6)}", f"{n(3)}.{n(3)},{n(2)}",
+        f"({_word(rng, 1, 3)}) {_word(rng, 2, 6)}", f"{_word(rng, 2, 6)} (at) night", f"[{n(1)}] {_word(rng, 3, 8)}", f"{n(1)}.{n(1)}.{n(1)}.{n(1)}.{n(1)}", f"#{n(6)}", f"{n(4)}-{n(4)}", f"{n(1)}) {_word(rng, 2, 5)}", f"{n(5)}.{n(5)}.{n(5)}")
+
+
+def respelled(windows: list[str], count: int, seed: int = 5) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(classes, tags) of ``count`` windows of the sample with a labelled span, or an unrelated number, put between two of their words."""
+    rng, out = np.random.default_rng(seed), []
+    for k in range(count if windows else 0):
+        text = windows[rng.integers(len(windows))]
+        kind, put = ("", unrelated(rng)) if k % 3 == 2 else spelled(rng)
+        put = put[:WINDOW]
+        cut = int(rng.integers(len(text) + 1))
+        while cut < len(text) and text[cut] != " ":
+            cut += 1
+        left = text[:cut].rstrip(" ")
+        left = left + ["", " ", " ", " ", ": ", ", "][rng.integers(6)] if left else left
+        whole = left + put + [" ", " ", ", ", ". ", " ", ""][rng.integers(6)] + text[cut:].lstrip(" ")
+        start = max(0, int(rng.integers(len(left) + len(put) - WINDOW, len(left) + 1))) if len(left) + len(put) > WINDOW or rng.integers(3) else 0
+        spans = [sp for sp in base_spans(whole) if not kind or sp[2] <= len(left) or sp[1] >= len(left) + len(put)]
+        if kind:
+            spans.append((kind, len(left), len(left) + len(put)))
+        out.append((_filled(classes(whole), start), _tags(spans, start)))
+    return out
 
 
 def reconcile(spans: list[tuple[Span, float]]) -> list[Span]:
@@ -360,8 +442,12 @@ def decode(m: dict[str, np.ndarray], texts: list[str], chunk: int = 256) -> list
     return [[s for s in reconcile(f) if sound(s[0], t[s[1]:s[2]])] if f else [] for f, t in zip(found, texts, strict=True)]
 
 
-def fit(df: DataFrame, text: str = "text", sample: int = SAMPLE) -> dict[str, np.ndarray] | None:
-    """Network trained on at most ``sample`` windows, drawn by hash from all texts with a digit or ``@``; None without any."""
+def fit(df: DataFrame, text: str = "text", sample: int = SAMPLE, spelled_windows: int = SPELLED) -> dict[str, np.ndarray] | None:
+    """Network trained in one task on at most ``sample`` windows, drawn by hash from all texts with a mark, and on
+    ``spelled_windows`` with other spellings put into these; None without any window.
+
+    The windows are counted first, equal ones once, so that hardly more than the sample is sorted. Only the network reaches the driver.
+    """
     def run(batches):
         for batch in batches:
             for t in batch.column(0).to_pylist():
@@ -372,10 +458,24 @@ def fit(df: DataFrame, text: str = "text", sample: int = SAMPLE) -> dict[str, np
                         [pa.array([t[s:s + WINDOW] for s in some], pa.string()), pa.array([_tags(spans, s).tobytes() for s in some], pa.binary())],
                         names=["window", "tags"])
 
-    rows = df.select(ref(text).cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
-    windows = rows.mapInArrow(run, "window string, tags binary").groupBy("window").agg(F.min("tags").alias("tags"))
-    got = windows.withColumn("h", F.xxhash64("window")).orderBy("h", "window").limit(sample).collect()
-    return train([(_filled(classes(r.window), 0), np.frombuffer(r.tags, np.int8)) for r in got]) if got else None
+    def learn(batches):
+        got = [r for batch in batches for r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        if got:
+            rows = [(_filled(classes(w), 0), np.frombuffer(t, np.int8)) for w, t in got]
+            model = train(rows + respelled([w for w, _ in got], spelled_windows))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(model)), pa.array([list(v.shape) for v in model.values()], pa.list_(pa.int32())), pa.array([v.ravel() for v in model.values()], pa.list_(pa.float32()))],
+                names=["name", "shape", "value"])
+
+    rows = df.select(ref(text).cast("string").alias("text")).where(F.col("text").rlike(_MARK.pattern))
+    windows = rows.mapInArrow(run, "window string, tags binary").withColumn("h", F.xxhash64("window"))
+    different = windows.agg(F.approx_count_distinct("h", 0.02)).first()[0]
+    if not different:
+        return None
+    bound = -2**63 + min(2**64 - 1, int(1.5 * sample / different * 2**64))
+    drawn = windows.where(F.col("h") <= F.lit(bound)).groupBy("h", "window").agg(F.min("tags").alias("tags")).orderBy("h", "window").limit(sample)
+    model = drawn.select("window", "tags").coalesce(1).mapInArrow(learn, "name string, shape array<int>, value array<float>").collect()
+    return {r["name"]: np.array(r["value"], dtype=np.float32).reshape(r["shape"]) for r in model} or None
 
 
 def detect(df: DataFrame, model: dict[str, np.ndarray] | None, keep: list[str], text: str = "text") -> DataFrame:
