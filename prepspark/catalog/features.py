@@ -160,7 +160,30 @@ def text_sentiment(spark, d):
     lexicon = words.join(load(spark, d, "labels"), "doc_id").groupBy("word").agg(
         F.avg(2 * F.col("quality") - 1).alias("polarity"), F.avg("toxic").alias("subjectivity"),
     )
-    return round_doubles(text.text_sentiment(docs, "text", "doc_id", lexicon).drop("text"))
+    return round_doubles(text.text_sentiment(docs, "text", "doc_id", lexicon, negations=(), strengths={}).drop("text"))
+
+
+_TURNING, _STRONG = ("the", "la", "zu"), {"of": 1.5, "de": 0.5, "er": 2.0, "to": 0.8}
+
+
+@query("text_sentiment_carried", f"""WITH t AS (SELECT doc_id, {_WORD} AS ws FROM documents),
+u AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM t),
+lex AS (SELECT word, avg(2 * quality - 1) AS p, avg(toxic) AS s FROM (SELECT DISTINCT doc_id, word FROM u) JOIN labels USING (doc_id) GROUP BY 1),
+m AS (SELECT *, word IN {_TURNING} AS turns, CASE word {' '.join(f"WHEN '{w}' THEN {f}" for w, f in _STRONG.items())} END AS f FROM u),
+a AS (SELECT *, turns OR f IS NOT NULL AS acts, sum(turns::INT) OVER w AS nt, sum(ln(coalesce(f, 1))) OVER w AS lf FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)),
+r AS (SELECT doc_id, word, acts, nt - coalesce(last_value(CASE WHEN NOT acts THEN nt END IGNORE NULLS) OVER b, 0) AS turned,
+  exp(lf - coalesce(last_value(CASE WHEN NOT acts THEN lf END IGNORE NULLS) OVER b, 0)) AS f FROM a WINDOW b AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+x AS (SELECT doc_id, CASE WHEN turned > 0 THEN -0.5 / f ELSE f END AS fp, CASE WHEN turned > 0 THEN 1 / f ELSE f END AS fs, p, s FROM r JOIN lex USING (word) WHERE NOT acts),
+y AS (SELECT doc_id, avg(CASE WHEN abs(fp - 1) < 1e-9 THEN p ELSE greatest(-1, least(1, p * fp)) END) AS p, avg(CASE WHEN abs(fs - 1) < 1e-9 THEN s ELSE greatest(0, least(1, s * fs)) END) AS s FROM x GROUP BY 1)
+SELECT doc_id, round(coalesce(p, 0), 6) + 0.0 AS text_sentiment, round(coalesce(s, 0), 6) + 0.0 AS text_subjectivity FROM documents LEFT JOIN y USING (doc_id)""")
+def text_sentiment_carried(spark, d):
+    """Frequent words of the invented texts stand in for negations and strength words."""
+    docs = spread(load(spark, d, "documents").select("doc_id", "text"))
+    words = docs.select("doc_id", F.explode(F.array_distinct(text.word_tokens("text"))).alias("word"))
+    lexicon = words.join(load(spark, d, "labels"), "doc_id").groupBy("word").agg(
+        F.avg(2 * F.col("quality") - 1).alias("polarity"), F.avg("toxic").alias("subjectivity"),
+    )
+    return round_doubles(text.text_sentiment(docs, "text", "doc_id", lexicon, negations=_TURNING, strengths=_STRONG).drop("text"))
 
 
 # ---- dates -----------------------------------------------------------------------------------------

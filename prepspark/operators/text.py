@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
 
 from pyspark import StorageLevel
@@ -18,6 +19,14 @@ from prepspark.operators.profile import collect_profile, is_text
 SPACE_CLASS = r"\s\x0b\x1c-\x1f\x85\p{Z}"
 KERAS_FILTERS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~\t\n"
 WORD_TOKEN = r"[\p{L}\p{N}_]{2,}"
+# Words that turn the next lexicon word around, and words that strengthen or weaken it, by their factor.
+NEGATIONS = ("not", "no", "never", "nor", "neither", "without")
+STRENGTHS = {
+    "very": 1.3, "really": 1.3, "so": 1.2, "too": 1.2, "extremely": 1.5, "absolutely": 1.5, "highly": 1.4, "quite": 1.1, "rather": 0.9, "fairly": 0.9,
+    "somewhat": 0.7, "slightly": 0.5, "barely": 0.4, "hardly": 0.4,
+}
+#: what a negated score is multiplied by
+TURNED = -0.5
 #: vocabulary indices are kept below this
 VOCAB_SIZE = 1_000
 #: lexicon words that become one literal table
@@ -154,9 +163,44 @@ def text_tfidf(df: DataFrame, name: str, max_features: int = 10, max_mean_length
     return scaled.withColumns(added).drop("__tokens", "__norm", *[f"__w{i}" for i in range(len(terms))])
 
 
-def text_sentiment(df: DataFrame, name: str, key: str, lexicon: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def carried_words(name: str, negations: tuple[str, ...], strengths: dict[str, float]) -> Column:
+    """Array of (w, fp, fs): the words of a text with the factors that the words right before them put on their scores.
+
+    A run of negations and strength words acts on the word after it, whatever that is, and on no other. Its strength is the
+    product of its factors. Without a negation fp = fs = strength; with one, however many, fp = -0.5 / strength and
+    fs = 1 / strength: "not very good" is a weaker "not good". Negations and strength words have no score themselves; "n't" counts as "not".
+    """
+    acting = sorted({*negations, *strengths}, key=lambda w: (-len(w), w))
+    if not acting:
+        return F.transform(word_tokens(name), lambda w: F.struct(w.alias("w"), F.lit(1.0).alias("fp"), F.lit(1.0).alias("fs")))
+    quote = lambda w: "'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    said = F.regexp_replace(F.lower(text_of(name)), r"n['\u2019]t\b", " not")
+    joined = F.array_join(F.regexp_extract_all(said, F.lit(WORD_TOKEN), F.lit(0)), " ")
+    pattern = F.lit("((?:(?:" + "|".join(re.escape(w) for w in acting) + ") )*)([^ ]+)")
+    pairs = F.arrays_zip(F.regexp_extract_all(joined, pattern, F.lit(1)).alias("run"), F.regexp_extract_all(joined, pattern, F.lit(2)).alias("w"))
+    table = "map(" + ", ".join(f"{quote(w)}, {real(f)}" for w, f in strengths.items()) + ")" if strengths else "CAST(map() AS map<string, double>)"
+    strength = lambda run: F.when(run == "", F.lit(1.0)).otherwise(
+        F.aggregate(F.split(run, " "), F.lit(1.0), lambda a, x: a * F.coalesce(F.element_at(F.expr(table), x), F.lit(1.0))))
+    turns = lambda run: (run != "") & (F.exists(F.split(run, " "), lambda x: x.isin(*negations)) if negations else F.lit(False))
+    factors = F.transform(pairs, lambda p: F.struct(p["w"].alias("w"), strength(p["run"]).alias("f"), turns(p["run"]).alias("t")))
+    kept = F.filter(factors, lambda p: ~p["w"].isin(*acting))
+    return F.transform(kept, lambda p: F.struct(
+        p["w"].alias("w"), F.when(p["t"], F.lit(TURNED) / p["f"]).otherwise(p["f"]).alias("fp"), F.when(p["t"], 1 / p["f"]).otherwise(p["f"]).alias("fs")))
+
+
+def _scaled(score: Column, factor: Column, low: float) -> Column:
+    """A lexicon score under its factor; only scores that a factor changes are held within their range."""
+    return F.when(factor == 1.0, score).otherwise(F.greatest(F.lit(low), F.least(F.lit(1.0), score * factor)))
+
+
+def text_sentiment(
+    df: DataFrame, name: str, key: str, lexicon: DataFrame, broadcast_rows: int = BROADCAST_ROWS, negations: tuple[str, ...] = NEGATIONS,
+    strengths: dict[str, float] = STRENGTHS,
+) -> DataFrame:
     """``{name}_sentiment`` and ``_subjectivity``: mean lexicon scores of a text's words, 0 without any.
 
+    Negations and strength words act on the word after them (``carried_words``); without either, all words count as they are.
+
     ``lexicon(word, polarity, subjectivity)`` is the user's; ``key`` is unique. A small lexicon (its rows and bytes are
     counted) becomes a map that each row looks its words up in: no shuffle at all. A large one meets words counted per
     row, every frequent word spread over salted copies; only keys and scores travel, and the texts stay where they are
@@ -170,20 +214,22 @@ def text_sentiment(df: DataFrame, name: str, key: str, lexicon: DataFrame, broad
         rows = lex.where("word IS NOT NULL").groupBy("word").agg(F.collect_list("p").alias("p"), F.collect_list("s").alias("s")).collect()
         lex.unpersist()
         pairs = {r["word"]: (r["p"], r["s"]) for r in rows}
-        return _mapped_sentiment(df, name, pairs, names) if pairs else df.withColumns({n: F.lit(0.0) for n in names})
-    words = df.select(col(key).alias("__k"), F.explode(word_tokens(name)).alias("word"))
+        return _mapped_sentiment(df, name, pairs, names, carried_words(name, negations, strengths)) if pairs else df.withColumns({n: F.lit(0.0) for n in names})
+    words = df.select(col(key).alias("__k"), F.explode(carried_words(name, negations, strengths)).alias("x")).select(
+        "__k", F.col("x.w").alias("word"), F.col("x.fp").alias("fp"), F.col("x.fs").alias("fs"))
     salts = 32
     salted = lex.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    counted = words.groupBy("__k", "word").agg(F.count("*").alias("c"))
+    counted = words.groupBy("__k", "word", "fp", "fs").agg(F.count("*").alias("c"))
     hits = counted.withColumn("salt", F.pmod(F.xxhash64("__k"), F.lit(salts)).cast("int")).join(salted, ["word", "salt"])
     scores = hits.groupBy("__k").agg(
-        (F.sum(F.col("p") * F.col("c")) / F.sum("c")).alias("__p"), (F.sum(F.col("s") * F.col("c")) / F.sum("c")).alias("__s"),
+        (F.sum(_scaled(F.col("p"), F.col("fp"), -1.0) * F.col("c")) / F.sum("c")).alias("__p"),
+        (F.sum(_scaled(F.col("s"), F.col("fs"), 0.0) * F.col("c")) / F.sum("c")).alias("__s"),
     )
     out = df.join(scores, col(key) == F.col("__k"), "left")
     return out.withColumns(dict(zip(names, (F.coalesce("__p", F.lit(0.0)), F.coalesce("__s", F.lit(0.0)))))).drop("__k", "__p", "__s")
 
 
-def _mapped_sentiment(df: DataFrame, name: str, scores: dict[str, tuple[list, list]], names: tuple[str, str]) -> DataFrame:
+def _mapped_sentiment(df: DataFrame, name: str, scores: dict[str, tuple[list, list]], names: tuple[str, str], words: Column) -> DataFrame:
     """Mean scores by looking the words of a row up in a literal table, split in slots so that a lookup scans a few entries."""
     slots: list[list[str]] = [[] for _ in range(_SLOTS)]
     for w in sorted(scores):
@@ -195,9 +241,10 @@ def _mapped_sentiment(df: DataFrame, name: str, scores: dict[str, tuple[list, li
         else "CAST(map() AS map<string, struct<p: array<double>, s: array<double>>>)" for slot in slots
     ]
     table = F.expr(f"array({', '.join(maps)})")
-    found = F.filter(
-        F.transform(word_tokens(name), lambda w: F.element_at(F.element_at(table, F.pmod(F.crc32(w), F.lit(_SLOTS)).cast("int") + 1), w)),
-        lambda r: r.isNotNull())
+    entry = lambda w: F.element_at(F.element_at(table, F.pmod(F.crc32(w), F.lit(_SLOTS)).cast("int") + 1), w)
+    found = F.filter(F.transform(words, lambda x: F.struct(entry(x["w"]).alias("r"), x["fp"].alias("fp"), x["fs"].alias("fs"))), lambda x: x["r"].isNotNull())
+    found = F.transform(found, lambda x: F.struct(
+        F.transform(x["r"]["p"], lambda v: _scaled(v, x["fp"], -1.0)).alias("p"), F.transform(x["r"]["s"], lambda v: _scaled(v, x["fs"], 0.0)).alias("s")))
     out = df.withColumn("__hits", found)
     mean = lambda f: F.coalesce(F.try_divide(
         F.aggregate(F.flatten(F.transform("__hits", lambda r: r[f])), F.lit(0.0), lambda a, x: a + x),

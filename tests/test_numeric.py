@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from prepspark.operators import eda, reduce
+from prepspark.operators import eda, reduce, text
 
 
 def frame(spark, x, names=None):
@@ -52,3 +52,19 @@ def test_wide_projection_of_odd_tables(spark):
     assert np.allclose(none.center, 0) and none.explained == 0
     two = reduce.fit_svd(frame(spark, flat[:2]), [f"x{i}" for i in range(4)], 3, wide_columns=1)
     assert len(two.weights) == 3 and np.allclose(np.array(two.weights) @ np.array(two.weights).T, np.eye(3), atol=1e-8)
+
+
+@pytest.mark.parametrize("rows", [100_000, 0])
+def test_negation_and_strength_reach_the_next_word(spark, rows):
+    """By a literal table and by a join."""
+    lexicon = spark.createDataFrame([("good", 0.7, 0.6), ("bad", -0.7, 0.7), ("great", 0.9, 0.8), ("the", None, None)], "word string, polarity double, subjectivity double").where("polarity IS NOT NULL")
+    cases = {
+        "good": (0.7, 0.6), "not good": (-0.35, 0.6), "very good": (0.91, 0.78), "not very good": (-0.35 / 1.3, 0.6 / 1.3), "It isn't GOOD.": (-0.35, 0.6), "not a good": (-0.35, 0.6),
+        "not that good": (0.7, 0.6), "never bad": (0.35, 0.7), "very very great": (1.0, 1.0), "good, not bad": ((0.7 + 0.35) / 2, 0.65), "good not very": (0.7, 0.6), "nothing good": (0.7, 0.6),
+        "": (0, 0), "not": (0, 0), "very": (0, 0), "slightly bad": (-0.35, 0.35), "not not good": (-0.35, 0.6),
+    }
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(cases)] + [(99, None)], "k int, t string")
+    got = {r.t: (r.t_sentiment, r.t_subjectivity) for r in text.text_sentiment(df, "t", "k", lexicon, broadcast_rows=rows).collect()}
+    for t, want in cases.items():
+        assert np.allclose(got[t], want), t
+    assert got[None] == (0, 0)
