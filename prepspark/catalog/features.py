@@ -397,3 +397,16 @@ def vectorize(spark, d):
     o = load(spark, d, "orders").drop("o_orderdate")
     v = vector.vectorize(o, exclude=["o_orderkey"], as_array=True)
     return round_doubles(v.select("o_orderkey", F.size("features").alias("dimension"), *[F.get("features", F.lit(i)).alias(f"f{i}") for i in range(8)]))
+
+
+@query("vectorize_sparse", """WITH o AS (SELECT o_orderkey, o_totalprice, o_orderstatus, 'c' || o_custkey AS cust FROM orders), n AS (SELECT count(DISTINCT cust) AS n, count(DISTINCT o_orderstatus) AS m FROM o),
+s AS (SELECT avg(o_totalprice) AS mu, stddev_pop(o_totalprice) AS sd FROM o),
+st AS (SELECT o_orderstatus, row_number() OVER (ORDER BY o_orderstatus) - 1 AS k FROM (SELECT DISTINCT o_orderstatus FROM o)), cu AS (SELECT cust, row_number() OVER (ORDER BY cust) - 1 AS k FROM (SELECT DISTINCT cust FROM o))
+SELECT o_orderkey, (1 + m - 1 + n - 1)::BIGINT AS size, 0::BIGINT AS index, round((o_totalprice - mu) / sd, 6) + 0.0 AS value FROM o, s, n WHERE o_totalprice <> mu
+UNION ALL SELECT o_orderkey, (m + n - 1)::BIGINT, k::BIGINT, 1.0 FROM o JOIN st USING (o_orderstatus), n WHERE k > 0
+UNION ALL SELECT o_orderkey, (m + n - 1)::BIGINT, (m + k - 1)::BIGINT, 1.0 FROM o JOIN cu USING (cust), n WHERE k > 0""")
+def vectorize_sparse(spark, d):
+    """As (row, index, value); one column has thousands of values, which are ranked and looked up by shuffle."""
+    o = load(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", F.concat(F.lit("c"), "o_custkey").alias("cust"))
+    v = vector.vectorize_sparse(o, exclude=["o_orderkey"], max_rows=100)
+    return round_doubles(v.select("o_orderkey", "size", F.explode(F.arrays_zip("indices", "values")).alias("x")).select("o_orderkey", "size", F.col("x.indices").alias("index"), F.col("x.values").alias("value")))

@@ -18,6 +18,8 @@ from prepspark.functions.lookups import BROADCAST_BYTES, BROADCAST_ROWS, join_la
 from prepspark.functions.ranks import rank_values
 
 MISSING = "missing"
+#: values that may become columns of their own
+MAX_COLUMNS = 10_000
 
 
 def category(name: str) -> Column:
@@ -109,11 +111,12 @@ def attach(df: DataFrame, key: Column, fit: Categories, prefix: str = "__") -> D
 
 
 def categories(df: DataFrame, name: str, limit: int | None = None) -> list[str]:
-    """Sorted distinct non-null values as text; with ``limit`` more values are an error."""
-    found = df.where(col(name).isNotNull()).select(col(name).cast("string").alias("v")).distinct()
-    rows = (found if limit is None else found.limit(limit + 1)).collect()
-    if limit is not None and len(rows) > limit:
-        raise ValueError(f"column '{name}' has more than {limit} values: use a frequency or label encoding")
+    """Sorted distinct non-null values as text. More than ``limit`` are an error, without one more than ``MAX_COLUMNS``: every
+    value is to become a column, and a table cannot have more of them."""
+    limit = MAX_COLUMNS if limit is None else limit
+    rows = df.where(col(name).isNotNull()).select(col(name).cast("string").alias("v")).distinct().limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"column '{name}' has more than {limit} values: use a frequency or label encoding, or sparse vectors")
     return sorted(r["v"] for r in rows)
 
 
@@ -146,7 +149,7 @@ def encode_onehot(
 ) -> DataFrame:
     """0/1 column ``{name}_{value}`` per sorted value, the first one dropped; null gives all zeros.
 
-    As many columns as there are values; ``max_categories`` makes more of them an error.
+    As many columns as there are values; more than ``max_categories`` (``MAX_COLUMNS`` by default) are an error. ``vector.vectorize_sparse`` takes any number.
     """
     added = onehot_columns(name, categories(fit_on or df, name, max_categories), drop_first)
     kept = df.columns if keep else [c for c in df.columns if c != name]

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from prepspark.operators import eda, reduce, text
+from prepspark.operators import eda, reduce, text, vector
 
 
 def frame(spark, x, names=None):
@@ -68,3 +68,19 @@ def test_negation_and_strength_reach_the_next_word(spark, rows):
     for t, want in cases.items():
         assert np.allclose(got[t], want), t
     assert got[None] == (0, 0)
+
+
+@pytest.mark.parametrize("rows", [None, 3])
+def test_sparse_vectors_equal_dense_ones(spark, rows):
+    data = [(k, float(k * 7 % 13), k % 3 == 0 if k % 5 else None, f"v{k % 11}" if k % 4 else None, "one") for k in range(60)]
+    df = spark.createDataFrame(data, "id int, x double, f boolean, `c c` string, same string")
+    dense = {r.id: list(r.features) for r in vector.vectorize(df, ["id"], as_array=True).collect()}
+    for r in vector.vectorize_sparse(df, ["id"], max_rows=rows).collect():
+        full = [0.0] * r["size"]
+        for i, v in zip(r["indices"], r["values"]):
+            full[i] = v
+        assert np.allclose(full, dense[r.id]) and r["indices"] == sorted(r["indices"]) and 0.0 not in r["values"]
+    places = {(r["column"], r["value"]): r["index"] for r in vector.value_index(df, ["id"], rows).collect()}
+    values = sorted({d[3] for d in data if d[3]})
+    assert places == {("x", None): 0, ("f", None): 1, **{("c c", v): 2 + k for k, v in enumerate(values[1:])}}
+    assert vector.vectorize_sparse(df.limit(0), ["id"], max_rows=rows).count() == 0
