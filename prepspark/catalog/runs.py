@@ -9,6 +9,7 @@ from prepspark.operators import clean, runs
 from prepspark.sources import history
 from prepspark.session import scratch_path
 from prepspark.streaming import ingest, metrics
+from prepspark.streaming import profile as stream_profiles
 
 # Which event type stands for which kind of run event.
 _KIND_OF = {"click": "task", "view": "auto", "purchase": "prompt", "signup": "human", "error": "correction"}
@@ -153,3 +154,27 @@ def stream_file_ingest(spark, d):
         one = one.select("event_id", "ts", "user_id", "event_type", "value").withColumn("files", F.lit(n))
         out = one if out is None else out.unionByName(one)
     return round_doubles(out)
+
+
+_PROFILED = ["event_id", "user_id", "value"]
+
+
+@query("stream_profile", "WITH g AS (SELECT event_id, user_id, CASE WHEN event_id % 5 <> 1 THEN value END AS value, event_type FROM events) " + " UNION ALL ".join(
+    [f"""SELECT '{c}' AS "column", count(*)::BIGINT AS n, (count(*) - count({c}))::BIGINT AS missing, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS stddev,
+  min({c})::DOUBLE AS low, max({c})::DOUBLE AS high, NULL::VARCHAR AS low_text, NULL::DOUBLE AS mean_length, true AS distinct_close, true AS median_close FROM g""" for c in _PROFILED]
+    + ["SELECT 'event_type', count(*), count(*) - count(event_type), NULL, NULL, NULL, NULL, min(event_type), round(avg(length(event_type)), 6), true, NULL FROM g"]))
+def stream_profile(spark, d):
+    """Five files arrive in two goes; the second go reads the new ones only. Exact parts as they are, sketches against exact values."""
+    e = load(spark, d, "events")
+    g = e.select("event_id", "user_id", F.when(F.col("event_id") % 5 != 1, F.col("value")).alias("value"), "event_type")
+    folder, out, mark = (scratch_path(spark, n) for n in ("arrivals", "states", "ckpt"))
+    for part in (F.col("event_id") % 3 != 0, F.col("event_id") % 3 == 0):
+        g.where(part).repartition(2).write.mode("append").parquet(folder)
+        found = stream_profiles.stream_profile(ingest.file_stream(spark, folder, g.schema, maxFilesPerTrigger="1"), out, mark)
+    exact = g.agg(*[F.count_distinct(c).alias(f"d_{c}") for c in g.columns]).first()
+    medians = {r["column"]: r["median"] for r in found.select("column", "median").collect()}
+    below = g.agg(*[(F.count_if(F.col(c) <= medians[c]) / F.count(c)).alias(c) for c in _PROFILED]).first()
+    pick = lambda values: F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col("column"))
+    near = F.abs(F.col("distinct") - pick({c: exact[f"d_{c}"] for c in g.columns})) <= 0.06 * pick({c: exact[f"d_{c}"] for c in g.columns})
+    middle = F.when(F.col("kind") == "numeric", F.abs(F.try_element_at(F.create_map(*[F.lit(x) for c in _PROFILED for x in (c, below[c])]), F.col("column")) - 0.5) <= 0.03)
+    return round_doubles(found.select("column", "n", "missing", "mean", "stddev", "low", "high", "low_text", "mean_length", near.alias("distinct_close"), middle.alias("median_close")))
