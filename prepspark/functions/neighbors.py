@@ -10,7 +10,6 @@ decides balance only: the result is exact for any tree.
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,6 +27,8 @@ LEAF_POINTS = 1_000
 TREE_SAMPLE = 50_000
 #: query points that one visit of a leaf handles
 VISIT_POINTS = 50_000
+#: points of a large group that one task handles beside the group's tree or boxes
+PART_POINTS = 250_000
 _BLOCK = 256
 
 _CANDIDATES = "array<struct<dist:double,vec:array<double>,n:bigint>>"
@@ -55,15 +56,17 @@ class _Tree:
             self.dim[node], self.cut[node] = d, cut
             stack += [(2 * node + 1, pts[left], level + 1), (2 * node + 2, pts[~left], level + 1)]
 
-    def leaf(self, x: np.ndarray) -> np.ndarray:
-        node = np.zeros(len(x), dtype=np.int64)
-        while True:
-            d = self.dim[node]
-            go = d >= 0
-            if not go.any():
-                return node
-            right = x[np.arange(len(x)), np.maximum(d, 0)] >= self.cut[node]
-            node = np.where(go, 2 * node + 1 + right, node)
+
+def _leaf(dim: np.ndarray, cut: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Leaf of each row of ``x``."""
+    node = np.zeros(len(x), dtype=np.int64)
+    while True:
+        d = dim[node]
+        go = d >= 0
+        if not go.any():
+            return node
+        right = x[np.arange(len(x)), np.maximum(d, 0)] >= cut[node]
+        node = np.where(go, 2 * node + 1 + right, node)
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -98,74 +101,103 @@ def _nearest(queries: np.ndarray, points: np.ndarray, weights: np.ndarray, k: in
     return out
 
 
-def nearest_vectors(points: DataFrame, k: int = 5, leaf_points: int | None = None) -> DataFrame:
+def nearest_vectors(points: DataFrame, k: int = 5, leaf_points: int | None = None, part_points: int | None = None) -> DataFrame:
     """(g, vec, n, neighbours): for each distinct vector its k nearest rows' vectors in the same group.
 
-    ``points(g, vec array<double>)`` has a row per point, ``g`` of any type that can be grouped. A vector is
-    listed once per row that holds it. A point is not its own neighbour; its
-    duplicates are. Every group has its own tree, as deep as its size asks for.
+    ``points(g, vec array<double>)`` has a row per point, ``g`` of any type that can be grouped; rows without a group are
+    left out. A vector is listed once per row that holds it. A point is not its own neighbour; its duplicates are. Every
+    group has its own tree, as deep as its size asks for. Trees and leaf boxes are tables: a task reads those of one group
+    beside at most ``part_points`` of its points, and none reach the driver.
     """
-    spark = points.sparkSession
-    leaf_points = leaf_points or LEAF_POINTS
+    leaf_points, part_points = leaf_points or LEAF_POINTS, part_points or PART_POINTS
     g_type = points.schema["g"].dataType.simpleString()
-    distinct = materialize(points.groupBy("g", "vec").agg(F.count("*").alias("n")), "vectors")
-    # only groups beyond one leaf need a tree: there are at most rows / leaf_points of them
+    distinct = materialize(points.where("g IS NOT NULL").groupBy("g", "vec").agg(F.count("*").alias("n")), "vectors")
+    # only groups beyond one leaf need a tree; they are handled in parts
     sizes = distinct.groupBy("g").agg(F.count("*").alias("m")).where(F.col("m") > leaf_points)
-    large = {r["g"]: r["m"] for r in sizes.collect()}
-    trees = {}
-    if large:
-        share = sizes.select("g", F.least(F.lit(1.0), F.lit(float(TREE_SAMPLE)) / F.col("m"), F.lit(32.0 / leaf_points)).alias("share"))
-        draw = F.pmod(F.xxhash64("vec"), F.lit(1_000_003)) / 1_000_003
-        samples: dict[object, list] = {g: [] for g in large}
-        for r in distinct.join(F.broadcast(share), "g").where(draw < F.col("share")).select("g", "vec").toLocalIterator():
-            samples[r["g"]].append(r["vec"])
-        for g, m in large.items():
-            if samples[g]:
-                trees[g] = _Tree(np.array(samples[g], dtype=float), int(np.ceil(np.log2(m / leaf_points))))
-
-    def tag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for g, part in pdf.groupby("g"):
-                yield part.assign(leaf=trees[g].leaf(_matrix(part["vec"])) if g in trees else 0)
-
-    tagged = materialize(distinct.mapInPandas(tag, f"g {g_type}, vec array<double>, n bigint, leaf bigint"), "leaves")
-
-    def box(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = _matrix(pdf["vec"])
-        return pd.DataFrame({"g": [pdf["g"].iloc[0]], "leaf": [pdf["leaf"].iloc[0]], "lo": [x.min(axis=0)], "hi": [x.max(axis=0)]})
-
-    # boxes of the groups that have several leaves
-    boxes: dict[object, list] = {}
-    with_tree = tagged.where(F.col("g").isin(sorted(trees))) if len(trees) <= 1000 else tagged.join(F.broadcast(sizes.select("g")), "g", "left_semi")
-    if trees:
-        for r in with_tree.groupBy("g", "leaf").applyInPandas(box, f"g {g_type}, leaf bigint, lo array<double>, hi array<double>").toLocalIterator():
-            boxes.setdefault(r["g"], []).append((r["leaf"], r["lo"], r["hi"]))
-    bounds = {g: (np.array([b[0] for b in rows]), np.array([b[1] for b in rows]), np.array([b[2] for b in rows])) for g, rows in boxes.items()}
+    sizes = materialize(sizes.withColumn("parts", F.ceil(F.col("m") / part_points).cast("int")), "vector-groups")
+    parts = lambda: sizes.select(F.col("g").alias("g"), F.col("parts").alias("parts"))  # noqa: E731 - joined more than once
+    each_part = lambda table: table.join(parts(), "g").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tagged = distinct.withColumns({"leaf": F.lit(0).cast("bigint"), "parts": F.lit(0)})
+    split = not sizes.isEmpty()
+    fresh = lambda table: table.select(*[F.col(c).alias(c) for c in table.columns])  # noqa: E731 - tables that meet themselves
+    if split:
+        tagged = materialize(distinct.join(parts(), "g", "left_anti").withColumns({"leaf": F.lit(0).cast("bigint"), "parts": F.lit(0)}).unionByName(
+            _tag(fresh(distinct).join(parts(), "g"), each_part(_trees(fresh(distinct), fresh(sizes), leaf_points, g_type)), g_type)), "leaves")
 
     def own_leaf(pdf: pd.DataFrame) -> pd.DataFrame:
         x, w = _matrix(pdf["vec"]), pdf["n"].to_numpy()
         found = _nearest(x, x, w, k, True)
-        radius = np.array([f[-1]["dist"] if sum(c["n"] for c in f) >= k else np.inf for f in found])
-        me, visits = pdf["leaf"].iloc[0], [[] for _ in range(len(x))]
-        if pdf["g"].iloc[0] in bounds:
-            leaves, los, his = bounds[pdf["g"].iloc[0]]
-            gap = np.maximum(0, np.maximum(los - x.max(axis=0), x.min(axis=0) - his))
-            reach = np.flatnonzero(((gap**2).sum(axis=1) <= radius.max()) & (leaves != me))
-            for i in range(len(x)):
-                apart = np.maximum(0, np.maximum(los[reach] - x[i], x[i] - his[reach]))
-                visits[i] = leaves[reach[(apart**2).sum(axis=1) <= radius[i]]].tolist()
-        return pd.DataFrame({"g": pdf["g"], "vec": pdf["vec"], "n": w, "found": found, "visits": visits})
+        radius = [f[-1]["dist"] if sum(c["n"] for c in f) >= k else np.inf for f in found]
+        return pdf.assign(found=found, radius=radius)
 
     first = materialize(
         tagged.groupBy("g", "leaf").applyInPandas(
-            own_leaf, f"g {g_type}, vec array<double>, n bigint, found {_CANDIDATES}, visits array<bigint>"
+            own_leaf, f"g {g_type}, vec array<double>, n bigint, leaf bigint, parts int, found {_CANDIDATES}, radius double"
         ),
         "near",
     )
-    asked = first.select("g", "vec", F.explode("visits").alias("leaf"))
-    load = asked.groupBy("g", "leaf").agg(F.ceil(F.count("*") / VISIT_POINTS).cast("int").alias("chunks"))
-    load = materialize(load, "visits")
-    fresh = lambda: load.select(*[F.col(c).alias(c) for c in load.columns])  # the two sides meet again below
+    found = first.select("g", "vec", "found")
+    if split:
+        large = fresh(tagged).where("parts > 0")
+        boxes = materialize(large.groupBy("g", "leaf").applyInPandas(_box, f"g {g_type}, leaf bigint, lo array<double>, hi array<double>"), "leaf-boxes")
+        near = fresh(first).where("parts > 0").select("g", "vec", "leaf", "radius", F.expr("cast(pmod(leaf, parts) AS int)").alias("part"))
+        asked = near.groupBy("g", "part").cogroup(each_part(boxes).groupBy("g", "part")).applyInPandas(_reach, f"g {g_type}, vec array<double>, leaf bigint")
+        found = found.unionByName(_visit(materialize(asked, "asked"), large, k, g_type))
+    merged = found.groupBy("g", "vec").agg(F.sort_array(F.flatten(F.collect_list("found"))).alias("found"))
+    repeated = F.slice(F.flatten(F.transform("found", lambda c: F.array_repeat(c["vec"], F.least(c["n"], F.lit(k)).cast("int")))), 1, k)
+    return first.select("g", "vec", "n").join(merged, ["g", "vec"]).select("g", "vec", "n", repeated.alias("neighbours"))
+
+
+def _trees(distinct: DataFrame, sizes: DataFrame, leaf_points: int, g_type: str) -> DataFrame:
+    """(g, dim, cut): a tree per large group, each built by one task from at most about ``TREE_SAMPLE`` of its vectors."""
+    share = F.least(F.lit(1.0), F.lit(float(TREE_SAMPLE)) / F.col("m"), F.lit(32.0 / leaf_points))
+    sample = distinct.join(sizes, "g").where(F.pmod(F.xxhash64("vec"), F.lit(1_000_003)) / 1_000_003 < share).select("g", "vec", "m")
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        depth = min(int(np.ceil(np.log2(pdf["m"].iloc[0] / leaf_points))), int(np.ceil(np.log2(len(pdf)))) + 1)
+        tree = _Tree(_matrix(pdf["vec"]), depth)
+        return pd.DataFrame({"g": [pdf["g"].iloc[0]], "dim": [tree.dim], "cut": [tree.cut]})
+
+    return materialize(sample.groupBy("g").applyInPandas(grow, f"g {g_type}, dim array<bigint>, cut array<double>"), "trees")
+
+
+def _tag(points: DataFrame, trees: DataFrame, g_type: str) -> DataFrame:
+    """Points of large groups with their leaf; leaf 0 where a group has no tree."""
+    def tag(held: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
+        leaf = _leaf(tree["dim"].iloc[0], tree["cut"].iloc[0], _matrix(held["vec"])) if len(tree) else 0
+        return held[["g", "vec", "n"]].assign(leaf=leaf, parts=held["parts"])
+
+    points = points.withColumn("part", F.expr("cast(pmod(xxhash64(vec), parts) AS int)"))
+    return points.groupBy("g", "part").cogroup(trees.groupBy("g", "part")).applyInPandas(tag, f"g {g_type}, vec array<double>, n bigint, leaf bigint, parts int")
+
+
+def _box(pdf: pd.DataFrame) -> pd.DataFrame:
+    x = _matrix(pdf["vec"])
+    return pd.DataFrame({"g": [pdf["g"].iloc[0]], "leaf": [pdf["leaf"].iloc[0]], "lo": [x.min(axis=0)], "hi": [x.max(axis=0)]})
+
+
+def _reach(near: pd.DataFrame, boxes: pd.DataFrame) -> pd.DataFrame:
+    """(g, vec, leaf): other leaves whose box reaches into the radius of a point, whole leaves of points being ruled out first."""
+    out = []
+    if len(near):
+        leaves, los, his = boxes["leaf"].to_numpy(), _matrix(boxes["lo"]), _matrix(boxes["hi"])
+        for me, pdf in near.groupby("leaf"):
+            x, radius = _matrix(pdf["vec"]), pdf["radius"].to_numpy()
+            gap = np.maximum(0, np.maximum(los - x.max(axis=0), x.min(axis=0) - his))
+            some = np.flatnonzero(((gap**2).sum(axis=1) <= radius.max()) & (leaves != me))
+            step = max(1, 4_000_000 // max(1, len(some) * x.shape[1]))
+            for s in range(0, len(x), step):
+                at = x[s:s + step, None, :]
+                apart = np.maximum(0, np.maximum(los[some] - at, at - his[some]))
+                i, j = np.nonzero((apart**2).sum(axis=2) <= radius[s:s + step, None])
+                out.append(pd.DataFrame({"g": pdf["g"].iloc[0], "vec": pdf["vec"].to_numpy()[s + i], "leaf": leaves[some[j]]}))
+    return pd.concat(out) if out else pd.DataFrame({"g": [], "vec": [], "leaf": []})
+
+
+def _visit(asked: DataFrame, tagged: DataFrame, k: int, g_type: str) -> DataFrame:
+    """(g, vec, found): what the asked leaves hold, each leaf serving at most about ``VISIT_POINTS`` points a task."""
+    load = materialize(asked.groupBy("g", "leaf").agg(F.ceil(F.count("*") / VISIT_POINTS).cast("int").alias("chunks")), "visits")
+    fresh = lambda: load.select(*[F.col(c).alias(c) for c in load.columns])  # noqa: E731 - the two sides meet again below
     asked = asked.join(fresh(), ["g", "leaf"]).withColumn("chunk", F.pmod(F.xxhash64("vec"), F.col("chunks")).cast("int"))
     serving = tagged.select(*[F.col(c).alias(c) for c in tagged.columns]).join(fresh(), ["g", "leaf"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
 
@@ -175,11 +207,6 @@ def nearest_vectors(points: DataFrame, k: int = 5, leaf_points: int | None = Non
         got = _nearest(_matrix(queries["vec"]), _matrix(held["vec"]), held["n"].to_numpy(), k, False)
         return pd.DataFrame({"g": queries["g"], "vec": queries["vec"], "found": got})
 
-    second = asked.groupBy("g", "leaf", "chunk").cogroup(serving.groupBy("g", "leaf", "chunk")).applyInPandas(
+    return asked.groupBy("g", "leaf", "chunk").cogroup(serving.groupBy("g", "leaf", "chunk")).applyInPandas(
         visit, f"g {g_type}, vec array<double>, found {_CANDIDATES}",
     )
-    merged = first.select("g", "vec", "found").unionByName(second).groupBy("g", "vec").agg(
-        F.sort_array(F.flatten(F.collect_list("found"))).alias("found")
-    )
-    repeated = F.slice(F.flatten(F.transform("found", lambda c: F.array_repeat(c["vec"], F.least(c["n"], F.lit(k)).cast("int")))), 1, k)
-    return first.select("g", "vec", "n").join(merged, ["g", "vec"]).select("g", "vec", "n", repeated.alias("neighbours"))

@@ -124,13 +124,13 @@ def test_kmeans_edges_match_plain_lloyd(spark):
     assert np.allclose(bins.kmeans_edges(df, ["x"])["x"], want)
 
 
-@pytest.mark.parametrize("leaf", [40, 5000])
-def test_neighbours_match_brute_force(spark, leaf):
-    """Two groups; a third of the first one is a single repeated vector."""
+@pytest.mark.parametrize(("leaf", "part"), [(40, None), (40, 70), (5000, None)])
+def test_neighbours_match_brute_force(spark, leaf, part):
+    """Two groups, whole or in parts; a third of the first one is a single repeated vector."""
     h = lambda tag: F.pmod(F.xxhash64("id", F.lit(tag)), F.lit(1000)).cast("double")
     vec = F.when((F.col("id") % 3 == 0) & (F.col("id") < 600), F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0))).otherwise(F.array(h("a"), h("b"), h("c") / 50))
     pts = spark.range(900).select((F.col("id") >= 600).cast("int").alias("g"), vec.alias("vec"))
-    got = neighbors.nearest_vectors(pts, 5, leaf).collect()
+    got = neighbors.nearest_vectors(pts, 5, leaf, part).collect()
     rows = pts.collect()
     for g in (0, 1):
         x = np.array([r["vec"] for r in rows if r["g"] == g])
