@@ -8,7 +8,7 @@ from prepspark.catalog.base import load, query, round_doubles
 from prepspark.operators import clean, runs
 from prepspark.sources import history
 from prepspark.session import scratch_path
-from prepspark.streaming import ingest, metrics
+from prepspark.streaming import ingest, metrics, states
 from prepspark.streaming import profile as stream_profiles
 
 # Which event type stands for which kind of run event.
@@ -115,6 +115,47 @@ def stage_status(spark, d):
     return runs.stage_status(e.select(F.col("user_id").alias("run_id"), stage.alias("stage"), status.alias("status"), "ts"))
 
 
+def _states_sql(as_of: str) -> str:
+    """Statuses with silence: running stages of runs without an event in the six hours before ``as_of`` have failed."""
+    return f"""WITH g AS (SELECT user_id AS run_id, (event_id % 7)::INTEGER AS i, arg_max({_RUN_STATUS}, ts) AS status FROM events GROUP BY 1, 2),
+l AS (SELECT user_id AS run_id, max(ts) + INTERVAL 6 HOUR < (SELECT {as_of} FROM events) AS silent FROM events GROUP BY 1),
+a AS (SELECT run_id, i, silent FROM l, (SELECT unnest(range(0, 7))::INTEGER AS i)),
+h AS (SELECT a.run_id, a.i, CASE WHEN silent AND status = 'running' THEN 'failed' ELSE coalesce(status, 'pending') END AS status FROM a LEFT JOIN g USING (run_id, i)),
+f AS (SELECT run_id, min(i) FILTER (status = 'failed') AS bad FROM h GROUP BY 1)
+SELECT run_id, [{_STAGE_LIST}][i + 1] AS stage, CASE WHEN i > bad THEN 'pending' ELSE status END AS status FROM h JOIN f USING (run_id)"""
+
+
+_RUN_STATUS = "CASE WHEN event_type = 'error' THEN 'failed' WHEN event_id % 3 = 0 THEN 'running' ELSE 'completed' END"
+
+
+def _run_stages(e):
+    stage = F.element_at(F.array(*[F.lit(s) for s in runs.STAGES]), (F.col("event_id") % 7 + 1).cast("int"))
+    return e.select(F.col("user_id").alias("run_id"), stage.alias("stage"), F.expr(_RUN_STATUS).alias("status"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+@query("stage_status_silence", _states_sql("max(ts) - INTERVAL 1 DAY"))
+def stage_status_silence(spark, d):
+    e = _run_stages(load(spark, d, "events"))
+    return runs.stage_status(e, "6 hours", F.lit(e.agg(F.max("ts")).first()[0]) - F.expr("interval 1 day"))
+
+
+@query("stream_run_states", f"SELECT files, s.* FROM ({_states_sql("date_trunc('milliseconds', max(ts)) - INTERVAL 1 DAY")}) s, (SELECT unnest(['1', '100']) AS files)")
+def stream_run_states(spark, d):
+    """Four files whose events lie up to a day out of order: one file a batch and all at once give the same states."""
+    e = load(spark, d, "events")
+    at = F.unix_micros(F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64("event_id"), F.lit(86_400_000_000))
+    low, high = e.agg(F.min(at), F.max(at)).first()
+    folder = scratch_path(spark, "stage-events")
+    for i in range(4):
+        e.where(F.least(F.floor((at - low) * 4 / (high - low)), F.lit(3)) == i).coalesce(1).write.mode("append").parquet(folder)
+    out = None
+    for n in ("1", "100"):
+        stream = _run_stages(ingest.file_stream(spark, folder, e.schema, maxFilesPerTrigger=n))
+        one = states.stream_run_states(stream, scratch_path(spark, "states"), scratch_path(spark, "ckpt"), "6 hours", "1 day").withColumn("files", F.lit(n))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("run_history_topn", f"WITH {_SCORES}{_RUNS} SELECT run_id, ts, seconds, ptma FROM r JOIN s USING (run_id) ORDER BY ts DESC, run_id DESC LIMIT 5")
 def run_history_topn(spark, d):
     """Two appends to the history table, then the last five runs."""

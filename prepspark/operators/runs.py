@@ -108,15 +108,18 @@ def benchmark_table(results: DataFrame) -> DataFrame:
     return results.withColumn("rows_per_second", rows_per_second())
 
 
-def stage_status(stage_events: DataFrame) -> DataFrame:
+def stage_status(stage_events: DataFrame, silence: str | None = None, as_of: Column | None = None) -> DataFrame:
     """(run_id, stage, status): last status per stage; stages after the first failure count as pending.
 
-    ``stage_events(run_id, stage, status, ts)``; every run lists all seven stages.
+    ``stage_events(run_id, stage, status, ts)``; every run lists all seven stages. With ``silence`` (an interval) a running
+    stage has failed if the run's latest event is more than that before ``as_of``.
     """
-    last = stage_events.where(F.col("stage").isin(*STAGES)).groupBy("run_id", "stage").agg(F.max_by("status", F.struct("ts", "status")).alias("status"))
-    per_run = last.groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct("stage", "status"))).alias("m"))
-    state = F.array(*[F.coalesce(F.col("m")[s], F.lit("pending")) for s in STAGES])
-    per_run = per_run.withColumn("s", state).withColumn("bad", F.array_position("s", "failed"))
+    last = stage_events.where(F.col("stage").isin(*STAGES)).groupBy("run_id", "stage").agg(
+        F.max_by("status", F.struct("ts", "status")).alias("status"), F.max("ts").alias("ts"))
+    per_run = last.groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct("stage", "status"))).alias("m"), F.max("ts").alias("ts"))
+    silent = F.coalesce(F.col("ts") + F.expr(f"interval {silence}") < as_of, F.lit(False)) if silence else F.lit(False)
+    now = lambda s: F.when(silent & (F.col("m")[s] == "running"), "failed").otherwise(F.coalesce(F.col("m")[s], F.lit("pending")))
+    per_run = per_run.withColumn("s", F.array(*[now(s) for s in STAGES])).withColumn("bad", F.array_position("s", "failed"))
     rows = F.array(*[
         F.struct(
             F.lit(s).alias("stage"),
