@@ -356,6 +356,37 @@ def cluster_features(spark, d):
     return tall.groupBy("k").agg(F.count("*").alias("n_rows"), F.count_distinct("label").alias("labels"), F.count_if(~(F.col("dist") >= 0)).alias("bad_distances"))
 
 
+CLUSTER_STARTS = [[0.731, 0.617, 2.411], [2.513, 3.907, 0.389], [4.219, 5.803, 1.759]]
+CLUSTER_ROUNDS = 6
+
+
+def _lloyd_sql() -> str:
+    """Rounds of k-means from the given starts, one row of centres per round."""
+    near = "CASE WHEN d0 <= d1 AND d0 <= d2 THEN 0 WHEN d1 <= d2 THEN 1 ELSE 2 END"
+    off = ", ".join(f"(a - a{i}) * (a - a{i}) + (b - b{i}) * (b - b{i}) + (c - c{i}) * (c - c{i}) AS d{i}" for i in range(3))
+    rounds = "r0 AS (SELECT " + ", ".join(f"{v}::DOUBLE AS {n}{i}" for i, row in enumerate(CLUSTER_STARTS) for n, v in zip("abc", row)) + ")"
+    for r in range(CLUSTER_ROUNDS + 1):
+        rounds += f", l{r} AS (SELECT a, b, c, {near} AS label, least(d0, d1, d2) AS d FROM (SELECT a, b, c, {off} FROM p, r{r}))"
+        rounds += f", r{r + 1} AS (SELECT " + ", ".join(f"avg({n}) FILTER (label = {i}) AS {n}{i}" for i in range(3) for n in "abc") + f" FROM l{r})"
+    centers = union_all([f"SELECT {i} AS label, a{i} AS a, b{i} AS b, c{i} AS c FROM r{CLUSTER_ROUNDS}" for i in range(3)])
+    return f"""WITH p AS (SELECT l_quantity / 10.0::DOUBLE AS a, l_extendedprice / 10000.0::DOUBLE AS b, l_discount * 30.0::DOUBLE AS c FROM lineitem), {rounds},
+m AS ({centers}), n AS (SELECT label, count(*) AS n, sum(d) AS inertia FROM l{CLUSTER_ROUNDS} GROUP BY 1)
+SELECT (row_number() OVER (ORDER BY a, b, c) - 1)::INTEGER AS label, round(a, 6) AS a, round(b, 6) AS b, round(c, 6) AS c, n::BIGINT AS n, round(inertia, 3) AS inertia FROM m JOIN n USING (label)"""
+
+
+@query("cluster_given_starts", _lloyd_sql())
+def cluster_given_starts(spark, d):
+    """Centres, sizes and squared distances after six rounds from given starts."""
+    x = load(spark, d, "lineitem").select(
+        (F.col("l_quantity") / 10.0).alias("a"), (F.col("l_extendedprice") / 10000.0).alias("b"), (F.col("l_discount") * 30.0).alias("c"))
+    centers = reduce.fit_clusters(x, ["a", "b", "c"], [3], rounds=CLUSTER_ROUNDS, first=CLUSTER_STARTS)[3]
+    off = F.array(*[sum((F.col(n) - v) * (F.col(n) - v) for n, v in zip("abc", m)) for m in centers])
+    near = x.select(off.alias("off")).select((F.array_position("off", F.array_min("off")) - 1).cast("int").alias("label"), F.array_min("off").alias("d"))
+    sizes = near.groupBy("label").agg(F.count("*").alias("n"), F.round(F.sum("d"), 3).alias("inertia"))
+    at = lambda i: F.element_at(F.array(*[F.lit(m[i]) for m in centers]), F.col("label") + 1)
+    return sizes.select("label", *[F.round(at(i), 6).alias(n) for i, n in enumerate("abc")], "n", "inertia")
+
+
 @query("rf_importance_leader", "SELECT 'l_extendedprice' AS feature, true AS leads FROM lineitem LIMIT 1")
 def rf_importance_leader(spark, d):
     """One column decides the target: its share leads by far."""

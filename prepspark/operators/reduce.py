@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -16,12 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from prepspark.functions import wide
-from prepspark.functions.columns import col, kinds, num, num_sql, numeric_columns, one_row, real, ref, spread
+from prepspark.functions.clusters import fit_kmeans
+from prepspark.functions.columns import col, kinds, num, num_sql, numeric_columns, one_row, real, ref
 from prepspark.functions.stats import distinct_counts, gramian
 from prepspark.operators.clean import impute_median
 from prepspark.operators.encode import attach, category, encode_label, fit_categories
 from prepspark.operators.scale import apply_scale, fit_scale
-from prepspark.session import side_by_side
 
 
 #: Columns beyond which the d x d products are not built.
@@ -148,25 +145,22 @@ def standard_pca(df: DataFrame, cols: list[str], k: int = 3, prefix: str = "pca_
     return apply_projection(df, scaled, prefix, keep_inputs=True)
 
 
-def fit_clusters(df: DataFrame, cols: list[str], ks: list[int], seed: int = 42, rounds: int = 20) -> dict[int, list[list[float]]]:
-    """Sorted k-means centres per k, on columns that are already scaled."""
-    assembler = VectorAssembler(inputCols=[f"x{i}" for i in range(len(cols))], outputCol="features")
-    points = assembler.transform(df.select(*[F.coalesce(num(c), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(cols)]))
-    points = spread(points.select("features")).persist(StorageLevel.MEMORY_AND_DISK)
-    def fit(k: int) -> list[list[float]]:
-        return sorted(c.tolist() for c in KMeans(k=k, seed=seed, maxIter=rounds).fit(points).clusterCenters())
-
-    try:
-        return side_by_side(df.sparkSession, {k: partial(fit, k) for k in ks})
-    finally:
-        points.unpersist()
+def fit_clusters(
+    df: DataFrame, cols: list[str], ks: list[int], seed: int = 42, rounds: int = 20, starts: int = 4, first: list[list[float]] | None = None,
+) -> dict[int, list[list[float]]]:
+    """Sorted k-means centres per k, on columns that are already scaled; ``first`` gives the starting centres of its own length."""
+    if not ks and not first:
+        return {}
+    points = df.select(F.array(*[F.coalesce(num(c), F.lit(0.0)) for c in cols]).alias("xs"))
+    fits = fit_kmeans(points, [len(first)] if first else ks, seed, starts, rounds, first=None if first is None else np.array(first, dtype=float))
+    return {k: f.centers.tolist() for k, f in fits.items()}
 
 
 def cluster_features(df: DataFrame, cols: list[str] | None = None, max_clusters: int = 5, seed: int = 42, with_pca: bool = False) -> DataFrame:
     """``cluster_k{k}`` and ``cluster_k{k}_dist`` for k in 2, 3, 5 on the given (or all) standardised numeric columns.
 
-    Needs three numeric columns. Labels follow the sorted centres. Assignment is
-    a column expression over the centres.
+    Needs three numeric columns. Centres are the best of several seeded starts, labels follow the sorted centres.
+    Assignment is a column expression over the centres.
     """
     cols = numeric_columns(df) if cols is None else cols
     if len(cols) < 3:

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from prepspark.functions import clusters
 from prepspark.operators import eda, reduce, text, vector
 
 
@@ -84,3 +85,41 @@ def test_sparse_vectors_equal_dense_ones(spark, rows):
     values = sorted({d[3] for d in data if d[3]})
     assert places == {("x", None): 0, ("f", None): 1, **{("c c", v): 2 + k for k, v in enumerate(values[1:])}}
     assert vector.vectorize_sparse(df.limit(0), ["id"], max_rows=rows).count() == 0
+
+
+def lloyd(x, centers, rounds=300):
+    """Centres and inertia of plain k-means."""
+    for _ in range(rounds):
+        d2 = ((x[:, None] - centers[None]) ** 2).sum(axis=2)
+        label = d2.argmin(axis=1)
+        moved = np.array([x[label == i].mean(axis=0) if (label == i).any() else centers[i] for i in range(len(centers))])
+        if np.allclose(moved, centers, atol=1e-12):
+            break
+        centers = moved
+    return centers, ((x[:, None] - centers[None]) ** 2).sum(axis=2).min(axis=1).sum()
+
+
+def test_clusters_against_plain_rounds(spark):
+    """A fixed point, no worse than the best of twenty plain starts, whatever the partitions; a third of the rows is one point."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.standard_normal((150, 3)) + c for c in ([0, 0, 0], [9, 0, 0], [0, 9, 4], [7, 7, 7])] + [np.tile([3.0, 3.0, -8.0], (300, 1))])
+    points = frame(spark, x).selectExpr("array(x0, x1, x2) AS xs")
+    a, b = (clusters.fit_kmeans(points.repartition(n), [2, 3, 5], rounds=60, tol=1e-10) for n in (1, 7))
+    for k in (2, 3, 5):
+        again, inertia = lloyd(x, a[k].centers)
+        assert a[k].centers.shape == (k, 3) and np.allclose(again, a[k].centers, atol=1e-6) and np.isclose(inertia, a[k].inertia)
+        assert np.allclose(a[k].centers, b[k].centers, atol=1e-8)
+        best = min(lloyd(x, x[rng.choice(len(x), k, replace=False)])[1] for _ in range(20))
+        assert a[k].inertia <= best * 1.001
+    given = clusters.fit_kmeans(points, [3], rounds=200, tol=1e-12, first=x[[0, 200, 400]])[3]
+    want, cost = lloyd(x, x[[0, 200, 400]])
+    assert np.allclose(sorted(want.tolist()), given.centers) and np.isclose(cost, given.inertia)
+
+
+def test_clusters_of_odd_tables(spark):
+    """No rows, fewer points than clusters, nulls and signed zeros."""
+    empty = spark.createDataFrame([], "xs array<double>")
+    assert clusters.fit_kmeans(empty, [2])[2].centers.shape[0] == 0
+    few = spark.createDataFrame([([1.0, 0.0],), ([1.0, -0.0],), ([1.0, None],), ([4.0, 4.0],)], "xs array<double>")
+    fit = clusters.fit_kmeans(few, [2, 3])
+    assert fit[3].centers.tolist() == fit[2].centers.tolist() == [[1.0, 0.0], [4.0, 4.0]] and fit[3].inertia == 0
