@@ -20,9 +20,11 @@ from prepspark.session import materialize
 # tasks carry this module's code with them: executors need no copy of the package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SEED_ROUNDS = 5
+SEED_ROUNDS = 2
+#: rounds after which the best start of each k goes on alone
+TRIAL_ROUNDS = 4
 #: distances that a task holds at once
-_CELLS = 4_000_000
+_CELLS = 500_000
 
 
 @dataclass
@@ -45,13 +47,17 @@ def _blocks(batch: pa.RecordBatch, centers: int) -> Iterator[tuple[np.ndarray, .
     """Vectors and further columns of a batch in blocks of bounded size."""
     rest = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, batch.num_columns)]
     x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-    step = max(1, _CELLS // max(1, centers * max(1, x.shape[1])))
+    step = max(1, _CELLS // max(1, centers, x.shape[1]))
     for s in range(0, len(x), step):
         yield (x[s:s + step], *[c[s:s + step] for c in rest])
 
 
 def square_distances(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
-    return ((x[:, None, :] - centers[None]) ** 2).sum(axis=2)
+    """Rows by centres; differences are squared as such, so equal points are exactly 0 apart."""
+    out = np.zeros((len(x), len(centers)))
+    for j in range(x.shape[1]):
+        out += (x[:, j, None] - centers[None, :, j]) ** 2
+    return out
 
 
 def _seeds(points: DataFrame, many: int, seed: int) -> np.ndarray:
@@ -92,13 +98,13 @@ def _totals(points: DataFrame, fits: list[np.ndarray]) -> list[tuple[np.ndarray,
         sums, costs = np.zeros((len(every), width + 1)), np.zeros(len(fits))
         for batch in batches:
             for x, w in _blocks(batch, len(every)):
-                d2 = square_distances(x, every)
+                near = (every**2).sum(axis=1) - 2 * (x @ every.T)  # squared distances less those of the points to zero
                 weighted = np.concatenate([x, np.ones((len(x), 1))], axis=1) * w[:, None]
                 for i, end in enumerate(ends):
-                    own = d2[:, end - len(fits[i]):end]
-                    label = own.argmin(axis=1)
-                    np.add.at(sums, end - len(fits[i]) + label, weighted)
-                    costs[i] += w @ own[np.arange(len(own)), label]
+                    start = end - len(fits[i])
+                    label = near[:, start:end].argmin(axis=1)
+                    sums[start:end] += (label[None, :] == np.arange(end - start)[:, None]).astype(float) @ weighted
+                    costs[i] += w @ ((x - fits[i][label]) ** 2).sum(axis=1)
         at = np.concatenate([np.repeat(np.arange(len(every)), width + 1), np.full(len(fits), -1)])
         column = np.concatenate([np.tile(np.arange(width + 1), len(every)), np.arange(len(fits))])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(column), pa.array(np.concatenate([sums.ravel(), costs]))], names=["at", "c", "v"])
@@ -123,8 +129,8 @@ def _choose(found: np.ndarray, weight: np.ndarray, k: int, rng: np.random.Genera
     return found[chosen]
 
 
-def fit_kmeans(points: DataFrame, ks: list[int], seed: int = 42, starts: int = 4, rounds: int = 20, tol: float = 1e-6, first: np.ndarray | None = None) -> dict[int, Fit]:
-    """Best fit per k: of ``starts`` starts that with the smallest inertia, its centres sorted.
+def fit_kmeans(points: DataFrame, ks: list[int], seed: int = 42, starts: int = 4, rounds: int = 20, tol: float = 1e-4, first: np.ndarray | None = None) -> dict[int, Fit]:
+    """Best fit per k: of ``starts`` starts that with the smallest inertia after a few rounds goes on; its centres are sorted.
 
     ``points(xs array<double>)`` has a row per point. A start ends when no centre moves by more than ``tol`` or after
     ``rounds``; every round is one pass for all of them. ``first`` gives the starting centres instead of drawing them (``ks`` has
@@ -140,6 +146,8 @@ def fit_kmeans(points: DataFrame, ks: list[int], seed: int = 42, starts: int = 4
     else:
         fits = [Fit(len(first), np.array(first, dtype=float))]
     for r in range(rounds + 1):
+        if r == TRIAL_ROUNDS:
+            fits = _best(fits)
         active = [f for f in fits if f.moving]
         if not active:
             break
@@ -148,10 +156,12 @@ def fit_kmeans(points: DataFrame, ks: list[int], seed: int = 42, starts: int = 4
             moved = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], f.centers)
             f.moving = r < rounds and bool(np.abs(moved - f.centers).max() > tol)
             f.centers = moved if r < rounds else f.centers
-    best = {}
+    fits = _best(fits)
     for f in fits:
-        if f.k not in best or f.inertia < best[f.k].inertia:
-            best[f.k] = f
-    for f in best.values():
         f.centers = np.array(sorted(f.centers.tolist()))
-    return best
+    return {f.k: f for f in fits}
+
+
+def _best(fits: list[Fit]) -> list[Fit]:
+    """The fit with the smallest inertia for each k; the earlier one of equals."""
+    return [min((f for f in fits if f.k == k), key=lambda f: f.inertia) for k in dict.fromkeys(f.k for f in fits)]

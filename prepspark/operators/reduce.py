@@ -152,7 +152,7 @@ def fit_clusters(
     if not ks and not first:
         return {}
     points = df.select(F.array(*[F.coalesce(num(c), F.lit(0.0)) for c in cols]).alias("xs"))
-    fits = fit_kmeans(points, [len(first)] if first else ks, seed, starts, rounds, first=None if first is None else np.array(first, dtype=float))
+    fits = fit_kmeans(points, [len(first)] if first else ks, seed, starts, rounds, **({} if first is None else {"first": np.array(first, dtype=float), "tol": 0.0}))
     return {k: f.centers.tolist() for k, f in fits.items()}
 
 
