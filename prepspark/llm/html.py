@@ -1,7 +1,7 @@
 """Main text of web pages: flat text blocks classified by a decision tree.
 
 A page is cut into flat blocks at block-level tags. Each block has its word count and link density, those of its
-neighbours, and where it stands (article, page furniture, heading). A small tree, trained on the labelled table below,
+neighbours, and where it stands (article, page furniture, heading, a page of short blocks only). A small tree, trained on the labelled table below,
 says which blocks belong to the article. Pages are independent: one narrow pass, bounded by one page.
 """
 
@@ -46,8 +46,10 @@ ATTR = re.compile(r"([a-z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?
 SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 SPACE = re.compile(r"\s+")
 
-FEATURES = ("words", "links", "prev_words", "prev_links", "next_words", "next_links", "furniture", "article", "heading")
-# Labelled blocks: the features in the order above, then 1 for main text.
+FEATURES = ("words", "links", "prev_words", "prev_links", "next_words", "next_links", "furniture", "article", "heading", "short")
+# Words up to which a block is no running text; a page without an article element and without running text is short.
+SCRAP = 10
+# Labelled blocks: the features in the order above but for the last (0 here), then 1 for main text.
 LABELLED: list[tuple[float, ...]] = [
     # articles: headings, short and long paragraphs, list items, paragraphs with links
     (9, 0, 0, 0, 12, 0, 0, 1, 1, 1), (12, 0, 5, 0, 60, 0, 0, 1, 1, 1), (1, 0, 40, 0, 55, 0, 0, 1, 0, 1), (2, 0, 3, 0, 3, 0, 0, 1, 0, 1),
@@ -86,9 +88,12 @@ LABELLED: list[tuple[float, ...]] = [
 ]
 # What is a link list or scrap elsewhere belongs to the article inside one.
 LABELLED += [(*row[:7], 1, row[8], 1) for row in LABELLED if not row[6] and not row[9]]
+LABELLED = [(*row[:9], 0, row[9]) for row in LABELLED]
+# On a short page the same scraps are all the text there is; links and furniture are none there either.
+LABELLED += [(*row[:9], 1, int(not row[6] and row[1] <= 0.5)) for row in LABELLED if not row[7] and (row[0] <= SCRAP or row[6] or row[1] > 0.5)]
 
 
-def fit_tree(rows: np.ndarray, labels: np.ndarray, depth: int = 6) -> tuple:
+def fit_tree(rows: np.ndarray, labels: np.ndarray, depth: int = 8) -> tuple:
     """Binary tree by Gini impurity; ties go to the earlier feature and lower border. A leaf is the share of main text."""
     share = float(labels.mean())
     if depth == 0 or share in (0.0, 1.0):
@@ -298,7 +303,8 @@ def main_text(pages: list[str]) -> list[str]:
     rows = []
     for _, own in cut:
         pad = [(0.0, 0.0), *[r[:2] for r in own], (0.0, 0.0)]
-        rows += [(*r[:2], *pad[i], *pad[i + 2], *r[2:]) for i, r in enumerate(own)]
+        short = float(not any(not r[2] and (r[3] or r[0] > SCRAP and r[1] <= 0.5) for r in own))
+        rows += [(*r[:2], *pad[i], *pad[i + 2], *r[2:], short) for i, r in enumerate(own)]
     keep = classify(tree(), np.array(rows, dtype=float).reshape(-1, len(FEATURES))).tolist()
     out, at = [], 0
     for texts, _ in cut:

@@ -335,3 +335,63 @@ def test_templates_are_rejected_by_purity(spark):
     out = {r.path: r for r in urls.judge(spark.createDataFrame(rows, "url string"), ["url"], rules=rules).collect()}
     assert out["/de/7"].rule is None and out["/de/7"].verdict == "block" and out["/de/7"].purity > 0.8
     assert out["/en/7"].verdict == "allow" and out["/en/7"].template == "/en/*"
+
+
+def test_short_pages_keep_their_text():
+    """Without an article element and without running text, what is neither furniture nor links is the text."""
+    pages = {
+        "<p>Hi</p>": "Hi", "<body><div><h1>Title</h1><p>Short para.</p><p>Another short one.</p></div></body>": "Title Short para. Another short one.",
+        "<nav><a href=x>Home</a></nav><p>Hello there</p><footer>All rights</footer>": "Hello there", "<nav>Only menu</nav>": "",
+        "<ul><li><a href=a>One</a><li><a href=b>Two</a></ul><p>Only this.</p>": "Only this.",
+        "<div class=comments><p>First!</p></div><p>One line</p><p>One line</p>": "One line One line",
+    }
+    assert html.main_text(list(pages)) == list(pages.values())
+
+
+def test_extraction_equals_a_plain_rule_on_the_given_pages(table):
+    """The given pages mark their article: text between furniture elements of it, found by a plain parser."""
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.stack, self.blocks, self.now = [], [], []
+
+        def flush(self):
+            text = " ".join("".join(self.now).split())
+            self.blocks += [text] if text else []
+            self.now = []
+
+        def inside(self):
+            names = [n for n, _ in self.stack]
+            return ("article" in names or "main" in names) and not any(bad for _, bad in self.stack)
+
+        def handle_starttag(self, name, attrs):
+            if name in html.BLOCK:
+                self.flush()
+            if name not in html.VOID:
+                said = html.furniture_words(" ".join(v or "" for k, v in attrs if k in ("class", "id")))
+                self.stack.append((name, name in html.FURNITURE or name in html.RAW or bool(said)))
+            elif name == "br":
+                self.now.append(" ")
+
+        def handle_endtag(self, name):
+            if any(n == name for n, _ in self.stack):
+                if name in html.BLOCK:
+                    self.flush()
+                while self.stack.pop()[0] != name:
+                    pass
+
+        def handle_data(self, data):
+            if self.inside():
+                self.now.append(data)
+
+    rows = [r["html"] or "" for r in table("pages").select("html").collect()]
+    want = []
+    for page in rows:
+        p = Plain()
+        p.feed(page)
+        p.close()
+        p.flush()
+        want.append(" ".join(p.blocks))
+    assert html.main_text(rows) == want
