@@ -2,15 +2,29 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from prepspark.functions.columns import col, kinds, num, num_sql, numeric_columns, one_row, real, stack_rows
 from prepspark.functions.stats import corr_sql, distinct_counts
 
+# tasks carry this module's code with them: executors need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: beyond this many columns scores are aggregated as rows
+#: beyond this many columns scores are aggregated as matrices
 WIDE_COLUMNS = 24
+#: columns of one matrix: few enough for the columnar reader and for generated code that the JVM compiles
+BLOCK_COLUMNS = 32
+#: (class, column) cells a task holds before it hands them on
+HELD_CELLS = 1_000_000
 
 
 def _value_sql(name: str, fill: float | None) -> str:
@@ -21,17 +35,84 @@ def _value(name: str, fill: float | None) -> Column:
     return F.expr(_value_sql(name, fill))
 
 
+def _moments(batches: Iterator[pa.RecordBatch], names: list[str], shift: list[float], fill: float | None) -> Iterator[pa.RecordBatch]:
+    """(feature, t, n, m, q): count, mean and squared deviations of the columns after the first, which holds the class.
+
+    Nulls and NaN count as ``fill``, or not at all; ``shift`` is taken off every cell.
+    """
+    held: dict[str, list[np.ndarray]] = {}
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        for t, (n, m, q) in held.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names), pa.array([t] * len(names), pa.string()), pa.array(n), pa.array(m), pa.array(q)], names=["feature", "t", "n", "m", "q"])
+        held.clear()
+
+    with np.errstate(all="ignore"):
+        for batch in batches:
+            groups = batch.column(0).dictionary_encode()
+            codes = groups.indices.to_numpy()
+            order = np.argsort(codes, kind="stable")
+            starts = np.flatnonzero(np.diff(codes[order], prepend=-1))
+            x = np.stack([batch.column(i + 1).cast(pa.float64(), safe=False).to_numpy(zero_copy_only=False) for i in range(len(names))], axis=1)[order]
+            gone = np.isnan(x)
+            x = np.where(gone, 0.0 if fill is None else fill - np.array(shift), x - np.array(shift))
+            ones = np.ones(x.shape) if fill is not None else (~gone).astype(float)
+            ends = [*starts[1:].tolist(), len(order)]
+            for a, b in zip(starts.tolist(), ends, strict=True):
+                n = ones[a:b].sum(axis=0)
+                m = np.where(n > 0, x[a:b].sum(axis=0) / np.maximum(n, 1), 0.0)
+                q = np.where(ones[a:b] > 0, (x[a:b] - m) ** 2, 0.0).sum(axis=0)
+                t = groups.dictionary[int(codes[order[a]])].as_py()
+                if t in held:
+                    n0, m0, q0 = held[t]
+                    total = np.maximum(n0 + n, 1)
+                    n, m, q = n0 + n, m0 + np.where(n > 0, (m - m0) * n / total, 0.0), q0 + q + (m - m0) ** 2 * n0 * n / total
+                held[t] = [n, m, q]
+            # classes without end leave the task's memory
+            if len(held) * len(names) > HELD_CELLS:
+                yield from rows()
+    yield from rows()
+
+
+def _class_moments(df: DataFrame, target: str, cols: list[str], fill: float | None) -> DataFrame:
+    """(feature, n, v, d) per class: count, variance and distance of the mean from the overall one, a block of columns per pass.
+
+    Cells are taken relative to those of some row, so that a far offset costs no digits.
+    """
+    kind = df.schema[target].dataType
+    group = col(target) + F.lit(0.0) if isinstance(kind, (T.FloatType, T.DoubleType)) else col(target)
+    some = df.select(*[_value(c, fill).alias(f"x{i}") for i, c in enumerate(cols)]).first()
+    shift = [v if v is not None and np.isfinite(v) else 0.0 for v in (some or [None] * len(cols))]
+    parts = None
+    for at in range(0, len(cols), BLOCK_COLUMNS):
+        names = cols[at:at + BLOCK_COLUMNS]
+        # plain columns: the code of many expressions in one method is too long to be compiled
+        cells = df.select(group.cast("string").alias("t"), *[
+            (num(c) if isinstance(df.schema[c].dataType, T.DecimalType) else col(c)).alias(f"x{i}") for i, c in enumerate(names)])
+        one = cells.mapInArrow(
+            lambda batches, names=names, at=at: _moments(batches, names, shift[at:at + len(names)], fill), "feature string, t string, n double, m double, q double")
+        parts = one if parts is None else parts.unionByName(one)
+    parts = parts.where("n > 0")
+    by_class, by_feature = Window.partitionBy("feature", "t"), Window.partitionBy("feature")
+    near = parts.withColumn("c", F.sum(F.col("n") * F.col("m")).over(by_class) / F.sum("n").over(by_class))
+    near = near.withColumn("d", F.col("c") - F.sum(F.col("n") * F.col("m")).over(by_feature) / F.sum("n").over(by_feature))
+    apart = F.col("m") - F.col("c")
+    return near.groupBy("feature", "t").agg(
+        F.sum("n").alias("n"), F.max("d").alias("d"), (F.sum(F.col("q") + F.col("n") * apart * apart) / F.sum("n")).alias("v"))
+
+
 def f_classif(df: DataFrame, target: str, cols: list[str] | None = None, fill: float | None = None) -> DataFrame:
     """(feature, score): ANOVA F of every numeric feature against the classes.
 
     Per-class count, mean and population variance come from one grouped
     aggregation; the between and within sums of squares follow from those rows,
-    with deviations taken from the overall mean of a first pass.
+    with deviations taken from the overall mean.
     """
     cols = numeric_columns(df, [target]) if cols is None else cols
     known = df.where(col(target).isNotNull())
-    overall = one_row(known, {c: F.avg(_value(c, fill)) for c in cols})
     if len(cols) <= WIDE_COLUMNS:
+        overall = one_row(known, {c: F.avg(_value(c, fill)) for c in cols})
         aggs = []
         for i, c in enumerate(cols):
             x = _value(c, fill)
@@ -46,10 +127,8 @@ def f_classif(df: DataFrame, target: str, cols: list[str] | None = None, fill: f
         ])
         tidy = per_class.select(F.explode(fields).alias("r")).select("r.*")
     else:
-        # hundreds of aggregates in one row outgrow generated code: one row per cell, combined before the shuffle
-        cells = F.array(*[F.struct(F.lit(c).alias("feature"), (_value(c, fill) - F.lit(overall[c])).alias("x")) for c in cols])
-        tall = known.select(col(target).alias("t"), F.explode(cells).alias("r")).select("t", "r.*")
-        tidy = tall.groupBy("feature", "t").agg(F.count("x").alias("n"), F.avg("x").alias("d"), F.var_pop("x").alias("v"))
+        # hundreds of aggregates in one row outgrow generated code: blocks of columns are matrices inside the tasks
+        tidy = _class_moments(known, target, cols, fill)
     tidy = tidy.where("n > 0")
     first = tidy.groupBy("feature").agg(
         F.sum("n").alias("nn"), F.count("*").alias("k"), F.sum(F.col("n") * F.col("v")).alias("ssw"),
