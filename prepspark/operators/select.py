@@ -60,9 +60,12 @@ def _moments(batches: Iterator[pa.RecordBatch], names: list[str], shift: list[fl
             ones = np.ones(x.shape) if fill is not None else (~gone).astype(float)
             ends = [*starts[1:].tolist(), len(order)]
             for a, b in zip(starts.tolist(), ends, strict=True):
-                n = ones[a:b].sum(axis=0)
-                m = np.where(n > 0, x[a:b].sum(axis=0) / np.maximum(n, 1), 0.0)
-                q = np.where(ones[a:b] > 0, (x[a:b] - m) ** 2, 0.0).sum(axis=0)
+                n, there = ones[a:b].sum(axis=0), ones[a:b] > 0
+                # relative to the first cell: equal cells have no deviation at all
+                base = x[a + there.argmax(axis=0), np.arange(x.shape[1])]
+                off = np.where(there, x[a:b] - base, 0.0)
+                mean = off.sum(axis=0) / np.maximum(n, 1)
+                m, q = base + mean, np.where(there, (off - mean) ** 2, 0.0).sum(axis=0)
                 t = groups.dictionary[int(codes[order[a]])].as_py()
                 if t in held:
                     n0, m0, q0 = held[t]
@@ -95,8 +98,9 @@ def _class_moments(df: DataFrame, target: str, cols: list[str], fill: float | No
         parts = one if parts is None else parts.unionByName(one)
     parts = parts.where("n > 0")
     by_class, by_feature = Window.partitionBy("feature", "t"), Window.partitionBy("feature")
-    near = parts.withColumn("c", F.sum(F.col("n") * F.col("m")).over(by_class) / F.sum("n").over(by_class))
-    near = near.withColumn("d", F.col("c") - F.sum(F.col("n") * F.col("m")).over(by_feature) / F.sum("n").over(by_feature))
+    centre = lambda w: F.min("m").over(w) + F.sum(F.col("n") * (F.col("m") - F.col("lo"))).over(w) / F.sum("n").over(w)
+    near = parts.withColumn("lo", F.min("m").over(by_class)).withColumn("c", centre(by_class))
+    near = near.withColumn("lo", F.min("m").over(by_feature)).withColumn("d", F.col("c") - centre(by_feature))
     apart = F.col("m") - F.col("c")
     return near.groupBy("feature", "t").agg(
         F.sum("n").alias("n"), F.max("d").alias("d"), (F.sum(F.col("q") + F.col("n") * apart * apart) / F.sum("n")).alias("v"))
