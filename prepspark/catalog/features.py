@@ -156,8 +156,8 @@ SELECT doc_id, round(coalesce(p, 0), 6) + 0.0 AS text_sentiment, round(coalesce(
 def text_sentiment(spark, d):
     """The lexicon comes from the labelled documents: mean label of the documents holding a word."""
     docs = spread(load(spark, d, "documents").select("doc_id", "text"))
-    words = docs.select("doc_id", F.explode(F.array_distinct(text.word_tokens("text"))).alias("word"))
-    lexicon = words.join(load(spark, d, "labels"), "doc_id").groupBy("word").agg(
+    labelled = docs.join(load(spark, d, "labels"), "doc_id")
+    lexicon = labelled.select("quality", "toxic", F.explode(F.array_distinct(text.word_tokens("text"))).alias("word")).groupBy("word").agg(
         F.avg(2 * F.col("quality") - 1).alias("polarity"), F.avg("toxic").alias("subjectivity"),
     )
     return round_doubles(text.text_sentiment(docs, "text", "doc_id", lexicon, negations=(), strengths={}).drop("text"))
@@ -179,8 +179,8 @@ SELECT doc_id, round(coalesce(p, 0), 6) + 0.0 AS text_sentiment, round(coalesce(
 def text_sentiment_carried(spark, d):
     """Frequent words of the invented texts stand in for negations and strength words."""
     docs = spread(load(spark, d, "documents").select("doc_id", "text"))
-    words = docs.select("doc_id", F.explode(F.array_distinct(text.word_tokens("text"))).alias("word"))
-    lexicon = words.join(load(spark, d, "labels"), "doc_id").groupBy("word").agg(
+    labelled = docs.join(load(spark, d, "labels"), "doc_id")
+    lexicon = labelled.select("quality", "toxic", F.explode(F.array_distinct(text.word_tokens("text"))).alias("word")).groupBy("word").agg(
         F.avg(2 * F.col("quality") - 1).alias("polarity"), F.avg("toxic").alias("subjectivity"),
     )
     return round_doubles(text.text_sentiment(docs, "text", "doc_id", lexicon, negations=_TURNING, strengths=_STRONG).drop("text"))

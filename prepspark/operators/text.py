@@ -31,6 +31,8 @@ TURNED = -0.5
 VOCAB_SIZE = 1_000
 #: lexicon words that become one literal table
 MAP_WORDS = 20_000
+#: lexicon words, in times of the broadcast bound, that are broadcast as a table of short rows
+JOINED_WORDS = 5
 _SLOTS = 64
 
 
@@ -202,7 +204,8 @@ def text_sentiment(
     Negations and strength words act on the word after them (``carried_words``); without either, all words count as they are.
 
     ``lexicon(word, polarity, subjectivity)`` is the user's; ``key`` is unique. A small lexicon (its rows and bytes are
-    counted) becomes a map that each row looks its words up in: no shuffle at all. A large one meets words counted per
+    counted) becomes a map that each row looks its words up in: no shuffle at all. A larger one, up to ``JOINED_WORDS`` times
+    ``broadcast_rows``, is broadcast to the words where they lie, and one sum per task and row is shuffled. Beyond, it meets words counted per
     row, every frequent word spread over salted copies; only keys and scores travel, and the texts stay where they are
     if the scores are few enough to be broadcast.
     """
@@ -217,10 +220,13 @@ def text_sentiment(
         return _mapped_sentiment(df, name, pairs, names, carried_words(name, negations, strengths)) if pairs else df.withColumns({n: F.lit(0.0) for n in names})
     words = df.select(col(key).alias("__k"), F.explode(carried_words(name, negations, strengths)).alias("x")).select(
         "__k", F.col("x.w").alias("word"), F.col("x.fp").alias("fp"), F.col("x.fs").alias("fs"))
-    salts = 32
-    salted = lex.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    counted = words.groupBy("__k", "word", "fp", "fs").agg(F.count("*").alias("c"))
-    hits = counted.withColumn("salt", F.pmod(F.xxhash64("__k"), F.lit(salts)).cast("int")).join(salted, ["word", "salt"])
+    if size["n"] <= JOINED_WORDS * broadcast_rows and size["b"] <= BROADCAST_BYTES:
+        hits = words.withColumn("c", F.lit(1)).join(F.broadcast(lex), "word")
+    else:
+        salts = 32
+        salted = lex.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        counted = words.groupBy("__k", "word", "fp", "fs").agg(F.count("*").alias("c"))
+        hits = counted.withColumn("salt", F.pmod(F.xxhash64("__k"), F.lit(salts)).cast("int")).join(salted, ["word", "salt"])
     scores = hits.groupBy("__k").agg(
         (F.sum(_scaled(F.col("p"), F.col("fp"), -1.0) * F.col("c")) / F.sum("c")).alias("__p"),
         (F.sum(_scaled(F.col("s"), F.col("fs"), 0.0) * F.col("c")) / F.sum("c")).alias("__s"),

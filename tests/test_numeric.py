@@ -71,6 +71,18 @@ def test_negation_and_strength_reach_the_next_word(spark, rows):
     assert got[None] == (0, 0)
 
 
+def test_a_middling_lexicon_moves_no_words(spark, monkeypatch):
+    """Up to the bound the words stay where they are: the only exchange of the scores is by key."""
+    lexicon = spark.createDataFrame([("good", 0.7, 0.6), ("bad", -0.7, 0.7), ("great", 0.9, 0.8)], "word string, polarity double, subjectivity double")
+    df = spark.createDataFrame([(1, "good not bad bad"), (2, None), (3, "great great tree")], "k int, t string")
+    monkeypatch.setattr(text, "MAP_WORDS", 1)
+    out = text.text_sentiment(df, "t", "k", lexicon, broadcast_rows=1)
+    assert "word" not in " ".join(x for x in out._jdf.queryExecution().sparkPlan().toString().splitlines() if "SortMergeJoin" in x or "hashpartitioning" in x)
+    assert "xxhash64" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.k: (round(r.t_sentiment, 9), round(r.t_subjectivity, 9)) for r in out.collect()}
+    assert got == {1: (round((0.7 + 0.35 - 0.7) / 3, 9), round(2 / 3, 9)), 2: (0, 0), 3: (0.9, 0.8)}
+
+
 @pytest.mark.parametrize("rows", [None, 3])
 def test_sparse_vectors_equal_dense_ones(spark, rows):
     data = [(k, float(k * 7 % 13), k % 3 == 0 if k % 5 else None, f"v{k % 11}" if k % 4 else None, "one") for k in range(60)]
