@@ -85,33 +85,40 @@ def _nearest(queries: np.ndarray, points: np.ndarray, weights: np.ndarray, k: in
         d2 = ((q[:, None, :] - points[None, :, :]) ** 2).sum(axis=2)
         take = min(k + 1, len(points))
         kth = np.partition(d2, take - 1, axis=1)[:, take - 1] if take else np.zeros(len(q))
-        for i in range(len(q)):
-            # everything up to the k-th distance, ties included, so that ties are broken by vector
-            near = np.flatnonzero(d2[i] <= kth[i])
-            near = near[np.argsort(d2[i][near], kind="stable")]
-            found, have = [], 0
-            for j in near:
-                w = int(weights[j])
-                if same_leaf and d2[i, j] == 0.0 and np.array_equal(q[i], points[j]):
-                    w -= 1
-                if w > 0 and have < k:
-                    found.append({"dist": float(d2[i, j]), "vec": points[j].tolist(), "n": w})
-                    have += w
-            out.append(found)
+        # everything up to the k-th distance, ties included, so that ties are broken by vector
+        row, at = np.nonzero(d2 <= kth[:, None])
+        dist, n = d2[row, at], weights[at].astype(np.int64)
+        if same_leaf:
+            n = n - ((dist == 0.0) & (q[row] == points[at]).all(axis=1))
+        order = np.lexsort((at, dist, row))
+        order = order[n[order] > 0]
+        row, at, dist, n = row[order], at[order], dist[order], n[order]
+        first = np.searchsorted(row, np.arange(len(q) + 1))
+        before = np.concatenate(([0], np.cumsum(n)))
+        kept = before[:-1] - before[first[row]] < k
+        cells = [{"dist": a, "vec": b, "n": c} for a, b, c in zip(dist[kept].tolist(), points[at[kept]].tolist(), n[kept].tolist(), strict=True)]
+        ends = np.searchsorted(row[kept], np.arange(len(q) + 1)).tolist()
+        out += [cells[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
     return out
 
 
-def nearest_vectors(points: DataFrame, k: int = 5, leaf_points: int | None = None, part_points: int | None = None) -> DataFrame:
+def nearest_vectors(
+    points: DataFrame, k: int = 5, leaf_points: int | None = None, part_points: int | None = None, wanted: DataFrame | None = None,
+) -> DataFrame:
     """(g, vec, n, neighbours): for each distinct vector its k nearest rows' vectors in the same group.
 
     ``points(g, vec array<double>)`` has a row per point, ``g`` of any type that can be grouped; rows without a group are
     left out. A vector is listed once per row that holds it. A point is not its own neighbour; its duplicates are. Every
     group has its own tree, as deep as its size asks for. Trees and leaf boxes are tables: a task reads those of one group
-    beside at most ``part_points`` of its points, and none reach the driver.
+    beside at most ``part_points`` of its points, and none reach the driver. With ``wanted(g, vec)``, vectors among the points,
+    only these are searched for (and listed), among all points.
     """
     leaf_points, part_points = leaf_points or LEAF_POINTS, part_points or PART_POINTS
     g_type = points.schema["g"].dataType.simpleString()
-    distinct = materialize(points.where("g IS NOT NULL").groupBy("g", "vec").agg(F.count("*").alias("n")), "vectors")
+    marked = points.where("g IS NOT NULL").select("g", "vec", F.lit(1).cast("bigint").alias("n"), F.lit(wanted is None).alias("asked"))
+    if wanted is not None:
+        marked = marked.unionByName(wanted.where("g IS NOT NULL").select("g", "vec", F.lit(0).cast("bigint").alias("n"), F.lit(True).alias("asked")))
+    distinct = materialize(marked.groupBy("g", "vec").agg(F.sum("n").alias("n"), F.bool_or("asked").alias("asked")), "vectors")
     # only groups beyond one leaf need a tree; they are handled in parts
     sizes = distinct.groupBy("g").agg(F.count("*").alias("m")).where(F.col("m") > leaf_points)
     sizes = materialize(sizes.withColumn("parts", F.ceil(F.col("m") / part_points).cast("int")), "vector-groups")
@@ -126,7 +133,10 @@ def nearest_vectors(points: DataFrame, k: int = 5, leaf_points: int | None = Non
 
     def own_leaf(pdf: pd.DataFrame) -> pd.DataFrame:
         x, w = _matrix(pdf["vec"]), pdf["n"].to_numpy()
-        found = _nearest(x, x, w, k, True)
+        asked = pdf["asked"].to_numpy(dtype=bool)
+        if not asked.any():
+            return pd.DataFrame()
+        found, pdf = _nearest(x[asked], x, w, k, True), pdf[asked].drop(columns="asked")
         radius = [f[-1]["dist"] if sum(c["n"] for c in f) >= k else np.inf for f in found]
         return pdf.assign(found=found, radius=radius)
 
@@ -165,10 +175,11 @@ def _tag(points: DataFrame, trees: DataFrame, g_type: str) -> DataFrame:
     """Points of large groups with their leaf; leaf 0 where a group has no tree."""
     def tag(held: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
         leaf = _leaf(tree["dim"].iloc[0], tree["cut"].iloc[0], _matrix(held["vec"])) if len(tree) else 0
-        return held[["g", "vec", "n"]].assign(leaf=leaf, parts=held["parts"])
+        return held[["g", "vec", "n", "asked"]].assign(leaf=leaf, parts=held["parts"])
 
     points = points.withColumn("part", F.expr("cast(pmod(xxhash64(vec), parts) AS int)"))
-    return points.groupBy("g", "part").cogroup(trees.groupBy("g", "part")).applyInPandas(tag, f"g {g_type}, vec array<double>, n bigint, leaf bigint, parts int")
+    return points.groupBy("g", "part").cogroup(trees.groupBy("g", "part")).applyInPandas(
+        tag, f"g {g_type}, vec array<double>, n bigint, asked boolean, leaf bigint, parts int")
 
 
 def _box(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -191,7 +202,7 @@ def _reach(near: pd.DataFrame, boxes: pd.DataFrame) -> pd.DataFrame:
                 apart = np.maximum(0, np.maximum(los[some] - at, at - his[some]))
                 i, j = np.nonzero((apart**2).sum(axis=2) <= radius[s:s + step, None])
                 out.append(pd.DataFrame({"g": pdf["g"].iloc[0], "vec": pdf["vec"].to_numpy()[s + i], "leaf": leaves[some[j]]}))
-    return pd.concat(out) if out else pd.DataFrame({"g": [], "vec": [], "leaf": []})
+    return pd.concat(out) if out else pd.DataFrame()
 
 
 def _visit(asked: DataFrame, tagged: DataFrame, k: int, g_type: str) -> DataFrame:
@@ -203,7 +214,7 @@ def _visit(asked: DataFrame, tagged: DataFrame, k: int, g_type: str) -> DataFram
 
     def visit(queries: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(held):
-            return pd.DataFrame({"g": [], "vec": [], "found": []})
+            return pd.DataFrame()
         got = _nearest(_matrix(queries["vec"]), _matrix(held["vec"]), held["n"].to_numpy(), k, False)
         return pd.DataFrame({"g": queries["g"], "vec": queries["vec"], "found": got})
 

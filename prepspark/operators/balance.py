@@ -12,6 +12,7 @@ from prepspark.functions.lookups import lookup_join
 from prepspark.functions.neighbors import nearest_vectors
 from prepspark.functions.ranks import below_cuts, group_sizes, group_text, hash_cuts, key_hash, rank_in_group, size_table
 from prepspark.operators.profile import collect_profile, pick_target
+from prepspark.session import materialize
 
 #: hex digits turned into a draw: 13 digits are exact in a double
 _DIGITS = 13
@@ -117,10 +118,13 @@ def smote(df: DataFrame, target: str, keys: list[str], k: int = 5, seed: int = 4
     ranked = rank_in_group(part, key_hash(keys or df.columns, seed), target, "__rank").select(
         group_text(target).alias("__g"), col(target).alias("__t"), "__rank", vec.alias("__vec"),
     )
-    near = nearest_vectors(part.select(group_text(target).alias("g"), vec.alias("vec")), k, leaf_points)
+    # only drawn rows need neighbours
+    base = materialize(ranked.join(_draws(classes, seed), ["__g", "__rank"]), "drawn")
+    wanted = base.select(F.col("__g").alias("g"), F.col("__vec").alias("vec"))
+    near = nearest_vectors(part.select(group_text(target).alias("g"), vec.alias("vec")), k, leaf_points, wanted=wanted)
     text_key = lambda g, v: F.md5(F.concat(g, F.lit("\x01"), F.array_join(F.transform(v, lambda x: x.cast("string")), ",")))
     table = near.select(text_key(F.col("g"), F.col("vec")).alias("__key"), "n", "neighbours")
-    base = ranked.join(_draws(classes, seed), ["__g", "__rank"]).withColumn("__vkey", text_key(F.col("__g"), F.col("__vec")))
+    base = base.withColumn("__vkey", text_key(F.col("__g"), F.col("__vec")))
     joined = lookup_join(base, table, F.col("__vkey"))
     j = F.col("__j").cast("string")
     pick = F.pmod(_draw_number(F.col("__g"), j, F.lit(f"{seed}n")), F.lit(k))

@@ -143,6 +143,31 @@ def test_neighbours_match_brute_force(spark, leaf, part):
             assert np.allclose(want, have)
 
 
+def test_only_wanted_vectors_are_searched(spark):
+    pts = spark.range(900).select((F.col("id") % 2).alias("g"), F.array((F.col("id") * 37 % 101).cast("double"), F.col("id").cast("double")).alias("vec"))
+    wanted = pts.where("vec[1] % 50 = 0")
+    for leaf in (40, 1000):
+        every = {(r["g"], tuple(r["vec"])): (r["n"], r["neighbours"]) for r in neighbors.nearest_vectors(pts, 3, leaf).collect()}
+        got = {(r["g"], tuple(r["vec"])): (r["n"], r["neighbours"]) for r in neighbors.nearest_vectors(pts, 3, leaf, wanted=wanted).collect()}
+        assert len(got) == 18 and all(every[k] == v for k, v in got.items())
+
+
+def test_wide_scores_read_plain_columns(spark, monkeypatch):
+    """Blocks of columns with gaps, a far offset and classes that outgrow a task's memory equal one grouped aggregation."""
+    df = spark.range(600).select((F.col("id") % 5).cast("double").alias("y"), *[
+        F.when(F.col("id") % (i + 3) != 0, 1e6 * (i % 3) + F.col("id") * (i + 7) % 53 + (F.col("id") % 5) * i / 5).alias(f"x{i}") for i in range(39)],
+        ((F.col("id") % 5) / 7 + 1e5).alias("x39"))
+    cols = [f"x{i}" for i in range(40)]
+    monkeypatch.setattr(select, "HELD_CELLS", 50)
+    for fill in (None, 0.0):
+        parts = select._class_moments(df, "y", cols, fill)
+        wide = {r["feature"]: r["score"] for r in select.f_classif(df, "y", cols, fill).collect()}
+        assert {r["t"] for r in parts.collect()} == {"0.0", "1.0", "2.0", "3.0", "4.0"}
+        narrow = {r["feature"]: r["score"] for c in range(0, 40, 20) for r in select.f_classif(df, "y", cols[c:c + 20], fill).collect()}
+        # the last column is constant in every class: no score, whatever the rounding
+        assert wide.keys() == narrow.keys() and wide.pop("x39") is narrow["x39"] is None and all(np.isclose(wide[c], narrow[c]) for c in wide)
+
+
 def test_smote_points_lie_between_class_neighbours(spark):
     df = spark.range(300).select(
         "id", (F.col("id") % 6 == 0).cast("int").alias("y"), (F.col("id") * 37 % 101).cast("double").alias("a"), (F.col("id") * 17 % 89).alias("b"),
