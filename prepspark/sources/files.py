@@ -22,7 +22,7 @@ def infer_csv_schema(spark: SparkSession, path: str, share: float = 1.0, encodin
 
 
 def scan_csv(
-    spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None, encoding: str = "UTF-8", null_value: str = "",
+    spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None, encoding: str | None = "UTF-8", null_value: str = "",
     keep_corrupt: bool = False, multi_line: bool = True, parts: bool | None = None,
 ) -> DataFrame:
     """Header CSV. With a schema the file is read once; without one the types are inferred first.
@@ -30,17 +30,20 @@ def scan_csv(
     A row that does not fit the schema ends the read, unless ``keep_corrupt`` asks for its text in
     ``_corrupt_record`` (null in good rows). Line breaks inside quotes belong to the cell. Files larger than a split are read in
     parts by ``quoted.scan_quoted``, which needs quotes that balance; smaller ones by one task each. ``parts`` forces either way,
-    the rows are the same. A caller who knows that no cell holds a line break may set ``multi_line=False``.
+    the rows are the same. A caller who knows that no cell holds a line break may set ``multi_line=False``. In parts, ``encoding=None``
+    finds the encoding of each file.
     """
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
     if schema is not None and keep_corrupt:
         schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    ascii_bytes = not encoding.upper().replace("-", "").startswith(("UTF16", "UTF32"))
-    if multi_line and ascii_bytes and (parts or (parts is None and _beyond_split(spark, path))):
+    ascii_bytes = encoding is None or not encoding.upper().replace("-", "").startswith(("UTF16", "UTF32"))
+    if ascii_bytes and _in_parts(spark, path, parts, multi_line):
         options = {"nullValue": null_value, "escape": '"', "multiLine": "true", "timestampNTZFormat": TIMESTAMP_FORMAT}
         options |= {"columnNameOfCorruptRecord": CORRUPT, "mode": "PERMISSIVE"} if keep_corrupt or schema is None else {"mode": "FAILFAST"}
         return quoted.scan_quoted(spark, path, schema, options, encoding)
+    if encoding is None:
+        raise ValueError("without parts a read needs an encoding")
     reader = spark.read.options(
         header=True, encoding=encoding, nullValue=null_value, multiLine=multi_line, escape='"', timestampNTZFormat=TIMESTAMP_FORMAT,
     )
@@ -52,6 +55,10 @@ def scan_csv(
     return reader.option("mode", "FAILFAST").option("enforceSchema", True).schema(schema).csv(path)
 
 
+def _in_parts(spark: SparkSession, path: str | list[str], parts: bool | None = None, multi_line: bool = True) -> bool:
+    return multi_line and bool(parts or (parts is None and _beyond_split(spark, path)))
+
+
 def _beyond_split(spark: SparkSession, path: str | list[str]) -> bool:
     """Whether some file is larger than a split; reads file sizes only."""
     largest = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0] or 0
@@ -68,8 +75,11 @@ def file_encodings(spark: SparkSession, path: str) -> DataFrame:
 def scan_csv_encoding(spark: SparkSession, path: str, schema: T.StructType | str | None = None, **options) -> DataFrame:
     """As ``scan_csv``, each file in the encoding found from its own bytes; the files of either encoding are read together.
 
-    Paths are listed on the driver, as Spark's own file listing does.
+    With a schema, files that are read in parts are all read by one scan; its count of quotes tells the encodings too. Else paths are
+    listed on the driver, as Spark's own file listing does.
     """
+    if schema is not None and _in_parts(spark, path, options.get("parts"), options.get("multi_line", True)):
+        return scan_csv(spark, path, schema, None, **{**options, "parts": True})
     files: dict[str, list[str]] = {}
     for r in file_encodings(spark, path).toLocalIterator():
         files.setdefault(r["encoding"], []).append(r["file"])

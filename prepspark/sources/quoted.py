@@ -1,46 +1,60 @@
 """Quoted CSV files read in parts, whatever line breaks their cells hold.
 
-A file is scanned line by line in byte-range splits. The first scan only counts quotes: it tells for every split whether the number
-of quotes in it is odd, and so, summed along a file, whether a split starts inside a quoted cell. The second scan cuts each
-split into records from its true row start; the pieces of a record that crosses split borders are put together by a
-small shuffle. Records become rows by the built-in CSV expression. A file of any size is read by as many tasks as it has splits.
+A file is scanned line by line in byte-range splits. The first scan only counts quotes, in one aggregation: it tells for every split
+whether the number of quotes in it is odd, and so, summed along a file, whether a split starts inside a quoted cell. The second scan
+cuts each split into records from its true row start, a batch of lines at once; the pieces of a record that crosses split borders come
+from a scan that returns nothing else and are put together by a small shuffle. Records become rows by the built-in CSV
+expression. A file of any size is read by as many tasks as it has splits.
 
 Quotes must balance, as in files where a quote inside a cell is doubled; a file where they do not is an error.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_SCAN = "file string, start bigint, odd boolean, closes boolean"
-_PIECE = "file string, owner bigint, start bigint, first boolean, whole boolean, record binary"
+_RECORD = "file string, utf8 boolean, first boolean, record binary"
+_PIECE = "file string, owner bigint, start bigint, utf8 boolean, first boolean, record binary"
 
 
 def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, start, line): raw lines with the file and first byte of the split they begin in; rows of a split come in order.
+    """(file, start, split, line): raw lines with the file and first byte of the split they begin in, and a hash of both; rows of a
+    split come in order.
 
     Only a line feed ends a line, so a carriage return inside a cell stays.
     """
     text = spark.read.text(path, lineSep="\n")
-    return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("line"))
+    split = F.xxhash64("_metadata.file_path", "_metadata.file_block_start")
+    return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), split.alias("split"), F.col("value").alias("line"))
 
 
-def _runs(batch: pa.RecordBatch) -> Iterator[tuple[str, int, pa.Array]]:
-    """(file, start, lines) of the splits a batch holds, in order."""
-    starts = batch.column(1).to_numpy()
-    files = batch.column(0)
-    same = np.asarray(pc.equal(files.slice(1), files.slice(0, max(len(files) - 1, 0))), dtype=bool) if len(files) > 1 else np.zeros(0, bool)
-    cuts = [0, *(np.flatnonzero(~(same & (starts[1:] == starts[:-1]))) + 1).tolist(), len(starts)]
+def valid_utf8() -> Column:
+    """Whether all lines of a group are valid UTF-8."""
+    return F.bool_and(F.is_valid_utf8("line"))
+
+
+def _quotes(source: DataFrame, find_encoding: bool) -> DataFrame:
+    """One row per split: whether its quotes are odd in number, whether a record that was open at its start ends in it, which a line
+    with an odd number of quotes does, and, if asked for, whether it is valid UTF-8."""
+    odd = F.expr("""(octet_length(line) - octet_length(replace(line, '"', ''))) % 2""")
+    utf8 = valid_utf8() if find_encoding else F.lit(True)
+    return source.groupBy("file", "start", "split").agg((F.sum(odd) % 2 == 1).alias("odd"), (F.max(odd) == 1).alias("closes"), utf8.alias("utf8"))
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.Array]]:
+    """(split, lines) of the splits a batch holds, in order."""
+    splits = batch.column(0).to_numpy()
+    cuts = [0, *(np.flatnonzero(splits[1:] != splits[:-1]) + 1).tolist(), len(splits)]
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         if b > a:
-            yield files[a].as_py(), int(starts[a]), batch.column(2).slice(a, b - a)
+            yield int(splits[a]), batch.column(1).slice(a, b - a)
 
 
 def _parity(column: pa.Array) -> np.ndarray:
@@ -48,25 +62,9 @@ def _parity(column: pa.Array) -> np.ndarray:
     return np.cumsum(np.asarray(pc.count_substring(column, b'"'))) & 1
 
 
-def _quotes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per split: whether its quotes are odd in number, and whether a record that was open at its start ends in it."""
-    now, odd, closes = None, 0, False
-
-    def row() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array([now[0]]), pa.array([now[1]], pa.int64()), pa.array([bool(odd)]), pa.array([closes])], names=["file", "start", "odd", "closes"])
-
-    for batch in batches:
-        for file, start, column in _runs(batch):
-            if (file, start) != now:
-                if now is not None:
-                    yield row()
-                now, odd, closes = (file, start), 0, False
-            p = _parity(column) ^ odd
-            closes |= bool(p.any())
-            odd = int(p[-1])
-    if now is not None:
-        yield row()
+def _joined(column: pa.Array, ends: np.ndarray) -> pa.Array:
+    """Lines joined by line feeds; ``ends`` holds the number of lines up to the end of each text."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), column), b"\n")
 
 
 def split_states(found: list[tuple[str, int, bool, bool]]) -> dict[tuple[str, int], int | None]:
@@ -93,81 +91,106 @@ def split_states(found: list[tuple[str, int, bool, bool]]) -> dict[tuple[str, in
     return out
 
 
-def records(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, first, record): the text of every record as bytes, without its end of line; ``first`` marks the first one of a file.
-
-    What reaches the driver is a row per split, as many as the splits that the driver lists anyway. Both scans must cut files
-    alike; if the settings that decide it change in between, the second one ends with an error.
-    """
-    source = lines(spark, path)
-    states = split_states([(r["file"], r["start"], r["odd"], r["closes"]) for r in source.mapInArrow(_quotes, _SCAN).toLocalIterator()])
-    shared = spark.sparkContext.broadcast(states)
+def _cut(states: Callable[[], dict], whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The cut of splits into records. ``whole`` returns the records that lie in one split, else only the pieces of the others."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        states = shared.value
-        now, odd, opened, fresh, held = None, 0, None, False, []
-
-        def piece(whole: bool) -> pa.RecordBatch:
-            """What is held as one record, or as part of the one that began in split ``opened``."""
+        known = states()
+        now, held, inside = None, [], False
+        file, start, utf8, opened, fresh = None, 0, True, None, False
+
+        def made(texts: pa.Array) -> pa.RecordBatch:
+            nonlocal fresh
+            n, one, fresh = len(texts), fresh, False
+            firsts = np.zeros(n, bool)
+            firsts[0] = one
+            flags = {"utf8": pa.repeat(utf8, n), "first": pa.array(firsts), "record": texts}
+            if whole:
+                return pa.RecordBatch.from_pydict({"file": pa.array([file if one else None] + [None] * (n - 1), pa.string()), **flags})
+            return pa.RecordBatch.from_pydict({"file": pa.repeat(file, n), "owner": pa.array([opened] * n, pa.int64()), "start": pa.array([start] * n, pa.int64()), **flags})
+
+        def rest() -> Iterator[pa.RecordBatch]:
+            """What is held as one text: a whole record, or a piece of the one that began in split ``opened``."""
             nonlocal held, fresh
-            text, held = b"\n".join(held), []
-            one, fresh = fresh, False
-            return made(opened, [text], one, whole)
-
-        def made(owner: int, texts: list[bytes] | pa.Array, one: bool, whole: bool) -> pa.RecordBatch:
-            n = len(texts)
-            return pa.RecordBatch.from_arrays([
-                pa.array([now[0]] * n), pa.array([owner] * n, pa.int64()), pa.array([now[1]] * n, pa.int64()),
-                pa.array([one and k == 0 for k in range(n)]), pa.array([whole] * n), texts if isinstance(texts, pa.Array) else pa.array(texts, pa.binary())],
-                names=["file", "owner", "start", "first", "whole", "record"])
+            column, held = pa.concat_arrays(held) if held else None, []
+            if column is not None:
+                yield made(_joined(column, np.array([len(column)])))
+            fresh = False
 
         for batch in batches:
-            for file, start, column in _runs(batch):
-                if (file, start) != now:
-                    if now is not None and held:
-                        yield piece(False)
-                    now = (file, start)
-                    if now not in states:
-                        raise RuntimeError(f"the splits of {file} changed between two scans")
+            for split, column in _runs(batch):
+                if split != now:
+                    if inside and not whole:
+                        yield from rest()
+                    if split not in known:
+                        raise RuntimeError("the splits of a file changed between two scans")
                     # In a split that starts inside a cell, the lines up to the end of that record belong to its owner.
-                    opened, odd, fresh = states[now], int(states[now] is not None), start == 0
-                p = _parity(column) ^ odd
-                before = np.concatenate(([odd], p[:-1]))
-                plain = (p == 0) & (before == 0)
-                k, n = 0, len(p)
-                breaks = np.flatnonzero(~plain)
-                while k < n:
-                    if plain[k]:
-                        at = int(np.searchsorted(breaks, k))
-                        stop = int(breaks[at]) if at < len(breaks) else n
-                        one, fresh = fresh, False
-                        yield made(start, column.slice(k, stop - k), one, True)
-                        k = stop
-                    else:
-                        if before[k] == 0:
-                            opened = start
-                        held.append(column[k].as_py())
-                        if p[k] == 0:
-                            yield piece(opened == start)
-                        k += 1
-                odd = int(p[-1])
-        if now is not None and held:
-            yield piece(False)
-
-    pieces = source.mapInArrow(cut, _PIECE)
-    whole = pieces.where("whole").select("file", "first", "record")
-    if all(owner is None for owner in states.values()):
+                    now, held = split, []
+                    file, start, opened, utf8 = known[split]
+                    inside, fresh = opened is not None, start == 0
+                p = _parity(column) ^ int(inside)
+                ends, at = np.flatnonzero(p == 0) + 1, 0  # a record ends with every line after which no quote is open
+                if inside:
+                    at = int(ends[0]) if len(ends) else len(column)
+                    if not whole or opened == start:
+                        held.append(column.slice(0, at))
+                    if len(ends):
+                        if whole == (opened == start):
+                            yield from rest()
+                        held, fresh, ends = [], False, ends[1:]
+                if len(ends):
+                    if whole:
+                        yield made(_joined(column.slice(at, int(ends[-1]) - at), ends - at))
+                    fresh, at = False, int(ends[-1])
+                inside = bool(p[-1])
+                if at < len(column):
+                    held, opened = [column.slice(at)], start
+        if inside and not whole:
+            yield from rest()
+
+    return cut
+
+
+def records(spark: SparkSession, path: str | list[str], find_encoding: bool = False) -> DataFrame:
+    """(file, utf8, first, record): the text of every record as bytes, without its end of line; ``first`` marks the first one of a file,
+    which alone carries the name of the file. ``utf8`` tells, if asked for, whether all lines of its file are valid UTF-8.
+
+    What reaches the driver is a row per split, as many as the splits that the driver lists anyway. All scans must cut files
+    alike; if the settings that decide it change in between, the later one ends with an error.
+    """
+    source = lines(spark, path)
+    found = _quotes(source, find_encoding).collect()
+    owners = split_states([(r["file"], r["start"], r["odd"], r["closes"]) for r in found])
+    other = {r["file"] for r in found if not r["utf8"]}
+    states = {r["split"]: (r["file"], r["start"], owners[r["file"], r["start"]], r["file"] not in other) for r in found}
+    if len(states) < len(found):
+        raise RuntimeError("two splits share a hash")
+    shared = spark.sparkContext.broadcast(states)
+
+    source = source.select("split", F.col("line").cast("binary").alias("line"))
+    whole = source.mapInArrow(_cut(lambda: shared.value, True), _RECORD)
+    if all(owner is None for owner in owners.values()):
         return whole
     # Pieces meet by the record they are parts of: no more of them than splits.
-    parts = pieces.where("NOT whole").groupBy("file", "owner").agg(
-        F.bool_or("first").alias("first"), F.array_sort(F.collect_list(F.struct("start", "record"))).alias("parts"))
+    pieces = source.mapInArrow(_cut(lambda: shared.value, False), _PIECE)
+    parts = pieces.groupBy("file", "owner").agg(
+        F.bool_and("utf8").alias("utf8"), F.bool_or("first").alias("first"), F.array_sort(F.collect_list(F.struct("start", "record"))).alias("parts"))
     joined = F.expr("aggregate(slice(parts, 2, greatest(size(parts) - 1, 0)), parts[0].record, (a, x) -> concat(a, X'0A', x.record))")
-    return whole.unionByName(parts.select("file", "first", joined.alias("record")))
+    return whole.unionByName(parts.select("file", "utf8", "first", joined.alias("record")))
+
+
+def _text(encoding: str | None) -> str:
+    """A record as a string; without an encoding in the one found for its file."""
+    text = "CAST(record AS STRING)"
+    if encoding is None:
+        text = f"IF(utf8, {text}, decode(record, 'ISO-8859-1'))"
+    elif encoding.upper().replace("-", "") != "UTF8":
+        text = f"decode(record, '{encoding}')"
+    return _chomped(text)
 
 
-def _text(encoding: str) -> str:
-    text = "CAST(record AS STRING)" if encoding.upper().replace("-", "") == "UTF8" else f"decode(record, '{encoding}')"
-    return f"regexp_replace({text}, '\\\\r$', '')"
+def _chomped(text: str) -> str:
+    return f"IF(endswith({text}, '\\r'), regexp_replace({text}, '\\\\r$', ''), {text})"
 
 
 def infer(rows: DataFrame, names: list[str], options: dict[str, str]) -> T.StructType:
@@ -186,22 +209,23 @@ def infer(rows: DataFrame, names: list[str], options: dict[str, str]) -> T.Struc
 
 
 def scan_quoted(
-    spark: SparkSession, path: str | list[str], schema: T.StructType | None, options: dict[str, str], encoding: str = "UTF-8",
+    spark: SparkSession, path: str | list[str], schema: T.StructType | None, options: dict[str, str], encoding: str | None = "UTF-8",
 ) -> DataFrame:
     """Rows of header CSV files with line breaks in quotes, each file read in parts. ``options`` are those of the CSV expression.
 
     Without a schema the names are those of the first header and the types are inferred from all records. Blank records are skipped. The encoding
-    must keep ASCII bytes as they are (UTF-8, ISO-8859-1 and the like).
+    must keep ASCII bytes as they are (UTF-8, ISO-8859-1 and the like); with None each file is read as UTF-8 if all of it is valid,
+    else as ISO-8859-1.
     """
-    found = records(spark, path)
-    rows = found.select("first", F.expr(_text(encoding)).alias("record"))
+    found = records(spark, path, encoding is None)
+    # Blank records are told by their bytes, so that no other record is decoded for it.
+    rows = found.where(f"NOT first AND trim({_chomped('CAST(record AS STRING)')}) <> ''").select(F.expr(_text(encoding)).alias("record"))
     if schema is None:
         head = found.where("first").orderBy("file").limit(1).select(F.expr(_text(encoding)).alias("record")).first()
         if head is None:
             return spark.createDataFrame([], T.StructType())
         names = [c or f"_c{i}" for i, c in enumerate(_header(spark, head["record"]))]
-        schema = infer(rows.where("NOT first AND trim(record) <> ''"), names, options)
-    rows = rows.where("NOT first AND trim(record) <> ''")
+        schema = infer(rows, names, options)
     return rows.select(F.from_csv("record", _ddl(schema), options).alias("r")).select("r.*")
 
 

@@ -5,6 +5,7 @@ import json
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,6 +64,47 @@ def test_parts_in_latin_1(spark, tmp_path, small_splits):
     assert sorted((r.id, r.t) for r in got) == [(k, f"ä\n{k}ß") for k in range(100)]
 
 
+def test_parts_of_both_encodings_in_few_jobs(spark, tmp_path, small_splits):
+    """The number of jobs does not follow that of splits, and either encoding is read by the same scan."""
+    want = [(k, f"ä,\n\n{k}\"" + "ß\n" * (700 if k == 5 else 3)) for k in range(60)]
+    for name, encoding in (("l.csv", "latin-1"), ("u.csv", "utf-8")):
+        with open(tmp_path / name, "w", newline="", encoding=encoding) as f:
+            csv.writer(f, lineterminator="\n").writerows([("id", "t"), *want, (" ",)])
+    spark.sparkContext.setJobGroup("parts", "parts")
+    df = files.scan_csv_encoding(spark, str(tmp_path), "id bigint, t string", parts=True, keep_corrupt=True)
+    got = df.collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("parts"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted((r.id, r.t) for r in got) == sorted(want * 2)
+    assert quoted.lines(spark, str(tmp_path)).rdd.getNumPartitions() > 8 >= jobs
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_cut_of_any_splits_and_batches(seed):
+    """Splits and batches that end anywhere, held against the text itself; a batch of lines gives few batches of records."""
+    rng = random.Random(seed)
+    parts = ["".join(rng.choice(['"x\ny"', '"\n\n"', "a", ",", '""', '"\n""\n"']) for _ in range(rng.randrange(6))) for _ in range(400)]
+    parts[200] = '"' + "\n" * 300 + '"'
+    rows = "\n".join(parts).split("\n")
+    borders = sorted({0, *rng.sample(range(len(rows)), 12)})
+    found = []
+    for a, b in zip(borders, [*borders[1:], len(rows)]):
+        odd = [r.count('"') % 2 for r in rows[a:b]]
+        found.append(("f", a, sum(odd) % 2 == 1, any(odd)))
+    known = {a + 7: ("f", a, owner, True) for (_, a), owner in quoted.split_states(found).items()}
+    split = [max(a for a in borders if a <= i) + 7 for i in range(len(rows))]
+    cuts = sorted({0, len(rows), *rng.sample(range(len(rows)), 5)})
+    batches = [pa.RecordBatch.from_pydict({"split": pa.array(split[a:b], pa.int64()), "line": pa.array([r.encode() for r in rows[a:b]])}) for a, b in zip(cuts, cuts[1:])]
+    whole = list(quoted._cut(lambda: known, True)(iter(batches)))
+    pieces = pa.Table.from_batches(list(quoted._cut(lambda: known, False)(iter(batches)))).to_pylist()
+    got = [r["record"] for b in whole for r in b.to_pylist()]
+    for owner in {p["owner"] for p in pieces}:
+        got.append(b"\n".join(p["record"] for p in sorted((p for p in pieces if p["owner"] == owner), key=lambda p: p["start"])))
+    assert sorted(got) == sorted(p.encode() for p in parts) and len(whole) <= 2 * (len(borders) + len(cuts))
+    firsts = [r["record"] for b in whole for r in b.to_pylist() if r["first"]] + [p["record"] for p in pieces if p["first"]]
+    assert len(firsts) == 1 and parts[0].encode().startswith(firsts[0])
+
+
 @pytest.mark.parametrize("found,want", [
     ([("a", 0, False, True), ("a", 9, True, True), ("a", 20, True, True)], [None, None, 9]),
     ([("a", 0, True, True), ("a", 9, False, False), ("a", 20, False, True), ("a", 30, True, True)], [None, 0, 0, 20]),
