@@ -184,6 +184,27 @@ def test_removal_equals_brute_force(spark):
     assert kept[302] == b"a" * 399 and kept[304] == b""
 
 
+def test_a_core_of_many_near_copies_is_split_among_tasks(spark):
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    rows = spark.range(30_000).select(F.when(F.col("id") < 10_000, 7).otherwise(F.col("id")).alias("core"), F.xxhash64("id").alias("around"), F.col("id").alias("who"), F.lit(1).cast("bigint").alias("n"))
+    found = rows.unionByName(rows.where("who >= 29000").withColumn("around", F.lit(5).cast("bigint"))).unionByName(rows.where("who % 100 = 0").withColumn("who", F.col("who") + 100_000))
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        whole, open_ = substrings._settle(found, ["who"], "test-groups")
+        got = sorted(tuple(r) for r in open_.collect())
+        assert "skew=true" in open_._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    twice = {i for i in range(30_000) if i % 100 == 0}
+    assert sorted(r.who for r in whole.collect()) == sorted([*twice, *(i + 100_000 for i in twice)])
+    several = [i for i in range(30_000) if i < 10_000 or i >= 29_000]
+    assert got == sorted([*((i, 2 if i in twice else 1) for i in several), *((i, 1) for i in range(29_000, 30_000))])
+
+
 def test_anchors_follow_the_bytes_alone():
     rng = np.random.default_rng(2)
     middle = rng.integers(97, 123, 3000, dtype=np.uint8).tobytes()
