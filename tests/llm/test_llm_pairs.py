@@ -205,6 +205,24 @@ def test_a_core_of_many_near_copies_is_split_among_tasks(spark):
     assert got == sorted([*((i, 2 if i in twice else 1) for i in several), *((i, 1) for i in range(29_000, 30_000))])
 
 
+def test_copies_of_a_text_are_packed_once(spark, monkeypatch):
+    rng = random.Random(9)
+    words = lambda n: " ".join("".join(rng.choice("abcdef") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    text = words(400)
+    near = [text[:p] + "X" + text[p:] for p in range(300, 2000, 97)]
+    rows = [(i, t) for i, t in enumerate([text, *near] + [text] * 30 + [words(50) for _ in range(20)])]
+    plain, most = substrings._packed, []
+
+    def packed(found, by, columns, name):
+        most.append(found.groupBy(by, *columns).count().agg(F.max("count")).first()[0])
+        return plain(found, by, columns, name)
+
+    monkeypatch.setattr(substrings, "_packed", packed)
+    got = substrings.remove_repeats(spark.createDataFrame(rows, SHAPE).repartition(8)).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == plain_removal(rows)
+    assert len(most) == 4 and set(most) == {1}
+
+
 def test_anchors_follow_the_bytes_alone():
     rng = np.random.default_rng(2)
     middle = rng.integers(97, 123, 3000, dtype=np.uint8).tobytes()
