@@ -151,16 +151,26 @@ c AS (SELECT doc_id, word, count(*) AS c FROM u GROUP BY 1, 2),
 lex AS (SELECT word, avg(2 * quality - 1) AS p, avg(toxic) AS s FROM c JOIN labels USING (doc_id) GROUP BY 1)"""
 
 
+#: labels, three numbers each, that are broadcast
+LABELS_SENT = 500_000
+
+
+def label_lexicon(spark, d, docs):
+    """Mean label of the documents holding a word, and their number. The texts stay where they are if the labels are few enough to be broadcast."""
+    labels = load(spark, d, "labels").select("doc_id", "quality", "toxic")
+    labels = F.broadcast(labels) if labels.count() <= LABELS_SENT else labels
+    labelled = docs.join(labels, "doc_id")
+    return labelled.select("quality", "toxic", F.explode(F.array_distinct(text.word_tokens("text"))).alias("word")).groupBy("word").agg(
+        F.avg(2 * F.col("quality") - 1).alias("polarity"), F.avg("toxic").alias("subjectivity"), F.count("*").alias("documents"),
+    )
+
+
 @query("text_sentiment", f"""WITH {_LEX}, s AS (SELECT doc_id, sum(p * c) / sum(c) AS p, sum(s * c) / sum(c) AS s FROM c JOIN lex USING (word) GROUP BY 1)
 SELECT doc_id, round(coalesce(p, 0), 6) + 0.0 AS text_sentiment, round(coalesce(s, 0), 6) + 0.0 AS text_subjectivity FROM documents LEFT JOIN s USING (doc_id)""")
 def text_sentiment(spark, d):
     """The lexicon comes from the labelled documents: mean label of the documents holding a word."""
     docs = spread(load(spark, d, "documents").select("doc_id", "text"))
-    labelled = docs.join(load(spark, d, "labels"), "doc_id")
-    lexicon = labelled.select("quality", "toxic", F.explode(F.array_distinct(text.word_tokens("text"))).alias("word")).groupBy("word").agg(
-        F.avg(2 * F.col("quality") - 1).alias("polarity"), F.avg("toxic").alias("subjectivity"),
-    )
-    return round_doubles(text.text_sentiment(docs, "text", "doc_id", lexicon, negations=(), strengths={}).drop("text"))
+    return round_doubles(text.text_sentiment(docs, "text", "doc_id", label_lexicon(spark, d, docs), negations=(), strengths={}, weight="documents").drop("text"))
 
 
 _TURNING, _STRONG = ("the", "la", "zu"), {"of": 1.5, "de": 0.5, "er": 2.0, "to": 0.8}
@@ -179,11 +189,7 @@ SELECT doc_id, round(coalesce(p, 0), 6) + 0.0 AS text_sentiment, round(coalesce(
 def text_sentiment_carried(spark, d):
     """Frequent words of the invented texts stand in for negations and strength words."""
     docs = spread(load(spark, d, "documents").select("doc_id", "text"))
-    labelled = docs.join(load(spark, d, "labels"), "doc_id")
-    lexicon = labelled.select("quality", "toxic", F.explode(F.array_distinct(text.word_tokens("text"))).alias("word")).groupBy("word").agg(
-        F.avg(2 * F.col("quality") - 1).alias("polarity"), F.avg("toxic").alias("subjectivity"),
-    )
-    return round_doubles(text.text_sentiment(docs, "text", "doc_id", lexicon, negations=_TURNING, strengths=_STRONG).drop("text"))
+    return round_doubles(text.text_sentiment(docs, "text", "doc_id", label_lexicon(spark, d, docs), negations=_TURNING, strengths=_STRONG, weight="documents").drop("text"))
 
 
 # ---- dates -----------------------------------------------------------------------------------------

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 import zlib
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prepspark.functions.columns import col, one_row, real
-from prepspark.functions.lookups import BROADCAST_BYTES, BROADCAST_ROWS
+from prepspark.functions.lookups import BROADCAST_BYTES, BROADCAST_ROWS, HOT_BYTES
 from prepspark.operators.profile import collect_profile, is_text
 
 # Whitespace as Python's str.split sees it, and the characters a
@@ -33,6 +34,8 @@ VOCAB_SIZE = 1_000
 MAP_WORDS = 20_000
 #: lexicon words, in times of the broadcast bound, that are broadcast as a table of short rows
 JOINED_WORDS = 5
+#: steps in which a doubling of a word's frequency counts
+LEVELS = 4
 _SLOTS = 64
 
 
@@ -165,6 +168,45 @@ def text_tfidf(df: DataFrame, name: str, max_features: int = 10, max_mean_length
     return scaled.withColumns(added).drop("__tokens", "__norm", *[f"__w{i}" for i in range(len(terms))])
 
 
+def _said(name: str, acting: list[str]) -> Column:
+    """Array of the words of a text, each after the run of acting words right before it, by single blanks.
+
+    A run is taken as it stands: the pattern need not go back into one, as a word always follows. So it takes no stack, whatever its length.
+    """
+    if not acting:
+        return word_tokens(name)
+    said = F.regexp_replace(F.lower(text_of(name)), r"n['\u2019]t\b", " not")
+    joined = F.array_join(F.regexp_extract_all(said, F.lit(WORD_TOKEN), F.lit(0)), " ")
+    return F.regexp_extract_all(joined, F.lit("(?:(?:" + "|".join(re.escape(w) for w in acting) + ") )*+[^ ]+"), F.lit(0))
+
+
+def _last(said: Column) -> Column:
+    return F.substring_index(said, " ", -1)
+
+
+def _strength(said: Column, negations: tuple[str, ...], strengths: dict[str, float]) -> tuple[Column, Column]:
+    """Strength of the run before a word, and whether it turns the word around."""
+    quote = lambda w: "'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    table = "map(" + ", ".join(f"{quote(w)}, {real(f)}" for w, f in strengths.items()) + ")" if strengths else "CAST(map() AS map<string, double>)"
+    alone, run = ~F.contains(said, F.lit(" ")), F.split(said, " ")  # the word itself, last in the run, is no acting word
+    strength = F.when(alone, F.lit(1.0)).otherwise(
+        F.aggregate(run, F.lit(1.0), lambda a, x: a * F.coalesce(F.element_at(F.expr(table), x), F.lit(1.0))))
+    return strength, ~alone & F.exists(run, lambda x: x.isin(*negations)) if negations else F.lit(False)
+
+
+def _over(number: float, strength: Column) -> Column:
+    """A number over a strength; that of a long run may be as small as zero, which divides to infinity."""
+    return F.when(strength == 0.0, F.lit(math.copysign(math.inf, number))).otherwise(F.lit(number) / strength)
+
+
+def _factors(strength: Column, turns: Column) -> tuple[Column, Column]:
+    return F.when(turns, _over(TURNED, strength)).otherwise(strength), F.when(turns, _over(1.0, strength)).otherwise(strength)
+
+
+def _acting(negations: tuple[str, ...], strengths: dict[str, float]) -> list[str]:
+    return sorted({*negations, *strengths}, key=lambda w: (-len(w), w))
+
+
 def carried_words(name: str, negations: tuple[str, ...], strengths: dict[str, float]) -> Column:
     """Array of (w, fp, fs): the words of a text with the factors that the words right before them put on their scores.
 
@@ -172,22 +214,32 @@ def carried_words(name: str, negations: tuple[str, ...], strengths: dict[str, fl
     product of its factors. Without a negation fp = fs = strength; with one, however many, fp = -0.5 / strength and
     fs = 1 / strength: "not very good" is a weaker "not good". Negations and strength words have no score themselves; "n't" counts as "not".
     """
-    acting = sorted({*negations, *strengths}, key=lambda w: (-len(w), w))
+    acting = _acting(negations, strengths)
     if not acting:
         return F.transform(word_tokens(name), lambda w: F.struct(w.alias("w"), F.lit(1.0).alias("fp"), F.lit(1.0).alias("fs")))
-    quote = lambda w: "'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    said = F.regexp_replace(F.lower(text_of(name)), r"n['\u2019]t\b", " not")
-    joined = F.array_join(F.regexp_extract_all(said, F.lit(WORD_TOKEN), F.lit(0)), " ")
-    pattern = F.lit("((?:(?:" + "|".join(re.escape(w) for w in acting) + ") )*)([^ ]+)")
-    pairs = F.arrays_zip(F.regexp_extract_all(joined, pattern, F.lit(1)).alias("run"), F.regexp_extract_all(joined, pattern, F.lit(2)).alias("w"))
-    table = "map(" + ", ".join(f"{quote(w)}, {real(f)}" for w, f in strengths.items()) + ")" if strengths else "CAST(map() AS map<string, double>)"
-    strength = lambda run: F.when(run == "", F.lit(1.0)).otherwise(
-        F.aggregate(F.split(run, " "), F.lit(1.0), lambda a, x: a * F.coalesce(F.element_at(F.expr(table), x), F.lit(1.0))))
-    turns = lambda run: (run != "") & (F.exists(F.split(run, " "), lambda x: x.isin(*negations)) if negations else F.lit(False))
-    factors = F.transform(pairs, lambda p: F.struct(p["w"].alias("w"), strength(p["run"]).alias("f"), turns(p["run"]).alias("t")))
-    kept = F.filter(factors, lambda p: ~p["w"].isin(*acting))
-    return F.transform(kept, lambda p: F.struct(
-        p["w"].alias("w"), F.when(p["t"], F.lit(TURNED) / p["f"]).otherwise(p["f"]).alias("fp"), F.when(p["t"], 1 / p["f"]).otherwise(p["f"]).alias("fs")))
+    kept = F.filter(_said(name, acting), lambda x: ~_last(x).isin(*acting))
+
+    def read(x: Column) -> Column:
+        strength, turns = _strength(x, negations, strengths)
+        return F.struct(_last(x).alias("w"), strength.alias("f"), turns.alias("t"))
+
+    def factors(x: Column) -> Column:
+        fp, fs = _factors(x["f"], x["t"])
+        return F.struct(x["w"].alias("w"), fp.alias("fp"), fs.alias("fs"))
+
+    return F.transform(F.transform(kept, read), factors)
+
+
+def carried_rows(df: DataFrame, name: str, key: str, negations: tuple[str, ...], strengths: dict[str, float]) -> DataFrame:
+    """``carried_words`` as rows (__k, word, fp, fs), which compiled code makes: an array of structs is built value by value."""
+    acting = _acting(negations, strengths)
+    said = df.select(col(key).alias("__k"), F.explode(_said(name, acting)).alias("x"))
+    if not acting:
+        return said.select("__k", F.col("x").alias("word"), F.lit(1.0).alias("fp"), F.lit(1.0).alias("fs"))
+    strength, turns = _strength(F.col("x"), negations, strengths)
+    read = said.select("__k", "x", _last(F.col("x")).alias("word")).where(~F.col("word").isin(*acting)).select("__k", "word", strength.alias("f"), turns.alias("t"))
+    fp, fs = _factors(F.col("f"), F.col("t"))
+    return read.select("__k", "word", fp.alias("fp"), fs.alias("fs"))
 
 
 def _scaled(score: Column, factor: Column, low: float) -> Column:
@@ -197,7 +249,7 @@ def _scaled(score: Column, factor: Column, low: float) -> Column:
 
 def text_sentiment(
     df: DataFrame, name: str, key: str, lexicon: DataFrame, broadcast_rows: int = BROADCAST_ROWS, negations: tuple[str, ...] = NEGATIONS,
-    strengths: dict[str, float] = STRENGTHS,
+    strengths: dict[str, float] = STRENGTHS, weight: str | None = None,
 ) -> DataFrame:
     """``{name}_sentiment`` and ``_subjectivity``: mean lexicon scores of a text's words, 0 without any.
 
@@ -205,11 +257,12 @@ def text_sentiment(
 
     ``lexicon(word, polarity, subjectivity)`` is the user's; ``key`` is unique. A small lexicon (its rows and bytes are
     counted) becomes a map that each row looks its words up in: no shuffle at all. A larger one, up to ``JOINED_WORDS`` times
-    ``broadcast_rows``, is broadcast to the words where they lie, and one sum per task and row is shuffled. Beyond, it meets words counted per
-    row, every frequent word spread over salted copies; only keys and scores travel, and the texts stay where they are
-    if the scores are few enough to be broadcast.
+    ``broadcast_rows``, is broadcast to the words where they lie, and one sum per task and row is shuffled. Beyond, that holds for its
+    most frequent words, and only the others are counted per row and shuffled to their scores (``_shared_scores``). ``weight`` names a
+    column of the lexicon that tells how frequent a word is, which decides where a word is looked up and nothing else; without it
+    the words of ``df`` are counted. The texts stay where they are if the scores are few enough to be broadcast.
     """
-    lex = lexicon.select("word", F.col("polarity").cast("double").alias("p"), F.col("subjectivity").cast("double").alias("s"))
+    lex = lexicon.select("word", F.col("polarity").cast("double").alias("p"), F.col("subjectivity").cast("double").alias("s"), *([F.col(weight).cast("double").alias("n")] if weight else []))
     lex = lex.persist(StorageLevel.MEMORY_AND_DISK)
     size = lex.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("word")), F.lit(0)).alias("b")).first()
     names = (f"{name}_sentiment", f"{name}_subjectivity")
@@ -218,23 +271,53 @@ def text_sentiment(
         lex.unpersist()
         pairs = {r["word"]: (r["p"], r["s"]) for r in rows}
         return _mapped_sentiment(df, name, pairs, names, carried_words(name, negations, strengths)) if pairs else df.withColumns({n: F.lit(0.0) for n in names})
-    words = df.select(col(key).alias("__k"), F.explode(carried_words(name, negations, strengths)).alias("x")).select(
-        "__k", F.col("x.w").alias("word"), F.col("x.fp").alias("fp"), F.col("x.fs").alias("fs"))
+    words = carried_rows(df, name, key, negations, strengths)
     if size["n"] <= JOINED_WORDS * broadcast_rows and size["b"] <= BROADCAST_BYTES:
-        hits = words.withColumn("c", F.lit(1)).join(F.broadcast(lex), "word")
+        sums = words.join(F.broadcast(lex), "word").select("__k", *_scores(), F.lit(1).alias("c"))
     else:
-        salts = 32
-        salted = lex.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        counted = words.groupBy("__k", "word", "fp", "fs").agg(F.count("*").alias("c"))
-        hits = counted.withColumn("salt", F.pmod(F.xxhash64("__k"), F.lit(salts)).cast("int")).join(salted, ["word", "salt"])
-    scores = hits.groupBy("__k").agg(
-        (F.sum(_scaled(F.col("p"), F.col("fp"), -1.0) * F.col("c")) / F.sum("c")).alias("__p"),
-        (F.sum(_scaled(F.col("s"), F.col("fs"), 0.0) * F.col("c")) / F.sum("c")).alias("__s"),
-    )
+        sums = _shared_scores(words, lex, broadcast_rows)
+    scores = sums.groupBy("__k").agg((F.sum("p") / F.sum("c")).alias("__p"), (F.sum("s") / F.sum("c")).alias("__s"))
     out = df.join(scores, col(key) == F.col("__k"), "left")
     return out.withColumns(dict(zip(names, (F.coalesce("__p", F.lit(0.0)), F.coalesce("__s", F.lit(0.0)))))).drop("__k", "__p", "__s")
 
 
+def _scores() -> tuple[Column, Column]:
+    return _scaled(F.col("p"), F.col("fp"), -1.0).alias("p"), _scaled(F.col("s"), F.col("fs"), 0.0).alias("s")
+
+
+def _shared_scores(words: DataFrame, lex: DataFrame, broadcast_rows: int) -> DataFrame:
+    """Sums (__k, p, s, c) of the scores of ``words`` and their numbers, several rows for a key, by a lexicon too large to be broadcast.
+
+    Its most frequent words, as many as may be broadcast, meet the words where they lie; of those a task sends one sum per key. The other
+    words are counted per key and factor, sent to their scores, and stay if they have none. Any word is looked up in one of both.
+    """
+    if "n" not in lex.columns:
+        lex = lex.join(words.groupBy("word").agg(F.count("*").alias("n")), "word")
+    n = F.max("n").over(Window.partitionBy("word"))  # a word has one place, however often it is in the lexicon
+    level = F.floor(F.log2(F.greatest(F.coalesce(n, F.lit(1.0)), F.lit(1.0))) * LEVELS).cast("int")
+    level = F.when(F.octet_length("word") <= HOT_BYTES, level).otherwise(F.lit(-1))
+    lex = lex.where("word IS NOT NULL").select("word", "p", "s", level.alias("level")).persist(StorageLevel.MEMORY_AND_DISK)
+    sizes = lex.where("level >= 0").groupBy("level").agg(F.count("*").alias("n"), F.sum(F.octet_length("word")).alias("b")).collect()
+    least, rows, size = 2**31 - 1, 0, 0
+    for r in sorted(sizes, key=lambda r: -r["level"]):
+        rows, size = rows + r["n"], size + r["b"]
+        if rows > broadcast_rows or size > BROADCAST_BYTES:
+            break
+        least = r["level"]
+    hot = lex.where(F.col("level") >= least).select("word", "p", "s", F.lit(True).alias("hot"))
+    met = words.join(F.broadcast(hot), "word", "left")
+    left = lambda c: F.when(F.col("hot").isNull(), F.col(c)).alias(c)
+    met = met.select("__k", left("word"), left("fp"), left("fs"), *_scores())
+    sums = met.groupBy("__k", "word", "fp", "fs").agg(F.sum("p").alias("hp"), F.sum("s").alias("hs"), F.count("*").alias("c"))
+    # sums have no word: they match nothing below, and the number spreads them
+    sums = sums.withColumn("at", F.when(F.col("word").isNull(), F.pmod(F.xxhash64("__k"), F.lit(4096))).otherwise(F.lit(0)))
+    cold = lex.where(F.col("level") < least).select("word", "p", "s", F.lit(0).cast("long").alias("at"), F.lit(True).alias("found"))
+    p, s = _scores()
+    of = lambda sums, score: F.when(F.col("word").isNull(), F.col(sums)).when(F.col("found"), score * F.col("c"))
+    return sums.join(cold, ["word", "at"], "left").select(
+        "__k", of("hp", p).alias("p"), of("hs", s).alias("s"), F.when(F.col("word").isNull() | F.col("found"), F.col("c")).alias("c"))
+
+
 def _mapped_sentiment(df: DataFrame, name: str, scores: dict[str, tuple[list, list]], names: tuple[str, str], words: Column) -> DataFrame:
     """Mean scores by looking the words of a row up in a literal table, split in slots so that a lookup scans a few entries."""
     slots: list[list[str]] = [[] for _ in range(_SLOTS)]

@@ -83,6 +83,41 @@ def test_a_middling_lexicon_moves_no_words(spark, monkeypatch):
     assert got == {1: (round((0.7 + 0.35 - 0.7) / 3, 9), round(2 / 3, 9)), 2: (0, 0), 3: (0.9, 0.8)}
 
 
+@pytest.mark.parametrize("rows", [100_000, 2, 0])
+def test_long_runs_of_acting_words(spark, monkeypatch, rows):
+    """By a literal table, a broadcast and a shuffle: no run is too long to be read, and none has a strength that cannot be divided by."""
+    lexicon = spark.createDataFrame([("good", 0.7, 0.6), ("bad", -0.7, 0.7), ("great", 0.9, 0.8)], "word string, polarity double, subjectivity double")
+    cases = {
+        "very " * 20_000 + "good": (1, 1), "not " * 20_001 + "good": (-0.35, 0.6), "slightly " * 3_000 + "bad": (0, 0), "no " + "slightly " * 3_000 + "bad": (1, 1),
+        "good " + "not " * 20_000: (0.7, 0.6), "not, very. " * 9_000 + "tree good": (0.7, 0.6), "very " * 500 + "slightly " * 100 + "bad": (-1, 1),
+    }
+    monkeypatch.setattr(text, "MAP_WORDS", 3 if rows > 2 else 0)
+    df = spark.createDataFrame(list(enumerate(cases)), "k int, t string")
+    got = {r.k: (r.t_sentiment, r.t_subjectivity) for r in text.text_sentiment(df, "t", "k", lexicon, broadcast_rows=rows).drop("t").collect()}
+    for k, (t, want) in enumerate(cases.items()):
+        assert np.allclose(got[k], want), t[:40]
+
+
+@pytest.mark.parametrize("rows, weight", [(0, None), (12, None), (12, "n"), (12, "same"), (12, "none")])
+def test_a_large_lexicon_is_shared_by_frequency(spark, rows, weight):
+    """Frequent words by broadcast, the others by shuffle: every word is looked up once, whatever its weight says; the lexicon is not repeated."""
+    rng = np.random.default_rng(3)
+    names = [f"w{i}" for i in range(150)] + ["very", "not", "slightly"]
+    odds = 1 / np.arange(1, 154) ** 0.9
+    odds[150:] = 0.2
+    texts = [" ".join(rng.choice(names, rng.integers(0, 60), p=odds / odds.sum())) for _ in range(80)]
+    data = [(None if k == 7 else k // 2 if k < 10 else k, t) for k, t in enumerate(texts)] + [(90, None), (91, "w140 w140"), (92, "w3"), (93, "z" * 1_200), (94, "unknown words")]
+    df = spark.createDataFrame(data, "k int, t string").repartition(3)
+    words = [f"w{i}" for i in range(0, 150, 2)] + ["w0", "w0", "w140", "z" * 1_200]
+    lex = [(w, float(rng.uniform(-1, 1)), float(rng.uniform(0, 1)), int(rng.integers(0, 90)), 5, None) for w in words] + [(None, 1.0, 1.0, 99, 5, None)]
+    lexicon = spark.createDataFrame(lex, "word string, polarity double, subjectivity double, n int, same int, none int")
+    scored = lambda **o: text.text_sentiment(df, "t", "k", lexicon, **o)
+    rounded = lambda out: sorted(((r.t or "", r.k or -1, round(r.t_sentiment, 9), round(r.t_subjectivity, 9)) for r in out.collect()))
+    out = scored(broadcast_rows=rows, weight=weight)
+    assert "sequence(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert rounded(out) == rounded(scored(broadcast_rows=40))  # the lexicon as a whole, by broadcast
+
+
 @pytest.mark.parametrize("rows", [None, 3])
 def test_sparse_vectors_equal_dense_ones(spark, rows):
     data = [(k, float(k * 7 % 13), k % 3 == 0 if k % 5 else None, f"v{k % 11}" if k % 4 else None, "one") for k in range(60)]
